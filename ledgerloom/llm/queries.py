@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import jaccard
+from ledgerloom.llm import jaccard, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,7 +22,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), packing.Limits(tokens=2048), rule="residual")
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 @query
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = jaccard.jaccard_join(table(spark, sf_dir, "documents"), width=5, similarity="0.8")
     return jaccard.classes(joined).select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "n_copies")
+
+
+@query
+def op9_token_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_rows(table(spark, sf_dir, "documents"), tokenizer_path(), tokens=2048)
