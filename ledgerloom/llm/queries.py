@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontam, jaccard, langid, packing, quality, samples, toxicity
+from ledgerloom.llm import decontam, forest_index, jaccard, langid, packing, quality, samples, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,6 +40,11 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(joined).select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "n_copies")
 
 
+@query
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest_index.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def fold(folds: int):
     """The remainder that deals documents into folds."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
