@@ -58,49 +58,89 @@ def bin_edges(x: np.ndarray, bins: int) -> list[np.ndarray]:
     return [np.unique(np.quantile(column, np.linspace(0, 1, bins + 1)[1:-1], method="higher")) for column in x.T]
 
 
+def _grow(binned: np.ndarray, edges: list[np.ndarray], g: np.ndarray, h: np.ndarray, p: Boosting, offered=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One tree: features, split bins and each row's leaf. ``offered(level, nodes)`` masks features by node."""
+    width = max(map(len, edges)) + 1
+    inner, row = (1 << p.depth) - 1, np.arange(binned.shape[1])
+    feature, split, at = np.zeros(inner, np.int64), np.full(inner, width), np.zeros(binned.shape[1], np.int64)
+    for level in range(p.depth):
+        first, nodes = (1 << level) - 1, 1 << level
+        own, best = at - first, np.full(nodes, p.least_gain)
+        allowed = offered(nodes) if offered else np.ones((len(binned), nodes), bool)
+        for f, column in enumerate(binned):
+            if not len(edges[f]) or not allowed[f].any():
+                continue
+            slot = own * width + column
+            gs = np.bincount(slot, g, nodes * width).reshape(nodes, width).cumsum(axis=1)
+            hs = np.bincount(slot, h, nodes * width).reshape(nodes, width).cumsum(axis=1)
+            gt, ht = gs[:, -1:], hs[:, -1:]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                gain = gs**2 / (hs + p.l2) + (gt - gs) ** 2 / (ht - hs + p.l2) - gt**2 / (ht + p.l2)
+            gain[(hs < p.least_weight) | (ht - hs < p.least_weight) | ~np.isfinite(gain)] = -1
+            where = gain.argmax(axis=1)
+            most = gain[np.arange(nodes), where]
+            better = (most > best) & allowed[f]
+            best[better] = most[better]
+            feature[first : first + nodes][better] = f
+            split[first : first + nodes][better] = where[better]
+        at = 2 * at + 1 + (binned[feature[at], row] > split[at])
+    return feature, split, at - inner
+
+
+def _binned(x: np.ndarray, bins: int) -> tuple[list[np.ndarray], np.ndarray]:
+    edges = bin_edges(x, bins)
+    return edges, np.stack([np.searchsorted(e, c, "left") for e, c in zip(edges, x.T, strict=True)])
+
+
+def _cuts(edges: list[np.ndarray], feature: np.ndarray, split: np.ndarray) -> list[float]:
+    return [edges[f][s] if s < len(edges[f]) else np.inf for f, s in zip(feature, split, strict=True)]
+
+
 def fit(x: np.ndarray, y: np.ndarray, p: Boosting = Boosting()) -> Forest:
     """Logistic loss with second-order leaves; ties between splits go to the first feature and bin."""
     if not len(y) or y.min() == y.max():
         return constant(float(y.mean()) if len(y) else 0.5)
-    edges = bin_edges(x, p.bins)
-    width = max(len(e) for e in edges) + 1
-    binned = np.stack([np.searchsorted(e, c, "left") for e, c in zip(edges, x.T, strict=True)])
-    forest = constant(float(y.mean()))
-    margin = np.full(len(y), forest.base)
-    inner = (1 << p.depth) - 1
+    edges, binned = _binned(x, p.bins)
+    base = constant(float(y.mean())).base
+    margin = np.full(len(y), base)
     features, cuts, leaves = [], [], []
-    row = np.arange(len(y))
     for _ in range(p.trees):
         score = 1 / (1 + np.exp(-margin))
         g, h = score - y, score * (1 - score)
-        feature, split, at = np.zeros(inner, np.int64), np.full(inner, width), np.zeros(len(y), np.int64)
-        for level in range(p.depth):
-            first, nodes = (1 << level) - 1, 1 << level
-            own = at - first
-            best = np.full(nodes, p.least_gain)
-            for f, column in enumerate(binned):
-                if not len(edges[f]):
-                    continue
-                slot = own * width + column
-                gs = np.bincount(slot, g, nodes * width).reshape(nodes, width).cumsum(axis=1)
-                hs = np.bincount(slot, h, nodes * width).reshape(nodes, width).cumsum(axis=1)
-                gt, ht = gs[:, -1:], hs[:, -1:]
-                gain = gs**2 / (hs + p.l2) + (gt - gs) ** 2 / (ht - hs + p.l2) - gt**2 / (ht + p.l2)
-                gain[(hs < p.least_weight) | (ht - hs < p.least_weight)] = -1
-                where = gain.argmax(axis=1)
-                most = gain[np.arange(nodes), where]
-                better = most > best
-                best[better] = most[better]
-                feature[first : first + nodes][better] = f
-                split[first : first + nodes][better] = where[better]
-            at = 2 * at + 1 + (binned[feature[at], row] > split[at])
-        at -= inner
-        leaf = -p.rate * np.bincount(at, g, inner + 1) / (np.bincount(at, h, inner + 1) + p.l2)
+        feature, split, at = _grow(binned, edges, g, h, p)
+        leaf = -p.rate * np.bincount(at, g, 1 << p.depth) / (np.bincount(at, h, 1 << p.depth) + p.l2)
         margin += leaf[at]
         features.append(feature)
-        cuts.append([edges[f][s] if s < len(edges[f]) else np.inf for f, s in zip(feature, split, strict=True)])
+        cuts.append(_cuts(edges, feature, split))
         leaves.append(leaf)
-    return Forest(forest.base, np.array(features), np.array(cuts, float), np.array(leaves))
+    return Forest(base, np.array(features), np.array(cuts, float), np.array(leaves))
+
+
+def fit_random_forest(x: np.ndarray, y: np.ndarray, trees: int = 100, depth: int = 8, bins: int = 64, seed: int = 1) -> Forest:
+    """Bagged trees on variance (Gini) splits, each node offered a random third of the features.
+
+    ``margin`` of the result is the mean share of label 1 over the leaves.
+    """
+    share = float(y.mean()) if len(y) else 0.5
+    if not len(y) or y.min() == y.max():
+        return Forest(share, np.zeros((0, 1), np.int64), np.zeros((0, 1)), np.zeros((0, 2)))
+    rng = np.random.default_rng(seed)
+    edges, binned = _binned(x, bins)
+    p = Boosting(depth=depth, l2=0.0, least_weight=2.0, least_gain=1e-9)
+    offer = max(2, x.shape[1] // 3)
+
+    def offered(nodes: int) -> np.ndarray:
+        return rng.random((x.shape[1], nodes)).argsort(axis=0) < offer
+
+    features, cuts, leaves = [], [], []
+    for _ in range(trees):
+        weight = rng.poisson(1.0, len(y)).astype(float)
+        feature, split, at = _grow(binned, edges, -weight * y, weight, p, offered)
+        hits, total = np.bincount(at, weight * y, 1 << depth), np.bincount(at, weight, 1 << depth)
+        features.append(feature)
+        cuts.append(_cuts(edges, feature, split))
+        leaves.append(np.where(total > 0, hits / np.maximum(total, 1e-9), share) / trees)
+    return Forest(0.0, np.array(features), np.array(cuts, float), np.array(leaves))
 
 
 @dataclass
