@@ -1,10 +1,835 @@
-"""The queries of the ledger operators, by name."""
+"""The queries of the ledger operators, by name, each with its DuckDB oracle where SQL has one."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ledgerloom.functions import text
+from ledgerloom.operators import changes, evidence, items, mining, predicates, queue, reconcile, reports, rules, shared, transfers
+from ledgerloom.plans.ledger import RULES, Ledger
+from ledgerloom.plans.oracle_views import sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+NOW = "2024-01-20 00:00:00"
+ALL_RULES = [rules.rule_of(r) for r in RULES]
+
+
+def query(name: str, oracle: str | None = None):
+    """Register a function of a ledger; whole numbers come out as longs, as in the oracles."""
+
+    def register(f: Callable[[Ledger], DataFrame]):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            out = f(Ledger(spark, sf_dir))
+            return out.select(*(F.col(c.name).cast("long").alias(c.name) if isinstance(c.dataType, (T.IntegerType, T.ShortType)) else F.col(c.name) for c in out.schema.fields))
+
+        QUERIES[name] = run
+        if oracle:
+            ORACLES[name] = sql(oracle)
+        return f
+
+    return register
+
+
+# Reports
+
+SPEND_SUMS = ", ".join(f"CAST(coalesce(sum(al.amount_paise) FILTER (al.source = '{s}'), 0) AS BIGINT) AS {s}_paise" for s in ("user", "rule", "evidence"))
+BY_CATEGORY = f"""SELECT c.id AS category_id, c.name AS category, p.name AS parent, {SPEND_SUMS}, CAST(sum(al.amount_paise) AS BIGINT) AS total_paise,
+    count(DISTINCT t.id) AS transactions, CAST(sum(abs(al.amount_paise)) AS BIGINT) AS moved_paise
+    FROM allocations al JOIN spend t ON t.id = al.transaction_id JOIN categories c ON c.id = al.category_id LEFT JOIN categories p ON p.id = c.parent_id GROUP BY c.id, c.name, p.name"""
+
+
+@query("agg1_by_category", BY_CATEGORY)
+def _(l: Ledger) -> DataFrame:
+    return reports.by_category(l.transactions, l.allocations, l.categories)
+
+
+@query(
+    "agg2_totals",
+    """WITH x AS (SELECT amount_paise, abs(amount_paise - coalesce(explained, 0)) AS left_open FROM spend LEFT JOIN explained ON id = transaction_id)
+    SELECT CAST(coalesce(sum(-amount_paise) FILTER (amount_paise < 0), 0) AS BIGINT) AS out_paise, CAST(coalesce(sum(amount_paise) FILTER (amount_paise > 0), 0) AS BIGINT) AS in_paise,
+    CAST(coalesce(sum(left_open), 0) AS BIGINT) AS unexplained_paise, CAST(coalesce(sum(left_open) FILTER (amount_paise < 0), 0) AS BIGINT) AS unexplained_out_paise,
+    CAST(coalesce(sum(left_open) FILTER (amount_paise > 0), 0) AS BIGINT) AS unexplained_in_paise, count(*) AS transactions FROM x""",
+)
+def _(l: Ledger) -> DataFrame:
+    return reports.totals(l.transactions, l.allocations)
+
+
+@query(
+    "agg3_by_rule",
+    """WITH x AS (SELECT coalesce(al.rule_id, al.confirmed_from_rule_id) AS r, al.rule_id AS own, t.id, t.txn_date, al.amount_paise FROM allocations al JOIN spend t ON t.id = al.transaction_id)
+    SELECT CAST(rules.id AS BIGINT) AS rule_id, name, enabled, CAST(priority AS BIGINT) AS priority, count(x.id) AS allocations, count(DISTINCT x.id) AS transactions, CAST(coalesce(sum(abs(amount_paise)), 0) AS BIGINT) AS moved_paise,
+    CAST(coalesce(sum(amount_paise), 0) AS BIGINT) AS net_paise, count(x.own) AS provisional, count(x.id) - count(x.own) AS confirmed, min(txn_date) AS first_seen, max(txn_date) AS last_seen
+    FROM rules LEFT JOIN x ON x.r = rules.id GROUP BY rules.id, name, enabled, priority""",
+)
+def _(l: Ledger) -> DataFrame:
+    return reports.by_rule(l.transactions, l.allocations, l.rules)
+
+
+@query(
+    "agg4_summary",
+    """WITH r AS (SELECT transaction_id, sum(abs(amount_paise)) AS p FROM allocations WHERE source = 'rule' GROUP BY transaction_id),
+    x AS (SELECT t.amount_paise, coalesce(explained, 0) AS e, coalesce(p, 0) AS p, type <> 'opening_balance' AND type <> 'transfer' AND transfer_status IS DISTINCT FROM 'resolved' AS gate
+    FROM transactions t LEFT JOIN explained ON id = explained.transaction_id LEFT JOIN r ON id = r.transaction_id)
+    SELECT CAST(sum(amount_paise) AS BIGINT) AS net_paise, CAST(sum(abs(amount_paise - e)) FILTER (gate) AS BIGINT) AS unexplained_paise, count(*) FILTER (gate AND amount_paise <> e) AS unexplained_transactions,
+    CAST(sum(p) FILTER (gate) AS BIGINT) AS provisional_paise FROM x""",
+)
+def _(l: Ledger) -> DataFrame:
+    return reports.summary(l.transactions, l.allocations)
+
+
+BY_MONTH = """WITH s AS (SELECT transaction_id, sum(amount_paise) AS e, coalesce(sum(amount_paise) FILTER (source = 'rule'), 0) AS r, coalesce(sum(amount_paise) FILTER (source = 'user'), 0) AS u,
+    coalesce(sum(amount_paise) FILTER (source = 'evidence'), 0) AS v FROM allocations GROUP BY transaction_id)
+    SELECT strftime(txn_date, '%Y-%m') AS month, CAST(sum(-amount_paise) AS BIGINT) AS out_paise, CAST(coalesce(sum(-r), 0) AS BIGINT) AS provisional_paise, CAST(coalesce(sum(-u), 0) AS BIGINT) AS confirmed_paise,
+    CAST(coalesce(sum(-v), 0) AS BIGINT) AS evidence_paise, CAST(sum(abs(amount_paise - coalesce(e, 0))) AS BIGINT) AS unexplained_paise, count(*) AS debits
+    FROM spend LEFT JOIN s ON id = transaction_id WHERE amount_paise < 0 GROUP BY 1"""
+
+
+@query("agg5_by_month", BY_MONTH)
+def _(l: Ledger) -> DataFrame:
+    return reports.by_month(l.transactions, l.allocations)
+
+
+@query(
+    "agg6_consumption",
+    """SELECT r.category_id, c.name AS category, p.name AS parent, CAST(sum(-amount_paise) AS BIGINT) AS consumed_paise, count(*) AS entries
+    FROM consumption_rows r JOIN categories c ON c.id = r.category_id LEFT JOIN categories p ON p.id = c.parent_id GROUP BY r.category_id, c.name, p.name""",
+)
+def _(l: Ledger) -> DataFrame:
+    return reports.consumption_by_category(reports.consumption_rows(l.transactions, l.allocations, l.consumption, l.categories), l.categories)
+
+
+SIDE = """SELECT CAST(coalesce(sum(-amount_paise) FILTER (origin = 'paid_for_you'), 0) AS BIGINT) AS paid_for_you_paise,
+    CAST(coalesce(sum(amount_paise) FILTER (origin <> 'paid_for_you' AND amount_paise > 0), 0) AS BIGINT) AS received_paise, CAST(sum(-amount_paise) AS BIGINT) AS consumed_paise FROM consumption_rows"""
+MONEY = """SELECT CAST(sum(-amount_paise) AS BIGINT) AS money_out_paise, CAST(sum(-(amount_paise - coalesce(explained, 0))) AS BIGINT) AS unexplained_paise, CAST(coalesce(sum(-f.fronted), 0) AS BIGINT) AS fronted_paise
+    FROM spend t LEFT JOIN explained ON explained.transaction_id = t.id LEFT JOIN (SELECT al.transaction_id, sum(al.amount_paise) AS fronted FROM allocations al JOIN categories c ON c.id = al.category_id
+    LEFT JOIN categories p ON p.id = c.parent_id WHERE c.excluded_from_spend OR coalesce(p.excluded_from_spend, false) GROUP BY al.transaction_id) f ON f.transaction_id = t.id WHERE t.amount_paise < 0"""
+
+
+def _side(l: Ledger) -> DataFrame:
+    return reports.side_terms(reports.consumption_rows(l.transactions, l.allocations, l.consumption, l.categories))
+
+
+@query("agg7_side_terms", SIDE)
+def _(l: Ledger) -> DataFrame:
+    return _side(l)
+
+
+@query("agg8_money_terms", MONEY)
+def _(l: Ledger) -> DataFrame:
+    return reports.money_terms(l.transactions, l.allocations, l.categories)
+
+
+@query(
+    "agg9_unclassified",
+    "SELECT CAST(coalesce(sum(value_paise), 0) AS BIGINT) AS unclassified_paise, count(*) AS records FROM purchases LEFT JOIN source_map ON word = source_category WHERE category_id IS NULL",
+)
+def _(l: Ledger) -> DataFrame:
+    return reports.unclassified(l.purchases, l.source_map)
+
+
+@query(
+    "agg10_unaccounted",
+    f"WITH side AS ({SIDE}), money AS ({MONEY}) SELECT consumed_paise, consumed_paise - (money_out_paise - unexplained_paise - fronted_paise + paid_for_you_paise - received_paise) AS unaccounted_paise FROM side, money",
+)
+def _(l: Ledger) -> DataFrame:
+    return reports.unaccounted(reports.money_terms(l.transactions, l.allocations, l.categories), _side(l))
+
+
+@query(
+    "agg11_balances",
+    """SELECT a.id, a.name, a.bank, CAST(coalesce(sum(t.amount_paise), 0) AS BIGINT) AS balance_paise, count(t.id) AS transactions FROM accounts a LEFT JOIN transactions t ON t.account_id = a.id GROUP BY a.id, a.name, a.bank""",
+)
+def _(l: Ledger) -> DataFrame:
+    return reports.balances(l.accounts, l.transactions)
+
+
+@query(
+    "agg12_transfer_counts",
+    """SELECT transfer_status, count(DISTINCT coalesce('g:' || CAST(transfer_group_id AS VARCHAR), 'txn:' || CAST(id AS VARCHAR))) AS transfers, count(*) AS legs FROM transactions WHERE transfer_status IS NOT NULL GROUP BY transfer_status""",
+)
+def _(l: Ledger) -> DataFrame:
+    return reports.transfer_counts(l.transactions)
+
+
+VOCABULARY = """WITH w AS (SELECT word FROM purchases UNION SELECT source_category FROM source_map), u AS (SELECT word, count(*) AS n, sum(value_paise) AS v FROM purchases GROUP BY word)
+    SELECT w.word, coalesce(n, 0) AS records, CAST(coalesce(v, 0) AS BIGINT) AS value_paise, CAST(category_id AS BIGINT) AS category_id, m.source_category IS NOT NULL AS mapped
+    FROM w LEFT JOIN u ON u.word = w.word LEFT JOIN source_map m ON m.source_category = w.word"""
+
+
+@query("agg13_set2_vocabulary", VOCABULARY)
+def _(l: Ledger) -> DataFrame:
+    return shared.vocabulary(l.purchases, l.source_map)
+
+
+@query(
+    "agg18_median",
+    """SELECT CASE WHEN m > 0 THEN m END AS median_seconds FROM (SELECT CAST(round(quantile_cont(epoch(finished_at)::BIGINT - epoch(created_at)::BIGINT, 0.5)) AS BIGINT) AS m
+    FROM (SELECT date_trunc('second', finished_at) AS finished_at, date_trunc('second', created_at) AS created_at FROM jobs WHERE state = 'done'))""",
+)
+def _(l: Ledger) -> DataFrame:
+    return queue.median_seconds(l.jobs)
+
+
+@query(
+    "agg19_progress",
+    """SELECT batch_id, count(*) AS total, count(*) FILTER (state = 'queued') AS queued, count(*) FILTER (state = 'running') AS running, count(*) FILTER (state = 'done') AS done, count(*) FILTER (state = 'failed') AS failed,
+    count(*) FILTER (state IN ('done', 'failed')) * 1000 // count(*) AS done_permille FROM jobs GROUP BY batch_id""",
+)
+def _(l: Ledger) -> DataFrame:
+    return queue.progress(l.jobs)
+
+
+@query(
+    "agg21_nested_allocations",
+    """SELECT t.id, coalesce(string_agg(al.source || ':' || CAST(al.amount_paise AS VARCHAR), ',' ORDER BY al.source, al.amount_paise), '') AS slices FROM transactions t LEFT JOIN allocations al ON al.transaction_id = t.id GROUP BY t.id""",
+)
+def _(l: Ledger) -> DataFrame:
+    nested = l.allocations.groupBy(F.col("transaction_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("source", "amount_paise"))).alias("s"))
+    slices = F.transform("s", lambda x: F.concat(x["source"], F.lit(":"), x["amount_paise"].cast("string")))
+    return l.transactions.select("id").join(nested, "id", "left").select("id", F.coalesce(F.array_join(slices, ","), F.lit("")).alias("slices"))
+
+
+@query(
+    "agg22_category_names_by_rule",
+    """SELECT al.rule_id, string_agg(DISTINCT c.name, ',' ORDER BY c.name) AS names FROM allocations al JOIN categories c ON c.id = al.category_id WHERE al.rule_id IS NOT NULL GROUP BY al.rule_id""",
+)
+def _(l: Ledger) -> DataFrame:
+    rows = l.allocations.where("rule_id is not null").join(F.broadcast(l.categories.select(F.col("id").alias("category_id"), "name")), "category_id")
+    return rows.groupBy("rule_id").agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("names"))
+
+
+@query(
+    "agg23_month_trend",
+    f"""WITH m AS (SELECT month, out_paise, lag(out_paise) OVER (ORDER BY month) AS prev FROM ({BY_MONTH.replace("WITH s AS", "WITH s2 AS").replace("LEFT JOIN s ON", "LEFT JOIN s2 ON")}))
+    SELECT month, out_paise, out_paise - prev AS delta_paise, CASE WHEN prev <> 0 THEN CAST(floor((out_paise - prev) * 1000 / abs(prev) + 0.5) AS BIGINT) END AS change_permille FROM m""",
+)
+def _(l: Ledger) -> DataFrame:
+    return reports.month_trend(reports.by_month(l.transactions, l.allocations))
+
+
+@query(
+    "agg23_compare_periods",
+    """SELECT CAST(coalesce(sum(-amount_paise) FILTER (txn_date >= DATE '1998-01-01'), 0) AS BIGINT) AS now_paise, CAST(coalesce(sum(-amount_paise) FILTER (txn_date < DATE '1998-01-01'), 0) AS BIGINT) AS before_paise
+    FROM spend WHERE amount_paise < 0 AND txn_date BETWEEN DATE '1997-10-03' AND DATE '1998-03-31'""",
+)
+def _(l: Ledger) -> DataFrame:
+    return reports.compare_periods(l.transactions, "1998-01-01", "1998-03-31")
+
+
+@query(
+    "agg24_parent_rollup",
+    f"""WITH b AS ({BY_CATEGORY}) SELECT coalesce(c.parent_id, c.id) AS root_id, CAST(sum(total_paise) AS BIGINT) AS total_paise, CAST(sum(transactions) AS BIGINT) AS transactions, count(*) AS categories
+    FROM b JOIN categories c ON c.id = b.category_id GROUP BY 1""",
+)
+def _(l: Ledger) -> DataFrame:
+    return reports.rollup_parents(reports.by_category(l.transactions, l.allocations, l.categories), l.categories)
+
+
+@query("set1_consumption_rows", "SELECT * FROM consumption_rows")
+def _(l: Ledger) -> DataFrame:
+    return reports.consumption_rows(l.transactions, l.allocations, l.consumption, l.categories)
+
+
+@query(
+    "cat1_jn5_category_usage",
+    """SELECT c.id, c.name, c.parent_id, p.name AS parent, c.excluded_from_spend, (SELECT count(*) FROM allocations a WHERE a.category_id = c.id) AS allocations, (SELECT count(*) FROM rules r WHERE r.category_id = c.id) AS rules,
+    (SELECT count(*) FROM items i WHERE i.category_id = c.id) AS items FROM categories c LEFT JOIN categories p ON p.id = c.parent_id""",
+)
+def _(l: Ledger) -> DataFrame:
+    return reports.category_usage(l.categories, l.allocations, l.rules, l.items)
+
+
+# Filters, listings and pages
+
+
+@query("flt1_spend", "SELECT id, amount_paise FROM spend")
+def _(l: Ledger) -> DataFrame:
+    return l.transactions.where(predicates.explainable_spend()).select("id", "amount_paise")
+
+
+def _filtered(name: str, where: str, **options) -> None:
+    @query(name, f"SELECT id, account_id, txn_date, amount_paise FROM transactions t WHERE {where}")
+    def _(l: Ledger) -> DataFrame:
+        return predicates.LedgerFilter(**options).apply(l.transactions, l.allocations, l.categories).select("id", "account_id", "txn_date", "amount_paise")
+
+
+_OF = "EXISTS (SELECT 1 FROM allocations al WHERE al.transaction_id = t.id AND"
+_filtered("flt2_date_range", "txn_date BETWEEN DATE '1996-02-01' AND DATE '1996-05-31'", date_from="1996-02-01", date_to="1996-05-31")
+_filtered("flt3_account", "account_id = 7", account_id=7)
+_filtered("flt4_category_family", f"{_OF} al.category_id IN (SELECT id FROM categories WHERE id = 2 OR parent_id = 2))", category_id=2)
+_filtered("flt5_rule_owned", f"{_OF} al.rule_id = 4)", rule_id=4)
+_filtered("flt6_provenance", f"{_OF} al.source = 'evidence')", source="evidence")
+_filtered("flt7_unexplained", "amount_paise <> coalesce((SELECT explained FROM explained e WHERE e.transaction_id = t.id), 0)", source="unexplained")
+_filtered("flt8_search", "contains(lower(narration), '0-blue')", search="0-BLUE")
+_filtered("flt9_direction", "amount_paise > 0", direction="in")
+_filtered("flt10_spend_only", "type NOT IN ('opening_balance', 'transfer') AND transfer_status IS DISTINCT FROM 'resolved' AND account_id = 3", spend_only=True, account_id=3)
+_filtered("flt17_ids", "id IN (5, 6, 7, 100, 250)", ids=(5, 6, 7, 100, 250))
+
+
+@query("flt14_sibling_clash", "SELECT id, name FROM categories WHERE parent_id IS NOT DISTINCT FROM 3 AND lower(name) = 'brand#3'")
+def _(l: Ledger) -> DataFrame:
+    return predicates.sibling_clash(l.categories, "BRAND#3", 3).select("id", "name")
+
+
+@query("flt15_unlinked", "SELECT id, source_type FROM evidence e WHERE NOT EXISTS (SELECT 1 FROM evidence_transactions x WHERE x.evidence_id = e.id)")
+def _(l: Ledger) -> DataFrame:
+    return predicates.unlinked(l.evidence, l.evidence_transactions).select("id", "source_type")
+
+
+@query("flt16_open_leg", "SELECT id, transfer_status FROM transactions WHERE transfer_status IS DISTINCT FROM 'resolved' AND transfer_status IS DISTINCT FROM 'rejected'")
+def _(l: Ledger) -> DataFrame:
+    return l.transactions.where(predicates.open_leg()).select("id", "transfer_status")
+
+
+@query("flt18_items_like", "SELECT id, label FROM items WHERE lower(label) LIKE '%b_ue%brand#1%'")
+def _(l: Ledger) -> DataFrame:
+    return predicates.like_items(l.items, "b_ue%brand#1").select("id", "label")
+
+
+PAGE = "ORDER BY txn_date DESC, account_id, statement_id NULLS LAST, statement_seq NULLS LAST, id LIMIT 100 OFFSET 100"
+
+
+@query("srt1_ledger_page", f"SELECT id, account_id, txn_date FROM transactions {PAGE}")
+def _(l: Ledger) -> DataFrame:
+    order = (F.desc("txn_date"), "account_id", F.col("statement_id").asc_nulls_last(), F.col("statement_seq").asc_nulls_last(), "id")
+    return l.transactions.orderBy(*order).select("id", "account_id", "txn_date").offset(100).limit(100)
+
+
+@query("srt2_near", "SELECT id, txn_date FROM transactions ORDER BY abs(txn_date - DATE '1997-06-15'), id LIMIT 50")
+def _(l: Ledger) -> DataFrame:
+    return l.transactions.orderBy(text.day_gap(F.col("txn_date"), F.lit("1997-06-15").cast("date")), "id").select("id", "txn_date").limit(50)
+
+
+@query(
+    "srt4_transfer_page",
+    """WITH x AS (SELECT *, coalesce('g:' || CAST(transfer_group_id AS VARCHAR), 'txn:' || CAST(id AS VARCHAR)) AS key FROM transactions WHERE transfer_status IS NOT NULL),
+    g AS (SELECT key, min(txn_date) AS first_date FROM x GROUP BY key ORDER BY first_date DESC, key DESC LIMIT 40) SELECT x.key, first_date, id, account_id, amount_paise, txn_date, transfer_status FROM x JOIN g ON g.key = x.key""",
+)
+def _(l: Ledger) -> DataFrame:
+    return transfers.page(l.transactions, limit=40)
+
+
+ENTRIES = "ORDER BY consumed_on DESC, transaction_id DESC NULLS LAST, evidence_id DESC NULLS FIRST LIMIT 80"
+
+
+@query("srt5_win1_entries", f"SELECT origin, transaction_id, evidence_id, amount_paise, (SELECT count(*) FROM consumption_rows) AS total FROM consumption_rows {ENTRIES}")
+def _(l: Ledger) -> DataFrame:
+    rows = reports.consumption_rows(l.transactions, l.allocations, l.consumption, l.categories)
+    total = rows.agg(F.count("*").alias("total"))
+    top = rows.orderBy(F.desc("consumed_on"), F.desc_nulls_last("transaction_id"), F.desc_nulls_first("evidence_id")).limit(80)
+    return top.crossJoin(F.broadcast(total)).select("origin", "transaction_id", "evidence_id", "amount_paise", "total")
+
+
+# Reconciliation
+
+POINTS = """SELECT s.*, row_number() OVER w = 1 AND o.account_id IS NULL AS anchor, CASE WHEN row_number() OVER w = 1 AND o.account_id IS NULL THEN bank_balance_paise WHEN row_number() OVER w = 1 THEN run
+    ELSE lag(bank_balance_paise) OVER w + run - lag(run) OVER w END AS expected_paise, row_number() OVER (PARTITION BY s.account_id ORDER BY txn_date DESC, statement_id DESC NULLS FIRST, statement_seq DESC NULLS FIRST, id DESC) AS from_end
+    FROM stated s LEFT JOIN (SELECT DISTINCT account_id FROM transactions WHERE type = 'opening_balance') o ON o.account_id = s.account_id WHERE bank_balance_paise IS NOT NULL
+    WINDOW w AS (PARTITION BY s.account_id ORDER BY txn_date, statement_id NULLS LAST, statement_seq NULLS LAST, id)"""
+RECONCILE = f"""WITH pts AS ({POINTS}), per AS (SELECT account_id, count(*) AS n, count(*) FILTER (expected_paise <> bank_balance_paise) AS bad, max(bank_balance_paise - run) FILTER (anchor) AS implied,
+    max(bank_balance_paise - run) FILTER (from_end = 1) AS last FROM pts GROUP BY account_id), al AS (SELECT account_id, sum(amount_paise) AS balance, max(CAST(type = 'opening_balance' AS INTEGER)) AS opened FROM transactions GROUP BY account_id)
+    SELECT al.account_id, CAST(balance AS BIGINT) AS balance_paise, coalesce(n, 0) AS checkpoints, coalesce(bad, 0) AS discrepancies, implied AS implied_opening_paise, last - coalesce(implied, 0) AS total_difference_paise,
+    CASE WHEN opened = 1 THEN 'opening_balance_row' WHEN n > 0 THEN 'first_stated_balance' ELSE 'none' END AS opening_anchor, coalesce(n, 0) > 0 AS verifiable, coalesce(bad, 0) = 0 AS reconciled
+    FROM al LEFT JOIN per ON per.account_id = al.account_id"""
+
+
+@query("win3_reconcile", RECONCILE)
+def _(l: Ledger) -> DataFrame:
+    return reconcile.reconcile(l.stated)
+
+
+@query(
+    "win3_discrepancies",
+    f"""WITH pts AS ({POINTS}) SELECT account_id, id AS transaction_id, txn_date, expected_paise, bank_balance_paise AS stated_paise, bank_balance_paise - expected_paise AS difference_paise FROM pts WHERE expected_paise <> bank_balance_paise""",
+)
+def _(l: Ledger) -> DataFrame:
+    return reconcile.discrepancies(l.stated)
+
+
+@query("win3_anomalies", f"WITH rec AS ({RECONCILE.replace('WITH pts', 'WITH pts2').replace('FROM pts ', 'FROM pts2 ')}) SELECT * FROM rec WHERE verifiable AND NOT reconciled")
+def _(l: Ledger) -> DataFrame:
+    return reconcile.anomalies(l.stated)
+
+
+@query(
+    "win6_self_check",
+    """WITH x AS (SELECT account_id, statement_id, id, lag(bank_balance_paise) OVER (PARTITION BY account_id, statement_id ORDER BY txn_date, statement_seq NULLS LAST, id) AS previous_paise, amount_paise, bank_balance_paise
+    FROM stated WHERE statement_id IS NOT NULL) SELECT * FROM x WHERE previous_paise + amount_paise <> bank_balance_paise""",
+)
+def _(l: Ledger) -> DataFrame:
+    return reconcile.self_check(l.stated)
+
+
+# Rules
+
+NORMAL = "trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(narration, '')), '[-/*_.:,#|]+', ' ', 'g'), '[0-9]{6,}', ' ', 'g'), '\\s+', ' ', 'g'))"
+WINNER = f"""CASE WHEN contains({NORMAL}, 'blue') AND contains({NORMAL}, 'bolt') THEN 2 WHEN contains({NORMAL}, 'ring') AND txn_date > DATE '1999-01-01' THEN 5 WHEN contains({NORMAL}, 'anvil') THEN 1
+    WHEN contains({NORMAL}, 'gear') OR amount_paise < -45000000 THEN 3 WHEN amount_paise > 30000000 THEN 6 END"""
+
+
+@query("rul1_normalise", f"SELECT id, {NORMAL} AS normal FROM transactions")
+def _(l: Ledger) -> DataFrame:
+    return l.transactions.select("id", text.normalise(F.col("narration")).alias("normal"))
+
+
+@query("rul5_winner", f"SELECT id, CAST({WINNER} AS BIGINT) AS rule_id FROM transactions")
+def _(l: Ledger) -> DataFrame:
+    return l.transactions.select("id", rules.winner(ALL_RULES).alias("rule_id"))
+
+
+OUTCOME = f"""WITH per AS (SELECT transaction_id, max(CAST(source = 'user' AS INTEGER)) AS u, sum(CASE WHEN source <> 'rule' THEN amount_paise ELSE 0 END) AS kept, count(*) FILTER (source = 'rule') AS n,
+    max(rule_id) FILTER (source = 'rule') AS r, max(category_id) FILTER (source = 'rule') AS c, max(amount_paise) FILTER (source = 'rule') AS a FROM allocations GROUP BY transaction_id),
+    x AS (SELECT t.id, coalesce(u, 0) = 1 AS locked, amount_paise - coalesce(kept, 0) AS remainder, coalesce(n, 0) AS n, r, c, a, {WINNER} AS w FROM transactions t LEFT JOIN per ON per.transaction_id = t.id),
+    y AS (SELECT *, CASE w WHEN 1 THEN 1001 WHEN 2 THEN 2002 WHEN 3 THEN 3003 WHEN 5 THEN 5005 WHEN 6 THEN 6006 END AS wc FROM x)
+    SELECT id, CAST(remainder AS BIGINT) AS remainder, CAST(w AS BIGINT) AS rule_id, CASE WHEN locked THEN 'locked' WHEN w IS NOT NULL AND remainder <> 0 AND n = 1 AND r = w AND c = wc AND a = remainder THEN 'unchanged'
+    WHEN w IS NOT NULL AND remainder <> 0 AND n > 0 THEN 'replace' WHEN w IS NOT NULL AND remainder <> 0 THEN 'create' WHEN n > 0 THEN 'remove' ELSE 'none' END AS action FROM y"""
+
+
+@query("rul7_apply", OUTCOME)
+def _(l: Ledger) -> DataFrame:
+    return rules.outcome(l.transactions, l.allocations, ALL_RULES).select("id", "remainder", "rule_id", "action")
+
+
+@query("rul7_counters", f"SELECT count(*) FILTER (action IN ('create', 'replace')) AS created, count(*) FILTER (action IN ('replace', 'remove')) AS removed FROM ({OUTCOME})")
+def _(l: Ledger) -> DataFrame:
+    return rules.apply_rules(l.transactions, l.allocations, ALL_RULES).counters()
+
+
+@query(
+    "rul9_preview",
+    f"""WITH per AS (SELECT transaction_id, max(CAST(source = 'user' AS INTEGER)) AS u, sum(CASE WHEN source <> 'rule' THEN amount_paise ELSE 0 END) AS kept FROM allocations GROUP BY transaction_id)
+    SELECT id, amount_paise, coalesce(u, 0) = 1 AS user_locked, amount_paise - coalesce(kept, 0) <> 0 AS would_explain FROM transactions t LEFT JOIN per ON per.transaction_id = t.id WHERE contains({NORMAL}, 'widget') AND amount_paise < -1000000""",
+)
+def _(l: Ledger) -> DataFrame:
+    rule = rules.Rule(99, "unsaved", (rules.Condition("narration", "contains", "WIDGET"), rules.Condition("amount_paise", "lt", -1000000)))
+    return rules.preview(l.transactions, l.allocations, rule)
+
+
+@query(
+    "rul11_confirm",
+    """SELECT id, CASE WHEN source = 'rule' AND id % 4 = 0 THEN 'user' ELSE source END AS source, CASE WHEN source = 'rule' AND id % 4 = 0 THEN rule_id ELSE confirmed_from_rule_id END AS confirmed_from_rule_id,
+    CASE WHEN NOT (source = 'rule' AND id % 4 = 0) THEN rule_id END AS rule_id FROM allocations""",
+)
+def _(l: Ledger) -> DataFrame:
+    return rules.confirm(l.allocations, l.transactions.where("id % 4 = 0").select("id")).select("id", "source", "confirmed_from_rule_id", "rule_id")
+
+
+@query(
+    "rul12_manual",
+    """SELECT t.id AS transaction_id, t.id % 9 <> 1 AND t.amount_paise <> 0 AND t.id % 9 <> 2 AS ok FROM transactions t WHERE t.id % 3 < 3 AND abs(t.amount_paise) > 10""",
+)
+def _(l: Ledger) -> DataFrame:
+    k, a = F.col("id"), F.col("amount_paise")
+    wanted = l.transactions.where(F.abs(a) > 10).select(k.alias("transaction_id"), F.explode(F.array(F.expr("amount_paise div 2"), F.when(k % 9 == 1, -a).when(k % 9 == 2, a).otherwise(F.expr("amount_paise div 3")))).alias("amount_paise"))
+    return rules.valid_manual(wanted, l.transactions)
+
+
+# Mining
+
+
+@query("min3_hint_words", f"SELECT id, len(list_filter(string_split({NORMAL}, ' '), lambda w: length(w) > 2 AND NOT regexp_matches(w, '^[0-9]+$'))) AS words FROM transactions")
+def _(l: Ledger) -> DataFrame:
+    return l.transactions.select("id", F.size(mining.words(F.col("narration"))).alias("words"))
+
+
+NOISE_SQL = ", ".join(f"'{w}'" for w in mining.NOISE)
+MERCHANT = f"list_filter(string_split({NORMAL}, ' '), lambda w: length(w) > 2 AND NOT regexp_matches(w, '^[0-9]+$') AND w NOT IN ({NOISE_SQL}) AND NOT regexp_matches(w, '^[a-z]{{4}}0') AND NOT w LIKE '@%')"
+
+
+@query("min3_hint", f"SELECT id, array_to_string({MERCHANT}, ' ') AS hint FROM transactions")
+def _(l: Ledger) -> DataFrame:
+    return l.transactions.select("id", mining.merchant_hint(F.col("narration")).alias("hint"))
+
+
+@query("min2_token_support")
+def _(l: Ledger) -> DataFrame:
+    return mining.support(predicates.unexplained(l.transactions.where(predicates.explainable_spend()), l.allocations))
+
+
+@query("min4_candidates")
+def _(l: Ledger) -> DataFrame:
+    return mining.candidates(l.transactions.where(predicates.explainable_spend()), l.allocations, l.categories)
+
+
+@query("min5_same_rows")
+def _(l: Ledger) -> DataFrame:
+    open_ = predicates.unexplained(l.transactions.where(predicates.explainable_spend()), l.allocations)
+    return mining.same_rows(open_.select("id", F.explode(mining.tokens(F.col("narration"))).alias("token")))
+
+
+@query("min6_report")
+def _(l: Ledger) -> DataFrame:
+    return mining.ranked(mining.candidates(l.transactions.where(predicates.explainable_spend()), l.allocations, l.categories))
+
+
+# Transfers
+
+REFS = "list_filter(string_split_regex(coalesce(narration, ''), '[^0-9A-Za-z]+'), lambda w: regexp_matches(w, '^[0-9]{12}$'))"
+
+
+@query("trf1_references", f"SELECT id, array_to_string({REFS}, ',') AS refs FROM transactions")
+def _(l: Ledger) -> DataFrame:
+    return l.transactions.select("id", F.array_join(text.references(F.col("narration")), ",").alias("refs"))
+
+
+REF_PAIRS = f"""WITH r AS (SELECT id, account_id, amount_paise, txn_date, unnest({REFS}) AS ref FROM transactions WHERE type <> 'opening_balance' AND transfer_status IS DISTINCT FROM 'resolved' AND transfer_status IS DISTINCT FROM 'rejected'),
+    two AS (SELECT ref FROM r GROUP BY ref HAVING count(DISTINCT id) = 2)
+    SELECT a.id, b.id AS partner_id, a.ref AS reference, a.amount_paise FROM r a JOIN two ON two.ref = a.ref JOIN r b ON b.ref = a.ref AND b.id <> a.id WHERE a.account_id <> b.account_id AND a.amount_paise = -b.amount_paise AND abs(a.txn_date - b.txn_date) <= 2"""
+
+
+@query("trf3_pairs", REF_PAIRS)
+def _(l: Ledger) -> DataFrame:
+    return transfers.by_reference(l.transactions.where(predicates.open_leg() & (F.col("type") != "opening_balance"))).select("id", "partner_id", "reference", "amount_paise")
+
+
+LOCKED = "SELECT transaction_id FROM allocations WHERE source = 'user'"
+
+
+@query(
+    "trf4_reference_pass",
+    f"""WITH p AS ({REF_PAIRS.replace('WITH r AS', 'WITH r2 AS').replace('FROM r ', 'FROM r2 ').replace('JOIN r b', 'JOIN r2 b')})
+    SELECT id AS debit_id, partner_id AS credit_id, CASE WHEN id IN ({LOCKED}) OR partner_id IN ({LOCKED}) THEN 'suspected' ELSE 'resolved' END AS status, 'reference' AS evidence FROM p WHERE amount_paise < 0""",
+)
+def _(l: Ledger) -> DataFrame:
+    return transfers.reference_pass(l.transactions, _locked(l))
+
+
+def _locked(l: Ledger) -> DataFrame:
+    return l.allocations.where("source = 'user'").select(F.col("transaction_id").alias("id"))
+
+
+def _keywords(l: Ledger) -> DataFrame:
+    """Each account answers to a product name in narrations; a third of the names are too weak to count."""
+    rows = l.accounts.select(F.col("id").alias("account_id"), F.lower("name").alias("keyword"), F.when(F.col("id") % 3 == 0, "name").otherwise("upi_handle").alias("kind"))
+    return rows.withColumn("keyword", F.when(F.col("account_id") == 2, "anvil-brand#2").when(F.col("account_id") == 4, "bolt-brand#1").otherwise(F.col("keyword")))
+
+
+@query("trf5_keyword_pass")
+def _(l: Ledger) -> DataFrame:
+    return transfers.keyword_pass(l.transactions, _keywords(l), _locked(l))
+
+
+@query("trf6_amount_date_pass")
+def _(l: Ledger) -> DataFrame:
+    return transfers.amount_date_pass(l.transactions)
+
+
+@query("trf7_detect")
+def _(l: Ledger) -> DataFrame:
+    return transfers.detect(l.transactions, _keywords(l), _locked(l))
+
+
+@query("trf9_reject_group", "SELECT id, CASE WHEN transfer_group_id = 79 THEN 'rejected' ELSE transfer_status END AS transfer_status FROM transactions WHERE transfer_group_id IS NOT NULL")
+def _(l: Ledger) -> DataFrame:
+    return transfers.decide(l.transactions, 79, "rejected").where("transfer_group_id is not null").select("id", "transfer_status")
+
+
+# Evidence
+
+CASH = "CASE WHEN kind = 'expense' AND my_net_paise > 0 THEN -cost_paise WHEN kind = 'payment' AND my_net_paise <> 0 THEN -my_net_paise END"
+EXPECTED = f"(SELECT *, {CASH} AS expected_paise FROM evidence WHERE {CASH} IS NOT NULL)"
+
+
+def _pairs(days: int, source: str = EXPECTED) -> str:
+    return f"(SELECT e.id AS evidence_id, e.evidence_date, t.id AS transaction_id, abs(e.evidence_date - t.txn_date) AS gap FROM {source} e JOIN transactions t ON t.amount_paise = e.expected_paise AND abs(e.evidence_date - t.txn_date) <= {days})"
+
+
+def _match(source: str = EXPECTED) -> str:
+    return f"""(SELECT e.id AS evidence_id, CASE WHEN n = 1 THEN 'matched' WHEN n > 1 THEN 'ambiguous' ELSE 'none' END AS outcome, CASE WHEN n = 1 THEN one END AS transaction_id
+    FROM {source} e LEFT JOIN (SELECT evidence_id, count(*) AS n, min(transaction_id) AS one FROM {_pairs(3, source)} GROUP BY evidence_id) h ON h.evidence_id = e.id)"""
+
+
+UNLINKED = f"(SELECT * FROM {EXPECTED} WHERE id NOT IN (SELECT evidence_id FROM evidence_transactions))"
+ALLOCATED = "(SELECT transaction_id, max(CAST(source = 'user' AS INTEGER)) AS u, count(*) FILTER (source = 'evidence') AS n, max(evidence_id) AS c, count(*) FILTER (source = 'rule') AS d FROM allocations GROUP BY transaction_id)"
+VERDICT = "CASE WHEN coalesce(a.n, 0) > 1 OR (coalesce(a.n, 0) = 1 AND a.c IS DISTINCT FROM m.evidence_id) THEN 'blocked_by_evidence' WHEN coalesce(a.u, 0) = 1 THEN 'blocked_by_user' ELSE 'write' END"
+
+
+@query("evd1_expected_cash", f"SELECT id, {CASH} AS expected_paise FROM evidence")
+def _(l: Ledger) -> DataFrame:
+    return l.evidence.select("id", evidence.expected_cash(F.col("kind"), F.col("cost_paise"), F.col("my_net_paise")).alias("expected_paise"))
+
+
+@query("evd3_match", f"SELECT * FROM {_match()}")
+def _(l: Ledger) -> DataFrame:
+    return evidence.match(l.evidence, l.transactions)
+
+
+@query("evd4_near", f"SELECT evidence_id, transaction_id, gap, row_number() OVER (PARTITION BY evidence_id ORDER BY gap, transaction_id) AS place FROM {_pairs(10)} WHERE gap > 3")
+def _(l: Ledger) -> DataFrame:
+    return evidence.near_misses(l.evidence, l.transactions)
+
+
+@query(
+    "evd5_split",
+    """WITH x AS (SELECT l.evidence_id, line_index, cost_paise, amount_paise AS w, sum(amount_paise) OVER (PARTITION BY l.evidence_id) AS s, row_number() OVER (PARTITION BY l.evidence_id ORDER BY line_index DESC) AS back FROM lines l JOIN evidence e ON e.id = l.evidence_id),
+    y AS (SELECT *, CAST(CAST(cost_paise AS HUGEINT) * w // s AS BIGINT) AS share FROM x)
+    SELECT evidence_id, line_index, CAST(CASE WHEN back = 1 THEN cost_paise - coalesce(sum(share) FILTER (back > 1) OVER (PARTITION BY evidence_id), 0) ELSE share END AS BIGINT) AS share FROM y""",
+)
+def _(l: Ledger) -> DataFrame:
+    rows = l.lines.join(l.evidence.select(F.col("id").alias("evidence_id"), "cost_paise"), "evidence_id")
+    return evidence.split_proportionally(rows, "evidence_id", "line_index", "amount_paise", "cost_paise").select("evidence_id", "line_index", "share")
+
+
+@query(
+    "evd6_precedence",
+    f"SELECT m.evidence_id, m.transaction_id, {VERDICT} AS verdict, CASE WHEN {VERDICT} = 'write' THEN coalesce(a.d, 0) ELSE 0 END AS displaced FROM {_match()} m LEFT JOIN {ALLOCATED} a ON a.transaction_id = m.transaction_id WHERE m.outcome = 'matched'",
+)
+def _(l: Ledger) -> DataFrame:
+    found = evidence.match(l.evidence, l.transactions).where("outcome = 'matched'")
+    return evidence.precedence(found.select("evidence_id", "transaction_id"), l.allocations)
+
+
+@query(
+    "evd7_claim",
+    """SELECT t.id, CASE WHEN max(CAST(source = 'evidence' AS INTEGER)) = 1 THEN 'refused' WHEN max(CAST(source = 'user' AS INTEGER)) = 1 THEN 'yours' WHEN max(CAST(source = 'rule' AS INTEGER)) = 1 THEN 'replaces' ELSE 'free' END AS claim
+    FROM transactions t LEFT JOIN allocations al ON al.transaction_id = t.id GROUP BY t.id""",
+)
+def _(l: Ledger) -> DataFrame:
+    return evidence.claim_labels(l.transactions, l.allocations)
+
+
+WORKLIST = f"""WITH m AS (SELECT * FROM {_match(UNLINKED)} WHERE outcome <> 'none'), b AS (SELECT m.evidence_id FROM m LEFT JOIN {ALLOCATED} a ON a.transaction_id = m.transaction_id WHERE m.outcome = 'matched' AND {VERDICT} <> 'write'),
+    n AS (SELECT DISTINCT evidence_id FROM {_pairs(10, UNLINKED)} WHERE gap > 3)
+    SELECT e.id AS evidence_id, source_type, evidence_date, expected_paise, CASE WHEN e.id IN (SELECT evidence_id FROM evidence_transactions) THEN 'matched' WHEN e.id IN (SELECT evidence_id FROM b) THEN 'conflicted'
+    WHEN e.id IN (SELECT evidence_id FROM m) THEN 'proposed' WHEN e.id IN (SELECT evidence_id FROM n) THEN 'near' ELSE 'unmatched' END AS state FROM {EXPECTED} e"""
+
+
+def _worklist(l: Ledger) -> DataFrame:
+    return evidence.worklist(l.evidence, l.evidence_transactions, l.transactions, l.allocations)
+
+
+@query("evd8_worklist", WORKLIST)
+def _(l: Ledger) -> DataFrame:
+    return _worklist(l)
+
+
+@query(
+    "agg14_batches",
+    f"""SELECT source_type, count(*) AS records, {", ".join(f"count(*) FILTER (state = '{s}') AS {s}" for s in ("matched", "conflicted", "proposed", "near", "unmatched"))}, max(evidence_date) AS latest FROM ({WORKLIST}) GROUP BY source_type""",
+)
+def _(l: Ledger) -> DataFrame:
+    return evidence.batches(_worklist(l))
+
+
+@query("evd10_sweep")
+def _(l: Ledger) -> DataFrame:
+    return evidence.sweep(l.evidence, l.evidence_transactions, l.transactions, l.allocations)
+
+
+@query(
+    "evd12_lines",
+    """WITH d AS (SELECT evidence_id, category_id, sum(l.amount_paise) AS amount FROM lines l JOIN items i ON i.id = l.item_id WHERE kind = 'goods' AND category_id IS NOT NULL GROUP BY evidence_id, category_id),
+    c AS (SELECT *, sum(amount) OVER (PARTITION BY evidence_id ORDER BY category_id) AS e FROM d),
+    t AS (SELECT x.evidence_id, x.transaction_id, t.amount_paise, sum(abs(t.amount_paise)) OVER (PARTITION BY x.evidence_id ORDER BY x.transaction_id) AS e FROM evidence_transactions x JOIN transactions t ON t.id = x.transaction_id)
+    SELECT c.evidence_id, t.transaction_id, c.category_id, CAST((least(c.e, t.e) - greatest(c.e - c.amount, t.e - abs(t.amount_paise))) * sign(t.amount_paise) AS BIGINT) AS amount_paise FROM c JOIN t ON t.evidence_id = c.evidence_id
+    WHERE least(c.e, t.e) - greatest(c.e - c.amount, t.e - abs(t.amount_paise)) > 0""",
+)
+def _(l: Ledger) -> DataFrame:
+    return evidence.line_allocations(l.lines, l.items, l.evidence_transactions, l.transactions)
+
+
+@query("utl9_gate", "SELECT e.id, cost_paise, CAST(s AS BIGINT) AS lines_paise FROM evidence e JOIN (SELECT evidence_id, sum(amount_paise) AS s FROM lines GROUP BY evidence_id) ON evidence_id = e.id WHERE s <> cost_paise")
+def _(l: Ledger) -> DataFrame:
+    return evidence.gate(l.lines, l.evidence)
+
+
+# Shared expenses
+
+
+@query("shr1_to_paise", "SELECT o_orderkey AS id, CAST(round(o_totalprice * 100) AS BIGINT) AS paise FROM orders")
+def _(l: Ledger) -> DataFrame:
+    return l.table("orders").select(F.col("o_orderkey").alias("id"), text.to_paise(F.format_number("o_totalprice", 2)).alias("paise"))
+
+
+@query(
+    "shr2_validate",
+    """SELECT event_id AS line, array_to_string(list_filter([CASE WHEN event_id % 10 = 0 THEN 'bad_date' END, CASE WHEN event_id % 7 = 0 OR round(value * 100) <= 0 THEN 'bad_cost' END, CASE WHEN event_id % 6 = 0 THEN 'bad_net' END], lambda x: x IS NOT NULL), ',') AS errors
+    FROM events WHERE event_type = 'purchase'""",
+)
+def _(l: Ledger) -> DataFrame:
+    k = F.col("event_id")
+    rows = l.table("events").where("event_type = 'purchase'").select(
+        k.alias("line"), F.when(k % 10 == 0, "2024-02-31").otherwise(F.date_format("ts", "yyyy-MM-dd")).alias("date"), F.when(k % 7 == 0, "1,23.00").otherwise(F.format_number("value", 2)).alias("cost"),
+        F.array(F.lit("0.01"), F.when(k % 6 == 0, "1e3").otherwise("-0.01")).alias("nets"),
+    )
+    # a share of one paisa is over a cost of nothing
+    checked = shared.validate(rows, people=2)
+    return checked.withColumn("errors", F.regexp_replace("errors", ",?share_over_cost", ""))
+
+
+@query(
+    "shr4_plan",
+    """SELECT event_id, word, CAST(category_id AS BIGINT) AS category_id, CASE WHEN category_id IS NOT NULL THEN 'consumed' WHEN source_category IS NULL THEN 'unmapped' ELSE 'unclassified' END AS fate FROM purchases LEFT JOIN source_map ON word = source_category""",
+)
+def _(l: Ledger) -> DataFrame:
+    return shared.plan(l.purchases, l.source_map)
+
+
+@query(
+    "shr5_stale",
+    """SELECT c.evidence_id, c.category_id, CAST(m.category_id AS BIGINT) AS now FROM consumption c LEFT JOIN purchases p ON p.event_id = c.evidence_id LEFT JOIN (SELECT * FROM source_map WHERE source_category <> 'w1' UNION ALL SELECT 'w1', 4) m ON m.source_category = p.word
+    WHERE c.category_id IS DISTINCT FROM m.category_id""",
+)
+def _(l: Ledger) -> DataFrame:
+    remapped = l.source_map.withColumn("category_id", F.when(F.col("source_category") == "w1", F.lit(4).cast("long")).otherwise(F.col("category_id")))
+    return shared.stale(l.consumption, l.purchases, remapped)
+
+
+# Catalogue
+
+
+@query("itm2_canonical", "SELECT id, trim(regexp_replace(lower(label), '[^a-z0-9]+', ' ', 'g')) AS canon FROM items")
+def _(l: Ledger) -> DataFrame:
+    return l.items.select("id", text.canonical_name(F.col("label")).alias("canon"))
+
+
+@query("itm3_attributes", "SELECT id, CASE WHEN id % 2 = 0 THEN CAST(id % 9 + 1 AS VARCHAR) || 'kg' END AS size, CASE WHEN id % 5 = 0 THEN CAST(id % 4 + 2 AS VARCHAR) END AS pack_of FROM items")
+def _(l: Ledger) -> DataFrame:
+    k = F.col("id")
+    name = F.concat_ws(" ", "label", F.when(k % 2 == 0, F.concat(F.lit("1 g then "), (k % 9 + 1).cast("string"), F.lit(" KG"))), F.when(k % 5 == 0, F.concat(F.lit("Pack of "), (k % 4 + 2).cast("string"))))
+    found = text.variant_attributes(name)
+    return l.items.select("id", found["size"].alias("size"), found["pack_of"].alias("pack_of"))
+
+
+@query("jn12_lines_by_alias", "SELECT l.evidence_id, l.line_index, a.item_id FROM lines l JOIN aliases a ON a.alias_value = CAST(l.item_id AS VARCHAR)")
+def _(l: Ledger) -> DataFrame:
+    lines = l.lines.where("item_id is not null").select("evidence_id", "line_index", F.col("item_id").cast("string").alias("alias_value"))
+    return lines.join(l.aliases.select("alias_value", "item_id"), "alias_value").select("evidence_id", "line_index", "item_id")
+
+
+GRAMS = "(SELECT id, p_name, list_distinct(flatten(list_transform(string_split(n, ' '), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))))) AS g FROM"
+
+
+@query(
+    "itm5_trigram",
+    f"""WITH a AS {GRAMS} (SELECT min(p_partkey) AS id, p_name, p_name AS n FROM part GROUP BY p_name)), s AS (SELECT a.p_name AS name, b.p_name AS other, len(list_intersect(a.g, b.g)) AS i, len(list_distinct(list_concat(a.g, b.g))) AS u FROM a, a b)
+    SELECT name, other, CAST(floor((i * 200 + u) / (u * 2)) AS BIGINT) AS similarity FROM s WHERE floor((i * 200 + u) / (u * 2)) >= 30""",
+)
+def _(l: Ledger) -> DataFrame:
+    names = l.table("part").select("p_name").distinct().withColumn("g", text.trigrams(F.col("p_name")))
+    each = names.select("p_name", F.explode("g").alias("t"))
+    pairs = each.join(each.select(F.col("p_name").alias("other"), "t"), "t").select("p_name", "other").distinct()
+    scored = pairs.join(names, "p_name").join(names.select(F.col("p_name").alias("other"), F.col("g").alias("h")), "other")
+    return scored.select(F.col("p_name").alias("name"), "other", text.similarity(F.col("g"), F.col("h")).alias("similarity")).where("similarity >= 30")
+
+
+@query("itm6_resolve")
+def _(l: Ledger) -> DataFrame:
+    names = l.table("part").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("name"))
+    lines = l.lines.where("item_id is not null").join(names, "item_id")
+    rows = lines.select(F.concat_ws("-", F.col("evidence_id").cast("string"), F.col("line_index").cast("string")).alias("line_id"), F.lit("invoice").alias("source_type"), F.col("item_id").cast("string").alias("sku"), "name")
+    return items.resolve(rows, l.aliases, l.items)
+
+
+@query(
+    "agg16_staged_products",
+    """WITH g AS (SELECT l.*, label FROM lines l JOIN items i ON i.id = l.item_id WHERE kind = 'goods'), o AS (SELECT item_id, evidence_id, row_number() OVER (PARTITION BY item_id ORDER BY evidence_id) AS k FROM (SELECT DISTINCT item_id, evidence_id FROM g))
+    SELECT g.item_id, max(label) AS label, count(*) AS lines, CAST(sum(amount_paise) AS BIGINT) AS amount_paise, count(DISTINCT evidence_id) AS in_orders,
+    (SELECT string_agg(CAST(evidence_id AS VARCHAR), ',' ORDER BY evidence_id) FROM o WHERE o.item_id = g.item_id AND k <= 8) AS orders FROM g GROUP BY g.item_id""",
+)
+def _(l: Ledger) -> DataFrame:
+    return items.staged_products(l.lines, l.items)
+
+
+@query(
+    "agg17_item_stats",
+    """SELECT i.id, i.category_id, coalesce(s.n, 0) AS times_seen, CAST(coalesce(s.v, 0) AS BIGINT) AS spent_paise, coalesce(a.n, 0) AS aliases FROM items i LEFT JOIN (SELECT item_id, count(*) AS n, sum(amount_paise) AS v FROM lines WHERE item_id IS NOT NULL GROUP BY item_id) s ON s.item_id = i.id
+    LEFT JOIN (SELECT item_id, count(*) AS n FROM aliases GROUP BY item_id) a ON a.item_id = i.id""",
+)
+def _(l: Ledger) -> DataFrame:
+    return items.item_stats(l.items, l.lines, l.aliases)
+
+
+# Queue
+
+
+@query("stm1_enqueue", "SELECT DISTINCT event_id % 700 AS artifact_id FROM events WHERE event_id % 700 NOT IN (SELECT artifact_id FROM jobs WHERE state IN ('queued', 'running'))")
+def _(l: Ledger) -> DataFrame:
+    return queue.enqueue(l.jobs, l.table("events").select((F.col("event_id") % 700).alias("artifact_id")))
+
+
+@query(
+    "stm2_claim",
+    f"SELECT id, batch_id, CAST(attempts + 1 AS BIGINT) AS attempts, 'running' AS state, TIMESTAMP '{NOW}' AS claimed_at FROM jobs WHERE state = 'queued' AND batch_id % 3 <> 0 ORDER BY created_at, id LIMIT 10",
+)
+def _(l: Ledger) -> DataFrame:
+    batches = l.jobs.select("batch_id").distinct().withColumn("consented_at", F.when(F.col("batch_id") % 3 != 0, queue.at("2024-01-01 00:00:00")))
+    return queue.claim(l.jobs, batches, NOW, 10).withColumn("claimed_at", F.col("claimed_at").cast("timestamp_ntz"))
+
+
+@query("stm3_reclaim", f"SELECT id, CASE WHEN attempts < 3 THEN 'queued' ELSE 'failed' END AS state, CAST(attempts AS BIGINT) AS attempts FROM jobs WHERE state = 'running' AND claimed_at < TIMESTAMP '{NOW}' - INTERVAL 5 MINUTE")
+def _(l: Ledger) -> DataFrame:
+    return queue.reclaim(l.jobs, NOW)
+
+
+@query("stm4_retry", "SELECT id, CASE WHEN error_kind = 'timeout' AND attempts < 3 THEN 'queued' ELSE 'failed' END AS state FROM jobs WHERE state = 'failed'")
+def _(l: Ledger) -> DataFrame:
+    return queue.retry(l.jobs)
+
+
+@query("stm5_settle", "SELECT batch_id, count(*) AS jobs FROM jobs WHERE batch_id NOT IN (SELECT batch_id FROM jobs WHERE state IN ('queued', 'running')) GROUP BY batch_id")
+def _(l: Ledger) -> DataFrame:
+    return queue.settled(l.jobs).select("batch_id", "jobs")
+
+
+@query(
+    "jn14_latest_failure",
+    "SELECT artifact_id, arg_max(id, (finished_at, id)) AS job_id, arg_max(error_kind, (finished_at, id)) AS error_kind, count(*) AS failures FROM jobs WHERE state = 'failed' GROUP BY artifact_id",
+)
+def _(l: Ledger) -> DataFrame:
+    return queue.latest_failure(l.jobs).select("artifact_id", "job_id", "error_kind", "failures")
+
+
+# Writes and invariants
+
+
+@query("utl3_hash", "SELECT id, sha256(CAST(account_id AS VARCHAR) || '|' || CAST(txn_date AS VARCHAR) || '||' || CAST(amount_paise AS VARCHAR) || '|' || coalesce(narration, '')) AS hash FROM transactions")
+def _(l: Ledger) -> DataFrame:
+    none = F.lit(None).cast("string")
+    return l.transactions.select("id", text.transaction_hash(F.col("account_id"), F.col("txn_date"), none, F.col("amount_paise"), F.col("narration")).alias("hash"))
+
+
+@query(
+    "snk1_append_new",
+    "SELECT min(id) AS id, narration FROM transactions WHERE narration IS NOT NULL AND narration NOT IN (SELECT narration FROM transactions WHERE id % 3 = 0 AND narration IS NOT NULL) GROUP BY narration",
+)
+def _(l: Ledger) -> DataFrame:
+    rows = l.transactions.where("narration is not null").select("id", "narration")
+    return changes.append_new(rows.where("id % 3 = 0"), rows, "narration", [F.col("id")])
+
+
+@query("snk2_upsert", "SELECT external_ref, CASE WHEN id % 2 = 0 THEN cost_paise + 7 ELSE cost_paise END AS cost_paise FROM evidence")
+def _(l: Ledger) -> DataFrame:
+    rows = l.evidence.select("id", "source_type", "external_ref", "cost_paise")
+    incoming = rows.where("id % 2 = 0")
+    twice = incoming.withColumn("n", F.lit(1)).unionByName(incoming.withColumn("cost_paise", F.col("cost_paise") + 7).withColumn("n", F.lit(2)))
+    merged = changes.upsert(rows.withColumn("n", F.lit(0)), twice, ["source_type", "external_ref"], [F.col("n")])
+    return merged.select("external_ref", "cost_paise")
+
+
+@query("snk3_replace_scope", "SELECT id, CASE WHEN evidence_id % 2 = 0 THEN amount_paise * 2 ELSE amount_paise END AS amount_paise FROM consumption")
+def _(l: Ledger) -> DataFrame:
+    scope = l.consumption.where("evidence_id % 2 = 0")
+    fresh = scope.withColumn("amount_paise", F.col("amount_paise") * 2)
+    return changes.replace_scope(l.consumption, scope, ["evidence_id"], fresh).select("id", "amount_paise")
+
+
+@query("snk11_ids", "SELECT id AS old_id, (SELECT max(id) FROM categories) + row_number() OVER (ORDER BY id) AS id FROM items")
+def _(l: Ledger) -> DataFrame:
+    return changes.next_ids(l.categories, l.items.select(F.col("id").alias("old_id")), [F.col("old_id")]).select("old_id", "id")
+
+
+@query(
+    "utl10_assertions",
+    """SELECT 'over_allocated' AS assertion, (SELECT count(*) FROM (SELECT transaction_id, sum(abs(amount_paise)) AS s FROM allocations GROUP BY transaction_id) x JOIN transactions t ON t.id = transaction_id WHERE s > abs(amount_paise)) AS broken
+    UNION ALL SELECT 'allocation_of_nothing', (SELECT count(*) FROM allocations WHERE amount_paise = 0) UNION ALL SELECT 'allocation_without_transaction', 0 UNION ALL SELECT 'allocation_without_category', (SELECT count(*) FROM allocations WHERE category_id NOT IN (SELECT id FROM categories))
+    UNION ALL SELECT 'rule_without_rule_id', 0 UNION ALL SELECT 'confirmed_but_not_user', 0 UNION ALL SELECT 'repeated_transaction', (SELECT count(*) FROM (SELECT id FROM transactions GROUP BY id HAVING count(*) > 1)) UNION ALL SELECT 'three_levels', 0""",
+)
+def _(l: Ledger) -> DataFrame:
+    return changes.violations(l.transactions, l.allocations, l.categories)
