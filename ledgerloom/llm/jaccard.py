@@ -9,12 +9,14 @@ subset. Larger sets are *heavy*: the inverted lists of their prefix shingles are
 scanned. The boundary is the size at which the estimated cost of both is least.
 
 Documents with equal sets are one *node*. Inverted lists are sorted and read as
-streams, never collected. A first pass links each node to at most one neighbour
-in list order; lists whose nodes then lie in one component are finished, so a
-group of a thousand copies never becomes a million pairs. In the others every
-pair from different components is compared, first by the parity of hashed
-shingles (which bounds the overlap from above, so it loses nothing), then by the
-full sets. No link between different components is lost.
+streams, never collected. A list of at most ``SHORT`` nodes gives its pairs; a
+pair needs as many lists in common as its prefixes must share, so the chance
+meetings of unlike documents are dropped by counting. In a longer list nodes of
+different components are compared by the parity of hashed shingles (which bounds
+the overlap from above, so it loses nothing): first only as many pairs as span
+the components, then, when that finds nothing new, every pair left. A group of a
+thousand copies never becomes a million pairs. All pairs that pass are verified
+on the full sets; no link between different components is lost.
 
 The rarity order comes from one row of a count sketch over *all* shingles. A
 sketch can only misjudge rarity; any order that all sets share gives the same
@@ -51,6 +53,13 @@ MAX_LIGHT = 128
 BROADCAST_IDS = 1_000_000
 BITMAP_BITS = (64, 1 << 16)
 BLOCK = 512
+#: Nodes of a list whose pairs are enumerated; longer lists are joined by components.
+SHORT = 16
+#: One vote is asked for this many shingles of a set, besides the first.
+VOTE_SHARE = 32
+#: Rounds at most that join the components left in a list by a spanning forest of pairs,
+#: before all pairs of different components that are left are compared.
+SPANNING_ROUNDS = 3
 
 _TABLE = spaced()
 
@@ -87,9 +96,9 @@ def shingle_rows(data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[
 
 
 def bitmap(grams: np.ndarray) -> np.ndarray:
-    """Parity of the number of shingles in each of 2n or more buckets, as bytes."""
+    """Parity of the number of shingles in each of 4n or more buckets, as bytes."""
     low, high = BITMAP_BITS
-    bits = min(high, max(low, 1 << int(2 * len(grams) - 1).bit_length()))
+    bits = min(high, max(low, 1 << int(4 * len(grams) - 1).bit_length()))
     return np.packbits(np.bincount((grams >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits).astype(np.uint8) & 1)
 
 
@@ -147,6 +156,11 @@ def count_sketch(described: DataFrame) -> np.ndarray:
     return sketch.reshape(-1)
 
 
+def votes_needed(n):
+    """Shingles that a set must share with a partner within its prefix; the prefix is that much longer."""
+    return 1 + n // VOTE_SHARE
+
+
 def overlap_needed(n, threshold: Fraction):
     """Shingles a set of ``n`` must share with any partner, at least."""
     return -(-n * threshold.numerator // threshold.denominator)
@@ -171,7 +185,7 @@ def choose_boundary(sizes: dict[int, int], sketch: np.ndarray, threshold: Fracti
             if n < x:
                 cost += count * (prefix + SUBSET) * (prefix + SUBSET - 1) / 2
             if n >= overlap_needed(x, threshold):
-                cost += count * (prefix + 1) * (met if n >= x else 1)
+                cost += count * (prefix + votes_needed(n)) * (met if n >= x else 1)
         if least is None or cost < least:
             best, least = x, cost
     return best
@@ -182,14 +196,14 @@ def keys_of(grams: np.ndarray, sketch: np.ndarray, boundary: int, threshold: Fra
     n = len(grams)
     slack = n - overlap_needed(n, threshold)
     order = np.argsort(sketch[(grams & np.uint64(len(sketch) - 1)).astype(np.int64)], kind="stable")
-    rare = grams[order[: slack + SUBSET]]
     keys = []
-    if n < boundary and len(rare) >= SUBSET:
+    if n < boundary and slack + SUBSET <= n:
+        rare = grams[order[: slack + SUBSET]]
         i, j = np.triu_indices(len(rare), 1)
         low, high = np.minimum(rare[i], rare[j]), np.maximum(rare[i], rare[j])
         keys.append(mix(mix(low) * np.uint64(3) + high))
     if n >= overlap_needed(boundary, threshold):
-        keys.append(rare[: slack + 1])
+        keys.append(grams[order[: slack + votes_needed(n)]])
     return np.concatenate(keys) if keys else grams[:0]
 
 
@@ -217,50 +231,68 @@ def _postings(width: int, sketch, boundary: int, threshold: Fraction):
 
 
 def _lists(boundary: int, threshold: Fraction):
-    """Reads postings sorted by key, size and node; keeps lists of two nodes or more.
+    """Reads postings sorted by key, size and node, and drops lists of one node.
 
-    Each row names the node before it in its list if their sizes fit. Constant
-    memory: it carries the last row over to the next batch.
+    A list of at most SHORT nodes gives its pairs whose sizes fit, ``(a, b)`` with
+    the votes they need in all; a longer one gives its rows, ``b`` null. Memory is
+    constant: at most SHORT rows are held over to the next batch.
     """
 
+    def pairs(key, n, node):
+        for step in range(1, SHORT):
+            if step >= len(key):
+                break
+            at = np.flatnonzero(key[step:] == key[:-step])
+            a, b = n[at].astype(np.int64), n[at + step].astype(np.int64)
+            fits = a >= overlap_needed(b, threshold)
+            at, a, b = at[fits], a[fits], b[fits]
+            yield node[at], node[at + step], np.where(b < boundary, 1, np.minimum(votes_needed(a), votes_needed(b)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)]
-        last_key, listed = None, False
-
-        def flush(cols, final):
-            nonlocal last_key, listed
-            key, n, node = cols
-            if not len(key):
-                return None, cols
-            stop = len(key) if final else len(key) - 1  # the last row waits to see its successor
-            same = np.zeros(len(key), bool)
-            same[1:] = key[1:] == key[:-1]
-            follows = np.zeros(len(key), bool)
-            follows[:-1] = same[1:]
-            before = same.copy()
-            before[0] = last_key is not None and key[0] == last_key[0]
-            keep = (before | follows)[:stop]
-            prev_n, prev_node = np.roll(n, 1), np.roll(node, 1)
-            if before[0]:
-                prev_n[0], prev_node[0] = last_key[1], last_key[2]
-            fits = before[:stop] & (prev_n[:stop] >= overlap_needed(n[:stop].astype(np.int64), threshold))
+        held = (np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64))
+        long_key, last = None, None
+
+        def emit(key, n, node, final):
+            nonlocal long_key
+            first = np.ones(len(key), bool)
+            first[1:] = key[1:] != key[:-1]
+            start = np.flatnonzero(first)
+            size = np.diff(np.append(start, len(key)))
+            long = size > SHORT
+            if len(start) and long_key is not None and key[0] == long_key:
+                long[0] = True
+            stop = len(key) if final or not len(start) or long[-1] else start[-1]
+            long_key = key[-1] if len(start) and long[-1] else None
+            rows = np.repeat(long, size)
+            cols = [[key[:stop][rows[:stop]]], [node[:stop][rows[:stop]]], [n[:stop][rows[:stop]].astype(np.int64)]]
+            short = ~rows[:stop]
+            found = list(pairs(key[:stop][short], n[:stop][short], node[:stop][short]))
+            a, b, need = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3))
+            total, wide = len(cols[0][0]), len(a)
+            none = np.zeros(total + wide, bool)
+            none[total:] = True
             out = pa.RecordBatch.from_arrays(
-                [pa.array(key[:stop][keep]), pa.array(n[:stop][keep]), pa.array(node[:stop][keep]), pa.array(prev_node[:stop][keep], mask=~fits[keep])],
-                ["key", "n", "node", "prev"],
-            )
-            if stop:
-                last_key = (key[stop - 1], n[stop - 1], node[stop - 1])
-            return out, [c[stop:] for c in cols]
+                [
+                    pa.array(np.concatenate([cols[0][0], a]), mask=none), pa.array(np.concatenate([cols[2][0], need]).astype(np.int32)),
+                    pa.array(np.concatenate([cols[1][0], a])), pa.array(np.concatenate([cols[1][0], b]), mask=~none),
+                ],
+                ["key", "n", "a", "b"],
+            )
+            return out, (key[stop:], n[stop:], node[stop:])
 
         for batch in batches:
-            cols = [np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip(held, batch.columns, strict=True)]
-            fresh = np.ones(len(cols[0]), bool)
-            fresh[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[2][1:] != cols[2][:-1])  # a node that several tasks sent
-            out, held = flush([c[fresh] for c in cols], False)
-            if out is not None and out.num_rows:
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if not len(cols[0]):
+                continue
+            fresh = np.ones(len(cols[0]), bool)  # not a node that another task sent too
+            fresh[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[2][1:] != cols[2][:-1])
+            fresh[0] = last is None or (cols[0][0], cols[2][0]) != last
+            last = (cols[0][-1], cols[2][-1])
+            out, held = emit(*(np.concatenate([h, c[fresh]]) for h, c in zip(held, cols, strict=True)), False)
+            if out.num_rows:
                 yield out
-        out, _ = flush(held, True)
-        if out is not None and out.num_rows:
+        out, _ = emit(*held, True)
+        if out.num_rows:
             yield out
 
     return run
@@ -293,16 +325,40 @@ def _screen(threshold: Fraction):
     return run
 
 
-def _across(threshold: Fraction):
+class _Merged:
+    """Labels of one list that candidate pairs have joined."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while (y := self.parent.get(x, x)) != x:
+            self.parent[x] = self.parent.get(y, y)
+            x = y
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        if x != y:
+            self.parent[max(x, y)] = min(x, y)
+        return x != y
+
+    def relabel(self, labels: np.ndarray) -> np.ndarray:
+        return np.array([self.find(x) for x in labels.tolist()], np.int64)
+
+
+def _across(threshold: Fraction, spanning: bool):
     """Pairs of one list that lie in different components and pass the bitmaps.
 
     Rows come sorted by key and size, so a node meets only the nodes of its list
-    that are not too small: a window, held in blocks of bitmaps.
+    that are not too small: a window, held in blocks of bitmaps. With ``spanning``
+    a pair is given only if no earlier pairs of its list join its components: at
+    most one pair a node, however many pass.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        window: list[tuple] = []
-        current = None
+        window: list[list] = []
+        current, merged = None, _Merged()
         for batch in batches:
             key = batch.column(0).to_numpy()
             n = batch.column(1).to_numpy().astype(np.int64)
@@ -311,26 +367,39 @@ def _across(threshold: Fraction):
             size = np.array([len(x) for x in bits], np.int64)
             cuts = np.flatnonzero((key[1:] != key[:-1]) | (size[1:] != size[:-1])) + 1
             edges = np.unique(np.concatenate([[0], cuts, np.arange(0, len(key), BLOCK), [len(key)]]))
+            left, right = [], []
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
                 if current != key[lo]:
-                    window, current = [], key[lo]
-                block = (n[lo:hi], node[lo:hi], label[lo:hi], np.frombuffer(b"".join(bits[lo:hi]), np.uint8).reshape(hi - lo, -1))
+                    window, current, merged = [], key[lo], _Merged()
+                own = label[lo:hi]
+                block = [n[lo:hi], node[lo:hi], merged.relabel(own) if merged.parent else own, np.frombuffer(b"".join(bits[lo:hi]), np.uint8).reshape(hi - lo, -1)]
                 window = [w for w in window if w[0][-1] >= overlap_needed(int(block[0][0]), threshold)]
                 window.append(block)
-                left, right = [], []
                 for k, other in enumerate(window):
                     apart = other[2][:, None] != block[2][None, :]
                     if k == len(window) - 1:
                         apart = np.triu(apart, 1)
                     i, j = np.nonzero(apart)
-                    for at in range(0, len(i), 1 << 16):
-                        p, q = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
-                        width = min(other[3].shape[1], block[3].shape[1])
-                        good = may_link(other[0][p], block[0][q], bits_differ(fold(other[3], width)[p], fold(block[3], width)[q]), threshold)
-                        left.append(other[1][p[good]])
-                        right.append(block[1][q[good]])
-                if left and sum(map(len, left)):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
+                    width = min(other[3].shape[1], block[3].shape[1])
+                    x, y = fold(other[3], width), fold(block[3], width)
+                    step = max(256, (1 << 22) // width)
+                    for at in range(0, len(i), step):
+                        p, q = i[at : at + step], j[at : at + step]
+                        if spanning and merged.parent:
+                            still = other[2][p] != block[2][q]
+                            p, q = p[still], q[still]
+                        good = may_link(other[0][p], block[0][q], bits_differ(x[p], y[q]), threshold)
+                        p, q = p[good], q[good]
+                        if spanning and len(p):
+                            keep = np.array([merged.join(u, v) for u, v in zip(other[2][p].tolist(), block[2][q].tolist(), strict=True)])
+                            p, q = p[keep], q[keep]
+                            for w in window:
+                                w[2] = merged.relabel(w[2])
+                        left.append(other[1][p])
+                        right.append(block[1][q])
+            if left and sum(map(len, left)):
+                a, b = np.concatenate(left), np.concatenate(right)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     return run
 
@@ -384,28 +453,29 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     postings = docs.select("text").mapInArrow(_postings(width, shared, boundary, threshold), "key long, n int, node long")
     lists = postings.repartition(partitions, "key").sortWithinPartitions("key", "n", "node")
-    lists = materialize(lists.mapInArrow(_lists(boundary, threshold), "key long, n int, node long, prev long"), "lists")
+    lists = materialize(lists.mapInArrow(_lists(boundary, threshold), "key long, n int, a long, b long"), "lists")
 
     traits = reps.select("node", "n", "bits")
-    chained = lists.where("prev is not null").groupBy(F.col("prev").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("votes"))
-    chained = (
-        chained.groupBy("b").agg(F.max_by("a", F.struct("votes", "a")).alias("a"))
-        .join(traits.select(F.col("node").alias("a"), F.col("n").alias("n"), F.col("bits").alias("x")), "a")
-        .join(traits.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y")), "b")
-        .select("a", "b", "n", "m", "x", "y")
-    )
-    chained = materialize(chained.mapInArrow(_screen(threshold), "a long, b long"), "chained")
-    first = materialize(_verified(chained, docs, reps, width, threshold), "links")
-    labels = materialize(connected_components(first), "labels")
-
-    nodes = lists.select("key", "n", "node").join(labels, "node", "left").select("key", "n", "node", F.coalesce("component", "node").alias("label"))
-    nodes = materialize(nodes, "labelled")
-    split = nodes.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    mixed = nodes.join(split, "key", "left_semi").join(traits.select("node", "bits"), "node").select("key", "n", "node", "label", "bits")
-    mixed = mixed.repartition(partitions, "key").sortWithinPartitions("key", "n", "node")
-    rest = materialize(mixed.mapInArrow(_across(threshold), "a long, b long").distinct(), "across")
-    second = _verified(rest, docs, reps, width, threshold)
-    links = materialize(first.unionByName(second), "links").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    voted = lists.where("b is not null").groupBy("a", "b").agg(F.count("*").alias("votes"), F.first("n").alias("need")).where("votes >= need")
+    voted = voted.join(traits.select(F.col("node").alias("a"), F.col("n").alias("n"), F.col("bits").alias("x")), "a").join(traits.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y")), "b")
+    voted = materialize(voted.select("a", "b", "n", "m", "x", "y").mapInArrow(_screen(threshold), "a long, b long"), "voted")
+    links = materialize(_verified(voted, docs, reps, width, threshold), "links").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    long_lists = lists.where("b is null").select("key", "n", F.col("a").alias("node"))
+    spanning, rounds = True, 0
+    while True:
+        labels = materialize(connected_components(links), "labels")
+        nodes = long_lists.join(labels, "node", "left").select("key", "n", "node", F.coalesce("component", "node").alias("label"))
+        split = nodes.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+        mixed = nodes.join(split, "key", "left_semi").join(traits.select("node", "bits"), "node").select("key", "n", "node", "label", "bits")
+        mixed = mixed.repartition(partitions, "key").sortWithinPartitions("key", "n", "node")
+        pairs = materialize(mixed.mapInArrow(_across(threshold, spanning), "a long, b long").distinct(), "across")
+        found = pairs if pairs.isEmpty() else materialize(_verified(pairs, docs, reps, width, threshold), "links")
+        empty = found.isEmpty()
+        links, rounds = links.unionByName(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))), rounds + 1
+        if not spanning or pairs.isEmpty():
+            break
+        spanning = not empty and rounds < SPANNING_ROUNDS
     components = materialize(connected_components(links), "components")
     return JaccardJoin(members, links, components)
 
