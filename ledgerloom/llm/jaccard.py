@@ -497,9 +497,10 @@ def classes(joined: JaccardJoin) -> DataFrame:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each linked group: the one with the smallest id.
 
-    Rows whose id is null stay as they are.
+    Rows whose id is null stay as they are. The ids that go are sent to all
+    tasks if they are few, and joined by a shuffle otherwise.
     """
-    kept = classes(jaccard_join(docs, id_col, text_col, **options)).where("id = component_id").select(F.col("id").alias("_kept")).distinct()
-    kept = materialize(kept, "kept")
-    kept = F.broadcast(kept) if kept.count() <= BROADCAST_IDS else kept
-    return docs.join(kept, F.col(id_col) == F.col("_kept"), "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+    gone = classes(jaccard_join(docs, id_col, text_col, **options)).where("id <> component_id").select(F.col("id").alias("_gone")).distinct()
+    gone = materialize(gone, "gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
