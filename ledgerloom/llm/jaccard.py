@@ -302,10 +302,10 @@ def bits_differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
-def may_link(n: np.ndarray, m: np.ndarray, differ: np.ndarray, threshold: Fraction) -> np.ndarray:
-    """Whether the symmetric difference, ``differ`` at least, allows the similarity."""
+def spare(n: np.ndarray, m: np.ndarray, differ: np.ndarray, threshold: Fraction) -> np.ndarray:
+    """How far the symmetric difference, ``differ`` at least, stays within the similarity; negative if it cannot."""
     p, q = threshold.numerator, threshold.denominator
-    return (np.minimum(n, m) * q >= np.maximum(n, m) * p) & (differ * (p + q) <= (n + m) * (q - p))
+    return np.where(np.minimum(n, m) * q >= np.maximum(n, m) * p, (n + m) * (q - p) - differ * (p + q), -1)
 
 
 def _screen(threshold: Fraction):
@@ -319,7 +319,7 @@ def _screen(threshold: Fraction):
             for i, (u, v) in enumerate(zip(x, y, strict=True)):
                 u, v = np.frombuffer(u, np.uint8), np.frombuffer(v, np.uint8)
                 differ[i] = bits_differ(fold(u, len(v)), fold(v, len(u)))
-            keep = may_link(n.astype(np.int64), m.astype(np.int64), differ, threshold)
+            keep = spare(n.astype(np.int64), m.astype(np.int64), differ, threshold) >= 0
             yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
 
     return run
@@ -383,20 +383,23 @@ def _across(threshold: Fraction, spanning: bool):
                     width = min(other[3].shape[1], block[3].shape[1])
                     x, y = fold(other[3], width), fold(block[3], width)
                     step = max(256, (1 << 22) // width)
+                    good, room = [], []
                     for at in range(0, len(i), step):
                         p, q = i[at : at + step], j[at : at + step]
-                        if spanning and merged.parent:
-                            still = other[2][p] != block[2][q]
-                            p, q = p[still], q[still]
-                        good = may_link(other[0][p], block[0][q], bits_differ(x[p], y[q]), threshold)
-                        p, q = p[good], q[good]
-                        if spanning and len(p):
-                            keep = np.array([merged.join(u, v) for u, v in zip(other[2][p].tolist(), block[2][q].tolist(), strict=True)])
-                            p, q = p[keep], q[keep]
-                            for w in window:
-                                w[2] = merged.relabel(w[2])
-                        left.append(other[1][p])
-                        right.append(block[1][q])
+                        slack = spare(other[0][p], block[0][q], bits_differ(x[p], y[q]), threshold)
+                        good.append(at + np.flatnonzero(slack >= 0))
+                        room.append(slack[slack >= 0])
+                    if not sum(map(len, good)):
+                        continue
+                    good = np.concatenate(good)
+                    if spanning:  # the surest pairs first, so that a near miss stands in the way of few
+                        good = good[np.argsort(-np.concatenate(room), kind="stable")]
+                        keep = np.array([merged.join(u, v) for u, v in zip(other[2][i[good]].tolist(), block[2][j[good]].tolist(), strict=True)])
+                        good = good[keep]
+                        for w in window:
+                            w[2] = merged.relabel(w[2])
+                    left.append(other[1][i[good]])
+                    right.append(block[1][j[good]])
             if left and sum(map(len, left)):
                 a, b = np.concatenate(left), np.concatenate(right)
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])

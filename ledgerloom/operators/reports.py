@@ -64,8 +64,8 @@ def summary(txns: DataFrame, allocations: DataFrame) -> DataFrame:
     rule = allocations.where("source = 'rule'").groupBy(F.col("transaction_id").alias("id")).agg(F.sum(F.abs("amount_paise")).alias("provisional"))
     rows = with_explained(txns, allocations).join(rule, "id", "left").withColumn("gate", explainable_spend())
     return rows.agg(
-        total("amount_paise").alias("net_paise"), total_where("gate", F.abs(F.col("amount_paise") - F.col("explained"))).alias("unexplained_paise"),
-        F.count(F.when(F.col("gate") & (F.col("amount_paise") != F.col("explained")), 1)).alias("unexplained_transactions"), total_where("gate", F.coalesce("provisional", F.lit(0))).alias("provisional_paise"),
+        total("amount_paise").alias("net_paise"), total_where(F.col("gate"), F.abs(F.col("amount_paise") - F.col("explained"))).alias("unexplained_paise"),
+        F.count(F.when(F.col("gate") & (F.col("amount_paise") != F.col("explained")), 1)).alias("unexplained_transactions"), total_where(F.col("gate"), F.coalesce("provisional", F.lit(0))).alias("provisional_paise"),
     )
 
 

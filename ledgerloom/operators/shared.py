@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.functions.text import iso_date, to_paise
 
@@ -47,7 +48,7 @@ def vocabulary(purchases: DataFrame, source_map: DataFrame) -> DataFrame:
     return rows.select("word", F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("value_paise", F.lit(0)).alias("value_paise"), "category_id", F.coalesce("mapped", F.lit(False)).alias("mapped"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Unicode composition, for which Spark has no function."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
