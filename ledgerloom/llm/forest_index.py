@@ -1,8 +1,10 @@
 """Embedding near-dedup with a forest of random-projection trees.
 
-Each tree splits the space again and again at a quantile of a random projection;
-vectors close to a split go down both sides (spill). Near vectors then share a
-leaf in some tree. The trees are fitted on a bounded sample, every vector is
+Each tree splits the space again and again at the median of a random projection;
+vectors close to a split go down both sides (spill). The spill is as wide as a
+share of the vectors and as half the distance of a pair at the threshold, at
+least; a node that this would hardly divide is one tight group and stays a leaf,
+however large. Near vectors then share a leaf in some tree. The trees are fitted on a bounded sample, every vector is
 routed through all of them, and vectors are compared within (label, leaf) only.
 
 The depth follows the input: a leaf should hold ``leaf_rows`` vectors of a label.
@@ -34,6 +36,8 @@ LEAST_LEAF = 16
 SAMPLE_ROWS = 20_000
 #: Share of a node's vectors on each side of a split that go down both sides.
 SPILL = 0.06
+#: A node stays a leaf if a side of its split would have this share of it.
+TIGHT = 0.7
 #: Vectors of one label that a leaf should hold, and twice that at most in a block.
 LEAF_ROWS = 1024
 
@@ -41,8 +45,9 @@ LEAF_ROWS = 1024
 class Tree:
     """Splits in an array: node ``i`` has ``axis[i]``, two cuts and two children; leaves are negative."""
 
-    def __init__(self, sample: np.ndarray, leaf: int, spill: float, seed: int):
+    def __init__(self, sample: np.ndarray, leaf: int, spill: float, reach: float, seed: int):
         rng = np.random.default_rng(seed)
+        self.reach = reach
         self.axis, self.low, self.high, self.child = [], [], [], []
         self.leaves = 0
         self.root = self._split(sample, leaf, spill, rng)
@@ -57,9 +62,10 @@ class Tree:
             return -self.leaves
         axis = rng.standard_normal(rows.shape[1])
         place = rows @ axis
-        low, high = np.quantile(place, [0.5 - spill, 0.5 + spill])
+        low, middle, high = np.quantile(place, [0.5 - spill, 0.5, 0.5 + spill])
+        low, high = min(low, middle - self.reach), max(high, middle + self.reach)
         left, right = rows[place <= high], rows[place > low]
-        if min(len(left), len(right)) == 0 or max(len(left), len(right)) >= 0.95 * len(rows):
+        if max(len(left), len(right)) >= TIGHT * len(rows):
             self.leaves += 1
             return -self.leaves
         node = len(self.axis)
@@ -86,14 +92,14 @@ class Tree:
         return (np.concatenate(rows), np.concatenate(leaves)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def fit(vectors: DataFrame, trees: int, leaf: int, spill: float, rows: int) -> list[Tree]:
-    """Trees from at most ``rows`` unit vectors, chosen by hash."""
+def fit(vectors: DataFrame, trees: int, leaf: int, spill: float, reach: float, rows: int) -> list[Tree]:
+    """Trees from at most ``rows`` unit vectors, chosen by hash; ``reach``: least half width of the spill."""
     sample = vectors.select("unit").orderBy(F.xxhash64("unit")).limit(rows).toArrow().column(0)
     by_width: dict[int, list] = {}
     for row in sample.to_pylist():
         by_width.setdefault(len(row), []).append(row)
     x = np.array(max(by_width.values(), key=len, default=[]), np.float64)
-    return [Tree(x, leaf, spill, 1 + t) for t in range(trees)] if len(x) else []
+    return [Tree(x, leaf, spill, reach, 1 + t) for t in range(trees)] if len(x) else []
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -220,7 +226,8 @@ def near_duplicates(
 
     total, labels = classes.agg(F.count("*"), F.count_distinct("label")).first()
     leaf = max(LEAST_LEAF, leaf_rows * labels * min(total, sample_rows) // max(1, total))
-    shared = spark.sparkContext.broadcast(fit(classes, trees, leaf, spill, sample_rows))
+    reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) / 2  # projections scale a distance by a standard normal
+    shared = spark.sparkContext.broadcast(fit(classes, trees, leaf, spill, reach, sample_rows))
     label_type = classes.schema["label"].dataType.simpleString()
     base = f"class_id long, label {label_type}, unit array<double>, copies long"
     routed = materialize(classes.select("class_id", "label", "unit", "copies").mapInArrow(_route(shared), f"{base}, leaf long, leaves array<long>"), "routed")
