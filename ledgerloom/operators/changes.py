@@ -30,19 +30,19 @@ class ChangeSet:
 def append_new(current: DataFrame, incoming: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """Rows to insert: those whose key is new, the first in ``order`` of each key."""
     first = Window.partitionBy(key).orderBy(*order)
-    return incoming.join(current.select(key), key, "left_anti").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    return incoming.join(current.select(key), key, "left_anti").withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*incoming.columns)
 
 
 def upsert(current: DataFrame, incoming: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """``current`` merged with ``incoming``: incoming wins, its last row in ``order`` of each key."""
     last = Window.partitionBy(*key).orderBy(*(c for c in order))
     fresh = incoming.withColumn("_n", F.row_number().over(last)).withColumn("_of", F.count("*").over(Window.partitionBy(*key))).where("_n = _of").drop("_n", "_of")
-    return current.join(fresh.select(*key), key, "left_anti").unionByName(fresh)
+    return current.join(fresh.select(*key), key, "left_anti").select(*current.columns).unionByName(fresh)
 
 
 def replace_scope(current: DataFrame, scope: DataFrame, on: list[str], fresh: DataFrame) -> DataFrame:
     """``current`` with the rows of ``scope`` replaced by ``fresh``."""
-    return current.join(scope.select(*on).distinct(), on, "left_anti").unionByName(fresh)
+    return current.join(scope.select(*on).distinct(), on, "left_anti").select(*current.columns).unionByName(fresh)
 
 
 def next_ids(current: DataFrame, fresh: DataFrame, order: list[Column], id_col: str = "id") -> DataFrame:

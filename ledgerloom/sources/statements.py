@@ -87,4 +87,4 @@ def read_shared_export(spark: SparkSession, path: str) -> DataFrame:
     names = ("date", "description", "category", "cost", "currency")
     cells = [F.trim(F.try_element_at("cells", F.lit(k + 1))).alias(n) for k, n in enumerate(names)]
     nets = F.filter(F.slice("cells", 6, 1000), lambda c: c != "")
-    return rows.select("file", F.col("place").alias("line"), *cells, F.transform(nets, F.trim).alias("nets"))
+    return rows.select("file", F.col("place").alias("line"), *cells, F.transform(nets, lambda c: F.trim(c)).alias("nets"))
