@@ -96,17 +96,26 @@ def _cuts(edges: list[np.ndarray], feature: np.ndarray, split: np.ndarray) -> li
     return [edges[f][s] if s < len(edges[f]) else np.inf for f, s in zip(feature, split, strict=True)]
 
 
-def fit(x: np.ndarray, y: np.ndarray, p: Boosting = Boosting()) -> Forest:
-    """Logistic loss with second-order leaves; ties between splits go to the first feature and bin."""
+def _scaled(weight: np.ndarray | None, rows: int) -> np.ndarray:
+    """Weights with a mean of 1, so the limits on leaves stay in sampled rows; 1 each if there are none."""
+    return np.ones(rows) if weight is None or not rows else weight / weight.mean()
+
+
+def fit(x: np.ndarray, y: np.ndarray, p: Boosting = Boosting(), weight: np.ndarray | None = None) -> Forest:
+    """Logistic loss with second-order leaves; ties between splits go to the first feature and bin.
+
+    ``weight``: how many rows each row stands for; base and leaves follow the weighted shares.
+    """
     if not len(y) or y.min() == y.max():
         return constant(float(y.mean()) if len(y) else 0.5)
     edges, binned = _binned(x, p.bins)
-    base = constant(float(y.mean())).base
+    weight = _scaled(weight, len(y))
+    base = constant(float((weight * y).mean())).base
     margin = np.full(len(y), base)
     features, cuts, leaves = [], [], []
     for _ in range(p.trees):
         score = 1 / (1 + np.exp(-margin))
-        g, h = score - y, score * (1 - score)
+        g, h = weight * (score - y), weight * score * (1 - score)
         feature, split, at = _grow(binned, edges, g, h, p)
         leaf = -p.rate * np.bincount(at, g, 1 << p.depth) / (np.bincount(at, h, 1 << p.depth) + p.l2)
         margin += leaf[at]
@@ -151,19 +160,20 @@ class Isotonic:
     values: np.ndarray
 
     @staticmethod
-    def fit(score: np.ndarray, y: np.ndarray) -> Isotonic:
+    def fit(score: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> Isotonic:
         if not len(y) or y.min() == y.max():
             return Isotonic(np.array([0.0, 1.0]), np.array([0.0, 1.0]))
+        weight = _scaled(weight, len(y))
         order = np.argsort(score, kind="stable")
         blocks: list[list[float]] = []  # sum of labels, weight, least and largest score
-        for s, label in zip(score[order].tolist(), y[order].tolist(), strict=True):
-            blocks.append([label, 1.0, s, s])
+        for s, label, w in zip(score[order].tolist(), y[order].tolist(), weight[order].tolist(), strict=True):
+            blocks.append([w * label, w, s, s])
             while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
                 last = blocks.pop()
                 blocks[-1][0] += last[0]
                 blocks[-1][1] += last[1]
                 blocks[-1][3] = last[3]
-        value = [(b[0] + 0.5 * float(y.mean())) / (b[1] + 0.5) for b in blocks]
+        value = [(b[0] + 0.5 * float((weight * y).mean())) / (b[1] + 0.5) for b in blocks]
         value = np.maximum.accumulate(value)
         return Isotonic(np.array([k for b in blocks for k in (b[2], b[3])]), np.repeat(value, 2))
 

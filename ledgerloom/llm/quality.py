@@ -4,7 +4,8 @@ The statistics are computed for many texts at once from their bytes: character
 classes, word lengths and case, repeated words and word pairs, lines and their
 repeats, sentence ends. The trees are flat arrays that numpy traverses for a
 whole batch. Training takes at most ``SAMPLE_PER_CLASS`` labelled documents of
-each class; scoring reads every text whole.
+each class, weighted so that the classes keep their shares of all labelled
+documents; scoring reads every text whole.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.gbdt import Boosting, Forest, fit
+from ledgerloom.llm.samples import weighted
 from ledgerloom.llm.scratch import materialize
 from ledgerloom.llm.words import mix, shards, spaced, spans, word_hashes
 
@@ -114,16 +116,16 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, data, offsets in shards(batch.column(0), SHARD_BYTES):
-            yield pa.RecordBatch.from_arrays([pa.array(features(data, offsets).tolist(), pa.list_(pa.float64())), batch.column(1).slice(lo, hi - lo)], ["x", "label"])
+            yield pa.RecordBatch.from_arrays([pa.array(features(data, offsets).tolist(), pa.list_(pa.float64())), batch.column(1).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo)], ["x", "label", "weight"])
 
 
 def train(sample: DataFrame, boosting: Boosting = Boosting(depth=5)) -> Forest:
-    """``sample``: text, label (0 or 1), bounded."""
-    rows = materialize(sample.mapInArrow(_featurise, "x array<double>, label int"), "quality-sample").toArrow()
+    """``sample``: text, label (0 or 1), weight if rows stand for others too, bounded."""
+    rows = materialize(weighted(sample).mapInArrow(_featurise, "x array<double>, label int, weight double"), "quality-sample").toArrow()
     x = np.array(rows.column("x").to_pylist(), float).reshape(-1, len(FEATURES))
     y = rows.column("label").to_numpy().astype(float)
     order = np.lexsort((y, *x.T))
-    return fit(x[order], y[order], boosting)
+    return fit(x[order], y[order], boosting, rows.column("weight").to_numpy()[order])
 
 
 def _score(shared):

@@ -5,15 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.scratch import materialize
+
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most_per_class: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``text, label``: at most ``most_per_class`` documents of each class, chosen by hashed id.
+    """``text, label, weight``: at most ``most_per_class`` documents of each class, chosen by hashed id.
 
-    The chosen ids are at most twice that many rows, so they are sent to the
-    tasks that read the documents. Null labels, labels other than 0 and 1 and
-    null ids are left out; a document labelled twice keeps its largest label.
+    ``weight`` is how many labelled documents of its class a row stands for, so
+    weighted shares of the classes are those of all labels, capped or not. The
+    chosen ids are at most twice the cap, so they are sent to the tasks that read
+    the documents. Null labels, labels other than 0 and 1 and null ids are left
+    out; a document labelled twice keeps its largest label.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label).alias("label"))
-    parts = [known.where(F.col("label") == k).orderBy(F.xxhash64(id_col), id_col).limit(most_per_class) for k in (0, 1)]
-    chosen = parts[0].unionByName(parts[1]).select(F.col(id_col).alias("_id"), "label")
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id").select(F.coalesce("text", F.lit("")).alias("text"), "label")
+    known = materialize(known, "labels")
+    totals = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
+    weights = [max(1.0, totals.get(k, 0) / most_per_class) for k in (0, 1)]
+    parts = [known.where(F.col("label") == k).orderBy(F.xxhash64(id_col), id_col).limit(most_per_class).withColumn("weight", F.lit(weights[k])) for k in (0, 1)]
+    chosen = parts[0].unionByName(parts[1]).select(F.col(id_col).alias("_id"), "label", "weight")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id")
+    return rows.select(F.coalesce("text", F.lit("")).alias("text"), "label", "weight")
+
+
+def weighted(sample: DataFrame) -> DataFrame:
+    """``sample`` as text, label, weight; every row weighs 1 if it has no weights."""
+    return sample.select("text", "label", F.col("weight") if "weight" in sample.columns else F.lit(1.0).alias("weight"))

@@ -6,7 +6,8 @@ signs, stretched and spaced-out words). The lexicon is a short fixed list and
 terms learned from the labelled sample: words, and stems of four to six letters,
 found in toxic documents far more often than in others.
 
-Training takes at most ``SAMPLE_PER_CLASS`` labelled documents of each class.
+Training takes at most ``SAMPLE_PER_CLASS`` labelled documents of each class,
+weighted so that the classes keep their shares of all labelled documents.
 Scoring reads every text whole; each distinct token of a chunk is looked at once.
 """
 
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.gbdt import Boosting, Forest, Isotonic, fit
+from ledgerloom.llm.samples import weighted
 from ledgerloom.llm.scratch import materialize
 
 SAMPLE_PER_CLASS = 6000
@@ -176,7 +178,7 @@ def _featurise(lexicon: Lexicon):
         for batch in batches:
             for lo, texts in _chunks(batch.column(0)):
                 x = features(texts, lexicon)
-                yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), batch.column(1).slice(lo, len(texts))], ["x", "label"])
+                yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), batch.column(1).slice(lo, len(texts)), batch.column(2).slice(lo, len(texts))], ["x", "label", "weight"])
 
     return run
 
@@ -192,17 +194,18 @@ class ToxicityModel:
 
 
 def train(sample: DataFrame, boosting: Boosting = Boosting()) -> ToxicityModel:
-    """``sample``: text, label (0 or 1), bounded. Every fourth row only calibrates."""
-    sample = materialize(sample, "toxic-sample")
+    """``sample``: text, label (0 or 1), weight if rows stand for others too, bounded. Every fourth row only calibrates."""
+    sample = materialize(weighted(sample), "toxic-sample")
     lexicon = learn_lexicon(sample)
-    rows = sample.mapInArrow(_featurise(lexicon), "x array<double>, label int").toArrow()
+    rows = sample.mapInArrow(_featurise(lexicon), "x array<double>, label int, weight double").toArrow()
     x = np.array(rows.column("x").to_pylist(), float).reshape(-1, len(FEATURES))
     y = rows.column("label").to_numpy().astype(float)
+    weight = rows.column("weight").to_numpy()
     order = np.lexsort((y, *x.T))
-    x, y = x[order], y[order]
+    x, y, weight = x[order], y[order], weight[order]
     aside = np.arange(len(y)) % 4 == 3
-    forest = fit(x[~aside], y[~aside], boosting)
-    return ToxicityModel(lexicon, forest, Isotonic.fit(forest.score(x[aside]), y[aside]))
+    forest = fit(x[~aside], y[~aside], boosting, weight[~aside])
+    return ToxicityModel(lexicon, forest, Isotonic.fit(forest.score(x[aside]), y[aside], weight[aside]))
 
 
 def _score(shared):

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import langid, quality, queries, secrets, toxicity
+from ledgerloom.llm import langid, quality, queries, samples, secrets, toxicity
 from ledgerloom.llm.gbdt import Boosting, Isotonic, fit, fit_random_forest
 
 LARGER = Path(os.environ.get("LEDGERLOOM_LARGER", "/root/testdata/sf0.01"))
@@ -100,6 +100,23 @@ def test_classifier_cases(spark, module):
     assert module.score(odd.where("false"), model).count() == 0
 
 
+@pytest.mark.parametrize("module", [toxicity, quality])
+def test_capped_classes_keep_their_shares(spark, module):
+    # One document in three says "idiot"; one in three of those is labelled 1, and no other.
+    rng = np.random.default_rng(3)
+    filler = [" ".join("".join(rng.choice([*"abcdefgh"], rng.integers(1, 9))) for _ in range(rng.integers(5, 40))) if module is toxicity else f"number {i}" for i in range(3000)]
+    rows = [(i, f"you {'idiot !!' if i % 3 == 0 else 'garden'} {filler[i]}", int(i % 3 == 0 and i // 3 % 3 == 0)) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    marked = {i for i, _, _ in rows if i % 3 == 0}
+    for cap in (5000, 300):
+        sample = samples.labelled_sample(docs, docs, "label", cap).cache()
+        assert sample.groupBy("label").agg(F.round(F.sum("weight")).alias("n")).orderBy("label").collect() == [(0, 2666), (1, 334)]
+        assert sample.count() == (3000 if cap == 5000 else 600)
+        scored = module.score(docs, module.train(sample)).collect()
+        for rows_of, share in ((marked, 1 / 3), ({*range(3000)} - marked, 0)):
+            assert abs(np.mean([r.score for r in scored if r.doc_id in rows_of]) - share) < 0.1
+
+
 def test_drop_toxic_keeps_columns(spark):
     model = toxicity.train(labelled(spark))
     docs = spark.createDataFrame([(1, "x", 1, "a", "b"), (2, None, 2, None, None)], DOCS)
