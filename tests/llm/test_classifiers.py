@@ -60,6 +60,23 @@ def test_kneser_ney_sums_to_one():
         assert ((total <= 1 + 1e-9) & (total > 0.85)).all()  # the rest is for letters never seen
 
 
+def test_all_grams_are_kept_in_shards(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = [(lang, " ".join("".join(rng.choice([*letters], rng.integers(1, 9))) for _ in range(40))) for lang, letters in (("a", "abcdefgh"), ("b", "efghijé"), ("c", "xyzab")) for _ in range(20)]
+    training = spark.createDataFrame(texts, "lang string, text string")
+    monkeypatch.setattr(langid, "SHARD_ROWS", 100)
+    counts = {k: np.unique(langid.codes_of(langid.WORD.findall(" ".join(t for lang, t in texts if lang == k)))[0], return_counts=True) for k in "abc"}
+    plain, trained = langid.build(counts), langid.train(training)
+    assert sum(len(g) for g, _ in counts.values()) > 5000 and trained.shards.count > 100 and trained.shards.held is None
+    assert np.allclose(plain.discount, trained.discount) and plain.floor == trained.floor
+    seen = np.concatenate([g for g, _ in counts.values()])
+    odd = langid.codes_of(["zebra", "hat", "ëë"])[0]
+    assert np.allclose(plain.log_prob(np.append(seen, odd)), trained.log_prob(np.append(seen, odd)))
+    for k, (grams, number) in enumerate(counts.values()):  # those seen once too
+        number_of, _ = trained.shards.find(grams | langid._place(langid.ORDER - 1), 3)
+        assert number_of[:, k].tolist() == number.tolist() and 1 in number
+
+
 def test_language_cases(spark):
     rows = [(i, t, 1, None, lang) for i, (t, lang) in enumerate([("the cat and the hat", "en"), ("der hund und die katze", "de")] * 20)]
     docs = spark.createDataFrame(rows, DOCS)
