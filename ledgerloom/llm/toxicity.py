@@ -145,7 +145,7 @@ def features(texts: list[str], lexicon: Lexicon) -> np.ndarray:
         s = t.sum(axis=0)
         weight = np.maximum(t[:, 0], t[:, 3])
         at = np.flatnonzero(weight)
-        spaced = [max(lexicon.weight(w), lexicon.weight(w.translate(SWAPS))) for m in _SPACED.findall(text) if (w := re.sub(r"[ .\-*_]", "", m.lower()))] if len(text) < 1 << 22 else []
+        spaced = [max(lexicon.weight(w), lexicon.weight(w.translate(SWAPS))) for m in _SPACED.findall(text) if (w := re.sub(r"[ .\-*_]", "", m.lower()))]
         you = np.flatnonzero(t[:, 2])
         near = 0
         if len(at) and len(you):

@@ -99,6 +99,14 @@ def test_held_out(spark, larger, name, label, least):
     assert (predicted == (score >= (0.5 if label == "toxic" else 0.3))).all()
 
 
+def test_spaced_words_of_long_texts():
+    lexicon = toxicity.Lexicon({"idiot": 4.0}, {})
+    calm = "calm words " * 400_000
+    row = dict(zip(toxicity.FEATURES, toxicity.features([f"i d i o t {calm}i-d-i-o-t"], lexicon)[0], strict=True))
+    assert len(calm) > 1 << 22
+    assert (row["hits"], row["weight"], row["obfuscated_hits"]) == (2, 8, 2)
+
+
 def labelled(spark):
     rows = [(f"you are a {w} {i}" if i % 2 else f"a calm word about {w} {i}", i % 2) for i, w in enumerate(["idiot", "garden"] * 60)]
     rows = [(t if y else t.replace("idiot", "river"), y) for t, y in rows]
