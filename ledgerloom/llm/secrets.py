@@ -43,8 +43,8 @@ FORMATS = {
     "private_key": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----",
 }
 _NAMES = r"passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|credential"
-_ASSIGNED = rf"(?i:{_NAMES})[A-Za-z0-9_]{{0,24}}[\"']?\s{{0,3}}[=:]\s{{0,3}}[\"']?(?P<assigned>[^\s\"'<>]{{6,512}})"
-_HEX = r"(?<![A-Za-z0-9+/=_-])(?P<bare>[0-9a-fA-F]{32,128})(?![A-Za-z0-9+/=_-])"
+_ASSIGNED = rf"(?i:{_NAMES})[A-Za-z0-9_]{{0,24}}[\"']?\s{{0,3}}[=:]\s{{0,3}}[\"']?(?P<assigned>[^\s\"'<>]{{6,}})"
+_HEX = r"(?<![A-Za-z0-9+/=_-])(?P<bare>[0-9a-fA-F]{32,})(?![A-Za-z0-9+/=_-])"
 _RULES = re.compile("|".join([*(f"(?P<{k}>{v})" for k, v in FORMATS.items()), f"(?P<assignment>{_ASSIGNED})", f"(?P<bare_hex>{_HEX})"]))
 
 #: Words that speak for or against a secret nearby, and a small dictionary.

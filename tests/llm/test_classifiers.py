@@ -1,5 +1,6 @@
 """Language, toxicity, quality and secrets: held-out accuracy, and plain versions of the parts."""
 
+import hashlib
 import math
 import os
 from pathlib import Path
@@ -196,3 +197,15 @@ def test_secret_scan(spark):
     assert len(by[1]) == 2 and by[1][0].is_secret and by[5][0].is_secret and by[5][0].start == 70_001
     assert not by[2][0].is_secret and 3 not in by and 4 not in by
     assert secrets.scan(docs.where("false"), forest).count() == 0
+
+
+def test_long_secrets_are_whole(spark):
+    forest = secrets.train(secrets.labelled_findings(spark, rows=1500), trees=40)
+    rng = np.random.default_rng(5)
+    pick = lambda chars, n: "".join(rng.choice([*chars], n))
+    token, key = pick("abcdefghijkXYZ0123456789_-", 2000), pick("0123456789abcdef", 512)
+    docs = spark.createDataFrame([(1, f"token={token} end", 1, "x", "y"), (2, f"bearer {key} end", 1, "x", "y")], DOCS)
+    found = {r.doc_id: r for r in secrets.scan(docs, forest).collect()}
+    for i, secret, rule in ((1, token, "assignment"), (2, key, "bare_hex")):
+        assert (found[i].rule, found[i].end - found[i].start) == (rule, len(secret))
+        assert found[i].candidate_sha256 == hashlib.sha256(secret.encode()).hexdigest()
