@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.scratch import materialize
+from ledgerloom.llm.scratch import discard, materialize
 
 #: The steps halve the depth of every tree, so this is reached by no real input.
 MAX_ROUNDS = 64
@@ -35,7 +35,8 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b") -> Da
         large = large.distinct()
         floor = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(floor, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        pairs = materialize(small.select("e.u", "e.v").where("u <> v").distinct(), "star")
+        last, pairs = pairs, materialize(small.select("e.u", "e.v").where("u <> v").distinct(), "star")
+        discard(last)
         state = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break

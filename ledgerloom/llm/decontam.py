@@ -9,19 +9,24 @@ The suffix array is sparse: a training suffix whose first words (up to three)
 occur nowhere in the benchmark cannot begin with a window, so it is left out.
 Words are compared by 64-bit hashes, whole windows at a time.
 
-The benchmark is sent to the tasks in blocks of a bounded number of words. With
-one block, the usual case, the documents are read once and nothing is shuffled;
-with more, the hit words of a document are united afterwards.
+The benchmark is sent to the tasks in blocks of a bounded number of words, one
+after the other. With one block, the usual case, the documents are read once and
+nothing is shuffled; with more, rows are numbered in a written table and the hit
+words of a row are united afterwards, which gives the same answer.
 
 Defined cases: a null text has no words and is clean; an item without words
-matches nothing; a null item id is dropped; repeated documents are each reported;
-an empty benchmark leaves every document clean; other columns are ignored.
+matches nothing; a null item id is dropped; repeated documents and documents
+with a null id are each judged by themselves; ties for the longest match go to
+the smaller item, then to the earlier word; a very long text is one row of a
+shard; an empty benchmark leaves every document clean; an empty table gives no
+rows; other columns are ignored, or kept by ``drop_contaminated``, whatever
+their names. A single item must fit a task, as any row must.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,14 +34,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.scratch import free_name, materialize, numbered
 from ledgerloom.llm.words import alphanumeric, mix, shards, texts_to_hashes
 
 #: Words of the benchmark that a task holds at a time.
 BLOCK_WORDS = 4_000_000
 SHARD_BYTES = 8 << 20
 PREFIX = 3
-#: Occurrences expanded at a time.
+#: Occurrences expanded, and item suffixes searched, at a time.
 EXPAND = 1 << 20
+SEARCHED = 1 << 18
 _TABLE = alphanumeric()
 
 REPORT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, item_ids array<long>, longest_words long, longest_item long, longest_at long"
@@ -44,47 +51,53 @@ REPORT = "n_words long, n_hit long, n_items long, items_sha256 string, contamina
 
 @dataclass(frozen=True)
 class Suffixes:
-    """The item suffixes that begin with a window, sorted; ``heads`` are their windows."""
+    """The item suffixes that begin with a window, as places in the items joined end to end."""
 
-    heads: np.ndarray  # [suffixes, window], zero past the end of a short item
+    words: np.ndarray  # word hashes of all items, a zero after each
+    start: np.ndarray  # first word of the window
     lengths: np.ndarray  # words of the window
     item: np.ndarray  # item id
-    place: np.ndarray  # word number in the items joined end to end
+    window: int
     prefix: int  # first words that the filter compares
     known: np.ndarray  # sorted hashes of those
+    slot: np.ndarray  # which of them a suffix has
 
     @staticmethod
     def of(ids: np.ndarray, words: list[np.ndarray], window: int) -> Suffixes:
-        heads, lengths, item, place, base = [], [], [], [], 0
-        for i, own in zip(ids, words, strict=True):
-            size = min(window, len(own))
-            for at in range(len(own) - size + 1 if size else 0):
-                heads.append(np.pad(own[at : at + size], (0, window - size)))
-                lengths.append(size)
-                item.append(i)
-                place.append(base + at)
-            base += len(own) + 1
-        heads = np.array(heads, np.uint64).reshape(-1, window)
-        prefix = min([PREFIX, *lengths])
-        return Suffixes(heads, np.array(lengths, np.int64), np.array(item, np.int64), np.array(place, np.int64), prefix, np.unique(joined(heads, prefix)))
-
-
-def joined(heads: np.ndarray, n: int) -> np.ndarray:
-    """One hash for the first ``n`` columns."""
-    out = np.zeros(len(heads), np.uint64)
+        count = np.array([len(w) for w in words], np.int64)
+        size = np.minimum(count, window)
+        own = np.where(count, count - size + 1, 0)
+        base = np.cumsum(count + 1) - count - 1
+        rank = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+        start, lengths = np.repeat(base, own) + rank, np.repeat(size, own)
+        joined_up = np.concatenate([x for w in words for x in (w, np.zeros(1, np.uint64))]) if words else np.zeros(0, np.uint64)
+        prefix = min(PREFIX, int(lengths.min(initial=PREFIX)))
+        known, slot = np.unique(prefix_hashes(joined_up, start, prefix), return_inverse=True)
+        return Suffixes(joined_up, start.astype(np.int32), lengths.astype(np.int16), np.repeat(np.asarray(ids, np.int64), own), window, prefix, known, slot.astype(np.int32))
+
+    def heads(self, rows: np.ndarray) -> np.ndarray:
+        """The windows of these suffixes, zero past the end of a short item."""
+        at = np.arange(self.window)
+        index = np.minimum(self.start[rows].astype(np.int64)[:, None] + at, len(self.words) - 1)
+        return np.where(at < self.lengths[rows][:, None], self.words[index], np.uint64(0))
+
+
+def prefix_hashes(words: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """One hash for the ``n`` words from each place on."""
+    out = np.zeros(len(at), np.uint64)
     for i in range(n):
-        out = mix(out + heads[:, i])
+        out = mix(out + words[at + i])
     return out
 
 
-def suffix_array(words: np.ndarray, ends: np.ndarray, suffixes: Suffixes) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted starts of the training suffixes that can match, and their first words.
+def suffix_array(words: np.ndarray, ends: np.ndarray, suffixes: Suffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted starts of the training suffixes that can match, their first words, and the item suffixes that can.
 
     ``ends``: where the document of each word ends.
     """
-    n, window = suffixes.prefix, suffixes.heads.shape[1]
+    n, window = suffixes.prefix, suffixes.window
     if len(words) < n or not len(suffixes.known):
-        return np.zeros(0, np.int64), np.zeros((0, window), np.uint64)
+        return np.zeros(0, np.int64), np.zeros((0, window), np.uint64), np.zeros(0, np.int64)
     key = np.zeros(len(words) - n + 1, np.uint64)
     for i in range(n):
         key = mix(key + words[i : len(words) - n + 1 + i])
@@ -92,11 +105,13 @@ def suffix_array(words: np.ndarray, ends: np.ndarray, suffixes: Suffixes) -> tup
     seen[(suffixes.known & np.uint64(len(seen) - 1)).astype(np.int64)] = True
     at = np.flatnonzero(seen[(key & np.uint64(len(seen) - 1)).astype(np.int64)])
     found = np.minimum(np.searchsorted(suffixes.known, key[at]), len(suffixes.known) - 1)
-    at = at[(suffixes.known[found] == key[at]) & (at + n <= ends[at])]
+    kept = (suffixes.known[found] == key[at]) & (at + n <= ends[at])
+    at, present = at[kept], np.zeros(len(suffixes.known), bool)
+    present[found[kept]] = True
     index = at[:, None] + np.arange(window)
     heads = np.where(index < ends[at][:, None], words[np.minimum(index, len(words) - 1)], np.uint64(0))
     order = np.lexsort(heads.T[::-1])
-    return at[order], heads[order]
+    return at[order], heads[order], np.flatnonzero(present[suffixes.slot])
 
 
 def _before(heads: np.ndarray, rows: np.ndarray, wanted: np.ndarray, lengths: np.ndarray, equal_too: bool) -> np.ndarray:
@@ -109,14 +124,15 @@ def _before(heads: np.ndarray, rows: np.ndarray, wanted: np.ndarray, lengths: np
     return np.where(differs[line, first], own[line, first] < wanted[line, first], equal_too)
 
 
-def search(heads: np.ndarray, suffixes: Suffixes) -> tuple[np.ndarray, np.ndarray]:
-    """Binary search of every item suffix: the range of training suffixes that begin with its window."""
+def search(heads: np.ndarray, suffixes: Suffixes, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Binary search of the ``wanted`` item suffixes: the range of training suffixes that begin with the window."""
     bounds = []
+    own, lengths = suffixes.heads(wanted), suffixes.lengths[wanted].astype(np.int64)
     for equal_too in (False, True):
-        low, high = np.zeros(len(suffixes.heads), np.int64), np.full(len(suffixes.heads), len(heads), np.int64)
+        low, high = np.zeros(len(wanted), np.int64), np.full(len(wanted), len(heads), np.int64)
         while (open_ := np.flatnonzero(low < high)).size:
             middle = (low[open_] + high[open_]) // 2
-            right = _before(heads, middle, suffixes.heads[open_], suffixes.lengths[open_], equal_too)
+            right = _before(heads, middle, own[open_], lengths[open_], equal_too)
             low[open_] = np.where(right, middle + 1, low[open_])
             high[open_] = np.where(right, high[open_], middle)
         bounds.append(low)
@@ -146,17 +162,18 @@ def matches(words: np.ndarray, first: np.ndarray, suffixes: Suffixes):
     owner = np.repeat(np.arange(docs), np.diff(first))
     hits = np.zeros(len(words) + 1, np.int64)
     pairs, longest = set(), {}
-    starts, heads = suffix_array(words, first[1:][owner], suffixes)
+    starts, heads, able = suffix_array(words, first[1:][owner], suffixes)
     if len(starts):
-        low, high = search(heads, suffixes)
         seen = []
-        for which, entry in _expand(low, high):
-            at = starts[entry]
-            np.add.at(hits, at, 1)
-            np.add.at(hits, at + suffixes.lengths[which], -1)
-            code = np.unique(np.stack([owner[at], suffixes.item[which]], axis=1), axis=0)
-            pairs.update(map(tuple, code.tolist()))
-            seen.append(np.stack([at - suffixes.place[which], at, suffixes.lengths[which], suffixes.item[which], owner[at]]))
+        for lo in range(0, len(able), SEARCHED):
+            wanted = able[lo : lo + SEARCHED]
+            for row, entry in _expand(*search(heads, suffixes, wanted)):
+                which, at = wanted[row], starts[entry]
+                length, item = suffixes.lengths[which].astype(np.int64), suffixes.item[which]
+                hits += np.bincount(at, minlength=len(hits)) - np.bincount(at + length, minlength=len(hits))
+                code = np.unique(np.stack([owner[at], item], axis=1), axis=0)
+                pairs.update(map(tuple, code.tolist()))
+                seen.append(np.stack([at - suffixes.start[which], at, length, item, owner[at]]))
         if seen:
             line = np.concatenate(seen, axis=1)
             line = line[:, np.lexsort((line[1], line[0], line[4]))]
@@ -219,22 +236,40 @@ def _report(blocks, share: int, spans: bool):
     return run
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> list:
-    """The benchmark's suffixes, broadcast in blocks of about BLOCK_WORDS words."""
-    spark = benchmark.sparkSession
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> tuple[int, Callable[[int], Suffixes]]:
+    """How many blocks the benchmark has, and what makes each: about BLOCK_WORDS words, whole items."""
     items = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     count = max(1, -(-size // (4 * BLOCK_WORDS)))
-    out = []
-    for k in range(count):
-        rows = items.where(F.pmod(F.xxhash64("id"), F.lit(count)) == k).orderBy("id", "text").toArrow() if count > 1 else items.orderBy("id", "text").toArrow()
-        words = []
+
+    def block(k: int) -> Suffixes:
+        own = items if count == 1 else items.where(F.pmod(F.xxhash64("id"), F.lit(count)) == k)
+        rows, words = own.orderBy("id", "text").toArrow(), []
         for chunk in rows.combine_chunks().to_batches():
             for _, _, data, offsets in shards(chunk.column(1)):
                 hashed, first = texts_to_hashes(data, offsets, _TABLE)
                 words += [hashed[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
-        out.append(spark.sparkContext.broadcast(Suffixes.of(rows.column(0).to_numpy(), words, window)))
-    return out
+        return Suffixes.of(rows.column(0).to_numpy(), words, window)
+
+    return count, block
+
+
+def _in_blocks(rows: DataFrame, count: int, block: Callable[[int], Suffixes], share: int) -> DataFrame:
+    """The report of ``row, text`` over several blocks; ``row`` differs for every row."""
+    context, united = rows.sparkSession.sparkContext, None
+    for k in range(count):
+        sent = context.broadcast(block(k))
+        part = materialize(rows.mapInArrow(_report(sent, share, True), f"id long, {REPORT}, hit_words array<long>"), "hits")
+        sent.unpersist()
+        united = part if united is None else united.unionByName(part)
+    best = F.max(F.when(F.col("longest_words").isNotNull(), F.struct("longest_words", (-F.col("longest_item")).alias("i"), (-F.col("longest_at")).alias("a"))))
+    merged = united.groupBy("id").agg(F.first("n_words").alias("n_words"), F.size(F.array_distinct(F.flatten(F.collect_list("hit_words")))).cast("long").alias("n_hit"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), best.alias("best"))
+    return merged.select(
+        "id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort(F.transform("item_ids", lambda x: x.cast("string"))), ","), 256).alias("items_sha256"),
+        ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "item_ids",
+        F.col("best.longest_words").alias("longest_words"), (-F.col("best.i")).alias("longest_item"), (-F.col("best.a")).alias("longest_at"),
+    )
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -245,23 +280,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     ``longest_words``, ``longest_item`` and ``longest_at`` give the longest
     verbatim match, its item and its first word in the document.
     """
-    blocks = _blocks(benchmark, item_col, item_text_col, window)
+    count, block = _blocks(benchmark, item_col, item_text_col, window)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = f"id {rows.schema['id'].dataType.simpleString()}, {REPORT}"
-    if len(blocks) == 1:
-        return rows.mapInArrow(_report(blocks[0], share, False), schema).withColumnRenamed("id", id_col)
-    parts = [rows.mapInArrow(_report(b, share, True), f"{schema}, hit_words array<long>") for b in blocks]
-    united = parts[0]
-    for part in parts[1:]:
-        united = united.unionByName(part)
-    best = F.max(F.struct("longest_words", (-F.col("longest_item")).alias("i"), (-F.col("longest_at")).alias("a")))
-    merged = united.groupBy("id", "n_words").agg(F.size(F.array_distinct(F.flatten(F.collect_list("hit_words")))).cast("long").alias("n_hit"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), best.alias("best"))
-    return merged.select(
-        F.col("id").alias(id_col), "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.array_sort(F.transform("item_ids", lambda x: x.cast("string"))), ","), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "item_ids",
-        F.col("best.longest_words").alias("longest_words"), (-F.col("best.i")).alias("longest_item"), (-F.col("best.a")).alias("longest_at"),
-    )
+    if count == 1:
+        sent = docs.sparkSession.sparkContext.broadcast(block(0))
+        return rows.mapInArrow(_report(sent, share, False), f"id {rows.schema['id'].dataType.simpleString()}, {REPORT}").withColumnRenamed("id", id_col)
+    rows = numbered(rows, "row", "decontam-rows")
+    report = _in_blocks(rows.select(F.col("row").alias("id"), "text"), count, block, share).withColumnRenamed("id", "row")
+    return rows.select("row", F.col("id").alias(id_col)).join(report, "row").drop("row")
 
 
 def _filter(blocks, share: int, at: int):
@@ -275,11 +301,13 @@ def _filter(blocks, share: int, at: int):
     return run
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, id_col: str = "doc_id", text_col: str = "text", **columns) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``docs`` without the contaminated rows; nothing is shuffled if the benchmark is one block."""
-    blocks = _blocks(benchmark, columns.get("item_col", "item_id"), columns.get("item_text_col", "text"), window)
-    if len(blocks) == 1:
-        return docs.mapInArrow(_filter(blocks[0], share, docs.columns.index(text_col)), docs.schema)
-    report = decontaminate(docs, benchmark, window, share, id_col, text_col, **columns)
-    bad = report.where("contaminated").select(F.col(id_col).alias("_bad")).distinct()
-    return docs.join(bad, F.col(id_col) == F.col("_bad"), "left_anti")
+    count, block = _blocks(benchmark, item_col, item_text_col, window)
+    if count == 1:
+        sent = docs.sparkSession.sparkContext.broadcast(block(0))
+        return docs.mapInArrow(_filter(sent, share, docs.columns.index(text_col)), docs.schema)
+    row = free_name(docs.columns, "_row")
+    rows = numbered(docs, row, "decontam-rows")
+    bad = _in_blocks(rows.select(F.col(row).alias("id"), F.col(text_col).alias("text")), count, block, share).where("contaminated")
+    return rows.join(bad.select(F.col("id").alias(row)), row, "left_anti").select(*docs.columns)

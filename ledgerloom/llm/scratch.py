@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-
-#: Used only where the session names no folder, as in tests.
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session (``spark.checkpoint.dir``)."""
+    """The shared folder of the session (``spark.checkpoint.dir``).
+
+    Where the setting is missing, a session on one machine gets a folder of its
+    own; on a cluster such a folder would not be shared, so this raises.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = LOCAL_CHECKPOINTS
-        if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-            spark.sparkContext.setCheckpointDir(folder)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="ledgerloom-")
+        spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
@@ -29,4 +33,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ledgerloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for ``df``; nothing may read it any more."""
+    path = df.__dict__.pop("_written_to", None)
+    if path:
+        context = df.sparkSession.sparkContext
+        target = context._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def free_name(columns: list[str], stem: str) -> str:
+    """``stem``, with underscores before it until no column starts with it (Spark ignores case)."""
+    taken = [c.lower() for c in columns]
+    while any(c.startswith(stem.lower()) for c in taken):
+        stem = f"_{stem}"
+    return stem
+
+
+def numbered(df: DataFrame, column: str, name: str) -> DataFrame:
+    """``df`` written with a number that differs for every row, null and repeated ids included."""
+    return materialize(df.withColumn(column, F.monotonically_increasing_id()), name)

@@ -87,3 +87,21 @@ def test_empty_tables(spark):
     assert [r.contaminated for r in decontam.decontaminate(d, b).collect()] == [False, False]
     assert decontam.drop_contaminated(d, b).count() == 2
     assert decontam.decontaminate(d.where("false"), b).count() == 0
+
+
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_rows_are_judged_by_themselves(spark, monkeypatch, blocks):
+    items = [(1, "a b c d e f g"), (2, "h i j k l m"), (2, "n o p q r s"), (None, "u v w x y z")]
+    texts = [(5, "a b c d e f", 1), (5, "q " * 200, 2), (5, "a b c d e f", 3), (None, "h i j k l m", 4), (None, "u v w x y z", 5), (None, None, 6), (7, "x " * 300_000 + "n o p q r s", 7)]
+    d = spark.createDataFrame(texts, "doc_id long, text string, row int")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    if blocks > 1:
+        monkeypatch.setattr(decontam, "BLOCK_WORDS", 3)
+    report = decontam.decontaminate(d, b, window=6)
+    seen = sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, r.contaminated) for r in report.collect()), key=str)
+    wanted = [(5, 6, 6, 1, True), (5, 200, 0, 0, False), (5, 6, 6, 1, True), (None, 6, 6, 1, True), (None, 6, 0, 0, False), (None, 0, 0, 0, False), (7, 300_006, 6, 1, False)]
+    assert seen == sorted(wanted, key=str)
+    assert sorted(r.row for r in decontam.drop_contaminated(d, b, window=6).collect()) == [2, 5, 6, 7]
+    clashing = d.withColumnRenamed("row", "_ROW").withColumn("id", d.text)
+    kept = decontam.drop_contaminated(clashing, b, window=6)
+    assert kept.columns == clashing.columns and sorted(r["_ROW"] for r in kept.collect()) == [2, 5, 6, 7]
