@@ -90,3 +90,66 @@ def test_defined_cases(spark, column):
     assert by[1].text is None and by[2].text == "" and by[1].n == by[2].n == 0
     assert all("@example." in by[k].text for k in (3, 4, 5)) and by[5].text.startswith("word " * 50_000)
     assert pii.pseudonymise(docs.where("false"), KEY).count() == 0
+
+
+def test_telephone_numbers_go_whole(spark):
+    texts = ["call +49 30 1234567 now", "call 030 1234567 now", "call 0049 30 1234567 now", "call +4930123456 now", "on 2024-03-05 12:30:45, 1.2.3"]
+    out = rewrite(spark, texts)
+    for i, shape in enumerate((r"call \+\d\d \d\d \d{7} now", r"call \d{3} \d{7} now", r"call \d{4} \d\d \d{7} now", r"call \+\d{10} now")):
+        assert re.fullmatch(shape, out[i]) and "1234567" not in out[i] and "123456" not in out[i]
+    assert out[4] == texts[4]
+
+
+def test_names_agree_in_a_text_and_across(spark):
+    texts = [
+        "Mr John Smith met Ann. John Smith left, SMITH too? Smith stayed; Smithson came.", "Mr Smith here", "Dr Anna Roe and Ms Anna Roe", "Dr Anna Roe alone",
+        "Κύριος Παπαδόπουλος ήρθε", "Ms 王小明 came. 王小明 left", "Mr Andrea Sole, then Dr Andrea Sole", "Ms Andrea Sole", "Mr Peter Smith",
+    ]
+    out = rewrite(spark, texts)
+    given, surname = re.match(r"Mr (\w+) (\w+) met Ann\. ", out[0]).groups()
+    assert re.fullmatch(rf"Mr {given} {surname} met Ann\. {given} {surname} left, SMITH too\? {surname} stayed; Smithson came\.", out[0])
+    assert out[1] == f"Mr {surname} here" and re.fullmatch(rf"Mr (?!{given}\b)\w+ {surname}", out[8].replace("-", ""))
+    a, b = re.fullmatch(r"Dr ([\w-]+ \w+) and Ms ([\w-]+ \w+)", out[2]).groups()
+    assert a == b and out[3] == f"Dr {a} alone" and a.split("-")[0].split()[0] in pii.GIVEN["f", "latin"]
+    assert re.fullmatch(r"Κύριος [Ͱ-Ͽ]+ ήρθε", out[4]) and "Παπαδόπουλος" not in out[4]
+    han = re.fullmatch(r"Ms ([一-鿿]+) came\. ([一-鿿]+) left", out[5]).groups()
+    assert han[0] == han[1] != "王小明"
+    he, he2 = re.fullmatch(r"Mr ([\w-]+) \w+, then Dr ([\w-]+) \w+", out[6]).groups()
+    assert he == he2 and he.split("-")[0] in pii.GIVEN["m", "latin"] and out[7].split()[1].split("-")[0] in pii.GIVEN["f", "latin"]
+
+
+def test_ip6_and_iban(spark):
+    texts = ["at 2001:db8::8a2e:370:7334, also 2001:0db8:0:0:0:8a2e:0370:7334;", "std::vector, a::b, 12:30:45", "DE89 3704 0044 0532 0130 00 GB29NWBK60161331926819"]
+    out = rewrite(spark, texts)
+    a, b = re.fullmatch(r"at ([0-9a-f:]+), also ([0-9a-f:]+);", out[0]).groups()
+    assert a == b and a.startswith("fd") and len(a) == 39
+    assert out[1] == texts[1]
+    for iban in re.fullmatch(r"(DE\d\d(?: \d{4}){4} \d\d) (GB\d\dNWBK\d{14})", out[2]).groups():
+        plain = iban.replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+    assert "3704" not in out[2] and "60161331926819" not in out[2]
+
+
+def test_permutation(spark):
+    for size in (2, 3, 5):
+        every = spark.range(10**size).select(F.lpad(F.col("id").cast("string"), size, "0").alias("x"))
+        moved = every.select("x", pii.permuted_digits(KEY, F.lit("t"), F.col("x")).alias("y"))
+        assert moved.select("y").distinct().count() == 10**size and moved.where("x = y or length(y) <> length(x)").isEmpty()
+
+
+def test_dense_types_stay_distinct(spark):
+    """Every seven-digit number with one first digit, and far more names than there are surrogates without a suffix."""
+    phones = spark.range(200_000).select(F.lit("phone").alias("kind"), (F.col("id") + 5_000_000).cast("string").alias("entity"))
+    people = spark.range(3000).select(F.lit("given").alias("kind"), F.concat(F.lit("n"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij"), F.lit("|f")).alias("entity"))
+    mails = spark.range(3000).select(F.lit("email").alias("kind"), F.concat(F.col("id").cast("string"), F.lit("@x.org")).alias("entity"))
+    out = pii.assign(phones.unionByName(people).unionByName(mails), KEY)
+    assert {r.kind: (r.n, r.d) for r in out.groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("core").alias("d")).collect()} == {"phone": (200_000, 200_000), "given": (3000, 3000), "email": (3000, 3000)}
+
+
+def test_marking_signs_and_any_column_names(spark):
+    text = "﷐ a@b.com ﷑x﷒ ﷓ Mr Smith ﷒﷕"
+    names = ["doc_id", "text", "_found", "_pii", "_PIIrow", "_id1", "_hash1", "_fresh", "row", "kind", "entity", "n"]
+    docs = spark.createDataFrame([(1, text, *names[2:])], names)
+    row = pii.pseudonymise(docs, KEY, count_col="count").collect()[0]
+    assert list(row.asDict()) == [*names, "count"] and row["count"] == 2 and [row[n] for n in names[2:]] == names[2:]
+    assert re.fullmatch("﷐ \\S+@example\\.\\w+ ﷑x﷒ ﷓ Mr \\w+ ﷒﷕", row.text)
