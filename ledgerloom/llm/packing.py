@@ -17,17 +17,25 @@ segment tree over residual capacities.
 
 from __future__ import annotations
 
+import contextlib
+import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.scratch import materialize
 
 
+#: Type of positions in packed rows, little-endian.
+POSITION = "<u4"
+
+
 @dataclass(frozen=True)
 class Limits:
     """Capacities of a sequence; None does not bind."""
@@ -218,21 +226,20 @@ def _rows(limit: int, pad_id: int, kind: str):
     """Packed rows from the pieces of each sequence: (offset, ids) pairs in any order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.arange(limit, dtype=POSITION)
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
-                n = part.num_rows
-                ids, positions, bounds = np.full((n, limit), pad_id, np.int32), np.zeros((n, limit), np.int32), []
+                ids, positions, bounds = np.full((part.num_rows, limit), pad_id, kind), np.zeros((part.num_rows, limit), POSITION), []
                 for i, pieces in enumerate(part.column(1).to_pylist()):
                     bounds.append([0])
                     for piece in sorted(pieces, key=lambda p: p["offset"]):
                         own, at = np.frombuffer(piece["ids"], kind), piece["offset"]
                         ids[i, at : at + len(own)] = own
-                        positions[i, at : at + len(own)] = np.arange(len(own))
+                        positions[i, at : at + len(own)] = count[: len(own)]
                         bounds[-1].append(at + len(own))
-                ends = pa.array(np.arange(0, n * limit + 1, limit, dtype=np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *(pa.ListArray.from_arrays(ends, pa.array(x.reshape(-1))) for x in (ids, positions)), pa.array(bounds, pa.list_(pa.int32()))],
+                    [part.column(0), *(pa.array([x.tobytes() for x in matrix], pa.binary()) for matrix in (ids, positions)), pa.array(bounds, pa.list_(pa.int32()))],
                     ["sequence_id", "input_ids", "position_ids", "cu_seqlens"],
                 )
 
@@ -242,11 +249,14 @@ def _rows(limit: int, pad_id: int, kind: str):
 def packed_rows(docs: DataFrame, tokenizer_path: str, tokens: int = 2048, end_id: int = 0, pad_id: int = 0, id_bytes: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents packed by best-fit-decreasing, as rows of a trainer's id matrix.
 
-    Columns: sequence_id; input_ids (``tokens`` ids, padded with ``pad_id``);
-    position_ids, which restart at 0 with every piece; cu_seqlens, the cumulative
-    lengths of the pieces from 0 (its last entry is where padding begins). A
-    document longer than a row is cut without loss; its pieces restart too.
-    Null texts are only the end id; an empty table gives no rows.
+    Columns: sequence_id, which differs for every row; input_ids, ``tokens``
+    little-endian ids of ``id_bytes`` bytes each, padded with ``pad_id``;
+    position_ids, as many 32-bit positions, which restart at 0 with every piece;
+    cu_seqlens, the cumulative lengths of the pieces from 0 (its last entry is
+    where padding begins). A document longer than a row is cut without loss; its
+    pieces restart too. Null texts are only the end id; repeated rows and rows
+    with null ids are packed each; an empty table gives no rows; other columns
+    are ignored.
 
     Only pieces shorter than a row are shuffled; a full piece is a row as it is.
     """
@@ -257,13 +267,53 @@ def packed_rows(docs: DataFrame, tokenizer_path: str, tokens: int = 2048, end_id
     keys = pieces.where(F.col("length") < tokens).select("doc_id", "piece", "length", "ids_crc32", "ids")
     slots = pack(keys, lambda lengths: best_fit_decreasing(lengths, tokens), ["doc_id", "piece", "length", "ids_crc32"])
     mixed = slots.groupBy("sequence_id").agg(F.collect_list(F.struct(F.col("offset").cast("int").alias("offset"), "ids")).alias("pieces"))
-    whole = pieces.where(F.col("length") == tokens).select(
-        (-1 - F.xxhash64("doc_id", "piece", "ids_crc32").bitwiseAND((1 << 62) - 1)).alias("sequence_id"), F.array(F.struct(F.lit(0).alias("offset"), "ids")).alias("pieces")
-    )
-    out = "sequence_id long, input_ids array<int>, position_ids array<int>, cu_seqlens array<int>"
+    whole = pieces.where(F.col("length") == tokens).select((-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.array(F.struct(F.lit(0).alias("offset"), "ids")).alias("pieces"))
+    out = "sequence_id long, input_ids binary, position_ids binary, cu_seqlens array<int>"
     return mixed.unionByName(whole).mapInArrow(_rows(tokens, pad_id, kind), out)
 
 
-def write_packed(rows: DataFrame, path: str) -> None:
-    """The packed rows as Parquet, one directory for a trainer to map."""
-    rows.write.mode("error").parquet(path)
+PARTS = ("ids", "positions", "cu_seqlens", "row_starts")
+
+
+def _write_shard(folder: str):
+    """The files of each task's rows; the index row that names them comes last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path = re.sub("^file:/+", "/", folder)
+        system, path = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        shard, rows, bounds = uuid.uuid4().hex, 0, 0
+        system.create_dir(path, recursive=True)
+        with contextlib.ExitStack() as stack:
+            ids, positions, lengths, starts = (stack.enter_context(system.open_output_stream(f"{path}/{shard}.{part}")) for part in PARTS)
+            for batch in batches:
+                for row in batch.to_pylist():
+                    ids.write(row["input_ids"])
+                    positions.write(row["position_ids"])
+                    lengths.write(np.array(row["cu_seqlens"], "<i4").tobytes())
+                    starts.write(np.array([bounds], "<i8").tobytes())
+                    rows, bounds = rows + 1, bounds + len(row["cu_seqlens"])
+            starts.write(np.array([bounds], "<i8").tobytes())
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (shard, rows, bounds - rows)], ["shard", "rows", "segments"])
+
+    return run
+
+
+def write_packed(rows: DataFrame, path: str) -> DataFrame:
+    """The packed rows as flat binary files, one set for each task, and their index: ``shard, rows, segments``.
+
+    ``{shard}.ids`` and ``{shard}.positions`` are matrices without a header, a
+    row for each sequence; ``{shard}.cu_seqlens`` has the cumulative lengths of
+    all rows end to end (32 bits each), and ``{shard}.row_starts`` where those of
+    each row begin, and the end (64 bits each). Files of tasks that failed are in
+    no index row and mean nothing. ``path`` must be shared by all executors.
+    """
+    index = rows.mapInArrow(_write_shard(f"{path}/data"), "shard string, rows long, segments long")
+    index.write.mode("error").parquet(f"{path}/index")
+    return rows.sparkSession.read.parquet(f"{path}/index")
+
+
+def open_packed(path: str, shard: str, tokens: int, id_bytes: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A shard mapped into memory: id matrix, position matrix, cumulative lengths, and where each row's begin."""
+    ids, positions, lengths, starts = (np.memmap(f"{path}/data/{shard}.{part}", kind, "r") for part, kind in zip(PARTS, (f"<u{id_bytes}", POSITION, "<i4", "<i8"), strict=True))
+    return ids.reshape(-1, tokens), positions.reshape(-1, tokens), lengths, starts
