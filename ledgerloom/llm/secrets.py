@@ -40,7 +40,7 @@ FORMATS = {
     "stripe_key": r"(?<![A-Za-z0-9])[sr]k_(?:live|test)_[A-Za-z0-9]{16,}",
     "google_key": r"(?<![A-Za-z0-9])AIza[A-Za-z0-9_-]{35}",
     "jwt": r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*",
-    "private_key": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----",
+    "private_key": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:(?:[^-]|-(?!-))*+-----END [A-Z ]{0,20}PRIVATE KEY-----)?",
 }
 _NAMES = r"passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|credential"
 _ASSIGNED = rf"(?i:{_NAMES})[A-Za-z0-9_]{{0,24}}[\"']?\s{{0,3}}[=:]\s{{0,3}}[\"']?(?P<assigned>[^\s\"'<>]{{6,}})"
@@ -193,8 +193,10 @@ def _scan(shared, threshold: float):
 def scan(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per candidate: id, start, end, rule, candidate_sha256, score, is_secret.
 
-    ``start`` and ``end`` count characters. Null and empty texts have none;
-    repeated rows repeat their findings; other columns are ignored. A finding
+    ``start`` and ``end`` count characters. A private key reaches to its END
+    line, if it has one before the next line of dashes. Null and empty texts have
+    none; very long texts are read whole; repeated rows and rows with null ids
+    repeat their findings; an empty table gives no rows; other columns are ignored. A finding
     that the forest takes for a false positive stays, with ``is_secret`` false.
     """
     shared = docs.sparkSession.sparkContext.broadcast(forest)
