@@ -200,13 +200,22 @@ def _power(digits: Column) -> Column:
     return F.element_at(F.array(*(F.lit(10**k).cast("long") for k in range(18))), (digits + 1).cast("int"))
 
 
-def permuted_digits(key: str, tweak: Column, digits: Column) -> Column:
-    """A keyed permutation of the digit strings of each length from 2 to 34."""
+def _halves(digits: Column) -> tuple[Column, Column, Column, Column]:
+    """A digit string as a pair and what its sides are below."""
     size = F.length(digits)
     half = F.floor(size / 2).cast("int")
-    rest = size - half
-    moved = permuted(key, F.concat_ws("|", tweak, size.cast("string")), F.substring(digits, F.lit(1), half), F.substring(digits, half + 1, rest), _power(half), _power(rest))
-    return F.concat(F.lpad(moved["l"].cast("string"), half, F.lit("0")), F.lpad(moved["r"].cast("string"), rest, F.lit("0")))
+    return F.substring(digits, F.lit(1), half).try_cast("long"), F.substring(digits, half + 1, size).try_cast("long"), _power(half), _power(size - half)
+
+
+def _rejoined(digits: Column, moved: Column) -> Column:
+    """A moved pair as a digit string of the old length."""
+    half = F.floor(F.length(digits) / 2).cast("int")
+    return F.concat(F.lpad(moved["l"].cast("string"), half, F.lit("0")), F.lpad(moved["r"].cast("string"), F.length(digits) - half, F.lit("0")))
+
+
+def permuted_digits(key: str, tweak: Column, digits: Column) -> Column:
+    """A keyed permutation of the digit strings of each length from 2 to 34."""
+    return _rejoined(digits, permuted(key, F.concat_ws("|", tweak, F.length(digits).cast("string")), *_halves(digits)))
 
 
 def _luhn_digit(head: Column) -> Column:
@@ -232,25 +241,39 @@ def _fill(shape: Column, core: Column, keep: str) -> Column:
     return filled["out"]
 
 
-def surrogate_core(key: str, kind: Column, entity: Column) -> Column:
-    """The canonical form of a surrogate, before entities of a hashed type are told apart."""
-    a, b, size = _hash(key, kind, entity, F.lit("a")), _hash(key, kind, entity, F.lit("b")), F.length(entity)
+def _cases(kind: Column, cases: dict[str, Column], otherwise: Column) -> Column:
+    return reduce(lambda out, k: F.when(kind == k, cases[k]).otherwise(out), cases, otherwise)
 
-    head = F.concat(F.substring(entity, 1, 1), permuted_digits(key, F.concat_ws("|", kind, F.substring(entity, 1, 1)), F.substring(entity, F.lit(2), size - 2)))
-    off = F.substring(entity, -1, 1).cast("int") - _luhn_digit(F.substring(entity, F.lit(1), size - 1))
-    card = F.concat(head, F.pmod(_luhn_digit(head) + off, F.lit(10)).cast("string"))
 
-    kept = F.when(size >= 9, 2).otherwise(1)
-    prefix = F.substring(entity, F.lit(1), kept)
-    phone = F.concat(prefix, permuted_digits(key, F.concat_ws("|", kind, prefix), F.substring(entity, kept + 1, size)))
-    ssn = F.concat(F.lit("9"), permuted_digits(key, F.concat_ws("|", kind, F.substring(entity, 1, 1)), F.substring(entity, 2, 8)))
+def surrogate_cores(entities: DataFrame, key: str) -> DataFrame:
+    """``kind, entity, core``: the canonical form of each surrogate, before entities that share one are told apart.
 
-    octets = F.transform(F.split(entity, r"\."), lambda o: o.cast("int"))
-    low = octets[1] * 65536 + octets[2] * 256 + octets[3]
-    moved = permuted(key, F.concat_ws("|", kind, octets[0].cast("string")), F.floor(low / 4096), low % 4096, F.lit(4096), F.lit(4096))
-    fresh = moved["l"] * 4096 + moved["r"]
-    ip = F.concat_ws(".", F.lit("10"), F.floor(fresh / 65536).cast("string"), (F.floor(fresh / 256) % 256).cast("string"), (fresh % 256).cast("string"))
-    ip6 = F.concat(F.lit("fd"), F.substring(a, 1, 30))
+    All permuted types go through one permutation, a step of its own, so that it is computed once a row.
+    """
+    kind, entity, size = F.col("kind"), F.col("entity"), F.length("entity")
+    unknown = F.raise_error(F.concat(F.lit("no surrogates for type "), kind)).cast("string")
+    kept = F.when(size >= 9, 2).otherwise(1)
+    numbers = {"card": F.substring(entity, F.lit(2), size - 2), "phone": F.substring(entity, kept + 1, size), "ssn": F.substring(entity, 2, 8), "iban": _digits(F.substring(entity, 5, 40))}
+    shape = F.concat(F.substring(entity, 1, 2), F.regexp_replace(F.substring(entity, 5, 40), "[0-9]", "0"))
+    tweaks = {"card": F.substring(entity, 1, 1), "phone": F.substring(entity, F.lit(1), kept), "ssn": F.substring(entity, 1, 1), "iban": shape, "ip": F.split_part(entity, F.lit("."), F.lit(1))}
+    none = F.lit(None).cast("string")
+    rows = entities.select("kind", "entity", _cases(kind, numbers, none).alias("digits"), _cases(kind, tweaks, none).alias("tweak"), _hash(key, kind, entity, F.lit("a")).alias("a"), _hash(key, kind, entity, F.lit("b")).alias("b"))
+
+    octets = F.transform(F.split("entity", r"\."), lambda o: o.try_cast("int"))
+    low = F.when(kind == "ip", F.try_element_at(octets, F.lit(2)) * 65536 + F.try_element_at(octets, F.lit(3)) * 256 + F.try_element_at(octets, F.lit(4)))
+    pairs = zip((F.floor(low / 4096), low % 4096, F.lit(4096).cast("long"), F.lit(4096).cast("long")), _halves(F.col("digits")), strict=True)
+    left, right, most_left, most_right = (F.when(kind == "ip", x).otherwise(y) for x, y in pairs)
+    able = (kind == "ip") | (F.length("digits") > 1)
+    moved = F.when(able, permuted(key, F.concat_ws("|", kind, F.length("digits").cast("string"), "tweak"), left, right, most_left, most_right))
+    rows = rows.withColumn("moved", moved)
+    rows = rows.withColumn("number", F.when(kind != "ip", F.coalesce(_rejoined(F.col("digits"), F.col("moved")), "digits")).otherwise(F.col("moved.l") * 4096 + F.col("moved.r")))
+
+    a, b, number = F.col("a"), F.col("b"), F.col("number")
+    head = F.concat(F.substring(entity, 1, 1), number)
+    off = F.substring(entity, -1, 1).try_cast("int") - _luhn_digit(F.substring(entity, F.lit(1), size - 1))
+    last = F.pmod(_luhn_digit(head) + off, F.lit(10)).cast("string")
+    address = number.try_cast("long")
+    ip = F.concat_ws(".", F.lit("10"), F.floor(address / 65536).cast("string"), (F.floor(address / 256) % 256).cast("string"), (address % 256).cast("string"))
 
     local = F.regexp_extract(entity, "^([^@]*)@", 1)
     letters = F.translate(a, "0123456789", "ghijklmnop")
@@ -258,21 +281,22 @@ def surrogate_core(key: str, kind: Column, entity: Column) -> Column:
     rest = F.concat(F.regexp_extract(local, "^[^0-9._+-]*([._+-]?)", 1), F.when(local.rlike("[0-9]"), F.lpad((_number(b, 9) % 10000).cast("string"), 4, "0")).otherwise(""))
     email = F.concat(first, F.lit("|"), rest, F.lit("@"), _pick(_list(["example.com", "example.org", "example.net"]), _number(b, 1)))
 
-    country, account = F.substring(entity, 1, 2), F.substring(entity, 5, 40)
-    numbers = _digits(account)
-    new_account = F.when(F.length(numbers) > 1, _fill(account, permuted_digits(key, F.concat_ws("|", kind, country, F.regexp_replace(account, "[0-9]", "0")), numbers), "[0-9]")).otherwise(account)
-    check = F.pmod(_iban_check(country, new_account) + F.substring(entity, 3, 2).cast("int") - _iban_check(country, account), F.lit(100))
-    iban = F.concat(country, F.lpad(check.cast("string"), 2, "0"), new_account)
-
     word, gender = F.split_part(entity, F.lit("|"), F.lit(1)), F.split_part(entity, F.lit("|"), F.lit(2))
-    script = _script(word)
-    syllables = _by_script(script, SYLLABLES)
-    sounds = [_pick(syllables, _number(a, at)) for at in (1, 9, 17)]
-    surname = F.initcap(F.concat(*sounds, F.when(script.isin(*ALPHABETS), _pick(syllables, _number(a, 25))).otherwise("")))
-    listed = F.when(gender == "f", _pick(_by_script(script, _given("f")), _number(a, 1))).otherwise(_pick(_by_script(script, _given("m")), _number(a, 1)))
-    given = F.when(script.isin(*ALPHABETS), listed).otherwise(F.concat(*(_pick(syllables, _number(b, at)) for at in (1, 9))))
-    cores = {"card": card, "phone": phone, "ssn": ssn, "ip": ip, "ip6": ip6, "email": email, "iban": iban, "surname": surname, "given": given}
-    return reduce(lambda out, k: F.when(kind == k, cores[k]).otherwise(out), cores, F.raise_error(F.concat(F.lit("no surrogates for type "), kind)).cast("string"))
+    account = F.substring(entity, 5, 40)
+    rows = rows.withColumn("fresh", F.when(kind == "iban", _fill(account, number, "[0-9]")).otherwise(_script(word)))
+    country, script = F.substring(entity, 1, 2), F.col("fresh")
+    check = F.pmod(_iban_check(country, F.col("fresh")) + F.substring(entity, 3, 2).try_cast("int") - _iban_check(country, account), F.lit(100))
+    iban = F.concat(country, F.lpad(check.cast("string"), 2, "0"), "fresh")
+
+    rows = rows.withColumn("sounds", _by_script(script, SYLLABLES)).withColumn("names", F.when(gender == "f", _by_script(script, _given("f"))).otherwise(_by_script(script, _given("m"))))
+    syllables = F.col("sounds")
+    surname = F.initcap(F.concat(*(_pick(syllables, _number(a, at)) for at in (1, 9, 17)), F.when(script.isin(*ALPHABETS), _pick(syllables, _number(a, 25))).otherwise("")))
+    given = F.when(script.isin(*ALPHABETS), _pick(F.col("names"), _number(a, 1))).otherwise(F.concat(*(_pick(syllables, _number(b, at)) for at in (1, 9))))
+    cores = {
+        "card": F.concat(head, last), "phone": F.concat(F.substring(entity, F.lit(1), kept), number), "ssn": F.concat(F.lit("9"), number), "ip": ip, "ip6": F.concat(F.lit("fd"), F.substring(a, 1, 30)),
+        "email": email, "iban": iban, "surname": surname, "given": given,
+    }
+    return rows.select("kind", "entity", _cases(kind, cores, unknown).alias("core"))
 
 
 def _suffixed(kind: Column, entity: Column, core: Column, rank: Column) -> Column:
@@ -300,7 +324,7 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
     Of the hashed types, entities with one core are ranked by hash; a surname's
     core that is a surname of the corpus is not given away without a suffix.
     """
-    made = materialize(entities.withColumn("core", surrogate_core(key, F.col("kind"), F.col("entity"))), "surrogates")
+    made = materialize(surrogate_cores(entities, key), "surrogates")
     hashed = F.col("kind").isin(*HASHED)
     order = Window.partitionBy("kind", "core").orderBy(F.xxhash64("entity"), "entity")
     faces = made.where("kind = 'surname'").select("kind", F.initcap("entity").alias("core")).distinct().withColumn("taken", F.lit(1))

@@ -7,8 +7,16 @@ terms learned from the labelled sample: words, and stems of four to six letters,
 found in toxic documents far more often than in others.
 
 Training takes at most ``SAMPLE_PER_CLASS`` labelled documents of each class,
-weighted so that the classes keep their shares of all labelled documents.
-Scoring reads every text whole; each distinct token of a chunk is looked at once.
+weighted so that the classes keep their shares of all labelled documents. A
+fourth of the texts, chosen by hash, only calibrates: neither terms nor trees are
+learned from it. Scoring reads every text whole; a task looks at a token once and
+keeps what it found in a bounded cache.
+
+Defined cases: null and empty texts count as a text without words; repeated rows
+and rows with null ids are each scored; without labels of both classes every
+text gets the learned base; ties of terms go by their letters; an empty table
+gives no rows; other columns are ignored, or kept by ``drop_toxic``, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -47,6 +55,7 @@ SWAPS = str.maketrans("013457@$!|", "oieastasil")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _MIXED = re.compile(r"[^\W\d_][0-9@$!|*]+[^\W\d_]")
 _STRETCH = re.compile(r"(\w)\1{2,}")
+_LOOSE = re.compile(r"[^\W\d_](?:[.\-*_][^\W\d_])*")
 _SPACED = re.compile(r"(?<!\S)(?:[^\W\d_][ .\-*_]){2,}[^\W\d_](?!\S)")
 
 FEATURES = (
@@ -126,29 +135,69 @@ def _token_traits(token: str, lexicon: Lexicon) -> tuple[float, ...]:
     )
 
 
+#: Tokens that a worker remembers; a full cache is emptied.
+CACHE_TOKENS = 300_000
+
+
+class Traits:
+    """Numbers of tokens with their traits, kept from chunk to chunk."""
+
+    def __init__(self, lexicon: Lexicon):
+        self.lexicon, self.number, self.table, self.loose, self.plain = lexicon, {}, np.zeros((0, 12)), np.zeros(0, np.int8), np.zeros(0, np.int64)
+        self.words: dict[str, int] = {}
+
+    def learn(self, tokens: set[str]) -> None:
+        fresh = [t for t in tokens if t not in self.number]
+        if fresh and len(self.number) + len(fresh) > CACHE_TOKENS:
+            self.__init__(self.lexicon)
+            fresh = list(tokens)
+        if fresh:
+            self.number.update(zip(fresh, range(len(self.number), len(self.number) + len(fresh)), strict=True))
+            self.table = np.concatenate([self.table, np.array([_token_traits(t, self.lexicon) for t in fresh], float).reshape(-1, 12)])
+            self.loose = np.append(self.loose, np.array([min(3, (len(t) + 1) // 2) if _LOOSE.fullmatch(t) else 0 for t in fresh], np.int8))
+            first = [w[0] if (w := _LETTERS.findall(t.lower())) else "" for t in fresh]
+            self.plain = np.append(self.plain, [self.words.setdefault(w, len(self.words)) for w in first])
+
+    def of(self, tokens: list[str]) -> np.ndarray:
+        """The number of each token, all learned before."""
+        return np.fromiter(map(self.number.__getitem__, tokens), np.int64, len(tokens))
+
+
+_TRAITS: dict[int, Traits] = {}
+
+
+def _traits(lexicon: Lexicon) -> Traits:
+    """The worker's traits for a lexicon; the last one stays."""
+    if id(lexicon) not in _TRAITS or _TRAITS[id(lexicon)].lexicon is not lexicon:
+        _TRAITS.clear()
+        _TRAITS[id(lexicon)] = Traits(lexicon)
+    return _TRAITS[id(lexicon)]
+
+
+def _may_be_spaced(loose: np.ndarray) -> bool:
+    """Whether a spaced-out word can be among tokens: one of three letters, or two such tokens side by side."""
+    return bool((loose > 2).any() or ((loose[1:] > 0) & (loose[:-1] > 0)).any())
+
+
 def features(texts: list[str], lexicon: Lexicon) -> np.ndarray:
     """One row per text, in the order of ``FEATURES``."""
-    rows = [t.split() for t in texts]
-    number: dict[str, int] = {}
-    for row in rows:
-        for token in row:
-            if token not in number:
-                number[token] = len(number)
-    traits = np.array([_token_traits(t, lexicon) for t in number], float).reshape(-1, 12)
-    plain = [w[0] if (w := _LETTERS.findall(t.lower())) else "" for t in number] if len(number) else []
+    known, rows = _traits(lexicon), [t.split() for t in texts]
+    known.learn({token for row in rows for token in row})
     out = np.zeros((len(texts), len(FEATURES)))
     for i, (row, text) in enumerate(zip(rows, texts, strict=True)):
         if not row:
             continue
-        own = np.fromiter(map(number.__getitem__, row), np.int64, len(row))
-        t = traits[own]
-        s = t.sum(axis=0)
-        weight = np.maximum(t[:, 0], t[:, 3])
+        own = known.of(row)
+        t = known.table
+        s = np.bincount(own, minlength=len(t)) @ t if len(row) > len(t) else t[own].sum(axis=0)
+        weight = np.maximum(t[own, 0], t[own, 3])
         at = np.flatnonzero(weight)
-        spaced = [max(lexicon.weight(w), lexicon.weight(w.translate(SWAPS))) for m in _SPACED.findall(text) if (w := re.sub(r"[ .\-*_]", "", m.lower()))]
-        you = np.flatnonzero(t[:, 2])
+        spaced = []
+        if _may_be_spaced(known.loose[own]):
+            spaced = [max(lexicon.weight(w), lexicon.weight(w.translate(SWAPS))) for m in _SPACED.findall(text) if (w := re.sub(r"[ .\-*_]", "", m.lower()))]
         near = 0
-        if len(at) and len(you):
+        if len(at) and s[2]:
+            you = np.flatnonzero(t[own, 2])
             gap = np.searchsorted(you, at)
             least = np.minimum(np.abs(you[np.minimum(gap, len(you) - 1)] - at), np.abs(you[np.maximum(gap - 1, 0)] - at))
             near = int((least <= NEAR).sum())
@@ -156,7 +205,7 @@ def features(texts: list[str], lexicon: Lexicon) -> np.ndarray:
         total = float(weight.sum() + sum(spaced))
         words, letters, chars = len(row), max(1.0, s[8]), max(1.0, s[8] + s[9] + s[10])
         out[i] = (
-            hits, hits / words, len({plain[k] for k in own[at]}), total, total / words, s[1], near, s[2] / words, int((t[:, 3] > 0).sum()) + sum(x > 0 for x in spaced),
+            hits, hits / words, len(np.unique(known.plain[own[at]])), total, total / words, s[1], near, s[2] / words, int((t[own[at], 3] > 0).sum()) + sum(x > 0 for x in spaced),
             s[4] / words, s[5] / words, s[11] / letters, s[6] / words, s[10] / chars, s[7] / words, math.log1p(words), s[8] / words, s[9] / chars,
         )
     return out
@@ -178,7 +227,7 @@ def _featurise(lexicon: Lexicon):
         for batch in batches:
             for lo, texts in _chunks(batch.column(0)):
                 x = features(texts, lexicon)
-                yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), batch.column(1).slice(lo, len(texts)), batch.column(2).slice(lo, len(texts))], ["x", "label", "weight"])
+                yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), batch.column(1).slice(lo, len(texts)), batch.column(2).slice(lo, len(texts)), batch.column(3).slice(lo, len(texts))], ["x", "label", "weight", "aside"])
 
     return run
 
@@ -194,16 +243,16 @@ class ToxicityModel:
 
 
 def train(sample: DataFrame, boosting: Boosting = Boosting()) -> ToxicityModel:
-    """``sample``: text, label (0 or 1), weight if rows stand for others too, bounded. Every fourth row only calibrates."""
-    sample = materialize(weighted(sample), "toxic-sample")
-    lexicon = learn_lexicon(sample)
-    rows = sample.mapInArrow(_featurise(lexicon), "x array<double>, label int, weight double").toArrow()
+    """``sample``: text, label (0 or 1), weight if rows stand for others too, bounded."""
+    sample = materialize(weighted(sample).withColumn("aside", F.pmod(F.xxhash64("text"), F.lit(4)) == 3), "toxic-sample")
+    lexicon = learn_lexicon(sample.where("not aside"))
+    rows = sample.mapInArrow(_featurise(lexicon), "x array<double>, label int, weight double, aside boolean").toArrow()
     x = np.array(rows.column("x").to_pylist(), float).reshape(-1, len(FEATURES))
     y = rows.column("label").to_numpy().astype(float)
     weight = rows.column("weight").to_numpy()
     order = np.lexsort((y, *x.T))
     x, y, weight = x[order], y[order], weight[order]
-    aside = np.arange(len(y)) % 4 == 3
+    aside = rows.column("aside").to_numpy()[order]
     forest = fit(x[~aside], y[~aside], boosting, weight[~aside])
     return ToxicityModel(lexicon, forest, Isotonic.fit(forest.score(x[aside]), y[aside], weight[aside]))
 

@@ -67,7 +67,7 @@ def test_all_grams_are_kept_in_shards(spark, monkeypatch):
     training = spark.createDataFrame(texts, "lang string, text string")
     monkeypatch.setattr(langid, "SHARD_ROWS", 100)
     counts = {k: np.unique(langid.codes_of(langid.WORD.findall(" ".join(t for lang, t in texts if lang == k)))[0], return_counts=True) for k in "abc"}
-    plain, trained = langid.build(counts), langid.train(training)
+    plain, trained = langid.build(counts), langid.learn(langid.gram_counts(training, "lang", "text"))
     assert sum(len(g) for g, _ in counts.values()) > 5000 and trained.shards.count > 100 and trained.shards.held is None
     assert np.allclose(plain.discount, trained.discount) and plain.floor == trained.floor
     seen = np.concatenate([g for g, _ in counts.values()])
@@ -209,3 +209,65 @@ def test_long_secrets_are_whole(spark):
     for i, secret, rule in ((1, token, "assignment"), (2, key, "bare_hex")):
         assert (found[i].rule, found[i].end - found[i].start) == (rule, len(secret))
         assert found[i].candidate_sha256 == hashlib.sha256(secret.encode()).hexdigest()
+
+
+def test_numerals_are_no_letters(spark):
+    docs = spark.createDataFrame([(i, t, 1, None, k) for i, (t, k) in enumerate([("the cat and the hat", "en"), ("der hund und die katze", "de")] * 20)], DOCS)
+    model = langid.train(docs, lang_col="label")
+    odd = spark.createDataFrame([(1, "² ½ ① ٣ 7", 1, "", ""), (2, "x²the", 1, "", ""), (3, "ʰ", 1, "", "")], DOCS)
+    assert [r.lang_pred == "und" for r in langid.identify(odd, model).collect()] == [True, False, False]
+    assert langid.words_of("A²B ½ Été _x9y") == ["a", "b", "été", "x", "y"]
+
+
+def test_calibration_texts_are_not_counted(spark):
+    rows = [(lang, f"{stem}{chr(97 + i % 26)}{chr(97 + i // 26)}") for lang, stem in (("a", "ab"), ("b", "cd")) for i in range(300)]
+    texts = spark.createDataFrame(rows, "lang string, text string")
+    cut = langid.calibration_cut(texts)
+    aside = texts.where(F.xxhash64("text") <= cut).count()
+    assert 0 < aside <= 300 and aside < texts.count() / 4
+    model = langid.train(texts)
+    _, kinds = model.shards.find(np.array([langid._place(langid.ORDER)]), 2)
+    number, _ = model.shards.find(langid.codes_of(["ab"])[0][:1] | langid._place(langid.ORDER - 1), 2)
+    assert number[0].tolist() == [300 - texts.where((F.xxhash64("text") <= cut) & (F.col("lang") == "a")).count(), 0]
+
+
+def test_private_key_is_whole(spark):
+    forest = secrets.train(secrets.labelled_findings(spark, rows=600), trees=20)
+    body = "\n".join(["MIIEpAIBAAKCAQEA" * 4] * 20)
+    key = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\n{body}\n-----END RSA PRIVATE KEY-----"
+    cut = "-----BEGIN PRIVATE KEY-----"
+    docs = spark.createDataFrame([(1, f"a {key} b", 1, "x", "y"), (2, f"{cut} never ends " + f"{cut} " * 20_000, 1, "x", "y")], DOCS)
+    found = secrets.scan(docs, forest).where("rule = 'private_key'").collect()
+    assert [(r.start, r.end) for r in found if r.doc_id == 1] == [(2, 2 + len(key))]
+    assert len([r for r in found if r.doc_id == 2]) == 20_001
+
+
+def test_planted_secrets_recall(spark, larger):
+    """Secrets and decoys made here, not by the module's generator, planted in the documents of the table."""
+    rng = np.random.default_rng(9)
+    pick = lambda chars, n: "".join(rng.choice([*chars], n))
+    letters, digits = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    secret = [
+        lambda: f"aws_access_key_id = AKIA{pick(letters[26:] + digits, 16)}", lambda: f"github: ghp_{pick(letters + digits, 36)}", lambda: f'password = "{pick(letters + digits + "!%&+", 16)}"',
+        lambda: f"api_key: {pick('abcdef' + digits, 40)}", lambda: f"slack xoxb-{pick(digits, 12)}-{pick(letters + digits, 24)}", lambda: f"ACCESS_TOKEN={pick(letters + digits + '_-', 48)}",
+    ]
+    decoy = [lambda: "password = changeme", lambda: f"commit sha1 {pick('abcdef' + digits, 40)}", lambda: "token: your_token_here", lambda: "secret=os.environ[SECRET]", lambda: f"md5 checksum {pick('abcdef' + digits, 32)}"]
+    texts = [r.text for r in queries.table(spark, larger, "documents").where("length(text) between 200 and 2000").orderBy("doc_id").limit(240).collect()]
+    rows = [(i, f"{t[:100]} {(secret[i // 2 % 6] if i % 2 else decoy[i // 2 % 5])()} {t[100:]}", 1, "", "") for i, t in enumerate(texts)]
+    found = secrets.scan(spark.createDataFrame(rows, DOCS), secrets.train(secrets.labelled_findings(spark))).where("start between 95 and 150").collect()
+    hit = {r.doc_id for r in found if r.is_secret}
+    planted = {i for i in range(len(rows)) if i % 2}
+    assert len(hit & planted) >= 0.95 * len(planted)
+    assert len(hit - planted) <= 0.1 * (len(rows) - len(planted))
+
+
+def test_memory_of_quality_features():
+    import tracemalloc
+
+    text = b"Some words, and more of them. " * 300_000
+    data = np.frombuffer(text, np.uint8)
+    tracemalloc.start()
+    quality.features(data, np.array([0, len(data)]))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 50 * len(data)

@@ -119,15 +119,29 @@ def test_op9_round_trip(spark, sf_dir, tokenizer, tmp_path):
     for r in docs.select("text").collect():
         ids = plain_ids(tokenizer, r.text)
         wanted.update(tuple(ids[a : a + 2048]) for a in range(0, len(ids), 2048))
-    got = Counter()
-    packing.write_packed(queries.op9_token_binary_output(spark, sf_dir), str(tmp_path / "packed"))
-    rows = spark.read.parquet(str(tmp_path / "packed")).collect()
-    assert len({r.sequence_id for r in rows}) == len(rows)
-    for r in rows:
-        assert len(r.input_ids) == len(r.position_ids) == 2048 and r.cu_seqlens[0] == 0
-        for a, b in zip(r.cu_seqlens, r.cu_seqlens[1:], strict=False):
-            assert r.position_ids[a:b] == list(range(b - a))
-            got[tuple(r.input_ids[a:b])] += 1
-        assert not any(r.input_ids[r.cu_seqlens[-1] :]) and not any(r.position_ids[r.cu_seqlens[-1] :])
+    got, seen = Counter(), []
+    rows = queries.op9_token_binary_output(spark, sf_dir)
+    index = packing.write_packed(rows, str(tmp_path / "packed")).collect()
+    for shard in index:
+        ids, positions, lengths, starts = packing.open_packed(str(tmp_path / "packed"), shard.shard, 2048)
+        assert len(ids) == len(positions) == shard.rows == len(starts) - 1 and shard.segments == len(lengths) - shard.rows
+        for i in range(shard.rows):
+            bounds = lengths[starts[i] : starts[i + 1]].tolist()
+            assert bounds[0] == 0
+            for a, b in zip(bounds, bounds[1:], strict=False):
+                assert positions[i, a:b].tolist() == list(range(b - a))
+                got[tuple(ids[i, a:b].tolist())] += 1
+            assert not ids[i, bounds[-1] :].any() and not positions[i, bounds[-1] :].any()
+            seen.append((ids[i].tobytes(), positions[i].tobytes(), bounds))
     assert got == wanted
+    rows = rows.collect()
+    assert len({r.sequence_id for r in rows}) == len(rows)
+    assert sorted((bytes(r.input_ids), bytes(r.position_ids), r.cu_seqlens) for r in rows) == sorted(seen)
     assert packed_rows(docs.where("false"), queries.tokenizer_path()).count() == 0
+
+
+def test_equal_rows_get_rows_of_their_own(spark):
+    docs = spark.createDataFrame([(1, "word " * 9000, 1), (1, "word " * 9000, 2), (None, None, 3), (None, "", 4)], "doc_id long, text string, sequence_id int")
+    rows = packed_rows(docs, queries.tokenizer_path()).collect()
+    assert len(rows) == len({r.sequence_id for r in rows}) == 9
+    assert sum(r.cu_seqlens[-1] for r in rows) == 2 * 9001 + 2
