@@ -8,8 +8,9 @@ enumerate the ``SUBSET``-element subsets of that prefix and meet on a whole
 subset. Larger sets are *heavy*: the inverted lists of their prefix shingles are
 scanned. The boundary is the size at which the estimated cost of both is least.
 
-Documents with equal sets are one *node*. Inverted lists are sorted and read as
-streams, never collected. A list of at most ``SHORT`` nodes gives its pairs; a
+Documents with equal sets are one *node*, known by a 64-bit hash of its set; where
+a second hash shows that unlike sets share one, the second one is used for them.
+Inverted lists are sorted and read as streams, never collected. A list of at most ``SHORT`` nodes gives its pairs; a
 pair needs as many lists in common as its prefixes must share, so the chance
 meetings of unlike documents are dropped by counting. In a longer list nodes of
 different components are compared by the parity of hashed shingles (which bounds
@@ -18,15 +19,21 @@ the components, then, when that finds nothing new, every pair left. A group of a
 thousand copies never becomes a million pairs. All pairs that pass are verified
 on the full sets; no link between different components is lost.
 
+A list is dealt to tasks by its key. The count sketch bounds how long it can be:
+lists that may be longer than ``HOT_LIST`` are not dealt by key at all, and long
+lists are compared in pairs of blocks of ``LIST_BLOCK`` to ``MOST_BLOCK`` nodes, a
+task for each pair, so that more machines shorten even the longest.
+
 The rarity order comes from one row of a count sketch over *all* shingles. A
 sketch can only misjudge rarity; any order that all sets share gives the same
 links. Shingles are compared by 64-bit hashes.
 
 Defined cases: a null text or one without words has the empty set, ``n = 0``,
 and links with nothing; fewer words than the shingle width are one shingle, the
-whole sequence; repeated rows link with each other; an empty table gives no
-rows; other columns are ignored. Ids must be unique integers; null ids are
-dropped.
+whole sequence; repeated rows, rows with one id and rows with null ids are rows of
+their own, which link like any others; very long texts are read whole; an empty
+table gives no rows; other columns are ignored, or kept by ``keep_one``, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -41,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.components import connected_components
-from ledgerloom.llm.scratch import materialize
+from ledgerloom.llm.scratch import free_name, materialize, numbered
 from ledgerloom.llm.words import mix, shards, signed, spaced, texts_to_hashes
 
 SKETCH_BITS = 20
@@ -55,6 +62,12 @@ BITMAP_BITS = (64, 1 << 16)
 BLOCK = 512
 #: Nodes of a list whose pairs are enumerated; longer lists are joined by components.
 SHORT = 16
+#: Lists that may be longer are not gathered by key; long ones are compared in blocks from the first size to the second.
+HOT_LIST, LIST_BLOCK, MOST_BLOCK = 4096, 512, 1 << 14
+#: Blocks of a list that the block size aims at.
+BLOCKS = 64
+#: Sets with a node in common that differ: two in 10**10 documents are to be expected.
+MOST_CLASHES = 100_000
 #: One vote is asked for this many shingles of a set, besides the first.
 VOTE_SHARE = 32
 #: Rounds at most that join the components left in a list by a spanning forest of pairs,
@@ -68,7 +81,7 @@ _TABLE = spaced()
 class JaccardJoin:
     """What the join found.
 
-    ``members``: id, n_shingles, node. ``links``: node pairs ``a < b`` that were
+    ``members``: row, id, n_shingles, node (``row`` differs for every row). ``links``: node pairs ``a < b`` that were
     verified; their components are those of all links. ``components``:
     node, component (smallest node) for linked nodes.
     """
@@ -110,30 +123,40 @@ def fold(bits: np.ndarray, size: int) -> np.ndarray:
     return bits
 
 
-def node_of(grams: np.ndarray) -> int:
-    return int(signed(mix(mix(grams).sum(keepdims=True) + np.uint64(len(grams))))[0])
+def marks_of(grams: np.ndarray) -> tuple[int, int]:
+    """Two hashes of a set, independent of each other."""
+    mixed = mix(grams)
+    sums = np.array([mixed.sum(), (mixed * (mixed >> np.uint64(32) | np.uint64(1))).sum()]) + np.uint64(len(grams))
+    return tuple(signed(mix(sums)).tolist())
+
+
+def node_of(grams: np.ndarray, clashing: frozenset[int] = frozenset()) -> int:
+    node, check = marks_of(grams)
+    return check if node in clashing else node
 
 
 def _describe(width: int):
-    """Id, size, node and bitmap of each document, and the task's part of the sketch."""
+    """Row, id, size, both hashes and bitmap of each document, and the task's part of the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
-        names = ["id", "n", "node", "bits"]
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+        names = ["row", "id", "n", "node", "check", "bits"]
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
         for batch in batches:
-            ids = batch.column(0)
-            for first, last, data, offsets in shards(batch.column(1)):
-                n, node, bits = [], [], []
+            for first, last, data, offsets in shards(batch.column(2)):
+                n, node, check, bits = [], [], [], []
                 for grams in shingle_rows(data, offsets, width):
                     np.add.at(sketch, (grams & np.uint64(len(sketch) - 1)).astype(np.int64), np.uint32(1))
                     n.append(len(grams))
-                    node.append(node_of(grams) if len(grams) else None)
+                    marks = marks_of(grams) if len(grams) else (None, None)
+                    node.append(marks[0])
+                    check.append(marks[1])
                     bits.append(bitmap(grams).tobytes() if len(grams) else None)
-                yield pa.RecordBatch.from_arrays([ids.slice(first, last - first), *(pa.array(v, t) for v, t in zip((n, node, bits), types[1:], strict=True))], names)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(first, last - first) for k in (0, 1)), *(pa.array(v, t) for v, t in zip((n, node, check, bits), types[2:], strict=True))], names)
         parts = np.split(sketch, SKETCH_PARTS)
         if sketch.any():
-            columns = [[None] * SKETCH_PARTS, [-1 - i for i in range(SKETCH_PARTS)], [None] * SKETCH_PARTS, [p.astype("<u4").tobytes() for p in parts]]
+            none = [None] * SKETCH_PARTS
+            columns = [none, none, [-1 - i for i in range(SKETCH_PARTS)], none, none, [p.astype("<u4").tobytes() for p in parts]]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, types, strict=True)], names)
 
     return run
@@ -142,23 +165,24 @@ def _describe(width: int):
 def _add_parts(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros((1 << SKETCH_BITS) // SKETCH_PARTS, np.uint64)
     for batch in batches:
-        for part in batch.column(1).to_pylist():
-            total += np.frombuffer(part, "<u4")
-    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.astype("<u8").tobytes()], pa.binary())], ["n", "part"])
+        for part in batch.column(batch.num_columns - 1).to_pylist():
+            total += np.frombuffer(part, np.uint32 if len(part) == 4 * len(total) else np.uint64)
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["n", "part"])
 
 
 def count_sketch(described: DataFrame) -> np.ndarray:
-    """The sketch over all documents: 2**SKETCH_BITS counts, whatever the input's size."""
-    parts = described.where("n < 0").select("n", "bits").groupBy("n").applyInArrow(_add_parts, "n int, part binary").collect()
+    """The sketch over all documents: 2**SKETCH_BITS counts, whatever the input's size, added in two steps."""
+    parts = described.where("n < 0").select("n", F.pmod(F.xxhash64("bits"), F.lit(SKETCH_PARTS)).alias("share"), "bits")
+    parts = parts.groupBy("n", "share").applyInArrow(_add_parts, "n int, part binary").groupBy("n").applyInArrow(_add_parts, "n int, part binary").collect()
     sketch = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.uint64)
     for row in parts:
-        sketch[-1 - row.n] = np.frombuffer(row.part, "<u8")
+        sketch[-1 - row.n] = np.frombuffer(row.part, np.uint64)
     return sketch.reshape(-1)
 
 
-def votes_needed(n):
+def votes_needed(n, threshold: Fraction):
     """Shingles that a set must share with a partner within its prefix; the prefix is that much longer."""
-    return 1 + n // VOTE_SHARE
+    return np.minimum(1 + n // VOTE_SHARE, np.maximum(1, overlap_needed(n, threshold)))
 
 
 def overlap_needed(n, threshold: Fraction):
@@ -185,47 +209,59 @@ def choose_boundary(sizes: dict[int, int], sketch: np.ndarray, threshold: Fracti
             if n < x:
                 cost += count * (prefix + SUBSET) * (prefix + SUBSET - 1) / 2
             if n >= overlap_needed(x, threshold):
-                cost += count * (prefix + votes_needed(n)) * (met if n >= x else 1)
+                cost += count * (prefix + int(votes_needed(n, threshold))) * (met if n >= x else 1)
         if least is None or cost < least:
             best, least = x, cost
     return best
 
 
-def keys_of(grams: np.ndarray, sketch: np.ndarray, boundary: int, threshold: Fraction) -> np.ndarray:
-    """The list keys of a set: subsets if it is light, shingles if it can meet a heavy set."""
+def keys_of(grams: np.ndarray, sketch: np.ndarray, boundary: int, threshold: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """The list keys of a set and how long their lists can be: subsets if it is light, shingles if it can meet a heavy set.
+
+    A set that may share a single shingle with its partner has all its shingles as keys too.
+    """
     n = len(grams)
-    slack = n - overlap_needed(n, threshold)
-    order = np.argsort(sketch[(grams & np.uint64(len(sketch) - 1)).astype(np.int64)], kind="stable")
-    keys = []
-    if n < boundary and slack + SUBSET <= n:
-        rare = grams[order[: slack + SUBSET]]
+    least = overlap_needed(n, threshold)
+    counts = sketch[(grams & np.uint64(len(sketch) - 1)).astype(np.int64)]
+    order = np.argsort(counts, kind="stable")
+    keys, most = [], []
+    if n < boundary and n >= SUBSET:
+        rare = order[: n - max(least, SUBSET) + SUBSET]
         i, j = np.triu_indices(len(rare), 1)
-        low, high = np.minimum(rare[i], rare[j]), np.maximum(rare[i], rare[j])
-        keys.append(mix(mix(low) * np.uint64(3) + high))
-    if n >= overlap_needed(boundary, threshold):
-        keys.append(grams[order[: slack + votes_needed(n)]])
-    return np.concatenate(keys) if keys else grams[:0]
+        a, b = grams[rare[i]], grams[rare[j]]
+        keys.append(mix(mix(np.minimum(a, b)) * np.uint64(3) + np.maximum(a, b)))
+        most.append(counts[rare[i]])  # the rarer of the two
+    single = n if least < SUBSET else n - least + int(votes_needed(n, threshold)) if n >= overlap_needed(boundary, threshold) else 0
+    if single:
+        keys.append(grams[order[:single]])
+        most.append(counts[order[:single]])
+    return (np.concatenate(keys), np.concatenate(most)) if keys else (grams[:0], counts[:0])
 
 
-def _postings(width: int, sketch, boundary: int, threshold: Fraction):
-    """(key, n, node) of each distinct set that a task meets."""
+def _postings(width: int, sketch, boundary: int, threshold: Fraction, clashing: frozenset[int]):
+    """(key, n, node, hot) of each distinct set that a task meets; ``hot``: the list may be longer than HOT_LIST."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = sketch.value, set()
         for batch in batches:
             for _, _, data, offsets in shards(batch.column(0)):
-                keys, sizes, nodes = [], [], []
+                keys, most, sizes, nodes = [], [], [], []
                 for grams in shingle_rows(data, offsets, width):
-                    if len(grams) > 1 and (node := node_of(grams)) not in seen:
+                    if len(grams) and (len(grams) > 1 or 2 * threshold <= 1) and (node := node_of(grams, clashing)) not in seen:
                         seen.add(node)
-                        keys.append(keys_of(grams, counts, boundary, threshold))
+                        own, longest = keys_of(grams, counts, boundary, threshold)
+                        keys.append(own)
+                        most.append(longest)
                         sizes.append(len(grams))
                         nodes.append(node)
                 if len(seen) > 1_000_000:  # only saves repeats; lists drop them too
                     seen.clear()
                 if keys:
                     repeats = [len(k) for k in keys]
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), pa.array(np.repeat(np.array(sizes, np.int32), repeats)), pa.array(np.repeat(np.array(nodes, np.int64), repeats))], ["key", "n", "node"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(signed(np.concatenate(keys))), pa.array(np.repeat(np.array(sizes, np.int32), repeats)), pa.array(np.repeat(np.array(nodes, np.int64), repeats)), pa.array(np.concatenate(most) > HOT_LIST)],
+                        ["key", "n", "node", "hot"],
+                    )
 
     return run
 
@@ -246,7 +282,7 @@ def _lists(boundary: int, threshold: Fraction):
             a, b = n[at].astype(np.int64), n[at + step].astype(np.int64)
             fits = a >= overlap_needed(b, threshold)
             at, a, b = at[fits], a[fits], b[fits]
-            yield node[at], node[at + step], np.where(b < boundary, 1, np.minimum(votes_needed(a), votes_needed(b)))
+            yield node[at], node[at + step], np.where((b < boundary) | (overlap_needed(a, threshold) < SUBSET), 1, np.minimum(votes_needed(a, threshold), votes_needed(b, threshold)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = (np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64))
@@ -348,10 +384,11 @@ class _Merged:
 
 
 def _across(threshold: Fraction, spanning: bool):
-    """Pairs of one list that lie in different components and pass the bitmaps.
+    """Pairs of one list, or of two blocks of it, that lie in different components and pass the bitmaps.
 
-    Rows come sorted by key and size, so a node meets only the nodes of its list
-    that are not too small: a window, held in blocks of bitmaps. With ``spanning``
+    Rows come sorted by group (``key``) and size, so a node meets only the nodes
+    of its group that are not too small: a window, held in blocks of bitmaps.
+    ``side`` is -1 in a group of one block, else 0 or 1, and sides meet. With ``spanning``
     a pair is given only if no earlier pairs of its list join its components: at
     most one pair a node, however many pass.
     """
@@ -363,7 +400,7 @@ def _across(threshold: Fraction, spanning: bool):
             key = batch.column(0).to_numpy()
             n = batch.column(1).to_numpy().astype(np.int64)
             node, label = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            bits = batch.column(4).to_pylist()
+            bits, side = batch.column(4).to_pylist(), batch.column(5).to_numpy()
             size = np.array([len(x) for x in bits], np.int64)
             cuts = np.flatnonzero((key[1:] != key[:-1]) | (size[1:] != size[:-1])) + 1
             edges = np.unique(np.concatenate([[0], cuts, np.arange(0, len(key), BLOCK), [len(key)]]))
@@ -372,11 +409,11 @@ def _across(threshold: Fraction, spanning: bool):
                 if current != key[lo]:
                     window, current, merged = [], key[lo], _Merged()
                 own = label[lo:hi]
-                block = [n[lo:hi], node[lo:hi], merged.relabel(own) if merged.parent else own, np.frombuffer(b"".join(bits[lo:hi]), np.uint8).reshape(hi - lo, -1)]
+                block = [n[lo:hi], node[lo:hi], merged.relabel(own) if merged.parent else own, np.frombuffer(b"".join(bits[lo:hi]), np.uint8).reshape(hi - lo, -1), side[lo:hi]]
                 window = [w for w in window if w[0][-1] >= overlap_needed(int(block[0][0]), threshold)]
                 window.append(block)
                 for k, other in enumerate(window):
-                    apart = other[2][:, None] != block[2][None, :]
+                    apart = (other[2][:, None] != block[2][None, :]) & ((other[4][:, None] != block[4][None, :]) | (block[4][None, :] < 0))
                     if k == len(window) - 1:
                         apart = np.triu(apart, 1)
                     i, j = np.nonzero(apart)
@@ -421,10 +458,10 @@ def _sets(width: int):
 
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, threshold: Fraction) -> DataFrame:
     """The pairs whose full sets reach the threshold; sets are made anew from the texts."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(reps.select("node", "id"), "node")
-    wanted = materialize(wanted.select("node", "id"), "wanted")
-    ids = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    sets = materialize(docs.join(ids, "id").select("node", "text").mapInArrow(_sets(width), "node long, grams array<long>"), "sets")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(reps.select("node", "row"), "node")
+    wanted = materialize(wanted.select("node", "row"), "wanted")
+    rows = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    sets = materialize(docs.join(rows, "row").select("node", "text").mapInArrow(_sets(width), "node long, grams array<long>"), "sets")
     p, q = threshold.numerator, threshold.denominator
     shared = F.size(F.array_intersect("x", "y"))
     return (
@@ -435,18 +472,47 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, th
     )
 
 
+def _representatives(described: DataFrame) -> DataFrame:
+    """One document for each node, and the least and greatest second hash of the node's sets."""
+    firsts = (F.first(c).alias(c) for c in ("n", "bits"))
+    return materialize(described.where("n > 0").groupBy("node").agg(F.min("row").alias("row"), *firsts, F.min("check").alias("lo"), F.max("check").alias("hi")), "reps")
+
+
+def _in_blocks(nodes: DataFrame) -> DataFrame:
+    """Rows of long lists dealt to pairs of blocks: ``key`` (of the pair), n, node, label, bits, side."""
+    total = nodes.groupBy("key").agg(F.count("*").alias("total"))
+    size = F.greatest(F.lit(LIST_BLOCK), F.least(F.lit(MOST_BLOCK), F.ceil(F.col("total") / BLOCKS)))
+    blocks = total.select("key", F.ceil(F.col("total") / size).cast("int").alias("blocks"))
+    dealt = nodes.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("own") == F.col("other"), -1).otherwise((F.col("own") > F.col("other")).cast("int"))
+    pair = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    return dealt.select(pair.alias("key"), "n", "node", "label", "bits", side.alias("side"))
+
+
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: str = "0.8") -> JaccardJoin:
     """Link documents whose ``width``-word shingle sets reach the Jaccard ``similarity``.
 
     Words are runs of characters other than ASCII white space, A-Z read as a-z.
     """
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return join_rows(numbered(rows, "row", "jaccard-rows"), width, similarity)
+
+
+def join_rows(docs: DataFrame, width: int, similarity: str) -> JaccardJoin:
+    """The join over a written table ``row, id, text``."""
     threshold = Fraction(similarity)
     if not 0 < threshold <= 1:
         raise ValueError("similarity must be over 0 and at most 1")
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    described = materialize(docs.mapInArrow(_describe(width), "id long, n int, node long, bits binary"), "described")
-    members = described.where("n >= 0").select("id", F.col("n").cast("long").alias("n_shingles"), "node")
-    reps = materialize(described.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits")), "reps")
+    described = materialize(docs.select("row", "id", "text").mapInArrow(_describe(width), "row long, id long, n int, node long, check long, bits binary"), "described")
+    reps = _representatives(described)
+    clashing = frozenset(r.node for r in reps.where("lo <> hi").select("node").limit(MOST_CLASHES + 1).collect())
+    if len(clashing) > MOST_CLASHES:
+        raise RuntimeError("too many sets share their 64-bit hash")
+    if clashing:
+        described = described.withColumn("node", F.when(F.col("node").isin(*clashing), F.col("check")).otherwise(F.col("node")))
+        reps = _representatives(described)
+    members = described.where("n >= 0").select("row", "id", F.col("n").cast("long").alias("n_shingles"), "node")
 
     sketch = count_sketch(described)
     sizes = {r.n: r["count"] for r in reps.where(F.col("n") <= 2 * MAX_LIGHT).groupBy("n").count().collect()}
@@ -454,25 +520,28 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    postings = docs.select("text").mapInArrow(_postings(width, shared, boundary, threshold), "key long, n int, node long")
-    lists = postings.repartition(partitions, "key").sortWithinPartitions("key", "n", "node")
+    postings = docs.select("text").mapInArrow(_postings(width, shared, boundary, threshold, clashing), "key long, n int, node long, hot boolean")
+    postings = materialize(postings, "postings")
+    lists = postings.where("not hot").select("key", "n", "node").repartition(partitions, "key").sortWithinPartitions("key", "n", "node")
     lists = materialize(lists.mapInArrow(_lists(boundary, threshold), "key long, n int, a long, b long"), "lists")
+    hot_lists = postings.where("hot").select("key", "n", "node").distinct()
 
     traits = reps.select("node", "n", "bits")
-    voted = lists.where("b is not null").groupBy("a", "b").agg(F.count("*").alias("votes"), F.first("n").alias("need")).where("votes >= need")
+    voted = lists.where("b is not null").groupBy("a", "b").agg(F.count("*").alias("votes"), F.min("n").alias("need")).where("votes >= need")
     voted = voted.join(traits.select(F.col("node").alias("a"), F.col("n").alias("n"), F.col("bits").alias("x")), "a").join(traits.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y")), "b")
     voted = materialize(voted.select("a", "b", "n", "m", "x", "y").mapInArrow(_screen(threshold), "a long, b long"), "voted")
     links = materialize(_verified(voted, docs, reps, width, threshold), "links").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
-    long_lists = lists.where("b is null").select("key", "n", F.col("a").alias("node"))
+    long_lists = lists.where("b is null").select("key", "n", F.col("a").alias("node")).unionByName(hot_lists)
     spanning, rounds = True, 0
     while True:
         labels = materialize(connected_components(links), "labels")
         nodes = long_lists.join(labels, "node", "left").select("key", "n", "node", F.coalesce("component", "node").alias("label"))
         split = nodes.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-        mixed = nodes.join(split, "key", "left_semi").join(traits.select("node", "bits"), "node").select("key", "n", "node", "label", "bits")
-        mixed = mixed.repartition(partitions, "key").sortWithinPartitions("key", "n", "node")
-        pairs = materialize(mixed.mapInArrow(_across(threshold, spanning), "a long, b long").distinct(), "across")
+        mixed = materialize(nodes.join(split, "key", "left_semi").join(traits.select("node", "bits"), "node").select("key", "n", "node", "label", "bits"), "mixed")
+        dealt = _in_blocks(mixed).select("key", "n", "node", "label", "bits", "side")
+        dealt = dealt.repartition(partitions, "key").sortWithinPartitions("key", "n", "node")
+        pairs = materialize(dealt.mapInArrow(_across(threshold, spanning), "a long, b long").distinct(), "across")
         found = pairs if pairs.isEmpty() else materialize(_verified(pairs, docs, reps, width, threshold), "links")
         empty = found.isEmpty()
         links, rounds = links.unionByName(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))), rounds + 1
@@ -484,26 +553,34 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def classes(joined: JaccardJoin) -> DataFrame:
-    """One row per document: ``id, n_shingles, node, component_id, n_copies``.
+    """One row per document: ``row, id, n_shingles, node, component_id, n_copies``.
 
     ``component_id`` is the smallest id reachable by links, the document itself
-    included; ``n_copies`` counts the documents with the same set.
+    included (null if no id is known); ``n_copies`` counts the documents with the same set.
     """
     copies = joined.members.where("node is not null").groupBy("node").agg(F.min("id").alias("first_id"), F.count("*").alias("n_copies"))
     copies = copies.join(joined.components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = copies.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = copies.join(least, "component").select("node", "component_id", "n_copies")
-    alone = joined.members.where("node is null").select("id", "n_shingles", "node", F.col("id").alias("component_id"), F.lit(1).cast("long").alias("n_copies"))
-    return joined.members.where("node is not null").join(named, "node").select("id", "n_shingles", "node", "component_id", "n_copies").unionByName(alone)
+    columns = ["row", "id", "n_shingles", "node", "component_id", "n_copies"]
+    alone = joined.members.where("node is null").select("row", "id", "n_shingles", "node", F.col("id").alias("component_id"), F.lit(1).cast("long").alias("n_copies"))
+    return joined.members.where("node is not null").join(named, "node").select(*columns).unionByName(alone.select(*columns))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one row of each linked group: the one with the smallest id.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: str = "0.8") -> DataFrame:
+    """``docs`` with one row of each linked group: the one with the smallest id, and of equal ids the first read.
 
-    Rows whose id is null stay as they are. The ids that go are sent to all
-    tasks if they are few, and joined by a shuffle otherwise.
+    Rows without words are linked with nothing and stay. The numbers of the rows
+    that go are sent to all tasks if they are few, and joined by a shuffle otherwise.
     """
-    gone = classes(jaccard_join(docs, id_col, text_col, **options)).where("id <> component_id").select(F.col("id").alias("_gone")).distinct()
-    gone = materialize(gone, "gone")
+    row = free_name(docs.columns, "_row")
+    rows = numbered(docs, row, "jaccard-rows")
+    joined = join_rows(rows.select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), width, similarity)
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    first = joined.members.where("node is not null").groupBy("node").agg(F.min(order).alias("first"))
+    first = first.join(joined.components, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("first").alias("first"))
+    stay = materialize(first.select(F.col("first.row").alias("row")), "stay")
+    gone = joined.members.where("node is not null").select("row").join(stay, "row", "left_anti")
+    gone = materialize(gone.select(F.col("row").alias(row)), "gone")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    return rows.join(gone, row, "left_anti").select(*docs.columns)

@@ -19,7 +19,7 @@ def set_of(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
-def brute(rows):
+def brute(rows, percent=80):
     """{id: (n_shingles, component)} by comparing all pairs of distinct sets."""
     sets = {i: frozenset(set_of(t)) for i, t in rows}
     first = {}
@@ -36,14 +36,14 @@ def brute(rows):
     kinds = list(first.items())
     for k, (s, i) in enumerate(kinds):
         for t, j in kinds[:k]:
-            if min(len(s), len(t)) * 10 >= 8 * max(len(s), len(t)) and 100 * len(s & t) >= 80 * len(s | t):
+            if min(len(s), len(t)) * 100 >= percent * max(len(s), len(t)) and 100 * len(s & t) >= percent * len(s | t):
                 a, b = sorted((find(i), find(j)))
                 parent[b] = a
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-def answer(docs):
-    return {r.id: (r.n_shingles, r.component_id) for r in jaccard.classes(jaccard.jaccard_join(docs)).collect()}
+def answer(docs, **options):
+    return {r.id: (r.n_shingles, r.component_id) for r in jaccard.classes(jaccard.jaccard_join(docs, **options)).collect()}
 
 
 def test_op2(spark, sf_dir):
@@ -86,7 +86,7 @@ def test_defined_cases(spark):
     nulls = docs.unionByName(docs.limit(1).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "'one' AS text", "node", "n", "id"))
     kept = jaccard.keep_one(nulls)
     assert kept.columns == docs.columns
-    assert sorted(r.doc_id or 0 for r in kept.select("doc_id").collect()) == [0, *sorted(i for i, (_, c) in brute(rows).items() if i == c)]
+    assert sorted(r.doc_id or 0 for r in kept.select("doc_id").collect()) == sorted(i for i, (_, c) in brute(rows).items() if i == c)
     with pytest.raises(ValueError):
         jaccard.jaccard_join(docs, similarity="0")
 
@@ -108,3 +108,40 @@ def test_components(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame([*edges, (None, 1)], "a long, b long")).collect()}
     assert got == {x: find(x) for x in parent}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("percent", [30, 50, 100])
+def test_other_similarities(spark, percent):
+    rows = [*corpus(4), (500, "a b c d e"), (501, "a b c d e f"), (502, "p q r s t u v w"), (503, "p q r s t"), (504, "q r s t u v w x y z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert answer(docs, similarity=str(percent / 100)) == brute(rows, percent)
+
+
+def test_hot_lists_in_blocks_and_clashing_nodes(spark, monkeypatch):
+    """A passage in every text, lists that are never dealt by key, tiny blocks, and two unlike sets with one hash."""
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(30)]
+    texts = [passage + [f"w{rng.randrange(3000)}" for _ in range(rng.choice((3, 6, 9)))] for _ in range(150)]
+    texts += [[*t[:-1], "new"] for t in texts[:20]]
+    rows = [*corpus(5), *((1000 + i, " ".join(t)) for i, t in enumerate(texts))]
+    monkeypatch.setattr(jaccard, "HOT_LIST", 20)
+    monkeypatch.setattr(jaccard, "LIST_BLOCK", 16)
+    marks = jaccard.marks_of
+    fake = lambda g: (7 if len(g) in (1, 76) else marks(g)[0], marks(g)[1])
+    monkeypatch.setattr(jaccard, "marks_of", fake)
+    monkeypatch.setattr(jaccard, "node_of", lambda g, clashing: fake(g)[1] if fake(g)[0] in clashing else fake(g)[0])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    described = docs.selectExpr("doc_id AS row", "doc_id AS id", "text").mapInArrow(jaccard._describe(5), "row long, id long, n int, node long, check long, bits binary")
+    assert described.where("node = 7").select("check").distinct().count() > 1
+    assert answer(docs) == brute(rows)
+
+
+def test_rows_with_one_id_or_none(spark):
+    rows = [(1, "a b c d e f g", 1), (1, "a b c d e f g", 2), (1, "q r s t u v w", 3), (None, "a b c d e f g", 4), (None, "h i j k l m n", 5), (None, "h i j k l m n", 6), (0, None, 7), (None, None, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _gone int")
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = sorted(r["_gone"] for r in kept.collect())
+    assert got[-2:] == [7, 8] and got[1] == 3 and got[0] in (1, 2) and got[2] in (5, 6) and len(got) == 5
+    out = sorted(((r.id, r.n_shingles, r.component_id) for r in jaccard.classes(jaccard.jaccard_join(docs)).collect()), key=str)
+    assert out == sorted([(1, 3, 1), (1, 3, 1), (1, 3, 1), (None, 3, 1), (None, 3, None), (None, 3, None), (0, 0, 0), (None, 0, None)], key=str)
