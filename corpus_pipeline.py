@@ -1,4 +1,11 @@
-"""A training corpus in five stages, from raw documents to packed sequences."""
+"""A training corpus in five stages, from raw documents to packed sequences.
+
+Each stage keeps the columns of documents (the last gives pieces) and treats
+cases like its operator: null and empty texts are texts without words, which stay
+and are packed as an end id; very long texts are read whole; rows with one id or
+none are rows of their own; of linked rows with one id the first read stays; an
+empty table gives no rows; further columns pass through whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import decontam, jaccard, packing, pii, queries, toxicity
-from ledgerloom.llm.scratch import materialize
+from ledgerloom.llm.scratch import free_name, materialize
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +33,9 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by surrogates; ``n_chars`` follows the new text."""
-    fresh = pii.pseudonymise(docs, key="corpus-surrogates", count_col="_replaced")
-    return fresh.withColumn("n_chars", F.when(F.col("_replaced") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop("_replaced")
+    replaced = free_name(docs.columns, "_replaced")
+    fresh = pii.pseudonymise(docs, key="corpus-surrogates", count_col=replaced)
+    return fresh.withColumn("n_chars", F.when(F.col(replaced) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop(replaced)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

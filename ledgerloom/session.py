@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -20,13 +22,16 @@ def session(app: str = "ledgerloom", master: str | None = None, **settings: str)
     return builder.config(map=SETTINGS | settings).getOrCreate()
 
 
-#: Used only where the session names no folder.
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the session's checkpoint folder, which executors share."""
+    """``df`` computed once and kept in the session's checkpoint folder, which executors share.
+
+    A session on one machine without the setting gets a folder of its own; on a
+    cluster that would not be shared, so this raises.
+    """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS)
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ledgerloom-"))
     return df.checkpoint()
