@@ -21,16 +21,40 @@ def expected(evidence: DataFrame) -> DataFrame:
     return rows.where("expected_paise is not null")
 
 
-def pairs(evidence: DataFrame, txns: DataFrame, most_days: int) -> DataFrame:
-    """Records and rows of the same amount at most ``most_days`` apart: an equi-join with a band."""
-    rows = txns.select(F.col("id").alias("transaction_id"), F.col("amount_paise").alias("expected_paise"), "txn_date")
-    found = expected(evidence).select(F.col("id").alias("evidence_id"), "evidence_date", "expected_paise").join(rows, "expected_paise")
-    return found.withColumn("gap", day_gap(F.col("evidence_date"), F.col("txn_date"))).where(F.col("gap") <= most_days)
+def identifies(narration: Column, source: Column, tokens: dict[str, tuple[str, ...]]) -> Column:
+    """Whether a narration can be a payment to a source: any of its tokens stands in it.
+
+    A source without tokens has no signal, so everything passes; a source with
+    tokens never fits a row without words.
+    """
+    text = F.trim(F.regexp_replace(F.lower(F.regexp_replace(F.coalesce(narration, F.lit("")), "[\u200b-\u200d\ufeff]", "")), r"\s+", " "))
+    out = F.lit(True)
+    for name, own in tokens.items():
+        found = F.lit(False)
+        for token in own:
+            found = found | text.contains(token)
+        out = F.when(source == name, found).otherwise(out)
+    return out
+
+
+def pairs(evidence: DataFrame, txns: DataFrame, most_days: int, tokens: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """Records and rows of the same amount at most ``most_days`` apart, and of the same merchant if ``tokens`` tell.
+
+    An equi-join on amount and a bucket of days: each record looks into the
+    buckets before and after its own, so an amount that is common stays apart by date.
+    """
+    width = most_days + 1
+    bucket = lambda day: F.floor(F.unix_date(day) / width)
+    rows = txns.select(F.col("id").alias("transaction_id"), F.col("amount_paise").alias("expected_paise"), "txn_date", "narration", bucket(F.col("txn_date")).alias("bucket"))
+    own = bucket(F.col("evidence_date"))
+    wanted = expected(evidence).select(F.col("id").alias("evidence_id"), "source_type", "evidence_date", "expected_paise", F.explode(F.array(own - 1, own, own + 1)).alias("bucket"))
+    found = wanted.join(rows, ["expected_paise", "bucket"]).withColumn("gap", day_gap(F.col("evidence_date"), F.col("txn_date"))).where(F.col("gap") <= most_days)
+    return found.where(identifies(F.col("narration"), F.col("source_type"), tokens or {})).drop("bucket", "narration", "source_type")
 
 
-def match(evidence: DataFrame, txns: DataFrame) -> DataFrame:
+def match(evidence: DataFrame, txns: DataFrame, tokens: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """``evidence_id, outcome, transaction_id``: matched only if exactly one row fits."""
-    hits = pairs(evidence, txns, MATCH_DAYS).groupBy("evidence_id").agg(F.count("*").alias("n"), F.min("transaction_id").alias("one"))
+    hits = pairs(evidence, txns, MATCH_DAYS, tokens).groupBy("evidence_id").agg(F.count("*").alias("n"), F.min("transaction_id").alias("one"))
     rows = expected(evidence).select(F.col("id").alias("evidence_id")).join(hits, "evidence_id", "left")
     return rows.select("evidence_id", F.when(F.col("n") == 1, "matched").when(F.col("n") > 1, "ambiguous").otherwise("none").alias("outcome"), F.when(F.col("n") == 1, F.col("one")).alias("transaction_id"))
 

@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import normalise
 
-#: Words of payment rails that identify no merchant.
+#: Words of payment rails, banks and company names that identify no merchant.
 NOISE = (
-    "upi neft imps rtgs ach nach pos atm ecs emi debit credit payment paid pay transfer txn ref no bank hdfc icici axis sbi kotak indian slice india ltd pvt private limited "
-    "the and for from via card ending auto mandate collect request send money"
+    "upi imps neft rtgs debit credit payment paymen paid pay paying from for you are the and ref txn trf transfer pos xxxxx xxxx inr acct account bank banking net mob "
+    "ltd limited pvt private india indian services service serv solutions technologies enterprises retail com atm branch request "
+    "ybl utib yesb sbin ibl kkbk hdfc hdfcbank axl axis axisbank okpayaxis oksbi okaxis okhdfcbank okicici ptybl ptmupi yblupi cnrb punb barb ioba idib ubin icic icicibank sbi"
 ).split()
 
 
 def is_noise(word: Column) -> Column:
     """Stop words and the shapes of handles and bank codes."""
-    rail = word.startswith("@") | word.rlike(r"^([a-z]{1,2}|[a-z]*[0-9]+[a-z0-9]*)@") | word.rlike("^[a-z]{4}0")
+    rail = word.startswith("@") | word.rlike("^([^@]{0,2}|[0-9]+)@") | word.rlike("^[a-z]{4}0")
     return word.isin(NOISE) | rail
 
 
@@ -34,7 +35,7 @@ def tokens(narration: Column) -> Column:
 
 
 def merchant_hint(narration: Column) -> Column:
-    return F.array_join(F.filter(words(narration), lambda w: ~is_noise(w)), " ")
+    return F.array_join(F.array_distinct(F.filter(words(narration), lambda w: ~is_noise(w))), " ")
 
 
 def support(unexplained: DataFrame, min_hits: int = 3) -> DataFrame:

@@ -32,18 +32,18 @@ VIEWS = {
         FROM (SELECT *, CASE WHEN id % 7 = 0 THEN 'user' WHEN id % 3 = 0 THEN 'rule' WHEN id % 11 = 0 THEN 'evidence' END AS source FROM base) WHERE source IS NOT NULL""",
     "rules": """SELECT * FROM (VALUES (1, 'anvils', 1001, 10, true), (2, 'blue bolts', 2002, 20, true), (3, 'gears or large', 3003, 10, true), (4, 'switched off', 4004, 90, false),
         (5, 'late rings', 5005, 10, true), (6, 'incoming', 6006, 5, true)) r(id, name, category_id, priority, enabled)""",
-    "evidence": """SELECT id, CASE WHEN id % 2 = 0 THEN 'invoice' ELSE 'shared' END AS source_type, 'ORD-' || CAST(id AS VARCHAR) AS external_ref, CAST(txn_date + CAST(id % 6 AS INTEGER) AS DATE) AS evidence_date,
+    "evidence": """SELECT id, CASE WHEN id % 2 = 0 THEN 'invoice' ELSE 'shared' END AS source_type, 'ORD-' || CAST(id AS VARCHAR) AS external_ref, CAST(txn_date + CAST(id % 7 AS INTEGER) AS DATE) AS evidence_date,
         abs(amount_paise) AS cost_paise, CASE WHEN id % 3 = 0 THEN abs(amount_paise) WHEN id % 3 = 1 THEN -(abs(amount_paise) // 2) ELSE 0 END AS my_net_paise,
-        CASE WHEN id % 4 = 0 THEN 'payment' ELSE 'expense' END AS kind, part_name AS description FROM base WHERE id % 5 = 0""",
+        CASE WHEN id % 4 = 0 THEN 'payment' ELSE 'expense' END AS kind, part_name AS description FROM base""",
     "evidence_transactions": "SELECT id AS evidence_id, id AS transaction_id FROM base WHERE id % 55 = 0",
     "lines": """SELECT l_orderkey AS evidence_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) - 1 AS line_index,
-        CASE WHEN l_tax <> 0 THEN l_partkey END AS item_id, CASE WHEN l_tax <> 0 THEN 'goods' ELSE 'fee' END AS kind, CAST(round(l_extendedprice * 100) AS BIGINT) AS amount_paise FROM lineitem WHERE l_orderkey % 5 = 0""",
+        CASE WHEN l_tax <> 0 THEN l_partkey END AS item_id, CASE WHEN l_tax <> 0 THEN 'goods' ELSE 'fee' END AS kind, CAST(round(l_extendedprice * 100) AS BIGINT) AS amount_paise FROM lineitem""",
     "items": "SELECT p_partkey AS id, p_name || ' ' || lower(p_brand) AS label, CASE WHEN p_partkey % 3 <> 0 THEN leaf END AS category_id FROM parts",
     "aliases": "SELECT p_partkey AS item_id, 'invoice' AS source_type, 'sku' AS alias_kind, CAST(p_partkey AS VARCHAR) AS alias_value FROM parts WHERE p_partkey % 4 <> 0",
     "purchases": "SELECT event_id, user_id, ts, CAST(round(value * 100) AS BIGINT) AS value_paise, 'w' || CAST(hour(ts) // 4 AS VARCHAR) AS word FROM events WHERE event_type = 'purchase'",
     "source_map": "SELECT * FROM (VALUES ('w0', 1), ('w1', 2), ('w2', 3), ('w3', NULL), ('w4', 4)) m(source_category, category_id)",
     "consumption": """SELECT event_id AS id, event_id AS evidence_id, CAST(category_id AS BIGINT) AS category_id, -value_paise AS amount_paise, CAST(ts AS DATE) AS consumed_on, 'evidence' AS source
-        FROM purchases JOIN source_map ON word = source_category WHERE category_id IS NOT NULL AND value_paise <> 0 AND event_id % 3 <> 0""",
+        FROM purchases JOIN source_map ON word = source_category WHERE category_id IS NOT NULL AND value_paise <> 0""",
     "jobs": """SELECT event_id AS id, event_id % 500 AS artifact_id, user_id AS batch_id, state, CAST(event_id % 4 AS INTEGER) AS attempts, ts AS created_at, CASE WHEN state = 'running' THEN ts END AS claimed_at,
         CASE WHEN state IN ('done', 'failed') THEN ts + CAST(event_id % 90 AS INTEGER) * INTERVAL 1 SECOND END AS finished_at, CASE WHEN state = 'failed' THEN CASE WHEN event_id % 2 = 0 THEN 'timeout' ELSE 'not_an_invoice' END END AS error_kind
         FROM (SELECT *, CASE event_type WHEN 'view' THEN 'queued' WHEN 'signup' THEN 'running' WHEN 'error' THEN 'failed' ELSE 'done' END AS state FROM events)""",

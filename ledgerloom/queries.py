@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.functions import text
-from ledgerloom.operators import changes, evidence, items, mining, predicates, queue, reconcile, reports, rules, shared, transfers
+from ledgerloom.operators import changes, editing, evidence, items, mining, predicates, queue, reconcile, reports, rules, shared, transfers
 from ledgerloom.plans.ledger import RULES, Ledger
 from ledgerloom.plans.oracle_views import sql
 
@@ -442,7 +442,7 @@ NOISE_SQL = ", ".join(f"'{w}'" for w in mining.NOISE)
 MERCHANT = f"list_filter(string_split({NORMAL}, ' '), lambda w: length(w) > 2 AND NOT regexp_matches(w, '^[0-9]+$') AND w NOT IN ({NOISE_SQL}) AND NOT regexp_matches(w, '^[a-z]{{4}}0') AND NOT w LIKE '@%')"
 
 
-@query("min3_hint", f"SELECT id, array_to_string({MERCHANT}, ' ') AS hint FROM transactions")
+@query("min3_hint", f"SELECT id, array_to_string(list_filter(x, lambda w, i: list_position(x, w) = i), ' ') AS hint FROM (SELECT id, {MERCHANT} AS x FROM transactions)")
 def _(l: Ledger) -> DataFrame:
     return l.transactions.select("id", mining.merchant_hint(F.col("narration")).alias("hint"))
 
@@ -465,7 +465,9 @@ def _(l: Ledger) -> DataFrame:
 
 @query("min6_report")
 def _(l: Ledger) -> DataFrame:
-    return mining.ranked(mining.candidates(l.transactions.where(predicates.explainable_spend()), l.allocations, l.categories))
+    spend = l.transactions.where(predicates.explainable_spend())
+    kept = mining.same_rows(predicates.unexplained(spend, l.allocations).select("id", F.explode(mining.tokens(F.col("narration"))).alias("token"))).select("token")
+    return mining.ranked(mining.candidates(spend, l.allocations, l.categories).join(kept, "token", "left_semi"))
 
 
 # Transfers
@@ -833,3 +835,201 @@ def _(l: Ledger) -> DataFrame:
 )
 def _(l: Ledger) -> DataFrame:
     return changes.violations(l.transactions, l.allocations, l.categories)
+
+
+# Edits
+
+EDITED = """SELECT id AS edit_id, CASE WHEN id % 9 <> 0 THEN id END AS id, CASE WHEN id % 5 = 0 THEN '  ' WHEN id % 11 = 0 THEN repeat(name, 12) ELSE ' ' || upper(name) || CASE WHEN id % 3 = 0 THEN ' new ' ELSE '' END END AS name,
+    CASE WHEN id % 7 = 0 THEN id WHEN id % 13 = 0 THEN -5 WHEN id % 17 = 0 THEN id - 1 WHEN id % 4 = 0 THEN NULL WHEN id % 19 = 0 THEN 1 ELSE parent_id END AS parent_id FROM categories"""
+
+
+def _edited_categories(l: Ledger) -> DataFrame:
+    k = F.col("id")
+    name = F.when(k % 5 == 0, "  ").when(k % 11 == 0, F.repeat("name", 12)).otherwise(F.concat(F.lit(" "), F.upper("name"), F.when(k % 3 == 0, " new ").otherwise("")))
+    parent = F.when(k % 7 == 0, k).when(k % 13 == 0, -5).when(k % 17 == 0, k - 1).when(k % 4 == 0, None).when(k % 19 == 0, 1).otherwise(F.col("parent_id")).cast("long")
+    return l.categories.select(k.alias("edit_id"), F.when(k % 9 != 0, k).alias("id"), name.alias("name"), parent.alias("parent_id"))
+
+
+CHECKED = f"""SELECT edit_id, id, trim(name) AS name, parent_id, CASE WHEN trim(name) = '' THEN 'empty_name' WHEN length(trim(name)) > 60 THEN 'long_name' WHEN parent_id = id THEN 'own_parent'
+    WHEN parent_id IS NOT NULL AND parent_id NOT IN (SELECT id FROM categories) THEN 'no_such_parent' WHEN parent_id IN (SELECT id FROM categories WHERE parent_id IS NOT NULL) THEN 'two_levels'
+    WHEN parent_id IS NOT NULL AND id IN (SELECT parent_id FROM categories WHERE parent_id IS NOT NULL) THEN 'has_children'
+    WHEN EXISTS (SELECT 1 FROM categories c WHERE c.parent_id IS NOT DISTINCT FROM e.parent_id AND lower(c.name) = lower(trim(e.name)) AND c.id IS DISTINCT FROM e.id) THEN 'name_taken' ELSE 'ok' END AS verdict FROM ({EDITED}) e"""
+
+
+@query("cat2_validate", CHECKED)
+def _(l: Ledger) -> DataFrame:
+    return editing.check_categories(_edited_categories(l), l.categories)
+
+
+@query("cat3_save", f"SELECT c.id, coalesce(e.name, c.name) AS name, CASE WHEN e.id IS NULL THEN c.parent_id ELSE e.parent_id END AS parent_id FROM categories c LEFT JOIN (SELECT * FROM ({CHECKED}) WHERE verdict = 'ok' AND id IS NOT NULL) e ON e.id = c.id")
+def _(l: Ledger) -> DataFrame:
+    checked = editing.check_categories(_edited_categories(l), l.categories)
+    return editing.save_categories(checked, l.categories).commit(l.categories, ["id"]).select("id", "name", "parent_id")
+
+
+def _removals(l: Ledger) -> DataFrame:
+    k = F.col("id")
+    target = F.when(k % 3 == 0, k).when(k % 3 == 1, F.when(k % 2 == 0, 1).otherwise(-7)).cast("long")
+    return editing.check_removals(l.categories.select("id", target.alias("reassign_to")), l.categories, l.allocations, l.rules)
+
+
+REMOVALS = """SELECT w.id, reassign_to, CASE WHEN reassign_to = w.id THEN 'same_category' WHEN w.id IN (SELECT parent_id FROM categories WHERE parent_id IS NOT NULL) THEN 'has_children'
+    WHEN coalesce(a, 0) + coalesce(r, 0) > 0 AND reassign_to IS NULL THEN 'in_use' WHEN reassign_to IS NOT NULL AND reassign_to NOT IN (SELECT id FROM categories) THEN 'no_such_target' ELSE 'ok' END AS verdict,
+    coalesce(a, 0) AS allocations, coalesce(r, 0) AS rules FROM (SELECT id, CASE id % 3 WHEN 0 THEN id WHEN 1 THEN CASE WHEN id % 2 = 0 THEN 1 ELSE -7 END END AS reassign_to FROM categories) w
+    LEFT JOIN (SELECT category_id, count(*) AS a FROM allocations GROUP BY 1) x ON x.category_id = w.id LEFT JOIN (SELECT category_id, count(*) AS r FROM rules GROUP BY 1) y ON y.category_id = w.id"""
+
+
+@query("cat4_delete", REMOVALS)
+def _(l: Ledger) -> DataFrame:
+    return _removals(l)
+
+
+@query("cat4_reassign", f"SELECT a.id, coalesce(reassign_to, category_id) AS category_id FROM allocations a LEFT JOIN (SELECT * FROM ({REMOVALS}) WHERE verdict = 'ok') w ON w.id = category_id")
+def _(l: Ledger) -> DataFrame:
+    return editing.reassign(l.allocations, _removals(l)).commit(l.allocations, ["id"]).select("id", "category_id")
+
+
+@query(
+    "rul8_edit",
+    """SELECT CAST(r.id AS BIGINT) AS rule_id, r.id % 3 <> 1 AS reapply_needed, CASE WHEN r.id % 3 <> 1 THEN coalesce(n, 0) ELSE 0 END AS allocations_removed
+    FROM rules r LEFT JOIN (SELECT rule_id, count(*) AS n FROM allocations WHERE source = 'rule' GROUP BY 1) x ON x.rule_id = r.id""",
+)
+def _(l: Ledger) -> DataFrame:
+    k = F.col("id")
+    edited = l.rules.where(k % 3 != 2).withColumn("name", F.upper("name")).withColumn("priority", F.when(k % 3 == 0, 99).otherwise(F.col("priority")))
+    return editing.edit_rules(l.rules, edited, l.allocations)[0]
+
+
+LINKED = """SELECT id AS leg, id + 1000000000000 AS partner, CASE WHEN id % 100 = 0 THEN 'resolved' ELSE 'suspected' END AS status FROM transactions WHERE id % 50 = 0 AND id < 1000000000000"""
+ENDS = f"SELECT leg AS id, partner AS other, status, leg AS new_group FROM ({LINKED}) UNION ALL SELECT partner, leg, status, leg FROM ({LINKED})"
+AFTER = f"""SELECT t.id, CASE WHEN e.id IS NULL THEN NULL ELSE e.status END AS transfer_status, e.new_group AS transfer_group_id, o.account_id AS counterparty_account_id, t.account_id
+    FROM transactions t LEFT JOIN ({ENDS}) e ON e.id = t.id LEFT JOIN transactions o ON o.id = e.other
+    WHERE e.id IS NOT NULL OR t.transfer_group_id IN (SELECT transfer_group_id FROM transactions JOIN ({ENDS}) e2 USING (id) WHERE transfer_status IN ('suspected', 'pending') AND transfer_group_id IS NOT NULL)"""
+
+
+def _linked(l: Ledger):
+    legs = l.transactions.where("id % 50 = 0 and id < 1000000000000").select(F.col("id").alias("leg"), (F.col("id") + 1_000_000_000_000).alias("partner"), F.when(F.col("id") % 100 == 0, "resolved").otherwise("suspected").alias("status"))
+    return editing.link_transfers(l.transactions, l.allocations, legs)
+
+
+@query("trf8_link", f"SELECT id, transfer_status, transfer_group_id, counterparty_account_id FROM ({AFTER})")
+def _(l: Ledger) -> DataFrame:
+    return _linked(l)[0].inserts.select("id", "transfer_status", "transfer_group_id", "counterparty_account_id")
+
+
+@query("trf8_swept", "SELECT id FROM allocations WHERE source = 'rule' AND transaction_id % 100 = 0")
+def _(l: Ledger) -> DataFrame:
+    return _linked(l)[1].deletes.select("id")
+
+
+@query("jn16_counterparts", f"SELECT x.id, a.name AS account_name, c.name AS counterparty_name FROM ({AFTER}) x JOIN accounts a ON a.id = x.account_id LEFT JOIN accounts c ON c.id = x.counterparty_account_id")
+def _(l: Ledger) -> DataFrame:
+    return editing.with_counterparts(_linked(l)[0].inserts, l.accounts).select("id", "account_name", "counterparty_name")
+
+
+MERCHANTS = {"invoice": ("anvil", "bolt", "gear")}
+SAYS = "lower(coalesce(narration, '')) LIKE '%anvil%' OR lower(coalesce(narration, '')) LIKE '%bolt%' OR lower(coalesce(narration, '')) LIKE '%gear%'"
+
+
+@query("evd2_merchants", f"SELECT id, {SAYS} AS invoice, true AS shared FROM transactions")
+def _(l: Ledger) -> DataFrame:
+    return l.transactions.select("id", *(evidence.identifies(F.col("narration"), F.lit(s), MERCHANTS).alias(s) for s in ("invoice", "shared")))
+
+
+@query(
+    "evd3_merchant_match",
+    f"""WITH x AS (SELECT id AS evidence_id, source_type, evidence_date, CASE WHEN kind = 'expense' AND my_net_paise > 0 THEN -cost_paise WHEN kind = 'payment' AND my_net_paise <> 0 THEN -my_net_paise END AS wanted FROM evidence),
+    h AS (SELECT evidence_id, count(*) AS n, min(t.id) AS one FROM x JOIN transactions t ON t.amount_paise = wanted AND abs(date_diff('day', evidence_date, t.txn_date)) <= 3 AND (source_type <> 'invoice' OR {SAYS}) GROUP BY 1)
+    SELECT x.evidence_id, CASE WHEN n = 1 THEN 'matched' WHEN n > 1 THEN 'ambiguous' ELSE 'none' END AS outcome, CASE WHEN n = 1 THEN one END AS transaction_id FROM x LEFT JOIN h USING (evidence_id) WHERE wanted IS NOT NULL""",
+)
+def _(l: Ledger) -> DataFrame:
+    return evidence.match(l.evidence, l.transactions, MERCHANTS)
+
+
+@query(
+    "snk8_artifacts",
+    """WITH incoming AS (SELECT page_id AS id, sha256(html) AS content_hash, strlen(html) AS byte_size FROM pages WHERE html IS NOT NULL UNION ALL SELECT page_id + 1000000, sha256(html), strlen(html) FROM pages WHERE html IS NOT NULL AND page_id % 3 = 0),
+    stored AS (SELECT content_hash, min(page_id - 5000000) AS known FROM (SELECT page_id, sha256(html) AS content_hash FROM pages WHERE html IS NOT NULL AND page_id % 4 = 0) GROUP BY 1)
+    SELECT id, content_hash, CAST(byte_size AS BIGINT) AS byte_size, coalesce(known, first) AS stored_id, known IS NOT NULL OR id <> first AS duplicate
+    FROM incoming JOIN (SELECT content_hash, min(id) AS first FROM incoming GROUP BY 1) f USING (content_hash) LEFT JOIN stored USING (content_hash)""",
+)
+def _(l: Ledger) -> DataFrame:
+    pages = l.table("pages").where("html is not null").select(F.col("page_id").alias("id"), F.col("html").cast("binary").alias("bytes"))
+    stored = pages.where("id % 4 = 0").select((F.col("id") - 5_000_000).alias("id"), F.sha2("bytes", 256).alias("content_hash"))
+    again = pages.where("id % 3 = 0").withColumn("id", F.col("id") + 1_000_000)
+    return editing.store_artifacts(stored, pages.unionByName(again))[1]
+
+
+@query(
+    "snk5_rebuild",
+    """SELECT id, evidence_id, category_id, amount_paise FROM consumption WHERE evidence_id NOT IN (SELECT event_id FROM purchases WHERE word = 'w1')
+    UNION ALL SELECT event_id, event_id, 7, -value_paise FROM purchases WHERE word = 'w1' AND value_paise <> 0""",
+)
+def _(l: Ledger) -> DataFrame:
+    expenses = l.purchases.select(F.col("event_id").alias("id"), F.col("event_id").alias("evidence_id"), (-F.col("value_paise")).alias("amount_paise"), F.to_date("ts").alias("consumed_on"), F.lit("evidence").alias("source"), "word")
+    change = editing.replace_mapping(l.consumption, expenses, "w1", 7)
+    return change.commit(l.consumption, ["evidence_id"]).select("id", "evidence_id", "category_id", "amount_paise")
+
+
+@query(
+    "utl2_import_errors",
+    """SELECT id AS row, concat_ws(',', CASE WHEN id % 5 = 0 THEN 'amount_not_whole' WHEN id % 7 = 0 THEN 'amount_zero' END, CASE WHEN id % 6 = 0 THEN 'bad_date' END, CASE WHEN id % 11 = 0 THEN 'bad_type' END, CASE WHEN id % 13 = 0 THEN 'balance_not_whole' END) AS errors
+    FROM transactions WHERE id % 5 = 0 OR id % 7 = 0 OR id % 6 = 0 OR id % 11 = 0 OR id % 13 = 0""",
+)
+def _(l: Ledger) -> DataFrame:
+    k, a = F.col("id"), F.col("amount_paise").cast("string")
+    raw = l.transactions.select(
+        k.alias("row"), F.when(k % 5 == 0, F.concat(a, F.lit(".5"))).when(k % 7 == 0, "0").otherwise(a).alias("amount_paise"), F.when(k % 6 == 0, "2024-13-40").otherwise(F.col("txn_date").cast("string")).alias("txn_date"),
+        F.when(k % 11 == 0, "odd").otherwise(F.col("type")).alias("type"), F.when(k % 13 == 0, "x").when(k % 2 == 0, a).alias("bank_balance_paise"),
+    )
+    return editing.import_errors(raw)
+
+
+@query(
+    "rcp7_names",
+    """WITH g AS (SELECT evidence_id, list(p_name ORDER BY line_index) AS names FROM lines JOIN parts ON p_partkey = item_id WHERE kind <> 'fee' GROUP BY 1)
+    SELECT e.id AS evidence_id, CASE WHEN names IS NULL THEN source_type || ' order ' || external_ref WHEN len(names) = 1 THEN names[1] ELSE names[1] || ' + ' || CAST(len(names) - 1 AS VARCHAR) || ' more' END AS short, array_to_string(names, chr(10)) AS full
+    FROM evidence e LEFT JOIN g ON g.evidence_id = e.id""",
+)
+def _(l: Ledger) -> DataFrame:
+    named = l.lines.join(l.parts.select(F.col("p_partkey").alias("item_id"), F.concat("p_name", F.lit(" | A1 (2)")).alias("description")), "item_id", "left")
+    return editing.display_names(l.evidence, named)
+
+
+@query("srt8_tree", "SELECT c.id, c.name, p.name AS parent FROM categories c LEFT JOIN categories p ON p.id = c.parent_id")
+def _(l: Ledger) -> DataFrame:
+    return editing.tree_order(l.categories).select("id", "name", "parent")
+
+
+@query("srt6_items", "SELECT i.id, coalesce(n, 0) AS times_seen FROM items i LEFT JOIN (SELECT item_id, count(*) AS n FROM lines WHERE item_id IS NOT NULL GROUP BY 1) x ON x.item_id = i.id ORDER BY times_seen DESC, i.id DESC LIMIT 100")
+def _(l: Ledger) -> DataFrame:
+    return editing.most_seen(l.items, l.lines, 100).select("id", "times_seen")
+
+
+@query("jn18_proposals", "SELECT lo.id AS lo_item_id, hi.id AS hi_item_id, lo.label AS lo_label, hi.label AS hi_label FROM items lo JOIN items hi ON hi.id = lo.id + 1 WHERE lo.id % 10 = 0")
+def _(l: Ledger) -> DataFrame:
+    pairs = l.items.where("id % 10 = 0").select(F.col("id").alias("lo_item_id"), (F.col("id") + 1).alias("hi_item_id"))
+    return editing.proposals_named(pairs, l.items).select("lo_item_id", "hi_item_id", "lo_label", "hi_label")
+
+
+@query(
+    "jn19_sku_conflicts",
+    """SELECT p_partkey AS item_id, EXISTS (SELECT 1 FROM aliases a WHERE a.item_id = p_partkey AND a.alias_kind = 'sku' AND a.source_type = 'invoice' AND p_partkey % 6 <> 0 AND a.alias_value <> CASE WHEN p_partkey % 2 = 0 THEN CAST(p_partkey AS VARCHAR) ELSE 'x' END) AS conflicting_sku FROM parts""",
+)
+def _(l: Ledger) -> DataFrame:
+    k = F.col("p_partkey")
+    lines = l.parts.select(k.alias("item_id"), F.lit("invoice").alias("source_type"), F.when(k % 6 == 0, None).when(k % 2 == 0, k.cast("string")).otherwise("x").alias("sku"))
+    return editing.sku_conflicts(lines, l.aliases).select("item_id", "conflicting_sku")
+
+
+@query("agg25_tally", """WITH c AS (SELECT t.id, t.amount_paise, max(source = 'evidence') AS e, max(source = 'user') AS u, max(source = 'rule') AS r FROM transactions t LEFT JOIN allocations a ON a.transaction_id = t.id WHERE t.id % 4 = 0 GROUP BY 1, 2)
+    SELECT count(*) AS picked, CAST(sum(abs(amount_paise)) AS BIGINT) AS picked_paise, count(*) FILTER (NOT coalesce(e, false) AND NOT coalesce(u, false) AND NOT coalesce(r, false)) AS free,
+    count(*) FILTER (coalesce(u, false) AND NOT coalesce(e, false)) AS yours, count(*) FILTER (coalesce(r, false) AND NOT coalesce(e, false) AND NOT coalesce(u, false)) AS replaces, count(*) FILTER (coalesce(e, false)) AS refused FROM c""")
+def _(l: Ledger) -> DataFrame:
+    return editing.selection_tally(l.transactions.where("id % 4 = 0"), evidence.claim_labels(l.transactions, l.allocations))
+
+
+@query("flt13_account", "SELECT account_id, origin, CAST(sum(amount_paise) AS BIGINT) AS total_paise, count(*) AS n FROM consumption_rows WHERE account_id = 3 GROUP BY 1, 2")
+def _(l: Ledger) -> DataFrame:
+    rows = reports.consumption_rows(l.transactions, l.allocations, l.consumption, l.categories)
+    return rows.where("account_id = 3").groupBy("account_id", "origin").agg(F.sum("amount_paise").alias("total_paise"), F.count("*").alias("n"))
