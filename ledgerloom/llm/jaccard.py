@@ -479,11 +479,9 @@ def _representatives(described: DataFrame) -> DataFrame:
 
 
 def _in_blocks(nodes: DataFrame) -> DataFrame:
-    """Rows of long lists dealt to pairs of blocks: ``key`` (of the pair), n, node, label, bits, side."""
-    total = nodes.groupBy("key").agg(F.count("*").alias("total"))
+    """Rows of long lists (with the list's ``total``) dealt to pairs of blocks: ``key`` (of the pair), n, node, label, bits, side."""
     size = F.greatest(F.lit(LIST_BLOCK), F.least(F.lit(MOST_BLOCK), F.ceil(F.col("total") / BLOCKS)))
-    blocks = total.select("key", F.ceil(F.col("total") / size).cast("int").alias("blocks"))
-    dealt = nodes.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = nodes.withColumn("blocks", F.ceil(F.col("total") / size).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("own") == F.col("other"), -1).otherwise((F.col("own") > F.col("other")).cast("int"))
     pair = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
@@ -537,9 +535,8 @@ def join_rows(docs: DataFrame, width: int, similarity: str) -> JaccardJoin:
     while True:
         labels = materialize(connected_components(links), "labels")
         nodes = long_lists.join(labels, "node", "left").select("key", "n", "node", F.coalesce("component", "node").alias("label"))
-        split = nodes.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-        mixed = materialize(nodes.join(split, "key", "left_semi").join(traits.select("node", "bits"), "node").select("key", "n", "node", "label", "bits"), "mixed")
-        dealt = _in_blocks(mixed).select("key", "n", "node", "label", "bits", "side")
+        split = nodes.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("total")).where("lo <> hi").select("key", "total")
+        dealt = _in_blocks(nodes.join(split, "key").join(traits.select("node", "bits"), "node"))
         dealt = dealt.repartition(partitions, "key").sortWithinPartitions("key", "n", "node")
         pairs = materialize(dealt.mapInArrow(_across(threshold, spanning), "a long, b long").distinct(), "across")
         found = pairs if pairs.isEmpty() else materialize(_verified(pairs, docs, reps, width, threshold), "links")
@@ -548,7 +545,7 @@ def join_rows(docs: DataFrame, width: int, similarity: str) -> JaccardJoin:
         if not spanning or pairs.isEmpty():
             break
         spanning = not empty and rounds < SPANNING_ROUNDS
-    components = materialize(connected_components(links), "components")
+    components = labels if empty else materialize(connected_components(links), "components")
     return JaccardJoin(members, links, components)
 
 
