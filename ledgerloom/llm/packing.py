@@ -32,8 +32,9 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.scratch import materialize
 
 
-#: Type of positions in packed rows, little-endian.
-POSITION = "<u4"
+def position_type(tokens: int) -> str:
+    """Positions in packed rows are little-endian, of 16 bits if they fit."""
+    return "<u2" if tokens <= 1 << 16 else "<u4"
 
 
 @dataclass(frozen=True)
@@ -226,11 +227,12 @@ def _rows(limit: int, pad_id: int, kind: str):
     """Packed rows from the pieces of each sequence: (offset, ids) pairs in any order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.arange(limit, dtype=POSITION)
+        place = position_type(limit)
+        count = np.arange(limit, dtype=place)
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
-                ids, positions, bounds = np.full((part.num_rows, limit), pad_id, kind), np.zeros((part.num_rows, limit), POSITION), []
+                ids, positions, bounds = np.full((part.num_rows, limit), pad_id, kind), np.zeros((part.num_rows, limit), place), []
                 for i, pieces in enumerate(part.column(1).to_pylist()):
                     bounds.append([0])
                     for piece in sorted(pieces, key=lambda p: p["offset"]):
@@ -251,7 +253,7 @@ def packed_rows(docs: DataFrame, tokenizer_path: str, tokens: int = 2048, end_id
 
     Columns: sequence_id, which differs for every row; input_ids, ``tokens``
     little-endian ids of ``id_bytes`` bytes each, padded with ``pad_id``;
-    position_ids, as many 32-bit positions, which restart at 0 with every piece;
+    position_ids, as many positions (16 bits if ``tokens`` fits), which restart at 0 with every piece;
     cu_seqlens, the cumulative lengths of the pieces from 0 (its last entry is
     where padding begins). A document longer than a row is cut without loss; its
     pieces restart too. Null texts are only the end id; repeated rows and rows
@@ -315,5 +317,5 @@ def write_packed(rows: DataFrame, path: str) -> DataFrame:
 
 def open_packed(path: str, shard: str, tokens: int, id_bytes: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """A shard mapped into memory: id matrix, position matrix, cumulative lengths, and where each row's begin."""
-    ids, positions, lengths, starts = (np.memmap(f"{path}/data/{shard}.{part}", kind, "r") for part, kind in zip(PARTS, (f"<u{id_bytes}", POSITION, "<i4", "<i8"), strict=True))
+    ids, positions, lengths, starts = (np.memmap(f"{path}/data/{shard}.{part}", kind, "r") for part, kind in zip(PARTS, (f"<u{id_bytes}", position_type(tokens), "<i4", "<i8"), strict=True))
     return ids.reshape(-1, tokens), positions.reshape(-1, tokens), lengths, starts
