@@ -216,10 +216,14 @@ def near_duplicates(
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, e: s + e * e))
+    length = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, e: s + e * e))
+    most = F.array_max(F.transform("v", F.abs))  # components are scaled by it where their squares leave the range of doubles
+    beyond = (most > 0) & (most < float("inf")) & ((length("v") > 1e150) | (length("v") < 1e-150))
+    rows = rows.withColumn("w", F.when(beyond, F.transform("v", lambda e: e / most)).otherwise(F.col("v")))
+    norm = length("w")
     sound = F.coalesce(F.col("label").isNotNull() & F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & (norm > 0) & (norm < float("inf")), F.lit(False))
     rows = rows.withColumn("sound", sound)
-    unit = F.transform("v", lambda e: e / norm)
+    unit = F.transform("w", lambda e: e / norm)
     members = materialize(rows.select("vec_id", "label", F.when(F.col("sound"), unit).alias("unit"), F.when(F.col("sound"), F.xxhash64("label", "v", F.lit(7))).alias("h"), F.when(F.col("sound"), F.col("v")).alias("v")), "vectors")
     classes = members.where("unit is not null").groupBy("label", "h", "v").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("copies"), F.first("unit").alias("unit"))
     classes = materialize(classes.select("class_id", "label", "unit", "copies", "h", "v"), "classes")

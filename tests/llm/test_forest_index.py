@@ -86,3 +86,9 @@ def test_hot_copies_are_one_class(spark):
     rows = [(i, 0, [1.0, 2.0, 3.0]) for i in range(500)] + [(500 + i, 0, [1.0, 2.0, 3.0 + 0.01 * i]) for i in range(1, 50)]
     frame = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
     check(forest_index.near_duplicates(frame, leaf_rows=16), brute(rows), 0.999)
+
+
+def test_components_of_any_size(spark):
+    rows = [(1, [1e200, 0.0], "a"), (2, [2.0, 0.0], "a"), (3, [1e-200, 1e-201], "a"), (4, [0.0, 3e300], "a"), (5, [0.0, 0.0], "a"), (6, [0.0, 1e-310], "a"), (7, [float("inf"), 1.0], "a")]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    assert {r.vec_id: (r.n_links, r.component_id) for r in forest_index.near_duplicates(vectors).collect()} == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (0, 5), 6: (1, 4), 7: (0, 7)}
