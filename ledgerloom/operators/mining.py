@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import normalise
+from ledgerloom.operators.rules import Rule
+from ledgerloom.session import checkpointed
+
+#: Categories that a candidate's detail names.
+DETAIL = 4
 
 #: Words of payment rails, banks and company names that identify no merchant.
 NOISE = (
@@ -46,19 +53,86 @@ def support(unexplained: DataFrame, min_hits: int = 3) -> DataFrame:
     return rows.groupBy("token").agg(F.count("*").alias("support"), F.count_distinct("id").alias("rows")).where(F.col("support") >= min_hits).select("token", "support")
 
 
-def candidates(ledger: DataFrame, allocations: DataFrame, categories: DataFrame, min_hits: int = 3) -> DataFrame:
-    """Each candidate's hits in the whole ledger and how they are explained so far.
+def _lengths(wanted: DataFrame, column: str) -> Column:
+    """The distinct word lengths of a column, as a literal array; a few dozen, whatever the ledger's size."""
+    found = sorted(r.n for r in wanted.select(F.length(column).alias("n")).distinct().collect())
+    return F.array(*map(F.lit, found)).cast("array<int>")
+
 
-    Rows meet candidates on shared tokens, an equi-join, and never pairwise. A
-    token that only occurs inside other words is not counted.
+def occurrences(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``token, id`` for each row (``id, normal``) whose text contains the token, inside longer words too.
+
+    A token is a word or two words with a blank between. Distinct words of the
+    ledger meet tokens on equal pieces of the lengths that tokens have (of a pair:
+    the end of one word and the start of the next), so all joins are on equality
+    and the ledger is only joined with words that hold a token.
     """
-    sums = allocations.groupBy(F.col("transaction_id").alias("id")).agg(F.sum("amount_paise").alias("explained"), F.sort_array(F.collect_set("category_id")).alias("used"))
-    rows = ledger.join(sums, "id", "left").withColumn("open", F.col("amount_paise") != F.coalesce("explained", F.lit(0)))
-    tokened = rows.select("id", "open", F.coalesce("used", F.array().cast("array<bigint>")).alias("used"), F.explode(tokens(F.col("narration"))).alias("token"))
-    base = tokened.groupBy("token").agg(F.count(F.when(F.col("open"), 1)).alias("hits"), F.count("*").alias("ledger_hits"), F.count(F.when(~F.col("open"), 1)).alias("explained_hits"))
-    spread = tokened.select("token", F.explode("used").alias("category_id")).groupBy("token").agg(F.count_distinct("category_id").alias("spread"))
-    out = base.where(F.col("hits") >= min_hits).join(spread, "token", "left")
-    return out.select("token", "hits", "ledger_hits", "explained_hits", F.coalesce("spread", F.lit(0)).alias("spread"), F.size(F.split("token", " ")).alias("words"))
+    parts = F.split("normal", " ")
+    single = wanted.where(~F.col("token").contains(" ")).select("token")
+    double = wanted.where(F.col("token").contains(" ")).select("token", F.split_part("token", F.lit(" "), F.lit(1)).alias("a"), F.split_part("token", F.lit(" "), F.lit(2)).alias("b"))
+    words_of = rows.select("id", F.explode(F.array_distinct(parts)).alias("word"))
+    vocabulary = checkpointed(words_of.select("word").distinct())
+    word, size = F.col("word"), F.length("word")
+    fitting = lambda lengths: F.filter(lengths, lambda k: k <= size)
+
+    inside = F.flatten(F.transform(fitting(_lengths(single, "token")), lambda k: F.transform(F.sequence(F.lit(1), size - k + 1), lambda i: F.substr(word, i, k))))
+    holders = vocabulary.select("word", F.explode(F.array_distinct(inside)).alias("token")).join(single, "token")
+    ends = vocabulary.select(word.alias("x"), F.explode(F.transform(fitting(_lengths(double, "a")), lambda k: F.substr(word, size - k + 1, k))).alias("a"))
+    starts = vocabulary.select(word.alias("y"), F.explode(F.transform(fitting(_lengths(double, "b")), lambda k: F.substr(word, F.lit(1), k))).alias("b"))
+    ends, starts = ends.join(double.select("a").distinct(), "a"), starts.join(double.select("b").distinct(), "b")
+
+    next_to = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.struct(F.element_at(parts, i).alias("x"), F.element_at(parts, i + 1).alias("y")))
+    neighbours = rows.where(F.size(parts) > 1).select("id", F.explode(F.array_distinct(next_to)).alias("p")).select("id", "p.x", "p.y")
+    joined = neighbours.select("x", "y").distinct().join(ends, "x").join(starts, "y").join(double, ["a", "b"]).select("x", "y", "token")
+    return words_of.join(holders, "word").select("token", "id").unionByName(neighbours.join(joined, ["x", "y"]).select("token", "id")).distinct()
+
+
+def _measured(ledger: DataFrame, allocations: DataFrame, rules: Sequence[Rule], min_hits: int, max_breadth: float) -> DataFrame:
+    """What ``candidates`` returns, and two hash sums of each candidate's unexplained rows."""
+    if not 2 <= min_hits <= 100:
+        raise ValueError("min_hits must be 2 to 100")
+    sums = allocations.groupBy(F.col("transaction_id").alias("id")).agg(F.sum("amount_paise").alias("explained"), F.collect_set("category_id").alias("used"))
+    open_ = (F.col("amount_paise") != F.coalesce("explained", F.lit(0))).alias("open")
+    caught = [rule.column().alias(f"rule_{i}") for i, rule in enumerate(rules)]
+    used = F.coalesce("used", F.array().cast("array<bigint>")).alias("used")
+    rows = checkpointed(ledger.join(sums, "id", "left").select("id", open_, used, normalise(F.col("narration")).alias("normal"), F.when(open_, tokens(F.col("narration"))).alias("tokens"), *caught))
+    total = rows.count()
+    wanted = checkpointed(rows.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("support")).where(F.col("support") >= min_hits))
+    met = checkpointed(occurrences(rows, wanted).join(rows.drop("normal", "tokens"), "id"))
+
+    own = F.when(F.col("open"), F.col("id"))
+    base = met.groupBy("token").agg(
+        F.count(own).alias("hits"), F.count("*").alias("ledger_hits"), F.count(F.when(F.size("used") > 0, 1)).alias("explained_hits"),
+        F.sum(F.when(F.col("open"), F.xxhash64("id").cast("decimal(38,0)"))).alias("x"), F.sum(F.when(F.col("open"), F.hash("id").cast("decimal(38,0)"))).alias("y"),
+        *(F.count(F.when(F.col("open") & F.col(f"rule_{i}"), 1)).alias(f"rule_{i}") for i in range(len(rules))),
+    )
+    base = base.withColumn("breadth", F.round(F.col("ledger_hits") / F.lit(max(total, 1)), 3)).where((F.col("hits") >= min_hits) & (F.col("ledger_hits") <= F.lit(max_breadth) * F.lit(total)))
+    first_rule = F.coalesce(F.lit(None).cast("string"), *(F.when(F.col(f"rule_{i}") == F.col("hits"), F.lit(rule.name)) for i, rule in enumerate(rules)))
+
+    by_category = met.select("token", F.explode("used").alias("category_id")).groupBy("token", "category_id").agg(F.count("*").alias("count"))
+    by_category = by_category.withColumn("place", F.row_number().over(Window.partitionBy("token").orderBy(F.desc("count"), "category_id")))
+    top = F.array_sort(F.collect_list(F.when(F.col("place") <= DETAIL, F.struct("place", "category_id", "count"))))
+    spread = by_category.groupBy("token").agg(F.count("*").alias("spread"), F.transform(top, lambda d: F.struct(d["category_id"].alias("category_id"), d["count"].alias("count"))).alias("spread_detail"))
+    found = base.withColumn("collides_with", first_rule).join(spread, "token", "left")
+    return found.select("token", "hits", "ledger_hits", "breadth", "explained_hits", F.coalesce("spread", F.lit(0)).alias("spread"), "spread_detail", "collides_with", F.size(F.split("token", " ")).alias("words"), "x", "y")
+
+
+def candidates(ledger: DataFrame, allocations: DataFrame, rules: Sequence[Rule] = (), min_hits: int = 3, max_breadth: float = 1.0) -> DataFrame:
+    """Each candidate with all that a rule "narration contains it" would claim in the whole ledger.
+
+    ``hits``: unexplained rows; ``ledger_hits`` and ``breadth``: all rows and their share; ``explained_hits``: rows with
+    a category; ``spread``, ``spread_detail``: how many categories those have, and the four commonest with their counts;
+    ``collides_with``: the first of ``rules`` that matches every unexplained hit.
+    """
+    return _measured(ledger, allocations, rules, min_hits, max_breadth).drop("x", "y")
+
+
+def report(ledger: DataFrame, allocations: DataFrame, rules: Sequence[Rule] = (), min_hits: int = 3, max_breadth: float = 1.0, limit: int = 40) -> DataFrame:
+    """The candidates to show; of those with the same unexplained rows only the one with the fewest words, then by name."""
+    found = _measured(ledger, allocations, rules, min_hits, max_breadth)
+    shown = [c for c in found.columns if c not in ("x", "y")]
+    best = found.groupBy("hits", "x", "y").agg(F.min_by(F.struct(*shown), F.struct("words", "token")).alias("best"))
+    return ranked(best.select("best.*"), limit)
 
 
 def ranked(found: DataFrame, limit: int = 40) -> DataFrame:

@@ -447,14 +447,37 @@ def _(l: Ledger) -> DataFrame:
     return l.transactions.select("id", mining.merchant_hint(F.col("narration")).alias("hint"))
 
 
-@query("min2_token_support")
+NOISY = f"(w IN ({NOISE_SQL}) OR w LIKE '@%' OR regexp_matches(w, '^([^@]{{0,2}}|[0-9]+)@') OR regexp_matches(w, '^[a-z]{{4}}0'))"
+MINED = f"""texts AS (SELECT t.id, {NORMAL} AS normal, t.amount_paise <> coalesce(explained, 0) AS open, t.amount_paise, t.txn_date, t.narration
+        FROM spend t LEFT JOIN explained e ON e.transaction_id = t.id),
+    parts_of AS (SELECT id, unnest(x) AS w, unnest(range(len(x))) AS i FROM (SELECT id, list_filter(string_split(normal, ' '), lambda w: length(w) > 2 AND NOT regexp_matches(w, '^[0-9]+$')) AS x FROM texts WHERE open)),
+    marked AS (SELECT *, {NOISY} AS noise FROM parts_of),
+    tokened AS (SELECT id, w AS token FROM marked WHERE NOT noise UNION SELECT a.id, a.w || ' ' || b.w FROM marked a JOIN marked b ON b.id = a.id AND b.i = a.i + 1 WHERE NOT (a.noise AND b.noise)),
+    wanted AS (SELECT token, count(*) AS support FROM tokened GROUP BY token HAVING count(*) >= 3),
+    met AS (SELECT token, x.* FROM wanted JOIN texts x ON contains(normal, token)),
+    per_category AS (SELECT token, category_id, count(*) AS n, row_number() OVER (PARTITION BY token ORDER BY count(*) DESC, category_id) AS place
+        FROM met JOIN (SELECT DISTINCT transaction_id, category_id FROM allocations) a ON a.transaction_id = met.id GROUP BY token, category_id),
+    spreads AS (SELECT token, count(*) AS spread, string_agg(category_id || ':' || n, ',' ORDER BY place) FILTER (place <= 4) AS detail FROM per_category GROUP BY token),
+    hit AS (SELECT token, count(*) FILTER (open) AS hits, count(*) AS ledger_hits, count(*) FILTER (id IN (SELECT transaction_id FROM allocations)) AS explained_hits,
+        bool_and(contains(normal, 'anvil')) FILTER (open) AS anvils, bool_and(contains(normal, 'bolt')) FILTER (open) AS bolts, string_agg(id, ',' ORDER BY id) FILTER (open) AS ids FROM met GROUP BY token HAVING count(*) FILTER (open) >= 3),
+    mined AS (SELECT hit.token, hits, ledger_hits, CAST(round(ledger_hits * 1000.0 / (SELECT count(*) FROM texts)) AS BIGINT) AS breadth_permille, explained_hits, coalesce(spread, 0) AS spread, coalesce(detail, '') AS spread_detail,
+        CASE WHEN anvils THEN 'all anvils' WHEN bolts THEN 'all bolts' END AS collides_with, CAST(len(string_split(hit.token, ' ')) AS BIGINT) AS words, ids FROM hit LEFT JOIN spreads ON spreads.token = hit.token)"""
+MINING_RULES = [rules.Rule(i, f"all {word}s", (rules.Condition("narration", "contains", word),)) for i, word in enumerate(("anvil", "bolt"))]
+
+
+def _mined(found: DataFrame) -> DataFrame:
+    detail = F.array_join(F.transform(F.coalesce("spread_detail", F.array().cast("array<struct<category_id:bigint,count:bigint>>")), lambda d: F.concat_ws(":", d["category_id"].cast("string"), d["count"].cast("string"))), ",")
+    return found.withColumn("breadth_permille", F.round(F.col("breadth") * 1000).cast("long")).withColumn("spread_detail", detail).drop("breadth")
+
+
+@query("min2_token_support", f"WITH {MINED} SELECT token, support FROM wanted")
 def _(l: Ledger) -> DataFrame:
     return mining.support(predicates.unexplained(l.transactions.where(predicates.explainable_spend()), l.allocations))
 
 
-@query("min4_candidates")
+@query("min4_candidates", f"WITH {MINED} SELECT * EXCLUDE (ids) FROM mined")
 def _(l: Ledger) -> DataFrame:
-    return mining.candidates(l.transactions.where(predicates.explainable_spend()), l.allocations, l.categories)
+    return _mined(mining.candidates(l.transactions.where(predicates.explainable_spend()), l.allocations, MINING_RULES))
 
 
 @query("min5_same_rows")
@@ -463,11 +486,12 @@ def _(l: Ledger) -> DataFrame:
     return mining.same_rows(open_.select("id", F.explode(mining.tokens(F.col("narration"))).alias("token")))
 
 
-@query("min6_report")
+@query(
+    "min6_report",
+    f"""WITH {MINED}, kept AS (SELECT *, row_number() OVER (PARTITION BY ids ORDER BY words, token) AS place FROM mined) SELECT * EXCLUDE (ids, place) FROM kept WHERE place = 1 ORDER BY spread, hits DESC, token LIMIT 40""",
+)
 def _(l: Ledger) -> DataFrame:
-    spend = l.transactions.where(predicates.explainable_spend())
-    kept = mining.same_rows(predicates.unexplained(spend, l.allocations).select("id", F.explode(mining.tokens(F.col("narration"))).alias("token"))).select("token")
-    return mining.ranked(mining.candidates(spend, l.allocations, l.categories).join(kept, "token", "left_semi"))
+    return _mined(mining.report(l.transactions.where(predicates.explainable_spend()), l.allocations, MINING_RULES))
 
 
 # Transfers

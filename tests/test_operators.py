@@ -134,6 +134,34 @@ def test_split_sums_exactly(spark):
     assert got == {"a": [3, 4], "b": [-3, -3, -4], "c": [1000, 5000]}
 
 
+def test_candidates_against_a_slow_version(spark):
+    """Words inside words, pairs across dropped short words, repeated texts, nulls and a rule that claims all hits."""
+    texts = ["amazonpay groceries in bulk", "amazon groceries bulk", "the amazon groceries", "myamazon groceriesx", "amazon in bulk", "amazon in bulk", "amazon in bulk", None, "", "milk 123 milk", "milk milk", "quartz lamp"] * 2
+    rows = [(i, 1, -100, "regular", t) for i, t in enumerate(texts)]
+    ledger = spark.createDataFrame(rows, "id long, account_id long, amount_paise long, type string, narration string")
+    allocated = {1: (-100, 7), 2: (-40, 8), 3: (-100, 7), 13: (-100, 9)}
+    allocations = spark.createDataFrame([(k, a, c) for k, (a, c) in allocated.items()], "transaction_id long, amount_paise long, category_id long")
+    known = [rules.Rule(1, "milk", (rules.Condition("narration", "contains", "milk"),))]
+    got = {r.token: r for r in mining.candidates(ledger, allocations, known, min_hits=2).collect()}
+
+    open_ = {i for i in range(len(texts)) if allocated.get(i, (0, 0))[0] != -100}
+    tokens = {}
+    for r in ledger.select("id", mining.tokens(F.col("narration")).alias("t")).collect():
+        for token in r.t if r.id in open_ else ():
+            tokens.setdefault(token, set()).add(r.id)
+    wanted = {}
+    for token, ids in tokens.items():
+        hits = {i for i, t in enumerate(texts) if t and token in t}
+        if len(ids) >= 2 and len(hits & open_) >= 2:
+            used = [allocated[i][1] for i in sorted(hits) if i in allocated]
+            wanted[token] = (len(hits & open_), len(hits), len(used), len(set(used)), "milk" if all("milk" in texts[i] for i in hits & open_) else None)
+    assert {t: (r.hits, r.ledger_hits, r.explained_hits, r.spread, r.collides_with) for t, r in got.items()} == wanted
+    assert "amazon bulk" in tokens and "amazon bulk" not in got and got["amazon"].ledger_hits > len(tokens["amazon"])
+    assert [(d.category_id, d["count"]) for d in got["amazon"].spread_detail] == [(7, 2), (8, 1), (9, 1)]
+    shown = [r.token for r in mining.report(ledger, allocations, known, min_hits=2).collect()]
+    assert {"milk", "milk milk", "lamp"} <= set(shown) and not {"quartz", "quartz lamp"} & set(shown)
+
+
 def test_mining(spark):
     rows = [(i, 1, None, None, "2024-01-01", -5, "regular", f"UPI-{n}-xyz", None, None, None) for i, n in enumerate(["EATCLUB", "EATCLUB", "EATCLUB", "OTHER"])]
     frame = spark.createDataFrame(rows, TXN.replace("txn_date date", "txn_date string"))
