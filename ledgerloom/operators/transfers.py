@@ -1,12 +1,15 @@
 """Pairing transfers between own accounts, in three passes of falling evidence.
 
-Legs of different absolute amounts never compete, so the greedy passes run per
-absolute amount; within one they are sequential by definition (each debit takes
-the nearest credit that is still free).
+Legs of different absolute amounts never compete, nor do legs of one amount with
+three days or more without a leg of it between them, so the greedy passes run per
+amount and run of days; within one they are sequential by definition (each debit
+takes the nearest credit that is still free).
 """
 
 from __future__ import annotations
 
+from collections import deque
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,27 +55,41 @@ def _status(pairs: DataFrame, locked: DataFrame, evidence: str) -> DataFrame:
 
 
 def _nearest(legs: pd.DataFrame) -> pd.DataFrame:
-    """Serial dictatorship within one absolute amount: debits by account and id choose in turn."""
+    """Serial dictatorship within one run of days of one absolute amount: debits by account and id choose in turn.
+
+    The free credits of a day wait by account in order of id, so a choice looks at the
+    first of each account on five days, however many credits there are.
+    """
     debits = legs[legs.amount_paise < 0].sort_values(["account_id", "id"])
     credits = legs[legs.amount_paise > 0].sort_values("id")
-    free = dict(zip(credits.id, zip(credits.account_id, credits.day), strict=True)) if len(debits) else {}
-    by_day: dict[int, list[int]] = {}
-    for i, (_, day) in free.items():
-        by_day.setdefault(day, []).append(i)
+    waiting: dict[int, dict[int, deque[int]]] = {}
+    for own in credits.itertuples():
+        waiting.setdefault(own.day, {}).setdefault(own.account_id, deque()).append(own.id)
     out = []
     for own in debits.itertuples():
-        found = [(abs(day - own.day), i) for day in range(own.day - MAX_GAP, own.day + MAX_GAP + 1) for i in by_day.get(day, ()) if free[i][0] != own.account_id and (own.target < 0 or free[i][0] == own.target)]
-        if found:
-            _, best = min(found)
-            out.append((own.id, best, len(found)))
-            by_day[free[best][1]].remove(best)
+        choices, best = 0, None
+        for day in range(own.day - MAX_GAP, own.day + MAX_GAP + 1):
+            for account, line in waiting.get(day, {}).items():
+                if line and account != own.account_id and (own.target < 0 or account == own.target):
+                    choices += len(line)
+                    first = (abs(day - own.day), line[0], line)
+                    best = first if best is None or first[:2] < best[:2] else best
+        if best:
+            out.append((own.id, best[2].popleft(), choices))
     return pd.DataFrame(out, columns=["debit_id", "credit_id", "choices"]).astype("int64")
 
 
 def _greedy(legs: DataFrame) -> DataFrame:
-    rows = legs.select("id", "account_id", "amount_paise", F.datediff("txn_date", F.lit("1970-01-01").cast("date")).cast("long").alias("day"), "target", F.abs("amount_paise").alias("size"))
-    both = rows.groupBy("size").agg(F.min("amount_paise").alias("lo"), F.max("amount_paise").alias("hi")).where("lo < 0 and hi > 0").select("size")
-    return rows.join(both, "size", "left_semi").groupBy("size").applyInPandas(_nearest, "debit_id long, credit_id long, choices long")
+    """Pairs of ``_nearest``, for each absolute amount and each run of days in which legs of it lie at most two days apart.
+
+    Runs come from the distinct days of an amount, not from its rows; legs of different runs can never pair.
+    """
+    rows = legs.select("id", "account_id", "amount_paise", F.unix_date("txn_date").cast("long").alias("day"), "target", F.abs("amount_paise").alias("size"))
+    days = rows.groupBy("size", "day").agg(F.min("amount_paise").alias("lo"), F.max("amount_paise").alias("hi"))
+    in_order = Window.partitionBy("size").orderBy("day")
+    days = days.withColumn("starts", F.coalesce(F.col("day") - F.lag("day").over(in_order) > MAX_GAP, F.lit(False)).cast("int")).withColumn("run", F.sum("starts").over(in_order))
+    both = days.withColumn("least", F.min("lo").over(Window.partitionBy("size", "run"))).withColumn("most", F.max("hi").over(Window.partitionBy("size", "run"))).where("least < 0 and most > 0")
+    return rows.join(both.select("size", "day", "run"), ["size", "day"]).groupBy("size", "run").applyInPandas(_nearest, "debit_id long, credit_id long, choices long")
 
 
 def amount_date_pass(txns: DataFrame) -> DataFrame:
