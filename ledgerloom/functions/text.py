@@ -52,6 +52,32 @@ def canonical_name(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(out, r"[^a-z0-9]+", " "), r"\s+", " "))
 
 
+def without_merchant_noise(text: Column) -> Column:
+    """A printed product name without the seller's tariff codes and stock numbers, blanks collapsed."""
+    # How sellers print tariff codes (HSN, four to eight digits) and stock numbers (B0 and eight more).
+    out = F.regexp_replace(text, r"(?i)\bhsn\s*[:-]\s*[0-9]{4,8}\b", " ")
+    out = F.regexp_replace(out, r"(?i)\(\s*hsn[-:\s]*[0-9]{4,8}\s*\)", " ")
+    out = F.regexp_replace(out, r"(?i)\|\s*b0[a-z0-9]{8}\s*\(?[^)]*\)?\s*$", " ")
+    out = F.regexp_replace(out, r"\bB0[A-Z0-9]{8}\b", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(out, r"\(\s*\)", " "), r"\s+", " "))
+
+
+def variant_difference(a: Column, b: Column) -> Column:
+    """``same_product, reason, differing`` of two canonical names compared as sets of words.
+
+    Variants differ by at most one word a side, share at least five, and do not
+    differ by a bare number, which reads as a model. Null names have no words.
+    """
+    own, other = (F.array_distinct(F.filter(F.split(F.coalesce(x, F.lit("")), " "), lambda w: w != "")) for x in (a, b))
+    lost, won = F.array_except(own, other), F.array_except(other, own)
+    differing = F.concat(lost, won)
+    reason = (
+        F.when(F.size(differing) == 0, None).when(F.greatest(F.size(lost), F.size(won)) > 1, "many_words").when(F.size(F.array_intersect(own, other)) < 5, "little_in_common")
+        .when(F.exists(differing, lambda w: w.rlike("^[0-9]+$")), "bare_number")
+    )
+    return F.struct(reason.isNull().alias("same_product"), reason.alias("reason"), differing.alias("differing"))
+
+
 def variant_attributes(text: Column) -> Column:
     """``size`` (the last) and ``pack_of`` (the first) that a name states, where it does."""
     low = F.lower(text)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import day_gap
+from ledgerloom.operators.changes import ChangeSet
 
 MATCH_DAYS = 3
 NEAR_DAYS = 10
@@ -95,6 +96,37 @@ def precedence(wanted: DataFrame, allocations: DataFrame) -> DataFrame:
     return rows.select("evidence_id", "transaction_id", verdict.alias("verdict"), F.when(verdict == "write", F.coalesce("displaced", F.lit(0))).otherwise(0).alias("displaced"))
 
 
+def apply_links(wanted: DataFrame, evidence: DataFrame, txns: DataFrame, allocations: DataFrame, categories: DataFrame, shared_category: int) -> tuple[DataFrame, ChangeSet]:
+    """What linking records to rows writes: the links that may be written, and the change set of allocations.
+
+    ``wanted``: evidence_id, transaction_id. A record is written only if every row of it may be. At most its
+    total, and at most what its rows hold, is split over them by amount. A settlement goes to
+    ``shared_category``; of an expense the others' part goes there and the rest to the record's own
+    category (``categories``: evidence_id, category_id), if it has one. Rule allocations on the rows go.
+    """
+    judged = precedence(wanted.distinct(), allocations).withColumn("all_write", F.min((F.col("verdict") == "write").cast("int")).over(Window.partitionBy("evidence_id")))
+    links = judged.where("all_write = 1").select("evidence_id", "transaction_id")
+    total = F.abs(F.when(F.col("kind") == "payment", F.col("expected_paise")).otherwise(F.col("cost_paise")))
+    records = expected(evidence).select(F.col("id").alias("evidence_id"), "kind", "my_net_paise", total.alias("total"))
+    rows = links.join(txns.select(F.col("id").alias("transaction_id"), "amount_paise"), "transaction_id").join(records, "evidence_id")
+    rows = rows.withColumn("cap", -F.least("total", F.sum(F.abs("amount_paise")).over(Window.partitionBy("evidence_id"))))
+    rows = split_proportionally(rows, "evidence_id", "transaction_id", "amount_paise", "cap").join(categories.select("evidence_id", "category_id"), "evidence_id", "left")
+    others = F.expr("if(total = 0, 0L, cast(cast(share as decimal(19,0)) * cast(my_net_paise as decimal(19,0)) div cast(if(total = 0, 1L, total) as decimal(19,0)) as bigint))")
+    rows = rows.withColumn("others", F.when(F.col("kind") == "payment", F.col("share")).otherwise(others))
+    parts = F.array(F.struct(F.lit(shared_category).cast("long").alias("category_id"), F.col("others").alias("part")), F.struct(F.col("category_id").cast("long").alias("category_id"), (F.col("share") - F.col("others")).alias("part")))
+    fresh = rows.select("evidence_id", "transaction_id", F.explode(parts).alias("p")).where("p.category_id is not null and p.part <> 0")
+    fresh = fresh.select("transaction_id", F.col("p.part").alias("amount_paise"), F.col("p.category_id").alias("category_id"), F.lit("evidence").alias("source"), "evidence_id")
+    gone = allocations.where("source = 'rule'").join(links.select("transaction_id"), "transaction_id", "left_semi")
+    return links, ChangeSet(fresh, gone.select(*fresh.columns))
+
+
+def unlink(gone: DataFrame, links: DataFrame, allocations: DataFrame) -> tuple[ChangeSet, ChangeSet]:
+    """The change sets of links and of allocations when the links of records (``evidence_id``) are taken back."""
+    lost = links.join(gone.select("evidence_id").distinct(), "evidence_id", "left_semi").select(*links.columns)
+    swept = allocations.where("source = 'evidence'").join(gone.select("evidence_id").distinct(), "evidence_id", "left_semi").select(*allocations.columns)
+    return ChangeSet(links.where("false"), lost), ChangeSet(allocations.where("false"), swept)
+
+
 def claim_labels(txns: DataFrame, allocations: DataFrame) -> DataFrame:
     """How a row looks to a new record: free, yours, replaces or refused."""
     per = allocations.groupBy(F.col("transaction_id").alias("id")).agg(*(F.max((F.col("source") == s).cast("int")).alias(s) for s in ("user", "rule", "evidence")))

@@ -480,7 +480,11 @@ def _(l: Ledger) -> DataFrame:
     return _mined(mining.candidates(l.transactions.where(predicates.explainable_spend()), l.allocations, MINING_RULES))
 
 
-@query("min5_same_rows")
+@query(
+    "min5_same_rows",
+    f"""WITH {MINED}, sets AS (SELECT token, count(*) AS hits, string_agg(id, ',' ORDER BY id) AS ids FROM tokened GROUP BY token),
+    kept AS (SELECT *, row_number() OVER (PARTITION BY ids ORDER BY len(string_split(token, ' ')), token) AS place FROM sets) SELECT token, hits FROM kept WHERE place = 1""",
+)
 def _(l: Ledger) -> DataFrame:
     open_ = predicates.unexplained(l.transactions.where(predicates.explainable_spend()), l.allocations)
     return mining.same_rows(open_.select("id", F.explode(mining.tokens(F.col("narration"))).alias("token")))
@@ -643,11 +647,52 @@ def _(l: Ledger) -> DataFrame:
     return evidence.batches(_worklist(l))
 
 
-@query("evd10_sweep")
+@query(
+    "evd10_sweep",
+    f"""WITH judged AS (SELECT m.evidence_id, m.transaction_id, evidence_date, {VERDICT} AS verdict FROM {_match(UNLINKED)} m JOIN evidence e ON e.id = m.evidence_id LEFT JOIN {ALLOCATED} a ON a.transaction_id = m.transaction_id WHERE m.outcome = 'matched')
+    SELECT evidence_id, transaction_id, CASE WHEN verdict = 'write' AND row_number() OVER (PARTITION BY transaction_id, verdict ORDER BY evidence_date, evidence_id) = 1 THEN 'linked' ELSE 'conflicted' END AS result FROM judged""",
+)
 def _(l: Ledger) -> DataFrame:
     return evidence.sweep(l.evidence, l.evidence_transactions, l.transactions, l.allocations)
 
 
+def _applied(l: Ledger):
+    """Every record linked to its own row and, where there is one, to the mirrored row of it."""
+    ids = l.evidence.select(F.col("id").alias("evidence_id"), F.explode(F.array(F.col("id"), F.col("id") + 1000000000000)).alias("transaction_id"))
+    wanted = ids.join(l.transactions.select(F.col("id").alias("transaction_id")), "transaction_id")
+    categories = l.evidence.where("id % 5 <> 0").select(F.col("id").alias("evidence_id"), (F.col("id") % 3 + 1).alias("category_id"))
+    return evidence.apply_links(wanted, l.evidence, l.transactions, l.allocations, categories, shared_category=9)
+
+
+LINKABLE = f"""w AS (SELECT e.id AS evidence_id, t.id AS transaction_id, t.amount_paise FROM evidence e JOIN transactions t ON t.id = e.id OR t.id = e.id + 1000000000000),
+    allowed AS (SELECT *, min(CAST(verdict = 'write' AS INTEGER)) OVER (PARTITION BY evidence_id) AS good FROM (SELECT m.*, {VERDICT} AS verdict FROM w m LEFT JOIN {ALLOCATED} a ON a.transaction_id = m.transaction_id))"""
+
+
+@query(
+    "evd9_apply",
+    f"""WITH {LINKABLE}, e AS (SELECT id, kind, my_net_paise AS net, abs(CASE WHEN kind = 'payment' THEN {CASH} ELSE cost_paise END) AS total FROM evidence WHERE {CASH} IS NOT NULL),
+    x AS (SELECT evidence_id, transaction_id, kind, net, total, abs(amount_paise) AS wt, sum(abs(amount_paise)) OVER (PARTITION BY evidence_id) AS wts, row_number() OVER (PARTITION BY evidence_id ORDER BY transaction_id DESC) AS back
+        FROM allowed JOIN e ON e.id = evidence_id WHERE good = 1),
+    y AS (SELECT *, least(total, wts) AS cap, CAST(CAST(least(total, wts) AS HUGEINT) * wt // wts AS BIGINT) AS part FROM x),
+    z AS (SELECT *, CASE WHEN back > 1 THEN part ELSE cap - coalesce(sum(part) FILTER (back > 1) OVER (PARTITION BY evidence_id), 0) END AS share FROM y),
+    s AS (SELECT *, CASE WHEN kind = 'payment' THEN share ELSE CAST(share AS HUGEINT) * net // total END AS others FROM z)
+    SELECT evidence_id, transaction_id, CAST(9 AS BIGINT) AS category_id, CAST(-others AS BIGINT) AS amount_paise FROM s WHERE others <> 0
+    UNION ALL SELECT evidence_id, transaction_id, evidence_id % 3 + 1, CAST(others - share AS BIGINT) FROM s WHERE share <> others AND evidence_id % 5 <> 0""",
+)
+def _(l: Ledger) -> DataFrame:
+    return _applied(l)[1].inserts.select("evidence_id", "transaction_id", "category_id", "amount_paise")
+
+
+@query("evd9_displaced", f"WITH {LINKABLE} SELECT transaction_id, amount_paise, category_id FROM allocations WHERE source = 'rule' AND transaction_id IN (SELECT transaction_id FROM allowed WHERE good = 1)")
+def _(l: Ledger) -> DataFrame:
+    return _applied(l)[1].deletes.select("transaction_id", "amount_paise", "category_id")
+
+
+@query("evd11_unlink", "SELECT id FROM allocations WHERE source = 'evidence' AND evidence_id IN (SELECT evidence_id FROM evidence_transactions WHERE evidence_id % 2 = 0)")
+def _(l: Ledger) -> DataFrame:
+    return evidence.unlink(l.evidence_transactions.where("evidence_id % 2 = 0"), l.evidence_transactions, l.allocations)[1].deletes.select("id")
+
+
 @query(
     "evd12_lines",
     """WITH d AS (SELECT evidence_id, category_id, sum(l.amount_paise) AS amount FROM lines l JOIN items i ON i.id = l.item_id WHERE kind = 'goods' AND category_id IS NOT NULL GROUP BY evidence_id, category_id),
@@ -715,6 +760,21 @@ def _(l: Ledger) -> DataFrame:
     return l.items.select("id", text.canonical_name(F.col("label")).alias("canon"))
 
 
+CANON = "trim(regexp_replace(lower('acme hydration zero sugar mix ' || label), '[^a-z0-9]+', ' ', 'g'))"
+
+
+@query(
+    "itm4_variants",
+    f"""WITH w AS (SELECT id, list_distinct(string_split({CANON}, ' ')) AS x FROM items), p AS (SELECT a.id, len(list_filter(a.x, lambda t: NOT list_contains(b.x, t))) AS lost, len(list_filter(b.x, lambda t: NOT list_contains(a.x, t))) AS won,
+    len(list_filter(a.x, lambda t: list_contains(b.x, t))) AS shared, len(list_filter(list_concat(list_filter(a.x, lambda t: NOT list_contains(b.x, t)), list_filter(b.x, lambda t: NOT list_contains(a.x, t))), lambda t: regexp_matches(t, '^[0-9]+$'))) > 0 AS bare FROM w a JOIN w b ON b.id = a.id + 1)
+    SELECT id, CASE WHEN lost + won = 0 THEN 'same' WHEN lost > 1 OR won > 1 THEN 'many_words' WHEN shared < 5 THEN 'little_in_common' WHEN bare THEN 'bare_number' ELSE 'same' END AS verdict FROM p""",
+)
+def _(l: Ledger) -> DataFrame:
+    named = l.items.select("id", text.canonical_name(F.concat(F.lit("acme hydration zero sugar mix "), F.col("label"))).alias("a"))
+    both = named.join(named.select((F.col("id") - 1).alias("id"), F.col("a").alias("b")), "id")
+    return both.select("id", F.coalesce(text.variant_difference(F.col("a"), F.col("b"))["reason"], F.lit("same")).alias("verdict"))
+
+
 @query("itm3_attributes", "SELECT id, CASE WHEN id % 2 = 0 THEN CAST(id % 9 + 1 AS VARCHAR) || 'kg' END AS size, CASE WHEN id % 5 = 0 THEN CAST(id % 4 + 2 AS VARCHAR) END AS pack_of FROM items")
 def _(l: Ledger) -> DataFrame:
     k = F.col("id")

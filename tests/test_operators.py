@@ -134,6 +134,29 @@ def test_split_sums_exactly(spark):
     assert got == {"a": [3, 4], "b": [-3, -3, -4], "c": [1000, 5000]}
 
 
+@pytest.mark.parametrize(
+    ("given", "wanted"),
+    [
+        ("Pouch Curd, 400 G | B0ABCDEFG1 ( B0ABCDEFG1 )", "Pouch Curd, 400 G"),
+        ("Cola Zero(PET Bottle) (HSN-22029990)", "Cola Zero(PET Bottle)"),
+        ("Curd\nHSN:04039090", "Curd"),
+        ("", ""),
+    ],
+)
+def test_merchant_noise(spark, given, wanted):
+    assert value(spark, text.without_merchant_noise, given) == wanted
+
+
+def test_variants(spark):
+    names = [
+        ("acme zero sugar mix hundred cola", "acme zero sugar mix hundred lemon", None), ("a b c d e", "e d c b a a", None), ("amul butter", "amul cheese", "little_in_common"),
+        ("acme smart phone pro max 15", "acme smart phone pro max 16", "bare_number"), ("a b c d e f g", "a b c d e x y", "many_words"), (None, "a", "little_in_common"), (None, None, None),
+    ]
+    frame = spark.createDataFrame(names, "a string, b string, wanted string")
+    for r in frame.select("wanted", text.variant_difference(F.col("a"), F.col("b")).alias("v")).collect():
+        assert (r.v.same_product, r.v.reason) == (r.wanted is None, r.wanted)
+
+
 def test_candidates_against_a_slow_version(spark):
     """Words inside words, pairs across dropped short words, repeated texts, nulls and a rule that claims all hits."""
     texts = ["amazonpay groceries in bulk", "amazon groceries bulk", "the amazon groceries", "myamazon groceriesx", "amazon in bulk", "amazon in bulk", "amazon in bulk", None, "", "milk 123 milk", "milk milk", "quartz lamp"] * 2
