@@ -189,3 +189,27 @@ def gate(lines: DataFrame, evidence: DataFrame) -> DataFrame:
     """Orders whose lines do not add up to the stated cost, without tolerance."""
     sums = lines.groupBy(F.col("evidence_id").alias("id")).agg(F.sum("amount_paise").alias("lines_paise"))
     return evidence.join(sums, "id").where("lines_paise <> cost_paise").select("id", "cost_paise", "lines_paise")
+
+
+def touched_by_items(changed: DataFrame, lines: DataFrame, links: DataFrame) -> DataFrame:
+    """``evidence_id, transaction_id`` of every linked order with a line of the changed items (``item_id``)."""
+    orders = lines.join(changed.select("item_id"), "item_id", "left_semi").select("evidence_id").distinct()
+    return links.join(orders, "evidence_id", "left_semi").select("evidence_id", "transaction_id").distinct()
+
+
+def rederive(changed: DataFrame, lines: DataFrame, items: DataFrame, links: DataFrame, txns: DataFrame, allocations: DataFrame) -> tuple[ChangeSet, DataFrame]:
+    """Orders with changed items derived anew: the change set of their allocations, and the rows for the rules to fill, once each.
+
+    Rows that a person or another order explains keep that; rule slices go.
+    """
+    touched = touched_by_items(changed, lines, links)
+    own = touched.select("evidence_id").distinct()
+    derived = line_allocations(lines.join(own, "evidence_id", "left_semi"), items, touched, txns)
+    mine = allocations.where("source = 'evidence'").join(own, "evidence_id", "left_semi")
+    left = allocations.join(mine.select("id"), "id", "left_anti")
+    blocked = left.where("source in ('user', 'evidence')").select("transaction_id")
+    fresh = derived.join(blocked, "transaction_id", "left_anti")
+    displaced = left.where("source = 'rule'").join(fresh.select("transaction_id"), "transaction_id", "left_semi")
+    columns = ["evidence_id", "transaction_id", "category_id", "amount_paise"]
+    gone = mine.unionByName(displaced.select(*mine.columns)).select("id", *columns)
+    return ChangeSet(fresh.select(*columns), gone), touched.select("transaction_id").distinct()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import canonical_name, similarity, trigrams
+from ledgerloom.operators.changes import next_ids
 
 LINK, PROPOSE, CANDIDATES = 88, 55, 5
 #: Pairs below this are no candidates at all.
@@ -49,13 +50,20 @@ def _prefix(rows: DataFrame, counts: DataFrame, name: str) -> DataFrame:
     return each.withColumn("place", place).where(F.col("place") <= F.col("n") - needed + 1).select(name, "g")
 
 
+def by_alias(lines: DataFrame, aliases: DataFrame) -> DataFrame:
+    """``lines`` (line_id, source_type, sku, name) with ``alias_item`` and ``via``: the SKU's item, else the canonical name's."""
+    known = {k: aliases.where(F.col("alias_kind") == k).select("source_type", F.col("alias_value").alias(c), F.col("item_id").alias(f"_{k}")) for k, c in (("sku", "sku"), ("name", "canon"))}
+    rows = lines.withColumn("canon", canonical_name(F.col("name"))).join(known["sku"], ["source_type", "sku"], "left").join(known["name"], ["source_type", "canon"], "left")
+    via = F.when(F.col("_sku").isNotNull(), "sku").when(F.col("_name").isNotNull(), "name")
+    return rows.withColumn("alias_item", F.coalesce("_sku", "_name")).withColumn("via", via).drop("_sku", "_name", "canon")
+
+
 def resolve(lines: DataFrame, aliases: DataFrame, items: DataFrame) -> DataFrame:
-    """``line_id, decision, item_id``: by SKU alias, by one strong name, a proposal, or a new item.
+    """``line_id, decision, item_id``: by alias (SKU, then name), by one strong name, a proposal, or a new item.
 
     ``lines``: line_id, source_type, sku, name.
     """
-    sku = aliases.where("alias_kind = 'sku'").select("source_type", F.col("alias_value").alias("sku"), F.col("item_id").alias("alias_item"))
-    rows = lines.join(sku, ["source_type", "sku"], "left")
+    rows = by_alias(lines, aliases)
     open_ = rows.where("alias_item is null")
     best = candidates(open_.select("name"), items).groupBy("name").agg(
         F.count(F.when(F.col("similarity") >= LINK, 1)).alias("strong"), F.max("similarity").alias("top"), F.min_by("item_id", "place").alias("top_item")
@@ -66,6 +74,33 @@ def resolve(lines: DataFrame, aliases: DataFrame, items: DataFrame) -> DataFrame
     return out.select("line_id", decision.alias("decision"), item.alias("item_id"))
 
 
+def record_sightings(lines: DataFrame, aliases: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """New items (``id, label``), new aliases, and ``line_id, item_id`` for lines that land together.
+
+    Lines that resolve to nothing known make one new item for each canonical
+    name of a source; a line follows the name under which its SKU came first (by
+    line_id). New items of one batch are compared with the catalogue, not with
+    each other. A line whose name has no letter or digit gets no item. An alias
+    that is taken stays where it points; of two lines the first by id gives it.
+    """
+    rows = lines.withColumn("canon", canonical_name(F.col("name"))).where("canon <> ''")
+    found = rows.join(resolve(rows.select("line_id", "source_type", "sku", "name"), aliases, items), "line_id")
+    old = F.col("decision").isin("existing", "link")
+    fresh = found.where(~old)
+    leads = fresh.where("sku is not null").groupBy("source_type", "sku").agg(F.min_by("canon", "line_id").alias("lead"))
+    fresh = fresh.join(leads, ["source_type", "sku"], "left").withColumn("lead", F.coalesce("lead", "canon"))
+    made = fresh.groupBy("source_type", "lead").agg(F.min(F.struct("line_id", F.trim("name").alias("label"))).alias("first"))
+    made = next_ids(items.select("id"), made.select("source_type", "lead", "first.line_id", "first.label"), [F.col("line_id")])
+    placed = fresh.join(made.select("source_type", "lead", "id"), ["source_type", "lead"]).select("line_id", F.col("id").alias("item_id"))
+    placed = found.where(old).select("line_id", "item_id").unionByName(placed)
+    named = rows.join(placed, "line_id")
+    stack = F.explode(F.array(*(F.struct(F.lit(k).alias("alias_kind"), F.col(c).alias("alias_value")) for k, c in (("sku", "sku"), ("name", "canon"))))).alias("a")
+    key = ["source_type", "alias_kind", "alias_value"]
+    given = named.select("line_id", "item_id", "source_type", stack).select("line_id", "item_id", "source_type", "a.*").where("alias_value is not null")
+    given = given.groupBy(*key).agg(F.min_by("item_id", "line_id").alias("item_id")).join(aliases.select(*key), key, "left_anti")
+    return made.select("id", "label"), given, placed
+
+
 def item_stats(items: DataFrame, lines: DataFrame, aliases: DataFrame) -> DataFrame:
     """``times_seen`` and ``aliases`` of each item."""
     seen = lines.where("item_id is not null").groupBy(F.col("item_id").alias("id")).agg(F.count("*").alias("times_seen"), F.sum("amount_paise").alias("spent_paise"))

@@ -147,6 +147,27 @@ class Ledger:
     def aliases(self) -> DataFrame:
         return self.parts.where("p_partkey % 4 <> 0").select(F.col("p_partkey").alias("item_id"), F.lit("invoice").alias("source_type"), F.lit("sku").alias("alias_kind"), F.col("p_partkey").cast("string").alias("alias_value"))
 
+    @cached_property
+    def artifacts(self) -> DataFrame:
+        """A stored document for each order with lines, and the record that was read from it; goods of even items print a SKU."""
+        k, goods = F.col("evidence_id"), F.col("kind") == "goods"
+        names = self.table("part").select(F.col("p_partkey").alias("item_id"), "p_name")
+        each = self.lines.join(names, "item_id", "left")
+        line = F.struct(
+            "line_index", F.when(goods, F.col("p_name")).otherwise("Delivery fee").alias("description"), F.when(goods & (F.col("item_id") % 2 == 0), F.col("item_id").cast("string")).alias("sku"),
+            "kind", (F.col("line_index") % 3).cast("int").alias("qty"), "amount_paise",
+        )
+        rows = each.groupBy("evidence_id").agg(F.sum("amount_paise").alias("total"), F.sort_array(F.collect_list(line)).alias("all"))
+        lines = F.transform("all", lambda r: F.struct(r["description"].alias("description"), r["sku"].alias("sku"), r["kind"].alias("kind"), r["qty"].alias("qty"), r["amount_paise"].alias("amount_paise")))
+        invoices = F.array(F.struct(F.lit("INV").alias("invoice_number"), F.col("total").alias("total_paise"), lines.alias("lines")))
+        ref, day = F.concat(F.lit("ORD-"), k.cast("string")), F.date_add(F.lit("2024-01-01").cast("date"), (k % 90).cast("int"))
+        record = F.struct(ref.alias("external_ref"), day.alias("order_date"), F.col("total").alias("total_paise"), invoices.alias("invoices"))
+        status = F.when(k % 5 == 0, "unsupported").when(k % 5 == 1, "failed").when(k % 5 == 2, "parsed").otherwise("staged")
+        return rows.select(
+            k.alias("id"), day.cast("timestamp").alias("created_at"), F.when(k % 7 == 0, "image/png").otherwise("application/pdf").alias("mime"), F.lit("invoice").alias("source_type"), ref.alias("external_ref"),
+            status.alias("parse_status"), F.when(k % 5 == 1, "timeout").alias("parse_error"), F.lit(None).cast("timestamp").alias("parsed_at"), F.when(k % 5 >= 2, record).alias("record"),
+        )
+
     @cached_property
     def purchases(self) -> DataFrame:
         return self.table("events").where("event_type = 'purchase'").select("event_id", "user_id", "ts", paise("value").alias("value_paise"), F.concat(F.lit("w"), F.floor(F.hour("ts") / 4).cast("string")).alias("word"))

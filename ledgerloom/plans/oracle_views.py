@@ -40,6 +40,10 @@ VIEWS = {
         CASE WHEN l_tax <> 0 THEN l_partkey END AS item_id, CASE WHEN l_tax <> 0 THEN 'goods' ELSE 'fee' END AS kind, CAST(round(l_extendedprice * 100) AS BIGINT) AS amount_paise FROM lineitem""",
     "items": "SELECT p_partkey AS id, p_name || ' ' || lower(p_brand) AS label, CASE WHEN p_partkey % 3 <> 0 THEN leaf END AS category_id FROM parts",
     "aliases": "SELECT p_partkey AS item_id, 'invoice' AS source_type, 'sku' AS alias_kind, CAST(p_partkey AS VARCHAR) AS alias_value FROM parts WHERE p_partkey % 4 <> 0",
+    "files": """SELECT evidence_id AS id, CASE WHEN evidence_id % 7 = 0 THEN 'image/png' ELSE 'application/pdf' END AS mime, DATE '2024-01-01' + CAST(evidence_id % 90 AS INTEGER) AS day, sum(amount_paise) AS total,
+        CASE evidence_id % 5 WHEN 0 THEN 'unsupported' WHEN 1 THEN 'failed' WHEN 2 THEN 'parsed' ELSE 'staged' END AS parse_status FROM lines GROUP BY evidence_id""",
+    "printed": """SELECT evidence_id, line_index, kind, amount_paise, item_id, 'ORD-' || evidence_id AS external_ref, CASE WHEN kind = 'goods' THEN p_name ELSE 'Delivery fee' END AS description,
+        CASE WHEN kind = 'goods' AND item_id % 2 = 0 THEN CAST(item_id AS VARCHAR) END AS sku FROM lines LEFT JOIN part ON p_partkey = item_id WHERE evidence_id % 5 > 2""",
     "purchases": "SELECT event_id, user_id, ts, CAST(round(value * 100) AS BIGINT) AS value_paise, 'w' || CAST(hour(ts) // 4 AS VARCHAR) AS word FROM events WHERE event_type = 'purchase'",
     "source_map": "SELECT * FROM (VALUES ('w0', 1), ('w1', 2), ('w2', 3), ('w3', NULL), ('w4', 4)) m(source_category, category_id)",
     "consumption": """SELECT event_id AS id, event_id AS evidence_id, CAST(category_id AS BIGINT) AS category_id, -value_paise AS amount_paise, CAST(ts AS DATE) AS consumed_on, 'evidence' AS source

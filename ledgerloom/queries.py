@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.functions import text
-from ledgerloom.operators import changes, editing, evidence, items, mining, predicates, queue, reconcile, reports, rules, shared, transfers
+from ledgerloom.operators import changes, editing, evidence, items, mining, predicates, queue, receipts, reconcile, reports, rules, shared, transfers
 from ledgerloom.plans.ledger import RULES, Ledger
 from ledgerloom.plans.oracle_views import sql
 
@@ -1117,3 +1117,211 @@ def _(l: Ledger) -> DataFrame:
 def _(l: Ledger) -> DataFrame:
     rows = reports.consumption_rows(l.transactions, l.allocations, l.consumption, l.categories)
     return rows.where("account_id = 3").groupBy("account_id", "origin").agg(F.sum("amount_paise").alias("total_paise"), F.count("*").alias("n"))
+
+
+# Receipts
+
+
+@query(
+    "rcp2_summary",
+    """SELECT (SELECT count(*) FROM files WHERE parse_status = 'staged') AS staged, (SELECT count(*) FROM files WHERE parse_status IN ('failed', 'unsupported')) AS held,
+    (SELECT CAST(sum(total) AS BIGINT) FROM files WHERE parse_status = 'staged') AS total_paise,
+    (SELECT count(*) FROM printed p LEFT JOIN aliases a ON a.alias_value = p.sku LEFT JOIN items i ON i.id = a.item_id WHERE kind = 'goods' AND i.category_id IS NULL) AS uncategorised_lines""",
+)
+def _(l: Ledger) -> DataFrame:
+    return receipts.staged_summary(l.artifacts, l.aliases, l.items)
+
+
+@query(
+    "rcp2_worklist",
+    """SELECT f.id AS artifact_id, CAST(f.total AS BIGINT) AS total_paise, n.lines, n.fees, n.by_sku, CASE WHEN h.hits = 1 THEN 'matched' WHEN h.hits > 1 THEN 'ambiguous' ELSE 'none' END AS outcome, CASE WHEN h.hits = 1 THEN h.one END AS transaction_id
+    FROM files f JOIN (SELECT evidence_id, count(*) AS lines, count(*) FILTER (kind = 'fee') AS fees, count(*) FILTER (alias_value IS NOT NULL) AS by_sku FROM printed LEFT JOIN aliases ON alias_value = sku GROUP BY evidence_id) n ON n.evidence_id = f.id
+    LEFT JOIN (SELECT x.id, count(*) AS hits, min(t.id) AS one FROM files x JOIN transactions t ON t.amount_paise = -x.total AND abs(date_diff('day', t.txn_date, x.day)) <= 3 GROUP BY x.id) h ON h.id = f.id WHERE f.parse_status = 'staged'""",
+)
+def _(l: Ledger) -> DataFrame:
+    rows = receipts.staged_orders(l.artifacts, l.aliases, l.items, l.transactions)
+    count = lambda decision: F.size(F.filter("lines", lambda r: r["decision"] == decision))
+    return rows.select("artifact_id", "total_paise", F.size("lines").alias("lines"), count("fee").alias("fees"), count("existing").alias("by_sku"), "outcome", "transaction_id")
+
+
+PRODUCT = "'invoice:' || coalesce(sku, 'name:' || trim(regexp_replace(lower(description), '[^a-z0-9]+', ' ', 'g')))"
+
+
+@query(
+    "rcp3_products",
+    f"""WITH g AS (SELECT *, {PRODUCT} AS key FROM printed WHERE kind <> 'fee'), o AS (SELECT key, external_ref, row_number() OVER (PARTITION BY key ORDER BY external_ref) AS k FROM (SELECT DISTINCT key, external_ref FROM g))
+    SELECT key, min(sku) AS sku, min(description) AS description, count(*) AS lines, CAST(sum(amount_paise) AS BIGINT) AS amount_paise, (SELECT string_agg(external_ref, ',' ORDER BY external_ref) FROM o WHERE o.key = g.key AND k <= 8) AS orders FROM g GROUP BY key""",
+)
+def _(l: Ledger) -> DataFrame:
+    return receipts.staged_products(l.artifacts).select("key", "sku", "description", "lines", "amount_paise", F.array_join("orders", ",").alias("orders"))
+
+
+@query("rcp3_worklist")
+def _(l: Ledger) -> DataFrame:
+    return receipts.product_worklist(receipts.staged_products(l.artifacts), l.aliases, l.items).select("key", "lines", "amount_paise", "decision", "item_id", "needs_input")
+
+
+def _landed(l: Ledger):
+    known = l.evidence.where("source_type = 'invoice'")
+    resolved = receipts.record_lines(receipts.staged(l.artifacts)).select("artifact_id", "line_index", F.col("sku").cast("long").alias("item_id"))
+    return known, receipts.confirm(l.artifacts, resolved, known, l.lines)
+
+
+@query(
+    "rcp4_evidence",
+    """SELECT f.id AS artifact, e.id IS NOT NULL AS known, CAST(f.total AS BIGINT) AS cost_paise, f.day AS evidence_date, 'invoice order ORD-' || f.id AS description FROM files f LEFT JOIN evidence e ON e.external_ref = 'ORD-' || f.id AND e.source_type = 'invoice' WHERE f.parse_status = 'staged'""",
+)
+def _(l: Ledger) -> DataFrame:
+    known, (rows, _) = _landed(l)
+    marked = rows.inserts.join(known.select("id", F.lit(True).alias("known")), "id", "left")
+    return marked.select(F.regexp_extract("external_ref", "[0-9]+", 0).cast("long").alias("artifact"), F.coalesce("known", F.lit(False)).alias("known"), "cost_paise", "evidence_date", "description")
+
+
+@query(
+    "rcp4_lines",
+    """SELECT 'new' AS what, kind, count(*) AS n, count(sku) AS items, CAST(sum(amount_paise) AS BIGINT) AS amount_paise FROM printed GROUP BY kind
+    UNION ALL SELECT 'old', kind, count(*), count(item_id), CAST(sum(amount_paise) AS BIGINT) FROM printed WHERE evidence_id IN (SELECT id FROM evidence WHERE source_type = 'invoice') GROUP BY kind""",
+)
+def _(l: Ledger) -> DataFrame:
+    _, (_, lines) = _landed(l)
+    both = lines.inserts.withColumn("what", F.lit("new")).unionByName(lines.deletes.withColumn("what", F.lit("old")))
+    return both.groupBy("what", "kind").agg(F.count("*").alias("n"), F.count("item_id").alias("items"), F.sum("amount_paise").alias("amount_paise"))
+
+
+@query(
+    "rcp5_confirmable",
+    "SELECT o_orderkey * 2 AS artifact_id, CASE WHEN f.id IS NULL THEN 'error' WHEN parse_status = 'staged' THEN 'land' ELSE 'skip' END AS verdict FROM orders LEFT JOIN files f ON f.id = o_orderkey * 2",
+)
+def _(l: Ledger) -> DataFrame:
+    return receipts.confirmable(l.table("orders").select((F.col("o_orderkey") * 2).alias("artifact_id")), l.artifacts)
+
+
+PICKED = "(SELECT id AS evidence_id, CASE WHEN id % 5 = 0 THEN NULL WHEN id % 11 = 0 THEN id + 1 WHEN id % 13 = 0 THEN -id ELSE id END AS transaction_id FROM evidence UNION ALL SELECT -1, 1)"
+
+
+def _picked(l: Ledger) -> DataFrame:
+    k = F.col("id")
+    row = F.when(k % 5 == 0, None).when(k % 11 == 0, k + 1).when(k % 13 == 0, -k).otherwise(k)
+    return l.evidence.select(k.alias("evidence_id"), row.alias("transaction_id")).unionByName(l.spark.createDataFrame([(-1, 1)], "evidence_id long, transaction_id long"))
+
+
+@query(
+    "rcp6_check_links",
+    f"""SELECT p.evidence_id, CASE WHEN p.evidence_id < 0 THEN 'no_such_receipt' WHEN p.transaction_id IS NULL THEN 'no_transaction' WHEN t.id IS NULL THEN 'no_such_row' WHEN t.amount_paise >= 0 THEN 'not_a_debit'
+    WHEN EXISTS (SELECT 1 FROM allocations a WHERE a.transaction_id = p.transaction_id AND a.source = 'evidence' AND a.evidence_id <> p.evidence_id) THEN 'other_order' ELSE 'ok' END AS verdict FROM {PICKED} p LEFT JOIN transactions t ON t.id = p.transaction_id""",
+)
+def _(l: Ledger) -> DataFrame:
+    return receipts.check_links(_picked(l), l.evidence, l.transactions, l.allocations)
+
+
+@query(
+    "rcp6_relink",
+    """SELECT e.evidence_id AS old_row, CASE WHEN EXISTS (SELECT 1 FROM allocations a WHERE a.transaction_id = t.id AND a.source = 'evidence' AND a.evidence_id <> e.evidence_id) OR t.amount_paise >= 0 THEN false ELSE true END AS freed
+    FROM evidence_transactions e JOIN transactions t ON t.id = e.transaction_id + 1""",
+)
+def _(l: Ledger) -> DataFrame:
+    wanted = l.evidence_transactions.select("evidence_id", (F.col("transaction_id") + 1).alias("transaction_id")).join(l.transactions.select(F.col("id").alias("transaction_id")), "transaction_id")
+    _, freed = receipts.relink(wanted, receipts.check_links(wanted, l.evidence, l.transactions, l.allocations), l.evidence_transactions)
+    return wanted.select(F.col("evidence_id").alias("old_row")).join(freed.select(F.col("transaction_id").alias("old_row"), F.lit(True).alias("freed")), "old_row", "left").select("old_row", F.coalesce("freed", F.lit(False)).alias("freed"))
+
+
+@query("rcp8_list", "SELECT id, mime, parse_status FROM files WHERE parse_status = 'failed' ORDER BY day DESC, id DESC LIMIT 50 OFFSET 20")
+def _(l: Ledger) -> DataFrame:
+    return receipts.list_artifacts(l.artifacts, 50, 20, "failed").select("id", "mime", "parse_status")
+
+
+@query(
+    "rcp8_status",
+    "SELECT id, CASE WHEN id % 2 = 0 THEN 'pending' ELSE 'staged' END AS parse_status, CASE WHEN id % 3 = 0 THEN 'market' ELSE 'invoice' END AS source_type, id % 2 <> 0 AS timed FROM files WHERE parse_status IN ('failed', 'unsupported')",
+)
+def _(l: Ledger) -> DataFrame:
+    k, none = F.col("id"), F.lit(None).cast("string")
+    held = l.artifacts.where(F.col("parse_status").isin(*receipts.HELD))
+    updates = held.select("id", F.when(k % 2 == 0, "pending").otherwise("staged").alias("status"), F.when(k % 3 == 0, "market").alias("new_source"), none.alias("new_ref"), none.alias("error"))
+    return receipts.set_status(held, updates, NOW).inserts.select("id", "parse_status", "source_type", F.col("parsed_at").isNotNull().alias("timed"))
+
+
+@query(
+    "rcp9_candidates",
+    """SELECT id AS artifact_id, parse_status, (SELECT arg_max(error_kind, (finished_at, j.id)) FROM jobs j WHERE j.artifact_id = f.id AND state = 'failed') AS last_error, NOT EXISTS (SELECT 1 FROM jobs j WHERE j.artifact_id = f.id AND state = 'failed') AS fresh
+    FROM files f WHERE mime = 'application/pdf' AND parse_status IN ('failed', 'unsupported') AND id NOT IN (SELECT artifact_id FROM jobs WHERE state IN ('queued', 'running'))""",
+)
+def _(l: Ledger) -> DataFrame:
+    return receipts.reading_candidates(l.artifacts, l.jobs)
+
+
+@query(
+    "rcp9_estimate",
+    """WITH c AS (SELECT id, EXISTS (SELECT 1 FROM jobs j WHERE j.artifact_id = f.id AND state = 'failed') AS tried FROM files f WHERE mime = 'application/pdf' AND parse_status IN ('failed', 'unsupported') AND id NOT IN (SELECT artifact_id FROM jobs WHERE state IN ('queued', 'running'))),
+    m AS (SELECT CAST(round(quantile_cont(epoch(finished_at) - epoch(created_at), 0.5)) AS BIGINT) AS s FROM jobs WHERE state = 'done'), n AS (SELECT count(*) AS total, count(*) FILTER (NOT tried) AS fresh FROM c)
+    SELECT total, fresh, total - fresh AS retryable, CASE WHEN s > 0 THEN s END AS median_seconds, CAST(fresh * CASE WHEN s > 0 THEN s END AS BIGINT) AS estimate_seconds FROM n, m""",
+)
+def _(l: Ledger) -> DataFrame:
+    return receipts.reading_estimate(receipts.reading_candidates(l.artifacts, l.jobs), l.jobs)
+
+
+def _answers(l: Ledger) -> DataFrame:
+    """Readings of the staged documents, some of them wrong in one way each."""
+    k, record = F.col("id"), F.col("record")
+    named = F.array_join(F.transform(record["invoices"][0]["lines"], lambda r: F.concat(F.upper(r["description"]), F.lit("  "), F.format_number(r["amount_paise"] / 100, 2))), "\n")
+    page = F.concat(F.lit("Tax invoice, order number\n"), F.when(k % 11 == 3, F.lit("nothing else")).otherwise(named))
+    total = F.when(k % 13 == 1, record["total_paise"] + 1).otherwise(record["total_paise"])
+    return receipts.staged(l.artifacts).select(
+        k.alias("artifact_id"), (k % 17 != 2).alias("is_invoice"), (k % 19 == 4).alias("is_credit_note"), page.alias("markdown"), F.when(k % 3 == 0, "The Shop, Ltd.").otherwise("invoice").alias("merchant"),
+        record.withField("total_paise", total).withField("external_ref", F.when(k % 23 == 5, F.lit(" ")).otherwise(record["external_ref"])).alias("record"),
+    )
+
+
+VERDICT = "CASE WHEN id % 17 = 2 THEN 'not_an_invoice' WHEN id % 19 = 4 THEN 'credit_note' WHEN id % 23 = 5 THEN 'schema_violation' WHEN id % 13 = 1 THEN 'does_not_reconcile' WHEN id % 11 = 3 THEN 'hallucinated_lines' ELSE 'ok' END"
+
+
+@query(
+    "utl7_answers",
+    f"""SELECT id AS artifact_id, {VERDICT} AS verdict, false AS low_coverage, {VERDICT} = 'ok' AND (SELECT max(line_index) FROM lines l WHERE l.evidence_id = f.id) = 0 AS no_quantity FROM files f WHERE parse_status = 'staged'""",
+)
+def _(l: Ledger) -> DataFrame:
+    return receipts.check_answers(_answers(l))
+
+
+@query(
+    "rcp10_land",
+    f"""SELECT artifact_id, CASE WHEN outcome = 'ok' AND e.id IS NOT NULL THEN 'duplicate_order' WHEN outcome = 'ok' THEN 'staged' ELSE outcome END AS outcome FROM (SELECT id AS artifact_id, CASE WHEN id % 7 = 0 THEN 'unreadable_mime' ELSE {VERDICT} END AS outcome FROM files WHERE parse_status = 'staged') x
+    LEFT JOIN evidence e ON e.external_ref = 'ORD-' || artifact_id AND e.source_type = 'invoice'""",
+)
+def _(l: Ledger) -> DataFrame:
+    known = l.evidence.where("source_type = 'invoice'").withColumn("source_type", F.lit("marketplace"))
+    return receipts.land_answers(_answers(l), l.artifacts, known).select("artifact_id", "outcome")
+
+
+@query(
+    "itm7_alias",
+    """WITH n AS (SELECT id AS item_id, canon FROM (SELECT id, trim(regexp_replace(lower(label), '[^a-z0-9]+', ' ', 'g')) AS canon, row_number() OVER (PARTITION BY trim(regexp_replace(lower(label), '[^a-z0-9]+', ' ', 'g')) ORDER BY id) AS k FROM items) WHERE k = 1)
+    SELECT i.id AS line_id, coalesce(a.item_id, n.item_id) AS alias_item, CASE WHEN a.item_id IS NOT NULL THEN 'sku' ELSE 'name' END AS via FROM items i LEFT JOIN aliases a ON i.id % 2 = 0 AND a.alias_value = CAST(i.id AS VARCHAR) JOIN n ON n.canon = trim(regexp_replace(lower(i.label), '[^a-z0-9]+', ' ', 'g'))""",
+)
+def _(l: Ledger) -> DataFrame:
+    k = F.col("id")
+    names = l.items.select("id", text.canonical_name(F.col("label")).alias("alias_value")).groupBy("alias_value").agg(F.min("id").alias("item_id"))
+    known = l.aliases.unionByName(names.select("item_id", F.lit("invoice").alias("source_type"), F.lit("name").alias("alias_kind"), "alias_value"))
+    lines = l.items.select(k.alias("line_id"), F.lit("invoice").alias("source_type"), F.when(k % 2 == 0, k.cast("string")).alias("sku"), F.upper("label").alias("name"))
+    return items.by_alias(lines, known).select("line_id", "alias_item", "via")
+
+
+@query(
+    "evd13_touched",
+    "SELECT DISTINCT x.evidence_id, x.transaction_id FROM evidence_transactions x JOIN lines l ON l.evidence_id = x.evidence_id WHERE l.item_id % 3 = 1",
+)
+def _(l: Ledger) -> DataFrame:
+    return evidence.touched_by_items(l.items.where("id % 3 = 1").select(F.col("id").alias("item_id")), l.lines, l.evidence_transactions)
+
+
+@query(
+    "evd13_rederive",
+    """WITH o AS (SELECT DISTINCT l.evidence_id FROM lines l JOIN evidence_transactions x ON x.evidence_id = l.evidence_id WHERE item_id % 3 = 1)
+    SELECT id, category_id, amount_paise FROM allocations WHERE (source = 'evidence' AND evidence_id IN (SELECT evidence_id FROM o)) OR (source = 'rule' AND transaction_id IN (SELECT x.transaction_id FROM evidence_transactions x JOIN o ON o.evidence_id = x.evidence_id
+    JOIN transactions t ON t.id = x.transaction_id WHERE t.amount_paise <> 0 AND EXISTS (SELECT 1 FROM lines l JOIN items i ON i.id = l.item_id WHERE l.evidence_id = x.evidence_id AND i.category_id IS NOT NULL AND l.kind = 'goods')
+    AND NOT EXISTS (SELECT 1 FROM allocations a WHERE a.transaction_id = x.transaction_id AND (a.source = 'user' OR (a.source = 'evidence' AND a.evidence_id NOT IN (SELECT evidence_id FROM o))))))""",
+)
+def _(l: Ledger) -> DataFrame:
+    changed = l.items.where("id % 3 = 1").select(F.col("id").alias("item_id"))
+    change, _ = evidence.rederive(changed, l.lines, l.items, l.evidence_transactions, l.transactions, l.allocations)
+    return change.deletes.select("id", "category_id", "amount_paise")
