@@ -1196,12 +1196,12 @@ def _(l: Ledger) -> DataFrame:
     return receipts.confirmable(l.table("orders").select((F.col("o_orderkey") * 2).alias("artifact_id")), l.artifacts)
 
 
-PICKED = "(SELECT id AS evidence_id, CASE WHEN id % 5 = 0 THEN NULL WHEN id % 11 = 0 THEN id + 1 WHEN id % 13 = 0 THEN -id ELSE id END AS transaction_id FROM evidence UNION ALL SELECT -1, 1)"
+PICKED = "(SELECT id AS evidence_id, CASE WHEN id % 5 = 0 THEN NULL WHEN id % 11 = 10 THEN id + 1 WHEN id % 13 = 0 THEN -id ELSE id END AS transaction_id FROM evidence UNION ALL SELECT -1, 1)"
 
 
 def _picked(l: Ledger) -> DataFrame:
     k = F.col("id")
-    row = F.when(k % 5 == 0, None).when(k % 11 == 0, k + 1).when(k % 13 == 0, -k).otherwise(k)
+    row = F.when(k % 5 == 0, None).when(k % 11 == 10, k + 1).when(k % 13 == 0, -k).otherwise(k)
     return l.evidence.select(k.alias("evidence_id"), row.alias("transaction_id")).unionByName(l.spark.createDataFrame([(-1, 1)], "evidence_id long, transaction_id long"))
 
 
