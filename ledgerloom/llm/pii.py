@@ -266,7 +266,7 @@ def surrogate_cores(entities: DataFrame, key: str) -> DataFrame:
     able = (kind == "ip") | (F.length("digits") > 1)
     moved = F.when(able, permuted(key, F.concat_ws("|", kind, F.length("digits").cast("string"), "tweak"), left, right, most_left, most_right))
     rows = rows.withColumn("moved", moved)
-    rows = rows.withColumn("number", F.when(kind != "ip", F.coalesce(_rejoined(F.col("digits"), F.col("moved")), "digits")).otherwise(F.col("moved.l") * 4096 + F.col("moved.r")))
+    rows = rows.withColumn("number", F.when(kind != "ip", F.coalesce(_rejoined(F.col("digits"), F.col("moved")), "digits")).otherwise((F.col("moved.l") * 4096 + F.col("moved.r")).cast("string")))
 
     a, b, number = F.col("a"), F.col("b"), F.col("number")
     head = F.concat(F.substring(entity, 1, 1), number)
