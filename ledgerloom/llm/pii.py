@@ -16,9 +16,11 @@ replaced by a keyed surrogate of its own type in the writing that it has there.
 * E-mail addresses, IPv6 addresses and names come from a keyed hash. Entities that
   share a surrogate are ranked by hash, and all but the first get a suffix made
   from the rank, in letters that no surrogate without one has.
-* A name is two entities, given name and surname, so "Mr Smith", "Dr John Smith"
-  and a later "John Smith" agree, in one text and across texts. Surrogates keep
-  the script and the case. A given name has the gender of its form of address, or
+* A name is all capitalised words and initials after the form of address: the last
+  word is the surname, the others are given names, and each is an entity, so "Mr
+  Smith", "Dr John Smith" and a later "John Smith" agree, in one text and across
+  texts. An initial stays an initial (a keyed cycle through the capitals of its
+  script); words keep the script and the case. A given name has the gender of its form of address, or
   of one in the same text, or of most in the corpus, or of its own ending.
 
 A surrogate may be the original of another entity (a permutation of all numbers
@@ -29,6 +31,10 @@ rows with entities are joined with their surrogates, and the others pass through
 Distinct entities are found by a shuffle that combines map-side, so a hot one
 costs one row a task.
 
+Words, addresses and mail names are matched in their whole length. What bounds a
+match is the format: numbers of 7 to 16 digits (telephone), 13 to 19 (cards), 12
+to 34 characters (IBAN); in scripts without spaces a name ends after 12 letters.
+
 Null and empty texts stay as they are; repeated rows and rows with null ids are
 each rewritten; very long texts are rewritten whole; an empty table gives no
 rows; other columns pass through whatever their names.
@@ -36,6 +42,8 @@ rows; other columns pass through whatever their names.
 
 from __future__ import annotations
 
+import hashlib
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -71,15 +79,19 @@ ALPHABETS = ("latin", "cyrillic", "greek")
 _SCRIPT_CLASSES = {"cyrillic": r"\p{IsCyrillic}", "greek": r"\p{IsGreek}", "han": r"\p{IsHan}", "hangul": r"\p{IsHangul}", "kana": r"[\p{IsHiragana}\p{IsKatakana}]", "arabic": r"\p{IsArabic}", "hebrew": r"\p{IsHebrew}", "devanagari": r"\p{IsDevanagari}"}
 
 _TITLE = "|".join((*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES))
-_WORD = r"(?:\p{Lu}[\p{L}'’-]{0,40}|\p{Lo}[\p{Lo}\p{M}]{0,11})"
-_TITLED = rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.? {_WORD}(?: {_WORD})?"
+_UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}"
+_WORD = rf"(?:\p{{Lu}}[\p{{L}}\p{{M}}]*+(?:['’-](?!s(?!\p{{L}}))[\p{{L}}\p{{M}}]++)*+|[{_UNSPACED}][{_UNSPACED}\p{{M}}]{{0,11}}|\p{{Lo}}[\p{{Lo}}\p{{M}}]*+)"
+_NAME_PART = rf"(?:(?:\p{{Lu}}\.)++|{_WORD})"
+_TITLED = rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.? {_NAME_PART}(?:(?: |(?<=\.)){_NAME_PART})*+"
+#: Cuts a name before each space and between initials that touch.
+_BETWEEN = r"(?= )|(?<=\.)(?=\p{L})"
 _OPEN, _SHUT = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 _QUAD = r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9])"
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _HEX4 = "[0-9A-Fa-f]{1,4}"
 _PHONE_SIZE = r"(?=[+(]{0,2}(?:[0-9][ .()/-]{0,2}){7,16}(?![0-9]))"
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}(?![\p{L}\p{N}])",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]++\.)+\p{L}{2,}(?![\p{L}\p{N}])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "card": r"(?<![\p{L}\p{N}])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,4}(?![\p{L}\p{N}]|\.[0-9])|(?<![\p{L}\p{N}])[0-9]{17,19}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])3[0-9]{3}[ -]?[0-9]{6}[ -]?[0-9]{5}(?![\p{L}\p{N}])",
     "ip": rf"(?<![\p{{L}}\p{{N}}.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\p{{L}}\p{{N}}]|\.[0-9])",
@@ -127,9 +139,24 @@ def _title(match: Column) -> Column:
     return F.regexp_extract(match, rf"^((?:{_TITLE})\.?) ", 1)
 
 
-def _names(match: Column) -> Column:
-    """The words after a form of address."""
-    return F.split(F.regexp_replace(match, rf"^(?:{_TITLE})\.? ", ""), " ")
+def _name(match: Column) -> Column:
+    """What follows a form of address."""
+    return F.regexp_replace(match, rf"^(?:{_TITLE})\.? ", "")
+
+
+def _surname_at(words: Column) -> Column:
+    """The place of a name's last word that is no initial; null if there is none."""
+    return F.array_max(F.transform(words, lambda w, i: F.when(~w.endswith("."), i)))
+
+
+def _next_capital(key: str) -> tuple[str, str]:
+    """All capital letters, and for each the next in a keyed cycle through those of its script."""
+    scripts: dict[str, list[str]] = {}
+    for c in map(chr, range(0xD800)):
+        if unicodedata.category(c) == "Lu":
+            scripts.setdefault("ASCII" if c.isascii() else unicodedata.name(c).split()[0], []).append(c)
+    cycles = [sorted(letters, key=lambda c: hashlib.sha256(f"{key}|initial|{c}".encode()).digest()) for letters in scripts.values() if len(letters) > 1]
+    return "".join("".join(c) for c in cycles), "".join("".join(c[1:] + c[:1]) for c in cycles)
 
 
 def _gender(match: Column) -> Column:
@@ -294,7 +321,7 @@ def surrogate_cores(entities: DataFrame, key: str) -> DataFrame:
     given = F.when(script.isin(*ALPHABETS), _pick(F.col("names"), _number(a, 1))).otherwise(F.concat(*(_pick(syllables, _number(b, at)) for at in (1, 9))))
     cores = {
         "card": F.concat(head, last), "phone": F.concat(F.substring(entity, F.lit(1), kept), number), "ssn": F.concat(F.lit("9"), number), "ip": ip, "ip6": F.concat(F.lit("fd"), F.substring(a, 1, 30)),
-        "email": email, "iban": iban, "surname": surname, "given": given,
+        "email": email, "iban": iban, "surname": surname, "given": given, "initial": F.translate(entity, *_next_capital(key)),
     }
     return rows.select("kind", "entity", _cases(kind, cores, unknown).alias("core"))
 
@@ -349,11 +376,12 @@ def marked(docs: DataFrame, text_col: str, pre: str) -> DataFrame:
     """``docs`` with ``{pre}marked``: the text with every match between CUT signs and its type's fields (null if it has none), and ``{pre}surnames``."""
     text, names = F.col(text_col), F.col(f"{pre}names")
     titled = F.when(text.rlike(_TITLE_AHEAD), F.regexp_extract_all(text, F.lit(f"({_TITLED})"), F.lit(1)))
-    out = docs.withColumn(f"{pre}names", F.array_distinct(F.transform(titled, lambda m: F.array_join(_names(m), " "))))
-    each = F.flatten(F.transform(names, lambda n: F.array(n, *(F.split_part(n, F.lit(" "), F.lit(k)) for k in (1, 2)))))
-    each = F.filter(F.array_distinct(each), lambda w: (F.length(w) > 2) | w.rlike(r"^\p{Lo}{2}"))
+    out = docs.withColumn(f"{pre}names", F.array_distinct(F.transform(titled, _name)))
+    words = lambda n: F.transform(F.split(n, _BETWEEN), lambda w: F.ltrim(w))
+    each = F.flatten(F.transform(names, lambda n: F.concat(F.array(n), F.filter(words(n), lambda w: ~w.endswith(".")))))
+    each = F.filter(F.array_distinct(each), lambda w: (F.length(w) > 2) & ~w.rlike(r"^\p{Lu}\.$") | w.rlike(r"^\p{Lo}{2}"))
     each = F.array_sort(each, lambda x, y: F.length(y) - F.length(x))
-    bare = F.concat(F.lit(f"{ANY}|((?=[\\p{{Lu}}\\p{{Lo}}]){_OPEN}(?:"), F.array_join(each, "|"), F.lit(f"){_SHUT})"))
+    bare = F.concat(F.lit(f"{ANY}|((?=[\\p{{Lu}}\\p{{Lo}}]){_OPEN}(?:"), F.replace(F.array_join(each, "|"), F.lit("."), F.lit("\\.")), F.lit(f"){_SHUT})"))
     escaped = text
     for sign, stand_in in _ESCAPES:
         escaped = F.replace(escaped, F.lit(sign), F.lit(stand_in))
@@ -361,7 +389,7 @@ def marked(docs: DataFrame, text_col: str, pre: str) -> DataFrame:
     fields = CUT + FIELD.join(f"${k}" for k in range(1, len(KINDS) + 1)) + CUT
     mark = F.when(F.size(each) > 0, F.regexp_replace(escaped, bare, F.lit(fields))).when(text.rlike(MAYBE) | (F.size(names) > 0), F.regexp_replace(escaped, F.lit(ANY + NO_BARE), F.lit(fields)))
     out = out.withColumn(f"{pre}marked", mark)
-    surnames = F.transform(names, lambda n: F.element_at(F.split(n, " "), -1))
+    surnames = F.transform(names, lambda n: F.get(words(n), _surname_at(words(n))))
     return out.withColumn(f"{pre}marked", F.when(F.instr(f"{pre}marked", CUT) > 0, F.col(f"{pre}marked"))).withColumn(f"{pre}surnames", surnames).drop(f"{pre}names")
 
 
@@ -387,27 +415,28 @@ def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def mentions(rows: DataFrame, pre: str) -> DataFrame:
-    """``row, pos, kind, match, title, part, word, entity``: a row per match, two for a name of two words."""
+    """``row, pos, kind, match, title, part, joint, word, entity``: a row per match, for a name one per word, with the space before it."""
     fields = F.filter(_pieces(F.col(f"{pre}marked")), lambda x, i: i % 2 == 1)
     each = rows.select(F.col(f"{pre}row").alias("row"), F.col(f"{pre}surnames").alias("surnames"), F.posexplode(fields).alias("pos", "fields"))
     parts = F.split("fields", FIELD, -1)
     each = each.select("row", "surnames", "pos", F.replace("fields", F.lit(FIELD)).alias("match"), F.element_at(F.array(*map(F.lit, KINDS)), F.array_position(F.transform(parts, lambda p: p != ""), True).cast("int")).alias("kind"))
     named = F.col("kind").isin("name", "bare")
-    plain = each.where(~named).select("row", "pos", "kind", "match", F.lit("").alias("title"), F.lit(0).alias("part"), "match", canonical(F.col("kind"), F.col("match")).alias("entity"))
-    plain = plain.toDF("row", "pos", "kind", "match", "title", "part", "word", "entity")
-
-    words = F.when(F.col("kind") == "name", _names(F.col("match"))).otherwise(F.split("match", " "))
-    people = each.where(named).select("row", "pos", "match", "surnames", F.when(F.col("kind") == "name", _title(F.col("match"))).otherwise("").alias("title"), F.when(F.col("kind") == "name", _gender(F.col("match"))).alias("gender"), F.size(words).alias("size"), F.posexplode(words).alias("part", "word"))
-    last = F.when(F.col("size") > 1, F.col("part") == 1).otherwise((F.col("title") != "") | F.array_contains("surnames", F.col("word")))
-    people = people.withColumn("kind", F.when(last, "surname").otherwise("given")).withColumn("low", F.lower("word"))
+    plain = each.where(~named).select("row", "pos", "kind", "match", F.lit("").alias("title"), F.lit(0).alias("part"), F.lit("").alias("joint"), "match", canonical(F.col("kind"), F.col("match")).alias("entity"))
+    plain = plain.toDF("row", "pos", "kind", "match", "title", "part", "joint", "word", "entity")
+
+    words = F.split(F.when(F.col("kind") == "name", _name(F.col("match"))).otherwise(F.col("match")), _BETWEEN)
+    people = each.where(named).select("row", "pos", "match", "surnames", F.when(F.col("kind") == "name", _title(F.col("match"))).otherwise("").alias("title"), F.when(F.col("kind") == "name", _gender(F.col("match"))).alias("gender"), F.size(words).alias("size"), _surname_at(words).alias("at"), F.posexplode(words).alias("part", "word"))
+    people = people.withColumn("joint", F.when(F.col("word").startswith(" "), " ").otherwise("")).withColumn("word", F.ltrim("word"))
+    last = F.when(F.col("size") > 1, F.col("part") == F.col("at")).otherwise((F.col("title") != "") | F.array_contains("surnames", F.col("word")))
+    people = people.withColumn("kind", F.when(F.col("word").endswith("."), "initial").when(last, "surname").otherwise("given")).withColumn("low", F.lower("word"))
     gender = F.when(F.col("kind") == "given", F.col("gender"))
     votes = people.where("kind = 'given'").groupBy("low").agg(F.count(F.when(gender == "m", 1)).alias("men"), F.count(F.when(gender == "f", 1)).alias("women"))
     usual = F.when(F.col("men") > F.col("women"), "m").when(F.col("women") > F.col("men"), "f")
     listed = {g: F.array(*(F.lit(n.lower()) for (sex, _), names in GIVEN.items() if sex == g for n in names)) for g in "mf"}
     own = F.when(F.array_contains(listed["f"], F.col("low")), "f").when(F.array_contains(listed["m"], F.col("low")), "m").when(F.col("low").rlike("[aаяαη]$"), "f").otherwise("m")
     people = people.withColumn("here", F.max(gender).over(Window.partitionBy("row", "low"))).join(votes, "low", "left")
-    entity = F.when(F.col("kind") == "surname", F.col("low")).otherwise(F.concat_ws("|", "low", F.coalesce(gender, "here", usual, own)))
-    return plain.unionByName(people.select("row", "pos", "kind", "match", "title", "part", "word", entity.alias("entity")))
+    entity = F.when(F.col("kind") == "surname", F.col("low")).when(F.col("kind") == "initial", F.col("word")).otherwise(F.concat_ws("|", "low", F.coalesce(gender, "here", usual, own)))
+    return plain.unionByName(people.select("row", "pos", "kind", "match", "title", "part", "joint", "word", entity.alias("entity")))
 
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
@@ -426,10 +455,10 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: s
 
     fresh = seen.join(surrogates, ["kind", "entity"])
     word = F.when(F.col("kind").isin("surname", "given"), _cased(F.col("word"), F.col("core"))).otherwise(written(F.col("kind"), F.col("match"), F.col("core")))
-    texts = fresh.select("row", "pos", "part", F.when((F.col("part") == 0) & (F.col("title") != ""), F.concat_ws(" ", "title", word)).otherwise(word).alias("text"))
+    texts = fresh.select("row", "pos", "part", F.when((F.col("part") == 0) & (F.col("title") != ""), F.concat_ws(" ", "title", word)).otherwise(F.concat("joint", word)).alias("text"))
     lists = texts.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", "part", "text"))).alias("all"))
-    # The words of a name are joined by a space, matches by a sign that no surrogate has.
-    joined = F.split(F.array_join(F.transform("all", lambda x: F.concat(F.when(x["part"] == 0, CUT).otherwise(" "), x["text"])), ""), CUT, -1)
+    # The words of a name bring the space before them; matches are joined by a sign that no surrogate has.
+    joined = F.split(F.array_join(F.transform("all", lambda x: F.concat(F.when(x["part"] == 0, CUT).otherwise(""), x["text"])), ""), CUT, -1)
     lists = lists.select(F.col("row").alias(row), F.slice(joined, F.lit(2), F.size(joined)).alias(f"{pre}fresh"))
 
     counted = lambda number: [] if count_col is None else [number.cast("long").alias(count_col)]
