@@ -44,12 +44,24 @@ def transaction_hash(account_id: Column, date: Column, time: Column, amount: Col
     return F.sha2(F.concat_ws("|", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts)), 256)
 
 
+# Units, pack words, counts and containers that make a variant of a product, in the order in which they are taken out.
+UNITS = "g|gm|gms|gram|grams|kg|kgs|mg|ml|l|ltr|ltrs|litre|litres|liter|liters"
+CONTAINERS = "bottle|pouch|can|jar|tin|box|carton|sachet|packet|refill"
+VARIANT_WORDS = (
+    rf"\b[0-9]+(\.[0-9]+)?\s*({UNITS})\b",
+    r"\b(pack|set|combo|pair)\s+of\s+[0-9]+\b",
+    r"\b[0-9]+\s*[x×]\s*[0-9]+(\.[0-9]+)?\s*(g|gm|ml|kg|l)\b",
+    r"\b[0-9]+\s*(pcs|pc|pieces|count|units?|tablets?|capsules?|sachets?)\b",
+    rf"\b(pet bottle|tetra pak|tetrapak|{CONTAINERS})\b",
+)
+
+
 def canonical_name(text: Column) -> Column:
-    """A product name without sizes, packs and signs."""
-    out = F.lower(F.regexp_replace(text, "[​‌‍﻿]", ""))
-    out = F.regexp_replace(out, r"\b[0-9]+(\.[0-9]+)? ?(kg|g|gm|ml|l|ltr|cm|mm|pcs|pc)\b", " ")
-    out = F.regexp_replace(out, r"\bpack of [0-9]+\b|\b[0-9]+ ?pack\b", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(out, r"[^a-z0-9]+", " "), r"\s+", " "))
+    """A product name without what its seller prints around it, and without sizes, packs, counts and containers."""
+    out = F.regexp_replace(F.lower(without_merchant_noise(text)), "[\u200b-\u200d\ufeff]", "")
+    for words in VARIANT_WORDS:
+        out = F.regexp_replace(out, words, " ")
+    return F.trim(F.regexp_replace(out, "[^a-z0-9]+", " "))
 
 
 def without_merchant_noise(text: Column) -> Column:
@@ -79,13 +91,15 @@ def variant_difference(a: Column, b: Column) -> Column:
 
 
 def variant_attributes(text: Column) -> Column:
-    """``size`` (the last) and ``pack_of`` (the first) that a name states, where it does."""
-    low = F.lower(text)
-    sizes = F.regexp_extract_all(low, F.lit(r"\b([0-9]+(?:\.[0-9]+)? ?(?:kg|g|gm|ml|l|ltr))\b"), F.lit(1))
-    packs = F.regexp_extract_all(low, F.lit(r"\bpack of ([0-9]+)\b"), F.lit(1))
-    size = F.when(F.size(sizes) > 0, F.regexp_replace(F.element_at(sizes, -1), " ", ""))
-    pack = F.when(F.size(packs) > 0, F.element_at(packs, 1))
-    return F.map_filter(F.create_map(F.lit("size"), size, F.lit("pack_of"), pack), lambda _, v: v.isNotNull())
+    """``size`` (the last measure), ``pack`` (the first container) and ``pack_of`` (the first) that a name states, where it does."""
+    low = F.lower(without_merchant_noise(text))
+    measure = rf"\b([0-9]+(?:\.[0-9]+)?)\s*({UNITS})\b"
+    last = F.try_element_at(F.regexp_extract_all(low, F.lit(measure), F.lit(0)), F.lit(-1))
+    size = F.concat_ws(" ", F.regexp_extract(last, measure, 1), F.regexp_extract(last, measure, 2))
+    pack = F.regexp_replace(F.regexp_extract(low, rf"\b(pet bottle|tetra ?pak|{CONTAINERS})\b", 1), r"\s+", " ")
+    many = F.regexp_extract(low, r"\b(?:pack|set|combo|pair)\s+of\s+([0-9]+)\b", 1)
+    found = F.create_map(F.lit("size"), F.when(last.isNotNull(), size), F.lit("pack"), F.when(pack != "", pack), F.lit("pack_of"), F.when(many != "", many))
+    return F.map_filter(found, lambda _, v: v.isNotNull())
 
 
 def trigrams(text: Column) -> Column:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import canonical_name, similarity, trigrams
+from ledgerloom.functions.text import canonical_name, similarity, trigrams, variant_difference
 from ledgerloom.operators.changes import next_ids
+from ledgerloom.operators.graph import components
 
 LINK, PROPOSE, CANDIDATES = 88, 55, 5
 #: Pairs below this are no candidates at all.
@@ -18,23 +19,28 @@ def canon_index(items: DataFrame) -> DataFrame:
     return items.select(F.col("id").alias("item_id"), canonical_name(F.col("label")).alias("canon")).withColumn("grams", trigrams(F.col("canon")))
 
 
+def similar(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``left, right, similarity`` of all texts of two frames (``canon, grams``) at LEAST_SIMILARITY hundredths or more.
+
+    Two texts meet on a prefix of their trigrams in order of rarity, long enough that every such pair meets.
+    """
+    counts = right.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("df"))
+    meet = _prefix(left, counts, "left").join(_prefix(right, counts, "right"), "g").select("left", "right").distinct()
+    a = left.select(F.col("canon").alias("left"), F.col("grams").alias("x"))
+    b = right.select(F.col("canon").alias("right"), F.col("grams").alias("y"))
+    return meet.join(a, "left").join(b, "right").withColumn("similarity", similarity(F.col("x"), F.col("y"))).where(F.col("similarity") >= LEAST_SIMILARITY).select("left", "right", "similarity")
+
+
 def candidates(wanted: DataFrame, items: DataFrame) -> DataFrame:
     """The best items for each distinct name: ``name, item_id, similarity, place``.
 
     Names are compared once however many lines bear them, and names and items as
-    classes of equal canonical forms, so a common product is one row here. Two
-    classes meet on a prefix of their trigrams in order of rarity, long enough that every pair
-    at ``LEAST_SIMILARITY`` hundredths meets.
+    classes of equal canonical forms, so a common product is one row here.
     """
     named = wanted.select("name").distinct().withColumn("canon", canonical_name(F.col("name")))
     left = named.select("canon").distinct().withColumn("grams", trigrams(F.col("canon")))
     index = canon_index(items)
-    right = index.select("canon", "grams").distinct()
-    counts = right.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("df"))
-    meet = _prefix(left, counts, "left").join(_prefix(right, counts, "right"), "g").select("left", "right").distinct()
-    a = left.select(F.col("canon").alias("left"), F.col("grams").alias("x"))
-    b = right.select(F.col("canon").alias("right"), F.col("grams").alias("y"))
-    scored = meet.join(a, "left").join(b, "right").withColumn("similarity", similarity(F.col("x"), F.col("y"))).where(F.col("similarity") >= LEAST_SIMILARITY).select("left", "right", "similarity")
+    scored = similar(left, index.select("canon", "grams").distinct())
     order = Window.partitionBy("left").orderBy(F.desc("similarity"), "item_id")
     best_items = index.select(F.col("canon").alias("right"), "item_id").withColumn("_k", F.row_number().over(Window.partitionBy("right").orderBy("item_id"))).where(F.col("_k") <= CANDIDATES)
     top = scored.join(best_items, "right").withColumn("place", F.row_number().over(order)).where(F.col("place") <= CANDIDATES)
@@ -59,19 +65,31 @@ def by_alias(lines: DataFrame, aliases: DataFrame) -> DataFrame:
 
 
 def resolve(lines: DataFrame, aliases: DataFrame, items: DataFrame) -> DataFrame:
-    """``line_id, decision, item_id``: by alias (SKU, then name), by one strong name, a proposal, or a new item.
+    """``line_id, decision, item_id, confidence``: by alias (SKU, then name), by one strong name, a proposal, or a new item.
 
-    ``lines``: line_id, source_type, sku, name.
+    ``lines``: line_id, source_type, sku, name. A candidate that already has a SKU of the line's
+    source is another variant at best (its own SKU would have been an alias): it is strong
+    only if the two names differ as variants of one product do. Exactly one strong candidate links; two say that the
+    catalogue repeats itself. ``confidence``: 100 for an alias or without a near name, the similarity of a
+    link, and what the nearest proposal leaves of 100.
     """
     rows = by_alias(lines, aliases)
-    open_ = rows.where("alias_item is null")
-    best = candidates(open_.select("name"), items).groupBy("name").agg(
-        F.count(F.when(F.col("similarity") >= LINK, 1)).alias("strong"), F.max("similarity").alias("top"), F.min_by("item_id", "place").alias("top_item")
-    )
-    out = rows.join(best, "name", "left")
-    decision = F.when(F.col("alias_item").isNotNull(), "existing").when(F.col("strong") == 1, "link").when(F.col("top") >= PROPOSE, "create_and_propose").otherwise("create")
-    item = F.coalesce("alias_item", F.when((F.col("strong") == 1) | (F.col("top") >= PROPOSE), F.col("top_item")))
-    return out.select("line_id", decision.alias("decision"), item.alias("item_id"))
+    open_ = rows.where("alias_item is null").select("name", "source_type").distinct()
+    sold = aliases.where("alias_kind = 'sku'").select("source_type", "item_id").distinct().withColumn("sold", F.lit(True))
+    near = candidates(open_, items).join(open_, "name").join(sold, ["source_type", "item_id"], "left")
+    near = near.join(items.select(F.col("id").alias("item_id"), canonical_name(F.col("label")).alias("theirs")), "item_id")
+    variant = variant_difference(canonical_name(F.col("name")), F.col("theirs"))["same_product"]
+    strong = (F.col("similarity") >= LINK) & (F.col("sold").isNull() | variant)
+    best = near.groupBy("name", "source_type").agg(
+        F.count(F.when(strong, 1)).alias("strong"), F.min_by(F.when(strong, F.struct("item_id", "similarity")), F.when(strong, F.col("place"))).alias("one"),
+        F.max("similarity").alias("top"), F.min_by("item_id", "place").alias("top_item"),
+    )
+    out = rows.join(best, ["name", "source_type"], "left")
+    old, link, near_name = F.col("alias_item").isNotNull(), F.col("strong") == 1, F.col("top") >= PROPOSE
+    decision = F.when(old, "existing").when(link, "link").when(near_name, "create_and_propose").otherwise("create")
+    item = F.when(old, F.col("alias_item")).when(link, F.col("one.item_id")).when(near_name, F.col("top_item"))
+    confidence = F.when(old, 100).when(link, F.col("one.similarity")).when(near_name, 100 - F.col("top")).otherwise(100)
+    return out.select("line_id", decision.alias("decision"), item.alias("item_id"), confidence.cast("int").alias("confidence"))
 
 
 def record_sightings(lines: DataFrame, aliases: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -116,12 +134,45 @@ def staged_products(lines: DataFrame, items: DataFrame) -> DataFrame:
     return rows.groupBy("item_id").agg(F.max("label").alias("label"), F.count("*").alias("lines"), F.sum("amount_paise").alias("amount_paise"), F.count_distinct("evidence_id").alias("in_orders")).join(some, "item_id")
 
 
-def merge(items: DataFrame, aliases: DataFrame, lines: DataFrame, keep: int, drop: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Fold one item into another: aliases and lines point to the kept one."""
-    if keep == drop:
-        raise ValueError("an item cannot be merged into itself")
+def merge_many(pairs: DataFrame, items: DataFrame, aliases: DataFrame, lines: DataFrame, proposals: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Items, aliases, lines and proposals after all merges of ``pairs`` (``keep, drop``) at once.
 
-    def point(c: str) -> Column:
-        return F.when(F.col(c) == drop, F.lit(keep).cast("long")).otherwise(F.col(c)).alias(c)
+    Pairs form groups, so chains and cycles end in one item: the group's smallest
+    that is kept by some pair and dropped by none, or else its smallest. The keeper
+    takes a category only if it has none (that of its first merged item that has one); of aliases that now
+    coincide the keeper's stays, or the first by item; lines follow; proposals
+    between two items of a group, or of a merged item, are gone. Unknown items
+    and an item with itself are an error.
+    """
+    known = items.select("id")
+    asked = pairs.select(F.col("keep").cast("long"), F.col("drop").cast("long")).distinct()
+    wrong = asked.where("keep = drop").select("keep").unionByName(asked.select(F.explode(F.array("keep", "drop")).alias("keep")).join(known.withColumnRenamed("id", "keep"), "keep", "left_anti"))
+    if not wrong.isEmpty():
+        raise ValueError("merges need two different items that exist")
+    groups = components(asked, "keep", "drop")
+    roles = groups.join(asked.select(F.col("drop").alias("node"), F.lit(True).alias("dropped")).distinct(), "node", "left")
+    ends = roles.groupBy("component").agg(F.coalesce(F.min(F.when(F.col("dropped").isNull(), F.col("node"))), F.min("node")).alias("keeper"))
+    moves = groups.join(ends, "component").where("node <> keeper").select(F.col("node").alias("item"), "keeper")
+
+    def follow(rows: DataFrame, column: str) -> DataFrame:
+        to = moves.select(F.col("item").alias(column), F.col("keeper").alias("_to"))
+        return rows.join(to, column, "left")
+
+    adopted = items.join(moves, items["id"] == moves["item"]).where("category_id is not null").groupBy("keeper").agg(F.min_by("category_id", "id").alias("_category"))
+    kept = items.join(moves.select(F.col("item").alias("id")), "id", "left_anti").join(adopted.withColumnRenamed("keeper", "id"), "id", "left")
+    kept = kept.withColumn("category_id", F.coalesce("category_id", "_category")).select(*items.columns)
 
-    return items.where(F.col("id") != drop), aliases.select(*(point(c) if c == "item_id" else F.col(c) for c in aliases.columns)), lines.select(*(point(c) if c == "item_id" else F.col(c) for c in lines.columns))
+    key = ["source_type", "alias_kind", "alias_value"]
+    moved = follow(aliases, "item_id").withColumn("_old", F.col("item_id")).withColumn("item_id", F.coalesce("_to", "item_id"))
+    first = F.row_number().over(Window.partitionBy(*key, "item_id").orderBy(F.col("_to").isNotNull(), "_old"))
+    moved = moved.withColumn("_n", first).where("_n = 1").select(*aliases.columns)
+    placed = follow(lines, "item_id").withColumn("item_id", F.coalesce("_to", "item_id")).select(*lines.columns)
+    gone = moves.select("item")
+    asking = proposals.join(gone.withColumnRenamed("item", "lo_item_id"), "lo_item_id", "left_anti").join(gone.withColumnRenamed("item", "hi_item_id"), "hi_item_id", "left_anti")
+    return kept, moved, placed, asking.select(*proposals.columns)
+
+
+def set_categories(items: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``items`` with the categories of ``chosen`` (``id, category_id``; null clears), the last of repeated ids by category winning."""
+    wanted = chosen.groupBy("id").agg(F.max(F.struct("category_id")).alias("_c"))
+    return items.join(wanted, "id", "left").withColumn("category_id", F.when(F.col("_c").isNotNull(), F.col("_c.category_id")).otherwise(F.col("category_id"))).select(*items.columns)

@@ -143,6 +143,23 @@ class Ledger:
     def items(self) -> DataFrame:
         return self.parts.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", F.lower("p_brand")).alias("label"), F.when(F.col("p_partkey") % 3 != 0, F.col("leaf")).alias("category_id"))
 
+    @cached_property
+    def printed(self) -> DataFrame:
+        """A product name for each part as a seller may print it, with sizes, packs, containers and tariff codes."""
+        size, k, cents = F.col("p_size").cast("string"), F.col("p_partkey"), (F.round(F.col("p_retailprice") * 100).cast("long") % 1000).cast("string")
+        head, name = F.concat(size, F.lit(" g doses, ")), F.concat_ws(" ", F.initcap("p_name"), "p_brand")
+        form = F.lit(0)
+        for i, word in enumerate(("ring", "bolt", "gear", "anvil", "widget"), 1):
+            form = F.when(F.col("p_name").contains(word), i).otherwise(form)
+        more = {
+            1: F.concat(F.lit(" (PET Bottle) "), size, F.lit(" ML")), 2: F.concat(F.lit(" Pack of "), size, F.lit(", "), cents, F.lit(".5kgs (HSN-22029990)")), 3: F.concat(F.lit(" Tetra Pak 4 x "), size, F.lit("g")),
+            4: F.concat(F.lit(" combo of "), size, F.lit(" - "), cents, F.lit(" litres | B0ABCDEFG1 ( B0ABCDEFG1 )")), 5: F.concat(F.lit(" Refill "), size, F.lit(" tablets HSN: 04039090")),
+        }
+        tail = F.lit("")
+        for i, words in more.items():
+            tail = F.when(form == i, words).otherwise(tail)
+        return self.table("part").select(k.alias("item_id"), F.concat(F.when(F.col("p_size") > 25, head).otherwise(""), name, tail).alias("name"))
+
     @cached_property
     def aliases(self) -> DataFrame:
         return self.parts.where("p_partkey % 4 <> 0").select(F.col("p_partkey").alias("item_id"), F.lit("invoice").alias("source_type"), F.lit("sku").alias("alias_kind"), F.col("p_partkey").cast("string").alias("alias_value"))

@@ -39,6 +39,9 @@ VIEWS = {
     "lines": """SELECT l_orderkey AS evidence_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) - 1 AS line_index,
         CASE WHEN l_tax <> 0 THEN l_partkey END AS item_id, CASE WHEN l_tax <> 0 THEN 'goods' ELSE 'fee' END AS kind, CAST(round(l_extendedprice * 100) AS BIGINT) AS amount_paise FROM lineitem""",
     "items": "SELECT p_partkey AS id, p_name || ' ' || lower(p_brand) AS label, CASE WHEN p_partkey % 3 <> 0 THEN leaf END AS category_id FROM parts",
+    "printed_names": """SELECT p_partkey AS item_id, CASE WHEN p_size > 25 THEN p_size || ' g doses, ' ELSE '' END || array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') || ' ' || p_brand ||
+        CASE WHEN contains(p_name, 'widget') THEN ' Refill ' || p_size || ' tablets HSN: 04039090' WHEN contains(p_name, 'anvil') THEN ' combo of ' || p_size || ' - ' || cents || ' litres | B0ABCDEFG1 ( B0ABCDEFG1 )' WHEN contains(p_name, 'gear') THEN ' Tetra Pak 4 x ' || p_size || 'g'
+        WHEN contains(p_name, 'bolt') THEN ' Pack of ' || p_size || ', ' || cents || '.5kgs (HSN-22029990)' WHEN contains(p_name, 'ring') THEN ' (PET Bottle) ' || p_size || ' ML' ELSE '' END AS name FROM (SELECT *, CAST(round(p_retailprice * 100) AS BIGINT) % 1000 AS cents FROM part)""",
     "aliases": "SELECT p_partkey AS item_id, 'invoice' AS source_type, 'sku' AS alias_kind, CAST(p_partkey AS VARCHAR) AS alias_value FROM parts WHERE p_partkey % 4 <> 0",
     "files": """SELECT evidence_id AS id, CASE WHEN evidence_id % 7 = 0 THEN 'image/png' ELSE 'application/pdf' END AS mime, DATE '2024-01-01' + CAST(evidence_id % 90 AS INTEGER) AS day, sum(amount_paise) AS total,
         CASE evidence_id % 5 WHEN 0 THEN 'unsupported' WHEN 1 THEN 'failed' WHEN 2 THEN 'parsed' ELSE 'staged' END AS parse_status FROM lines GROUP BY evidence_id""",

@@ -755,9 +755,21 @@ def _(l: Ledger) -> DataFrame:
 # Catalogue
 
 
-@query("itm2_canonical", "SELECT id, trim(regexp_replace(lower(label), '[^a-z0-9]+', ' ', 'g')) AS canon FROM items")
+def canon_sql(x: str) -> str:
+    """A canonical product name in DuckDB's own patterns."""
+    out = f"regexp_replace(regexp_replace({x}, '\\bhsn\\s*[:-]\\s*[0-9]{{4,8}}\\b', ' ', 'gi'), '\\(\\s*hsn[-:\\s]*[0-9]{{4,8}}\\s*\\)', ' ', 'gi')"
+    out = f"lower(regexp_replace(regexp_replace({out}, '\\|\\s*b0[a-z0-9]{{8}}\\s*\\(?[^)]*\\)?\\s*$', ' ', 'i'), '\\bB0[A-Z0-9]{{8}}\\b', ' ', 'g'))"
+    for words in (
+        "\\b\\d+(\\.\\d+)?\\s*(grams?|gms?|g|kgs?|mg|ml|litres?|liters?|ltrs?|l)\\b", "\\b(set|pack|pair|combo)\\s+of\\s+\\d+\\b", "\\b\\d+\\s*[x×]\\s*\\d+(\\.\\d+)?\\s*(gm?|ml|kg|l)\\b",
+        "\\b\\d+\\s*(pieces|pcs?|count|unit|units|tablets|tablet|capsules|capsule|sachets|sachet)\\b", "\\b(pet bottle|tetra ?pak|bottle|pouch|can|jar|tin|box|carton|sachet|packet|refill)\\b",
+    ):
+        out = f"regexp_replace({out}, '{words}', ' ', 'g')"
+    return f"trim(regexp_replace({out}, '[^a-z0-9]+', ' ', 'g'))"
+
+
+@query("itm2_canonical", f"SELECT item_id, {canon_sql('name')} AS canon FROM printed_names")
 def _(l: Ledger) -> DataFrame:
-    return l.items.select("id", text.canonical_name(F.col("label")).alias("canon"))
+    return l.printed.select("item_id", text.canonical_name(F.col("name")).alias("canon"))
 
 
 CANON = "trim(regexp_replace(lower('acme hydration zero sugar mix ' || label), '[^a-z0-9]+', ' ', 'g'))"
@@ -775,12 +787,14 @@ def _(l: Ledger) -> DataFrame:
     return both.select("id", F.coalesce(text.variant_difference(F.col("a"), F.col("b"))["reason"], F.lit("same")).alias("verdict"))
 
 
-@query("itm3_attributes", "SELECT id, CASE WHEN id % 2 = 0 THEN CAST(id % 9 + 1 AS VARCHAR) || 'kg' END AS size, CASE WHEN id % 5 = 0 THEN CAST(id % 4 + 2 AS VARCHAR) END AS pack_of FROM items")
+@query(
+    "itm3_attributes",
+    """WITH f AS (SELECT item_id, lower(name) AS low, regexp_extract_all(lower(name), '\\b\\d+(?:\\.\\d+)?\\s*(?:kgs|ml|litres|g)\\b') AS sizes FROM printed_names)
+    SELECT item_id, CASE WHEN len(sizes) > 0 THEN regexp_replace(sizes[-1], '([0-9])\\s*([a-z]+)$', '\\1 \\2') END AS size, nullif(regexp_extract(low, 'pet bottle|tetra pak|refill'), '') AS pack, nullif(regexp_extract(low, '(pack|combo) of (\\d+)', 2), '') AS pack_of FROM f""",
+)
 def _(l: Ledger) -> DataFrame:
-    k = F.col("id")
-    name = F.concat_ws(" ", "label", F.when(k % 2 == 0, F.concat(F.lit("1 g then "), (k % 9 + 1).cast("string"), F.lit(" KG"))), F.when(k % 5 == 0, F.concat(F.lit("Pack of "), (k % 4 + 2).cast("string"))))
-    found = text.variant_attributes(name)
-    return l.items.select("id", found["size"].alias("size"), found["pack_of"].alias("pack_of"))
+    found = text.variant_attributes(F.col("name"))
+    return l.printed.select("item_id", *(found[k].alias(k) for k in ("size", "pack", "pack_of")))
 
 
 @query("jn12_lines_by_alias", "SELECT l.evidence_id, l.line_index, a.item_id FROM lines l JOIN aliases a ON a.alias_value = CAST(l.item_id AS VARCHAR)")
@@ -798,21 +812,51 @@ GRAMS = "(SELECT id, p_name, list_distinct(flatten(list_transform(string_split(n
     SELECT name, other, CAST(floor((i * 200 + u) / (u * 2)) AS BIGINT) AS similarity FROM s WHERE floor((i * 200 + u) / (u * 2)) >= 30""",
 )
 def _(l: Ledger) -> DataFrame:
-    names = l.table("part").select("p_name").distinct().withColumn("g", text.trigrams(F.col("p_name")))
-    each = names.select("p_name", F.explode("g").alias("t"))
-    pairs = each.join(each.select(F.col("p_name").alias("other"), "t"), "t").select("p_name", "other").distinct()
-    scored = pairs.join(names, "p_name").join(names.select(F.col("p_name").alias("other"), F.col("g").alias("h")), "other")
-    return scored.select(F.col("p_name").alias("name"), "other", text.similarity(F.col("g"), F.col("h")).alias("similarity")).where("similarity >= 30")
+    names = l.table("part").select(F.col("p_name").alias("canon")).distinct().withColumn("grams", text.trigrams(F.col("canon")))
+    return items.similar(names, names).select(F.col("left").alias("name"), F.col("right").alias("other"), "similarity")
 
 
-@query("itm6_resolve")
+@query(
+    "itm6_resolve",
+    f"""WITH l AS (SELECT l.evidence_id || '-' || line_index AS line_id, l.item_id AS sku, name FROM lines l JOIN printed_names USING (item_id)),
+    w AS (SELECT DISTINCT name, {canon_sql('name')} AS canon FROM l WHERE sku % 4 = 0), i AS (SELECT id, {canon_sql('label')} AS canon FROM items),
+    g AS (SELECT canon, list_distinct(flatten(list_transform(string_split(canon, ' '), lambda w: list_transform(range(1, length(w) + 2), lambda k: substr('  ' || w || ' ', k, 3))))) AS g, string_split(canon, ' ') AS words FROM (SELECT canon FROM w UNION SELECT canon FROM i)),
+    s AS (SELECT a.canon AS a, b.canon AS b, len(list_intersect(a.g, b.g)) AS n, len(list_distinct(list_concat(a.g, b.g))) AS u, len(list_filter(list_distinct(a.words), lambda t: NOT list_contains(b.words, t))) AS lost, len(list_filter(list_distinct(b.words), lambda t: NOT list_contains(a.words, t))) AS won,
+        len(list_intersect(a.words, b.words)) AS shared, len(list_filter(list_concat(list_filter(a.words, lambda t: NOT list_contains(b.words, t)), list_filter(b.words, lambda t: NOT list_contains(a.words, t))), lambda t: regexp_full_match(t, '[0-9]+'))) AS bare
+        FROM (SELECT * FROM g WHERE canon IN (SELECT canon FROM w)) a, (SELECT * FROM g WHERE canon IN (SELECT canon FROM i)) b),
+    v AS (SELECT a, b, CAST(floor((n * 200 + u) / (u * 2)) AS BIGINT) AS sim, lost + won = 0 OR (lost <= 1 AND won <= 1 AND shared >= 5 AND bare = 0) AS variant FROM s),
+    t AS (SELECT w.name, i.id, sim, variant OR i.id % 4 = 0 AS able, row_number() OVER (PARTITION BY w.name ORDER BY sim DESC, i.id) AS place FROM w JOIN v ON v.a = w.canon JOIN i ON i.canon = v.b WHERE sim >= 30 QUALIFY place <= 5),
+    b AS (SELECT name, count(*) FILTER (sim >= 88 AND able) AS strong, min(id) FILTER (sim >= 88 AND able) AS one, min(sim) FILTER (sim >= 88 AND able) AS one_sim, max(sim) AS top, arg_min(id, place) AS top_item FROM t GROUP BY name)
+    SELECT line_id, CASE WHEN sku % 4 <> 0 THEN 'existing' WHEN strong = 1 THEN 'link' WHEN top >= 55 THEN 'create_and_propose' ELSE 'create' END AS decision, CASE WHEN sku % 4 <> 0 THEN sku WHEN strong = 1 THEN one WHEN top >= 55 THEN top_item END AS item_id,
+    CAST(CASE WHEN sku % 4 <> 0 THEN 100 WHEN strong = 1 THEN one_sim WHEN top >= 55 THEN 100 - top ELSE 100 END AS BIGINT) AS confidence FROM l LEFT JOIN b USING (name)""",
+)
 def _(l: Ledger) -> DataFrame:
-    names = l.table("part").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("name"))
-    lines = l.lines.where("item_id is not null").join(names, "item_id")
+    lines = l.lines.where("item_id is not null").join(l.printed, "item_id")
     rows = lines.select(F.concat_ws("-", F.col("evidence_id").cast("string"), F.col("line_index").cast("string")).alias("line_id"), F.lit("invoice").alias("source_type"), F.col("item_id").cast("string").alias("sku"), "name")
     return items.resolve(rows, l.aliases, l.items)
 
 
+@query(
+    "itm8_merge_many",
+    """WITH g AS (SELECT id, label, category_id, min(id) OVER (PARTITION BY label) AS keeper FROM items), a AS (SELECT item_id, alias_kind, alias_value FROM aliases UNION ALL SELECT id, 'name', label FROM items),
+    c AS (SELECT keeper, arg_min(category_id, id) FILTER (category_id IS NOT NULL) AS adopted, max(category_id) FILTER (id = keeper) AS own FROM g GROUP BY keeper),
+    n AS (SELECT keeper, count(DISTINCT (alias_kind, alias_value)) AS aliases FROM a JOIN g ON g.id = a.item_id GROUP BY keeper), l AS (SELECT keeper, count(*) AS lines FROM lines JOIN g ON g.id = lines.item_id GROUP BY keeper),
+    p AS (SELECT x.id AS lo, count(*) AS proposals FROM g x JOIN g y ON y.id = x.id + 1 WHERE x.keeper = x.id AND y.keeper = y.id GROUP BY x.id)
+    SELECT c.keeper AS id, coalesce(own, adopted) AS category_id, coalesce(aliases, 0) AS aliases, coalesce(lines, 0) AS lines, coalesce(proposals, 0) AS proposals FROM c LEFT JOIN n USING (keeper) LEFT JOIN l USING (keeper) LEFT JOIN p ON p.lo = c.keeper""",
+)
+def _(l: Ledger) -> DataFrame:
+    """Every item is merged into the one before it with its label, a chain for each label."""
+    before = F.lag("id").over(Window.partitionBy("label").orderBy("id"))
+    pairs = l.items.select(before.alias("keep"), F.col("id").alias("drop")).where("keep is not null")
+    names = l.items.select(F.col("id").alias("item_id"), F.lit("invoice").alias("source_type"), F.lit("name").alias("alias_kind"), F.col("label").alias("alias_value"))
+    asked = l.items.select(F.col("id").alias("lo_item_id")).join(l.items.select((F.col("id") - 1).alias("lo_item_id"), F.col("id").alias("hi_item_id")), "lo_item_id")
+    kept, aliases, lines, proposals = items.merge_many(pairs, l.items, l.aliases.unionByName(names), l.lines, asked)
+    out = kept.select("id", "category_id")
+    for name, rows, column in (("aliases", aliases, "item_id"), ("lines", lines.where("item_id is not null"), "item_id"), ("proposals", proposals, "lo_item_id")):
+        out = out.join(rows.groupBy(F.col(column).alias("id")).agg(F.count("*").alias(name)), "id", "left")
+    return out.fillna(0, ["aliases", "lines", "proposals"])
+
+
 @query(
     "agg16_staged_products",
     """WITH g AS (SELECT l.*, label FROM lines l JOIN items i ON i.id = l.item_id WHERE kind = 'goods'), o AS (SELECT item_id, evidence_id, row_number() OVER (PARTITION BY item_id ORDER BY evidence_id) AS k FROM (SELECT DISTINCT item_id, evidence_id FROM g))

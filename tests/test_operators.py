@@ -236,3 +236,71 @@ def test_catalogue_candidates_are_complete(spark, sf_dir):
     for r in every.collect():
         best[r.name] = max(best.get(r.name, (0, 0)), (r.s, -r.item_id))
     assert got == {(n, -i, s) for n, (s, i) in best.items() if s >= items.LEAST_SIMILARITY}
+
+
+@pytest.mark.parametrize(
+    ("given", "canon", "attributes"),
+    [
+        ("Coke Zero (PET Bottle) 4 x 100g combo of 3 (HSN-22029990) 500 gms", "coke zero 4 x", {"size": "500 gms", "pack": "pet bottle", "pack_of": "3"}),
+        ("Acme Mix | 3g Glucose | 50g | Cola", "acme mix glucose cola", {"size": "50 g"}),
+        ("Blue\u200b Pen Set of 4, 12 pieces\nHSN:04039090", "blue pen", {"pack_of": "4"}),
+        ("Milk TetraPak 1.5 Litre", "milk", {"size": "1.5 litre", "pack": "tetrapak"}),
+        ("Curd Pouch, 400 G | B0ABCDEFG1 ( B0ABCDEFG1 )", "curd", {"size": "400 g", "pack": "pouch"}),
+        ("Phone 15", "phone 15", {}),
+        (None, None, None),
+    ],
+)
+def test_variants_leave_the_name(spark, given, canon, attributes):
+    assert value(spark, text.canonical_name, given) == canon
+    assert (value(spark, text.variant_attributes, given) or {}) == (attributes or {})
+
+
+def test_sku_conflicts(spark):
+    """A candidate with a SKU of the source is strong only as a variant; two strong ones, or an unexplained one, are proposed."""
+    catalogue = spark.createDataFrame([(1, "acme electrolyte drink mix zero sugar veg cola"), (2, "extraordinarily blue steel bolt"), (3, "red steel bolt xx"), (4, "red steel bolt xx")], "id long, label string")
+    aliases = spark.createDataFrame([(1, "shop", "sku", "A1"), (2, "shop", "sku", "B1")], "item_id long, source_type string, alias_kind string, alias_value string")
+    rows = [
+        (1, "shop", "A2", "acme electrolyte drink mix zero sugar veg colas"), (2, "shop", "B2", "extraordinarily blue steel bolts"), (3, "mall", "B2", "extraordinarily blue steel bolts"), (4, "shop", None, "extraordinarily blue steel bolts"), (5, "shop", "C", "red steel bolt xx"),
+        (6, "shop", "A1", "anything"), (7, "shop", "Z", "something else"), (8, "shop", "B9", "extraordinarily blue steel bolt"),
+    ]
+    out = items.resolve(spark.createDataFrame(rows, "line_id int, source_type string, sku string, name string"), aliases, catalogue)
+    got = {r.line_id: (r.decision, r.item_id) for r in out.collect()}
+    assert got == {1: ("link", 1), 2: ("create_and_propose", 2), 3: ("link", 2), 4: ("create_and_propose", 2), 5: ("create_and_propose", 3), 6: ("existing", 1), 7: ("create", None), 8: ("link", 2)}
+    assert {r.line_id: r.confidence for r in out.collect() if r.line_id in (6, 7, 8)} == {6: 100, 7: 100, 8: 100}
+
+
+def test_merges_in_bulk(spark):
+    frames = {
+        "items": ([(i, f"i{i}", None if i in (1, 4) else i * 10) for i in range(1, 10)], "id long, label string, category_id long"),
+        "aliases": ([(1, "s", "name", "x"), (2, "s", "name", "x"), (2, "s", "sku", "2"), (3, "s", "name", "x"), (9, "s", "sku", "9")], "item_id long, source_type string, alias_kind string, alias_value string"),
+        "lines": ([(k, i) for k, i in enumerate([1, 2, 3, 4, 5, 6, 9, None])], "line long, item_id long"),
+        "proposals": ([(1, 2), (1, 9), (5, 9), (7, 9), (8, 9)], "lo_item_id long, hi_item_id long"),
+    }
+    tables = {name: spark.createDataFrame(*x) for name, x in frames.items()}
+    merge = lambda pairs: items.merge_many(spark.createDataFrame(pairs, "keep long, drop long"), **tables)
+    # a chain that is given twice, a cycle, and a pair
+    kept, aliases, lines, proposals = merge([(1, 2), (1, 2), (2, 3), (4, 5), (5, 6), (6, 4), (8, 7)])
+    assert sorted((r.id, r.category_id) for r in kept.collect()) == [(1, 20), (4, 50), (8, 80), (9, 90)]
+    assert sorted(map(tuple, aliases.collect())) == [(1, "s", "name", "x"), (1, "s", "sku", "2"), (9, "s", "sku", "9")]
+    assert [r.item_id for r in lines.orderBy("line").collect()] == [1, 1, 1, 4, 4, 4, 9, None]
+    assert sorted(map(tuple, proposals.collect())) == [(1, 9), (8, 9)]
+    for bad in ([(1, 1)], [(1, 77)]):
+        with pytest.raises(ValueError):
+            merge(bad)
+    assert merge([])[0].count() == 9
+    chosen = spark.createDataFrame([(1, 5), (2, None), (3, 7), (3, 7)], "id long, category_id long")
+    assert sorted((r.id, r.category_id) for r in items.set_categories(tables["items"], chosen).collect())[:3] == [(1, 5), (2, None), (3, 7)]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_components(spark, seed):
+    from ledgerloom.operators.graph import components
+
+    rng = random.Random(seed)
+    pairs = [(rng.randrange(80), rng.randrange(80)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(70)] + [(None, 3), (5, 5)]
+    label = {x: x for p in pairs if None not in p for x in p}
+    for _ in label:
+        for a, b in pairs:
+            if a is not None and b is not None:
+                label[a] = label[b] = min(label[a], label[b])
+    assert {r.node: r.component for r in components(spark.createDataFrame(pairs, "x long, y long"), "x", "y").collect()} == label

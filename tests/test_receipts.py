@@ -49,7 +49,7 @@ def test_landing_names_the_source_and_refuses_duplicates(spark):
     assert got == {1: ("staged", "marketplace"), 2: ("staged", "the-shop-ltd"), 3: ("duplicate_order", None), 4: ("unreadable_mime", None), 5: ("duplicate_order", None), 6: ("corrupt", None)}
 
 
-CATALOGUE = [(1, "blue steel bolt long box", 7), (2, "green rubber garden hose", None)]
+CATALOGUE = [(1, "blue steel bolt long head", 7), (2, "green rubber garden hose", None)]
 
 
 def tables(spark):
@@ -62,7 +62,7 @@ def test_worklist_asks_where_an_item_or_a_row_is_doubtful(spark):
     known, aliases = tables(spark)
     one = [("Green hose", "S2", "goods", 1, 300), ("Delivery", None, "fee", 1, 50)]
     files = spark.createDataFrame(
-        [(1, "shop", "staged", record(one, ref="A")), (2, "shop", "staged", record([("Blue steel bolt long box", None, "goods", 1, 900)], ref="B")), (3, "shop", "staged", record([("hose", None, "goods", 1, 10)], ref="C")), (4, "shop", "failed", None)],
+        [(1, "shop", "staged", record(one, ref="A")), (2, "shop", "staged", record([("Blue steel bolt long head", None, "goods", 1, 900)], ref="B")), (3, "shop", "staged", record([("hose", None, "goods", 1, 10)], ref="C")), (4, "shop", "failed", None)],
         f"id long, source_type string, parse_status string, record {receipts.RECORD}",
     )
     bank = spark.createDataFrame([(10, -350, DAY, "x"), (11, -10, DAY, "x"), (12, -10, DAY, "y")], "id long, amount_paise long, txn_date date, narration string")
@@ -72,9 +72,9 @@ def test_worklist_asks_where_an_item_or_a_row_is_doubtful(spark):
     assert [(x.decision, x.item_id, x.category_id) for x in got[2].lines] == [("link", 1, 7)]
     assert receipts.staged_summary(files, aliases, known).first().asDict() == {"staged": 3, "held": 1, "total_paise": 1260, "uncategorised_lines": 3}
     products = receipts.product_worklist(receipts.staged_products(files), aliases, known)
-    assert [(r.key, r.decision, r.orders) for r in products.collect()] == [("shop:name:blue steel bolt long box", "link", ["B"]), ("shop:S2", "existing", ["A"]), ("shop:name:hose", "existing", ["C"])]
+    assert [(r.key, r.decision, r.orders) for r in products.collect()] == [("shop:name:blue steel bolt long head", "link", ["B"]), ("shop:S2", "existing", ["A"]), ("shop:name:hose", "existing", ["C"])]
     assert [r.key for r in receipts.product_worklist(receipts.staged_products(files), aliases, known, search=" RUBBER ").collect()] == ["shop:S2", "shop:name:hose"]
-    assert [r.key for r in receipts.product_worklist(receipts.staged_products(files), aliases, known, asking=True).collect()] == ["shop:name:blue steel bolt long box"]
+    assert [r.key for r in receipts.product_worklist(receipts.staged_products(files), aliases, known, asking=True).collect()] == ["shop:name:blue steel bolt long head"]
     nothing = files.where("false")
     assert receipts.staged_orders(nothing, aliases, known, bank).count() == 0
     assert receipts.staged_summary(nothing, aliases, known).first().asDict() == {"staged": 0, "held": 0, "total_paise": 0, "uncategorised_lines": 0}
@@ -84,7 +84,7 @@ def test_sightings_make_each_new_product_once(spark):
     known, aliases = tables(spark)
     rows = [
         ("1", "shop", "S2", "Hose, green"), ("2", "shop", "N1", "Wooden ladder tall"), ("3", "shop", None, "wooden LADDER tall"), ("4", "shop", "N1", "Ladder made of wood"), ("5", "other", None, "wooden ladder tall"),
-        ("6", "shop", None, "Blue steel bolt long box"), ("7", "shop", None, "!!"), ("8", "shop", None, "hose"),
+        ("6", "shop", None, "Blue steel bolt long head"), ("7", "shop", None, "!!"), ("8", "shop", None, "hose"),
     ]
     lines = spark.createDataFrame(rows, "line_id string, source_type string, sku string, name string")
     new, given, placed = items.record_sightings(lines, aliases, known)
@@ -92,6 +92,6 @@ def test_sightings_make_each_new_product_once(spark):
     assert {r.line_id: r.item_id for r in placed.collect()} == {"1": 2, "2": 3, "3": 3, "4": 3, "5": 4, "6": 1, "8": 2}
     assert {(r.source_type, r.alias_kind, r.alias_value): r.item_id for r in given.collect()} == {
         ("shop", "name", "hose green"): 2, ("shop", "sku", "N1"): 3, ("shop", "name", "wooden ladder tall"): 3, ("shop", "name", "ladder made of wood"): 3, ("other", "name", "wooden ladder tall"): 4,
-        ("shop", "name", "blue steel bolt long box"): 1,
+        ("shop", "name", "blue steel bolt long head"): 1,
     }
     assert items.record_sightings(lines.where("false"), aliases, known)[0].count() == 0
