@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,3 +61,17 @@ def free_name(columns: list[str], stem: str) -> str:
 def numbered(df: DataFrame, column: str, name: str) -> DataFrame:
     """``df`` written with a number that differs for every row, null and repeated ids included."""
     return materialize(df.withColumn(column, F.monotonically_increasing_id()), name)
+
+
+def handing_back(run):
+    """``run`` (over record batches) that returns freed memory to the system at the end of a task; idle workers would keep it beside the next stage's."""
+
+    @functools.wraps(run)
+    def ended(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return ended

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.gbdt import Boosting, Forest, Isotonic, fit
 from ledgerloom.llm.samples import weighted
-from ledgerloom.llm.scratch import materialize
+from ledgerloom.llm.scratch import handing_back, materialize
 
 SAMPLE_PER_CLASS = 6000
 MAX_TERMS = 512
@@ -71,6 +71,9 @@ class Lexicon:
     words: dict[str, float]
     stems: dict[str, float]
 
+    def __getstate__(self):
+        return {"words": self.words, "stems": self.stems}
+
     def weight(self, word: str) -> float:
         found = self.words.get(word, 0.0)
         for n in STEMS:
@@ -142,18 +145,18 @@ CACHE_TOKENS = 300_000
 class Traits:
     """Numbers of tokens with their traits, kept from chunk to chunk."""
 
-    def __init__(self, lexicon: Lexicon):
-        self.lexicon, self.number, self.table, self.loose, self.plain = lexicon, {}, np.zeros((0, 12)), np.zeros(0, np.int8), np.zeros(0, np.int64)
+    def __init__(self):
+        self.number, self.table, self.loose, self.plain = {}, np.zeros((0, 12)), np.zeros(0, np.int8), np.zeros(0, np.int64)
         self.words: dict[str, int] = {}
 
-    def learn(self, tokens: set[str]) -> None:
+    def learn(self, tokens: set[str], lexicon: Lexicon) -> None:
         fresh = [t for t in tokens if t not in self.number]
         if fresh and len(self.number) + len(fresh) > CACHE_TOKENS:
-            self.__init__(self.lexicon)
+            self.__init__()
             fresh = list(tokens)
         if fresh:
             self.number.update(zip(fresh, range(len(self.number), len(self.number) + len(fresh)), strict=True))
-            self.table = np.concatenate([self.table, np.array([_token_traits(t, self.lexicon) for t in fresh], float).reshape(-1, 12)])
+            self.table = np.concatenate([self.table, np.array([_token_traits(t, lexicon) for t in fresh], float).reshape(-1, 12)])
             self.loose = np.append(self.loose, np.array([min(3, (len(t) + 1) // 2) if _LOOSE.fullmatch(t) else 0 for t in fresh], np.int8))
             first = [w[0] if (w := _LETTERS.findall(t.lower())) else "" for t in fresh]
             self.plain = np.append(self.plain, [self.words.setdefault(w, len(self.words)) for w in first])
@@ -163,15 +166,9 @@ class Traits:
         return np.fromiter(map(self.number.__getitem__, tokens), np.int64, len(tokens))
 
 
-_TRAITS: dict[int, Traits] = {}
-
-
 def _traits(lexicon: Lexicon) -> Traits:
-    """The worker's traits for a lexicon; the last one stays."""
-    if id(lexicon) not in _TRAITS or _TRAITS[id(lexicon)].lexicon is not lexicon:
-        _TRAITS.clear()
-        _TRAITS[id(lexicon)] = Traits(lexicon)
-    return _TRAITS[id(lexicon)]
+    """The worker's traits for a lexicon; they go when Spark takes the lexicon's broadcast from the worker."""
+    return lexicon.__dict__.setdefault("_traits", Traits())
 
 
 def _may_be_spaced(loose: np.ndarray) -> bool:
@@ -182,7 +179,7 @@ def _may_be_spaced(loose: np.ndarray) -> bool:
 def features(texts: list[str], lexicon: Lexicon) -> np.ndarray:
     """One row per text, in the order of ``FEATURES``."""
     known, rows = _traits(lexicon), [t.split() for t in texts]
-    known.learn({token for row in rows for token in row})
+    known.learn({token for row in rows for token in row}, lexicon)
     out = np.zeros((len(texts), len(FEATURES)))
     for i, (row, text) in enumerate(zip(rows, texts, strict=True)):
         if not row:
@@ -223,6 +220,7 @@ def _chunks(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
 
 
 def _featurise(lexicon: Lexicon):
+    @handing_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, texts in _chunks(batch.column(0)):
@@ -258,6 +256,7 @@ def train(sample: DataFrame, boosting: Boosting = Boosting()) -> ToxicityModel:
 
 
 def _score(shared):
+    @handing_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, texts in _chunks(batch.column(1)):
@@ -274,6 +273,7 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
 
 
 def _keep(shared, at: int, threshold: float):
+    @handing_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, texts in _chunks(batch.column(at)):
