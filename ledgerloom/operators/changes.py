@@ -27,6 +27,26 @@ class ChangeSet:
         return current.join(self.deletes.select(*key), key, "left_anti").unionByName(self.inserts)
 
 
+def _apart(rows: DataFrame, value: list[str], side: str) -> DataFrame:
+    """Rows with all of ``value`` as one key, and a number that tells equal ones apart."""
+    keyed = rows.withColumn(f"_{side}", F.struct(*value))
+    return keyed.withColumn(f"_{side}_n", F.row_number().over(Window.partitionBy(f"_{side}").orderBy("id")))
+
+
+def net(change: ChangeSet, value: list[str]) -> ChangeSet:
+    """``change`` without what it takes away and brings back alike in all columns ``value``, once for once; nulls are alike."""
+    came, went = _apart(change.inserts, value, "in"), _apart(change.deletes, value, "out")
+    alike = lambda: F.col("_in").eqNullSafe(F.col("_out")) & (F.col("_in_n") == F.col("_out_n"))
+    inserts = came.join(went.select("_out", "_out_n"), alike(), "left_anti").select(*change.inserts.columns)
+    deletes = went.join(came.select("_in", "_in_n"), alike(), "left_anti").select(*change.deletes.columns)
+    return ChangeSet(inserts, deletes)
+
+
+def compose(first: ChangeSet, second: ChangeSet, value: list[str]) -> ChangeSet:
+    """One change set with the effect of ``first`` and then ``second``, netted over the columns ``value``."""
+    return net(ChangeSet(first.inserts.unionByName(second.inserts), first.deletes.unionByName(second.deletes)), value)
+
+
 def append_new(current: DataFrame, incoming: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """Rows to insert: those whose key is new, the first in ``order`` of each key."""
     first = Window.partitionBy(key).orderBy(*order)

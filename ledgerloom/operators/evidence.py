@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import day_gap
-from ledgerloom.operators.changes import ChangeSet
+from ledgerloom.operators.changes import ChangeSet, compose
+from ledgerloom.operators.rules import Rule, apply_rules
+from ledgerloom.session import checkpointed
 
 MATCH_DAYS = 3
 NEAR_DAYS = 10
@@ -60,9 +64,9 @@ def match(evidence: DataFrame, txns: DataFrame, tokens: dict[str, tuple[str, ...
     return rows.select("evidence_id", F.when(F.col("n") == 1, "matched").when(F.col("n") > 1, "ambiguous").otherwise("none").alias("outcome"), F.when(F.col("n") == 1, F.col("one")).alias("transaction_id"))
 
 
-def near_misses(evidence: DataFrame, txns: DataFrame) -> DataFrame:
-    """Rows of the right amount that are a little too far away, nearest first."""
-    rows = pairs(evidence, txns, NEAR_DAYS).where(F.col("gap") > MATCH_DAYS)
+def near_misses(evidence: DataFrame, txns: DataFrame, tokens: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """Rows of the right amount, and merchant, that are a little too far away, nearest first."""
+    rows = pairs(evidence, txns, NEAR_DAYS, tokens).where(F.col("gap") > MATCH_DAYS)
     place = F.row_number().over(Window.partitionBy("evidence_id").orderBy("gap", "transaction_id"))
     return rows.select("evidence_id", "transaction_id", "gap", place.alias("place"))
 
@@ -102,7 +106,8 @@ def apply_links(wanted: DataFrame, evidence: DataFrame, txns: DataFrame, allocat
     ``wanted``: evidence_id, transaction_id. A record is written only if every row of it may be. At most its
     total, and at most what its rows hold, is split over them by amount. A settlement goes to
     ``shared_category``; of an expense the others' part goes there and the rest to the record's own
-    category (``categories``: evidence_id, category_id), if it has one. Rule allocations on the rows go.
+    category (``categories``: evidence_id, category_id; what a person chose before what a map says), if it has one. The
+    record's former allocations and rule allocations on the rows go; see ``backfilled`` for what the rules then fill.
     """
     judged = precedence(wanted.distinct(), allocations).withColumn("all_write", F.min((F.col("verdict") == "write").cast("int")).over(Window.partitionBy("evidence_id")))
     links = judged.where("all_write = 1").select("evidence_id", "transaction_id")
@@ -115,9 +120,34 @@ def apply_links(wanted: DataFrame, evidence: DataFrame, txns: DataFrame, allocat
     rows = rows.withColumn("others", F.when(F.col("kind") == "payment", F.col("share")).otherwise(others))
     parts = F.array(F.struct(F.lit(shared_category).cast("long").alias("category_id"), F.col("others").alias("part")), F.struct(F.col("category_id").cast("long").alias("category_id"), (F.col("share") - F.col("others")).alias("part")))
     fresh = rows.select("evidence_id", "transaction_id", F.explode(parts).alias("p")).where("p.category_id is not null and p.part <> 0")
-    fresh = fresh.select("transaction_id", F.col("p.part").alias("amount_paise"), F.col("p.category_id").alias("category_id"), F.lit("evidence").alias("source"), "evidence_id")
-    gone = allocations.where("source = 'rule'").join(links.select("transaction_id"), "transaction_id", "left_semi")
-    return links, ChangeSet(fresh, gone.select(*fresh.columns))
+    fresh = fresh.select("transaction_id", "evidence_id", F.col("p.category_id").alias("category_id"), F.col("p.part").alias("amount_paise"))
+    displaced = allocations.where("source = 'rule'").join(links.select("transaction_id"), "transaction_id", "left_semi")
+    former = allocations.where("source = 'evidence'").join(links.select("evidence_id").distinct(), "evidence_id", "left_semi")
+    return links, ChangeSet(as_allocations(fresh, allocations), displaced.select(*allocations.columns).unionByName(former.select(*allocations.columns)))
+
+
+def as_allocations(fresh: DataFrame, allocations: DataFrame) -> DataFrame:
+    """Evidence slices (``transaction_id, evidence_id, category_id, amount_paise``) as rows of ``allocations``, without ids yet."""
+    known = {"confidence": F.lit("1.00"), "source": F.lit("evidence"), **{c: F.col(c) for c in fresh.columns}}
+    types = dict(allocations.dtypes)
+    return fresh.select(*(known.get(c, F.lit(None)).cast(types[c]).alias(c) for c in allocations.columns))
+
+
+def backfilled(change: ChangeSet, touched: DataFrame, txns: DataFrame, allocations: DataFrame, rules: list[Rule]) -> ChangeSet:
+    """``change`` and what the rules then do to the ``touched`` rows (``transaction_id``), as one change set.
+
+    The rules see the touched rows as they stand after the change. A rule slice
+    that goes and comes back alike is in neither part, and so is anything else, so a second
+    application of the same is empty. The change is checkpointed, since it is read several times.
+    """
+    change = ChangeSet(checkpointed(change.inserts), checkpointed(change.deletes))
+    rows = checkpointed(touched.select("transaction_id").distinct())
+    standing = allocations.join(rows, "transaction_id", "left_semi").select(*allocations.columns)
+    after = standing.join(change.deletes.select("id"), "id", "left_anti").select(*allocations.columns).unionByName(change.inserts.join(rows, "transaction_id", "left_semi").select(*allocations.columns))
+    scope = txns.join(rows.withColumnRenamed("transaction_id", "id"), "id", "left_semi").select(*txns.columns)
+    second = apply_rules(scope, after, rules)
+    brought = second.inserts.select(*(F.col(c).cast(t).alias(c) for c, t in allocations.dtypes))
+    return compose(change, ChangeSet(brought, second.deletes.select(*allocations.columns)), [c for c in allocations.columns if c != "id"])
 
 
 def unlink(gone: DataFrame, links: DataFrame, allocations: DataFrame) -> tuple[ChangeSet, ChangeSet]:
@@ -127,6 +157,12 @@ def unlink(gone: DataFrame, links: DataFrame, allocations: DataFrame) -> tuple[C
     return ChangeSet(links.where("false"), lost), ChangeSet(allocations.where("false"), swept)
 
 
+def unlink_and_backfill(gone: DataFrame, links: DataFrame, txns: DataFrame, allocations: DataFrame, rules: list[Rule]) -> tuple[ChangeSet, ChangeSet]:
+    """As ``unlink``, and the rules fill the rows that are free again."""
+    lost, swept = unlink(gone, links, allocations)
+    return lost, backfilled(swept, lost.deletes, txns, allocations, rules)
+
+
 def claim_labels(txns: DataFrame, allocations: DataFrame) -> DataFrame:
     """How a row looks to a new record: free, yours, replaces or refused."""
     per = allocations.groupBy(F.col("transaction_id").alias("id")).agg(*(F.max((F.col("source") == s).cast("int")).alias(s) for s in ("user", "rule", "evidence")))
@@ -135,14 +171,14 @@ def claim_labels(txns: DataFrame, allocations: DataFrame) -> DataFrame:
     return rows.select("id", label.alias("claim"))
 
 
-def worklist(evidence: DataFrame, links: DataFrame, txns: DataFrame, allocations: DataFrame) -> DataFrame:
+def worklist(evidence: DataFrame, links: DataFrame, txns: DataFrame, allocations: DataFrame, tokens: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """Every record that implies cash with its state: matched, conflicted, near or unmatched."""
     rows = expected(evidence).select(F.col("id").alias("evidence_id"), "source_type", "evidence_date", "expected_paise")
     linked = links.groupBy("evidence_id").agg(F.count("*").alias("linked"))
     open_ = evidence.join(links.select(F.col("evidence_id").alias("id")), "id", "left_anti")
-    found = match(open_, txns).where("outcome <> 'none'").select("evidence_id", "outcome", "transaction_id")
+    found = match(open_, txns, tokens).where("outcome <> 'none'").select("evidence_id", "outcome", "transaction_id")
     blocked = precedence(found.where("outcome = 'matched'").select("evidence_id", "transaction_id"), allocations).where("verdict <> 'write'").select("evidence_id", F.lit(True).alias("blocked"))
-    near = near_misses(open_, txns).groupBy("evidence_id").agg(F.count("*").alias("near"))
+    near = near_misses(open_, txns, tokens).groupBy("evidence_id").agg(F.count("*").alias("near"))
     out = rows.join(linked, "evidence_id", "left").join(found.select("evidence_id", "outcome"), "evidence_id", "left").join(blocked, "evidence_id", "left").join(near, "evidence_id", "left")
     state = F.when(F.col("linked") > 0, "matched").when(F.coalesce("blocked", F.lit(False)), "conflicted").when(F.col("outcome").isNotNull(), "proposed").when(F.col("near") > 0, "near").otherwise("unmatched")
     return out.select("evidence_id", "source_type", "evidence_date", "expected_paise", state.alias("state"))
@@ -154,13 +190,13 @@ def batches(worked: DataFrame) -> DataFrame:
     return worked.groupBy("source_type").agg(F.count("*").alias("records"), *(F.count(F.when(F.col("state") == s, 1)).alias(s) for s in states), F.max("evidence_date").alias("latest"))
 
 
-def sweep(evidence: DataFrame, links: DataFrame, txns: DataFrame, allocations: DataFrame) -> DataFrame:
+def sweep(evidence: DataFrame, links: DataFrame, txns: DataFrame, allocations: DataFrame, tokens: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """Match all unlinked records at once: the first by date and id gets a contested row.
 
     Only records that may write compete for a row; the others are conflicted.
     """
     open_ = evidence.join(links.select(F.col("evidence_id").alias("id")), "id", "left_anti")
-    found = match(open_, txns).where("outcome = 'matched'").join(evidence.select(F.col("id").alias("evidence_id"), "evidence_date"), "evidence_id")
+    found = match(open_, txns, tokens).where("outcome = 'matched'").join(evidence.select(F.col("id").alias("evidence_id"), "evidence_date"), "evidence_id")
     judged = found.join(precedence(found.select("evidence_id", "transaction_id"), allocations), ["evidence_id", "transaction_id"])
     order = Window.partitionBy("transaction_id", "verdict").orderBy("evidence_date", "evidence_id")
     first = (F.col("verdict") == "write") & (F.row_number().over(order) == 1)
@@ -197,19 +233,52 @@ def touched_by_items(changed: DataFrame, lines: DataFrame, links: DataFrame) ->
     return links.join(orders, "evidence_id", "left_semi").select("evidence_id", "transaction_id").distinct()
 
 
-def rederive(changed: DataFrame, lines: DataFrame, items: DataFrame, links: DataFrame, txns: DataFrame, allocations: DataFrame) -> tuple[ChangeSet, DataFrame]:
-    """Orders with changed items derived anew: the change set of their allocations, and the rows for the rules to fill, once each.
+def derive(orders: DataFrame, lines: DataFrame, items: DataFrame, links: DataFrame, txns: DataFrame, allocations: DataFrame) -> ChangeSet:
+    """The change set that writes the lines of ``orders`` (``evidence_id``) anew to the rows they are linked to.
 
     Rows that a person or another order explains keep that; rule slices go.
     """
-    touched = touched_by_items(changed, lines, links)
-    own = touched.select("evidence_id").distinct()
-    derived = line_allocations(lines.join(own, "evidence_id", "left_semi"), items, touched, txns)
-    mine = allocations.where("source = 'evidence'").join(own, "evidence_id", "left_semi")
+    own = orders.select("evidence_id").distinct()
+    derived = line_allocations(lines.join(own, "evidence_id", "left_semi"), items, links.join(own, "evidence_id", "left_semi"), txns)
+    mine = allocations.where("source = 'evidence'").join(own, "evidence_id", "left_semi").select(*allocations.columns)
     left = allocations.join(mine.select("id"), "id", "left_anti")
     blocked = left.where("source in ('user', 'evidence')").select("transaction_id")
     fresh = derived.join(blocked, "transaction_id", "left_anti")
     displaced = left.where("source = 'rule'").join(fresh.select("transaction_id"), "transaction_id", "left_semi")
-    columns = ["evidence_id", "transaction_id", "category_id", "amount_paise"]
-    gone = mine.unionByName(displaced.select(*mine.columns)).select("id", *columns)
-    return ChangeSet(fresh.select(*columns), gone), touched.select("transaction_id").distinct()
+    return ChangeSet(as_allocations(fresh, allocations), mine.unionByName(displaced.select(*allocations.columns)))
+
+
+def rederive(changed: DataFrame, lines: DataFrame, items: DataFrame, links: DataFrame, txns: DataFrame, allocations: DataFrame) -> tuple[ChangeSet, DataFrame]:
+    """Orders with changed items (``item_id``) derived anew: the change set of their allocations, and the rows for ``backfilled``, once each."""
+    touched = touched_by_items(changed, lines, links)
+    return derive(touched, lines, items, links, txns, allocations), touched.select("transaction_id").distinct()
+
+
+@dataclass(frozen=True)
+class Source:
+    """A kind of evidence: the tokens of its merchant, and what keeps it from being matched now (None: nothing)."""
+
+    name: str
+    tokens: tuple[str, ...] = ()
+    unavailable: str | None = None
+
+
+def rematch(sources: list[Source], evidence: DataFrame, links: DataFrame, txns: DataFrame, allocations: DataFrame, only: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Match the unlinked records of the sources (or of one) again: ``evidence_id, transaction_id, result``, and a summary by source.
+
+    The summary has ``source_type, ran, skipped, linked, conflicted, ambiguous, unmatched``. Links that stand are not decided again,
+    so a second run finds nothing more. An unknown source is an error.
+    """
+    if only is not None and only not in {s.name for s in sources}:
+        raise ValueError(f"unknown source {only!r}")
+    chosen = [s for s in sources if only in (None, s.name)]
+    able = [s.name for s in chosen if s.unavailable is None]
+    tokens = {s.name: s.tokens for s in chosen if s.tokens}
+    own = evidence.where(F.col("source_type").isin(able))
+    swept = sweep(own, links, txns, allocations, tokens)
+    open_ = own.join(links.select(F.col("evidence_id").alias("id")), "id", "left_anti")
+    outcomes = match(open_, txns, tokens).join(swept.select("evidence_id", "result"), "evidence_id", "left").join(own.select(F.col("id").alias("evidence_id"), "source_type"), "evidence_id")
+    count = lambda test: F.count(F.when(test, 1))
+    per = outcomes.groupBy("source_type").agg(count(F.col("result") == "linked").alias("linked"), count(F.col("result") == "conflicted").alias("conflicted"), count(F.col("outcome") == "ambiguous").alias("ambiguous"), count(F.col("outcome") == "none").alias("unmatched"))
+    stated = evidence.sparkSession.createDataFrame([(s.name, s.unavailable is None, s.unavailable) for s in chosen], "source_type string, ran boolean, skipped string")
+    return swept, stated.join(per, "source_type", "left").fillna(0, ["linked", "conflicted", "ambiguous", "unmatched"])

@@ -8,6 +8,8 @@ exploded. All operators take many artifacts at once.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from ledgerloom.operators import evidence as matching
 from ledgerloom.operators import queue
 from ledgerloom.operators.changes import ChangeSet, next_ids
 from ledgerloom.operators.items import resolve
+from ledgerloom.operators.rules import Rule
+from ledgerloom.session import checkpointed
 from ledgerloom.sources.invoices import template
 
 LINE = "struct<description:string,sku:string,kind:string,qty:int,amount_paise:bigint>"
@@ -226,6 +230,39 @@ def confirm(artifacts: DataFrame, resolved: DataFrame, evidence: DataFrame, line
     return ChangeSet(rows.select(*columns), old), ChangeSet(own.select(*lines.columns), gone)
 
 
+@dataclass(frozen=True)
+class Landing:
+    """What confirming orders writes: evidence, lines, links and allocations."""
+
+    evidence: ChangeSet
+    lines: ChangeSet
+    links: ChangeSet
+    allocations: ChangeSet
+
+
+def confirm_and_explain(artifacts: DataFrame, resolved: DataFrame, evidence: DataFrame, lines: DataFrame, items: DataFrame, links: DataFrame, txns: DataFrame, allocations: DataFrame, rules: list[Rule], overrides: DataFrame | None = None, tokens: dict[str, tuple[str, ...]] | None = None) -> Landing:
+    """Land staged orders, match them to their rows, write their lines there, and let the rules fill what is left.
+
+    ``overrides`` (artifact_id, line_index, item_id) are a person's choices and win over ``resolved``. An order that has links keeps them;
+    another is linked if exactly one row fits, and the first order by date and id gets a contested row. Rows that a
+    person or another order explains are not written to.
+    """
+    if overrides is not None:
+        chosen = overrides.select("artifact_id", "line_index", F.col("item_id").alias("_item"), F.lit(True).alias("_chosen"))
+        both = resolved.select("artifact_id", "line_index", "item_id").join(chosen, ["artifact_id", "line_index"], "full")
+        resolved = both.select("artifact_id", "line_index", F.when(F.col("_chosen"), F.col("_item")).otherwise(F.col("item_id")).alias("item_id"))
+    records, goods = confirm(artifacts, resolved, evidence, lines)
+    landed = records.inserts.select("id", "source_type", "evidence_date", F.lit("expense").alias("kind"), "cost_paise", F.col("cost_paise").alias("my_net_paise"))
+    landed = checkpointed(landed)
+    standing = links.join(landed.select(F.col("id").alias("evidence_id")), "evidence_id", "left_semi")
+    swept = matching.sweep(landed, standing, txns, allocations, tokens).where("result = 'linked'")
+    fresh = checkpointed(swept.select("evidence_id", "transaction_id"))
+    every = standing.select("evidence_id", "transaction_id").unionByName(fresh)
+    now = lines.join(goods.deletes.select("evidence_id").distinct(), "evidence_id", "left_anti").select(*lines.columns).unionByName(goods.inserts.select(*lines.columns))
+    derived = matching.derive(landed.select(F.col("id").alias("evidence_id")), now, items, every, txns, allocations)
+    return Landing(records, goods, ChangeSet(fresh, links.where("false")), matching.backfilled(derived, every, txns, allocations, rules))
+
+
 def check_links(wanted: DataFrame, evidence: DataFrame, transactions: DataFrame, allocations: DataFrame) -> DataFrame:
     """``evidence_id, verdict`` of hand-made links (evidence_id, transaction_id), judged record by record.
 
@@ -254,6 +291,19 @@ def relink(wanted: DataFrame, checked: DataFrame, links: DataFrame) -> tuple[Cha
     return ChangeSet(fresh, old), freed
 
 
+def relink_and_backfill(wanted: DataFrame, evidence: DataFrame, lines: DataFrame, items: DataFrame, links: DataFrame, txns: DataFrame, allocations: DataFrame, rules: list[Rule]) -> tuple[DataFrame, ChangeSet, ChangeSet]:
+    """Hand-made links judged and written: the verdicts, and the change sets of links and of allocations.
+
+    The receipts' lines go to the new rows; the rules fill what is left of those and of the rows that were freed.
+    """
+    checked = check_links(wanted, evidence, txns, allocations)
+    change, freed = relink(wanted, checked, links)
+    orders = checked.where("verdict = 'ok'").select("evidence_id")
+    derived = matching.derive(orders, lines, items, change.inserts, txns, allocations)
+    touched = change.inserts.select("transaction_id").unionByName(freed)
+    return checked, change, matching.backfilled(derived, touched, txns, allocations, rules)
+
+
 def list_artifacts(artifacts: DataFrame, limit: int, offset: int = 0, status: str | None = None) -> DataFrame:
     """A page of artifacts without their contents, newest first."""
     rows = artifacts.where(F.col("parse_status") == status) if status else artifacts

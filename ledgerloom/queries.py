@@ -566,13 +566,18 @@ CASH = "CASE WHEN kind = 'expense' AND my_net_paise > 0 THEN -cost_paise WHEN ki
 EXPECTED = f"(SELECT *, {CASH} AS expected_paise FROM evidence WHERE {CASH} IS NOT NULL)"
 
 
-def _pairs(days: int, source: str = EXPECTED) -> str:
-    return f"(SELECT e.id AS evidence_id, e.evidence_date, t.id AS transaction_id, abs(e.evidence_date - t.txn_date) AS gap FROM {source} e JOIN transactions t ON t.amount_paise = e.expected_paise AND abs(e.evidence_date - t.txn_date) <= {days})"
+#: Words of the merchants' narrations; shared expenses have none.
+TOKENS = {"invoice": ("ring", "bolt", "gear", "widget")}
+TOLD = f"AND (e.source_type <> 'invoice' OR {' OR '.join(f"contains(lower(t.narration), '{w}')" for w in TOKENS['invoice'])})"
 
 
-def _match(source: str = EXPECTED) -> str:
+def _pairs(days: int, source: str = EXPECTED, told: str = "") -> str:
+    return f"(SELECT e.id AS evidence_id, e.evidence_date, t.id AS transaction_id, abs(e.evidence_date - t.txn_date) AS gap FROM {source} e JOIN transactions t ON t.amount_paise = e.expected_paise AND abs(e.evidence_date - t.txn_date) <= {days} {told})"
+
+
+def _match(source: str = EXPECTED, told: str = "") -> str:
     return f"""(SELECT e.id AS evidence_id, CASE WHEN n = 1 THEN 'matched' WHEN n > 1 THEN 'ambiguous' ELSE 'none' END AS outcome, CASE WHEN n = 1 THEN one END AS transaction_id
-    FROM {source} e LEFT JOIN (SELECT evidence_id, count(*) AS n, min(transaction_id) AS one FROM {_pairs(3, source)} GROUP BY evidence_id) h ON h.evidence_id = e.id)"""
+    FROM {source} e LEFT JOIN (SELECT evidence_id, count(*) AS n, min(transaction_id) AS one FROM {_pairs(3, source, told)} GROUP BY evidence_id) h ON h.evidence_id = e.id)"""
 
 
 UNLINKED = f"(SELECT * FROM {EXPECTED} WHERE id NOT IN (SELECT evidence_id FROM evidence_transactions))"
@@ -590,9 +595,9 @@ def _(l: Ledger) -> DataFrame:
     return evidence.match(l.evidence, l.transactions)
 
 
-@query("evd4_near", f"SELECT evidence_id, transaction_id, gap, row_number() OVER (PARTITION BY evidence_id ORDER BY gap, transaction_id) AS place FROM {_pairs(10)} WHERE gap > 3")
+@query("evd4_near", f"SELECT evidence_id, transaction_id, gap, row_number() OVER (PARTITION BY evidence_id ORDER BY gap, transaction_id) AS place FROM {_pairs(10, told=TOLD)} WHERE gap > 3")
 def _(l: Ledger) -> DataFrame:
-    return evidence.near_misses(l.evidence, l.transactions)
+    return evidence.near_misses(l.evidence, l.transactions, TOKENS)
 
 
 @query(
@@ -624,14 +629,14 @@ def _(l: Ledger) -> DataFrame:
     return evidence.claim_labels(l.transactions, l.allocations)
 
 
-WORKLIST = f"""WITH m AS (SELECT * FROM {_match(UNLINKED)} WHERE outcome <> 'none'), b AS (SELECT m.evidence_id FROM m LEFT JOIN {ALLOCATED} a ON a.transaction_id = m.transaction_id WHERE m.outcome = 'matched' AND {VERDICT} <> 'write'),
-    n AS (SELECT DISTINCT evidence_id FROM {_pairs(10, UNLINKED)} WHERE gap > 3)
+WORKLIST = f"""WITH m AS (SELECT * FROM {_match(UNLINKED, TOLD)} WHERE outcome <> 'none'), b AS (SELECT m.evidence_id FROM m LEFT JOIN {ALLOCATED} a ON a.transaction_id = m.transaction_id WHERE m.outcome = 'matched' AND {VERDICT} <> 'write'),
+    n AS (SELECT DISTINCT evidence_id FROM {_pairs(10, UNLINKED, TOLD)} WHERE gap > 3)
     SELECT e.id AS evidence_id, source_type, evidence_date, expected_paise, CASE WHEN e.id IN (SELECT evidence_id FROM evidence_transactions) THEN 'matched' WHEN e.id IN (SELECT evidence_id FROM b) THEN 'conflicted'
     WHEN e.id IN (SELECT evidence_id FROM m) THEN 'proposed' WHEN e.id IN (SELECT evidence_id FROM n) THEN 'near' ELSE 'unmatched' END AS state FROM {EXPECTED} e"""
 
 
 def _worklist(l: Ledger) -> DataFrame:
-    return evidence.worklist(l.evidence, l.evidence_transactions, l.transactions, l.allocations)
+    return evidence.worklist(l.evidence, l.evidence_transactions, l.transactions, l.allocations, TOKENS)
 
 
 @query("evd8_worklist", WORKLIST)
@@ -649,11 +654,11 @@ def _(l: Ledger) -> DataFrame:
 
 @query(
     "evd10_sweep",
-    f"""WITH judged AS (SELECT m.evidence_id, m.transaction_id, evidence_date, {VERDICT} AS verdict FROM {_match(UNLINKED)} m JOIN evidence e ON e.id = m.evidence_id LEFT JOIN {ALLOCATED} a ON a.transaction_id = m.transaction_id WHERE m.outcome = 'matched')
+    f"""WITH judged AS (SELECT m.evidence_id, m.transaction_id, evidence_date, {VERDICT} AS verdict FROM {_match(UNLINKED, TOLD)} m JOIN evidence e ON e.id = m.evidence_id LEFT JOIN {ALLOCATED} a ON a.transaction_id = m.transaction_id WHERE m.outcome = 'matched')
     SELECT evidence_id, transaction_id, CASE WHEN verdict = 'write' AND row_number() OVER (PARTITION BY transaction_id, verdict ORDER BY evidence_date, evidence_id) = 1 THEN 'linked' ELSE 'conflicted' END AS result FROM judged""",
 )
 def _(l: Ledger) -> DataFrame:
-    return evidence.sweep(l.evidence, l.evidence_transactions, l.transactions, l.allocations)
+    return evidence.sweep(l.evidence, l.evidence_transactions, l.transactions, l.allocations, TOKENS)
 
 
 def _applied(l: Ledger):
@@ -685,7 +690,60 @@ def _(l: Ledger) -> DataFrame:
 
 @query("evd9_displaced", f"WITH {LINKABLE} SELECT transaction_id, amount_paise, category_id FROM allocations WHERE source = 'rule' AND transaction_id IN (SELECT transaction_id FROM allowed WHERE good = 1)")
 def _(l: Ledger) -> DataFrame:
-    return _applied(l)[1].deletes.select("transaction_id", "amount_paise", "category_id")
+    return _applied(l)[1].deletes.where("source = 'rule'").select("transaction_id", "amount_paise", "category_id")
+
+
+def _flat(change: changes.ChangeSet) -> DataFrame:
+    columns = ("transaction_id", "category_id", "amount_paise", "source", "rule_id", "evidence_id")
+    return change.inserts.select(F.lit("in").alias("what"), *columns).unionByName(change.deletes.select(F.lit("out").alias("what"), *columns))
+
+
+EVD9 = ORACLES["evd9_apply"]
+WANTED_RULE = f"CASE {WINNER} WHEN 1 THEN 1001 WHEN 2 THEN 2002 WHEN 3 THEN 3003 WHEN 5 THEN 5005 WHEN 6 THEN 6006 END"
+
+
+@query(
+    "evd9_backfill",
+    f"""WITH written AS ({EVD9}), good AS (WITH {LINKABLE} SELECT DISTINCT evidence_id, transaction_id FROM allowed JOIN {EXPECTED} x ON x.id = evidence_id WHERE good = 1),
+    gone AS (SELECT * FROM allocations WHERE (source = 'rule' AND transaction_id IN (SELECT transaction_id FROM (WITH {LINKABLE} SELECT transaction_id FROM allowed WHERE good = 1))) OR (source = 'evidence' AND evidence_id IN (SELECT evidence_id FROM (WITH {LINKABLE} SELECT evidence_id FROM allowed WHERE good = 1)))),
+    touched AS (WITH {LINKABLE} SELECT DISTINCT transaction_id FROM allowed WHERE good = 1),
+    kept AS (SELECT transaction_id, sum(amount_paise) AS s FROM (SELECT transaction_id, amount_paise FROM allocations WHERE id NOT IN (SELECT id FROM gone) UNION ALL SELECT transaction_id, amount_paise FROM written) GROUP BY transaction_id),
+    made AS (SELECT t.id AS transaction_id, CAST({WANTED_RULE} AS BIGINT) AS category_id, CAST(amount_paise - coalesce(s, 0) AS BIGINT) AS amount_paise, CAST({WINNER} AS BIGINT) AS rule_id FROM transactions t JOIN touched ON touched.transaction_id = t.id LEFT JOIN kept ON kept.transaction_id = t.id WHERE {WINNER} IS NOT NULL AND amount_paise <> coalesce(s, 0)),
+    alike AS (SELECT transaction_id FROM made JOIN gone USING (transaction_id, category_id, amount_paise, rule_id) WHERE source = 'rule')
+    SELECT 'in' AS what, transaction_id, category_id, amount_paise, 'evidence' AS source, CAST(NULL AS BIGINT) AS rule_id, evidence_id FROM written
+    UNION ALL SELECT 'in', transaction_id, category_id, amount_paise, 'rule', rule_id, NULL FROM made WHERE transaction_id NOT IN (SELECT transaction_id FROM alike)
+    UNION ALL SELECT 'out', transaction_id, category_id, amount_paise, source, rule_id, evidence_id FROM gone WHERE source = 'evidence' OR transaction_id NOT IN (SELECT transaction_id FROM alike)""",
+)
+def _(l: Ledger) -> DataFrame:
+    links, change = _applied(l)
+    return _flat(evidence.backfilled(change, links, l.transactions, l.allocations, ALL_RULES))
+
+
+@query(
+    "evd11_backfill",
+    f"""WITH gone AS (SELECT * FROM evidence_transactions WHERE evidence_id % 2 = 0), lost AS (SELECT * FROM allocations WHERE source = 'evidence' AND evidence_id IN (SELECT evidence_id FROM gone)),
+    per AS (SELECT transaction_id, sum(amount_paise) FILTER (source <> 'rule') AS s, max(CAST(source = 'user' AS INTEGER)) AS u, count(*) FILTER (source = 'rule') AS n, max(amount_paise) FILTER (source = 'rule') AS a, max(category_id) FILTER (source = 'rule') AS c, max(rule_id) AS r FROM allocations WHERE id NOT IN (SELECT id FROM lost) GROUP BY transaction_id),
+    x AS (SELECT t.id AS transaction_id, CAST({WANTED_RULE} AS BIGINT) AS category_id, CAST(amount_paise - coalesce(s, 0) AS BIGINT) AS amount_paise, CAST({WINNER} AS BIGINT) AS rule_id, coalesce(n, 0) AS n, a, c, r FROM transactions t JOIN gone ON gone.transaction_id = t.id LEFT JOIN per ON per.transaction_id = t.id WHERE coalesce(u, 0) = 0),
+    y AS (SELECT *, rule_id IS NOT NULL AND amount_paise <> 0 AS wanted, n = 1 AND a = amount_paise AND c = category_id AND r = rule_id AS same FROM x)
+    SELECT 'out' AS what, transaction_id, category_id, amount_paise, source, rule_id, evidence_id FROM lost
+    UNION ALL SELECT 'in', transaction_id, category_id, amount_paise, 'rule', rule_id, NULL FROM y WHERE wanted AND same IS NOT TRUE
+    UNION ALL SELECT 'out', transaction_id, category_id, amount_paise, source, rule_id, evidence_id FROM allocations WHERE source = 'rule' AND transaction_id IN (SELECT transaction_id FROM y WHERE n > 0 AND NOT (wanted AND same))""",
+)
+def _(l: Ledger) -> DataFrame:
+    gone = l.evidence_transactions.where("evidence_id % 2 = 0")
+    return _flat(evidence.unlink_and_backfill(gone, l.evidence_transactions, l.transactions, l.allocations, ALL_RULES)[1])
+
+
+@query(
+    "evd14_rematch",
+    f"""WITH m AS (SELECT m.*, e.evidence_date, {VERDICT} AS verdict FROM {_match(UNLINKED, TOLD)} m JOIN evidence e ON e.id = m.evidence_id LEFT JOIN {ALLOCATED} a ON a.transaction_id = m.transaction_id WHERE source_type = 'invoice'),
+    r AS (SELECT *, CASE WHEN outcome <> 'matched' THEN outcome WHEN verdict = 'write' AND row_number() OVER (PARTITION BY outcome, transaction_id, verdict ORDER BY evidence_date, evidence_id) = 1 THEN 'linked' ELSE 'conflicted' END AS result FROM m)
+    SELECT 'invoice' AS source_type, true AS ran, CAST(NULL AS VARCHAR) AS skipped, count(*) FILTER (result = 'linked') AS linked, count(*) FILTER (result = 'conflicted') AS conflicted, count(*) FILTER (result = 'ambiguous') AS ambiguous, count(*) FILTER (result = 'none') AS unmatched FROM r
+    UNION ALL SELECT 'shared', false, 'no owner is set', 0, 0, 0, 0""",
+)
+def _(l: Ledger) -> DataFrame:
+    sources = [evidence.Source("invoice", TOKENS["invoice"]), evidence.Source("shared", unavailable="no owner is set")]
+    return evidence.rematch(sources, l.evidence, l.evidence_transactions, l.transactions, l.allocations)[1]
 
 
 @query("evd11_unlink", "SELECT id FROM allocations WHERE source = 'evidence' AND evidence_id IN (SELECT evidence_id FROM evidence_transactions WHERE evidence_id % 2 = 0)")
@@ -1232,6 +1290,35 @@ def _(l: Ledger) -> DataFrame:
     return both.groupBy("what", "kind").agg(F.count("*").alias("n"), F.count("item_id").alias("items"), F.sum("amount_paise").alias("amount_paise"))
 
 
+@query(
+    "rcp4_confirm",
+    """WITH paid AS (SELECT id, CAST(-total AS BIGINT) AS amount_paise, day + CAST(id // 5 % 5 AS INTEGER) AS txn_date FROM files WHERE parse_status = 'staged'),
+    m AS (SELECT f.id AS artifact, min(f.day) AS day, min(p.id) AS row FROM files f JOIN paid p ON p.amount_paise = -f.total AND abs(f.day - p.txn_date) <= 3 WHERE f.parse_status = 'staged' GROUP BY f.id HAVING count(*) = 1),
+    u AS (SELECT row, arg_min(artifact, (day, artifact % 2, artifact)) AS artifact FROM m GROUP BY row),
+    d AS (SELECT u.row, i.category_id, CAST(sum(p.amount_paise) AS BIGINT) AS a FROM u JOIN printed p ON p.evidence_id = u.artifact JOIN items i ON i.id = CAST(p.sku AS BIGINT) WHERE kind = 'goods' AND i.category_id IS NOT NULL GROUP BY u.row, i.category_id),
+    r AS (SELECT u.row, min(paid.amount_paise) AS whole, CAST(min(paid.amount_paise) + coalesce(sum(d.a), 0) AS BIGINT) AS rest FROM u JOIN paid ON paid.id = u.row LEFT JOIN d ON d.row = u.row GROUP BY u.row),
+    w AS (SELECT *, rest <> 0 AND whole < -20000000 AS wanted, row % 2 = 0 AND rest = whole AS same FROM r)
+    SELECT 'in' AS what, row AS transaction_id, category_id, -a AS amount_paise, 'evidence' AS source, CAST(NULL AS BIGINT) AS rule_id FROM d
+    UNION ALL SELECT 'in', row, 77, rest, 'rule', 21 FROM w WHERE wanted AND NOT same UNION ALL SELECT 'out', row, 77, whole, 'rule', 21 FROM w WHERE row % 2 = 0 AND NOT (wanted AND same)""",
+)
+def _(l: Ledger) -> DataFrame:
+    """All staged orders land on rows that paid them some days later, half of which a rule had explained."""
+    k = F.col("id")
+    paid = receipts.staged(l.artifacts).select(
+        k, F.lit(1).cast("long").alias("account_id"), F.date_add("record.order_date", (F.floor(k / 5) % 5).cast("int")).alias("txn_date"), (-F.col("record.total_paise")).alias("amount_paise"), F.lit("regular").alias("type"), F.lit("paid").alias("narration")
+    )
+    none = F.lit(None).cast("long")
+    before = paid.where("id % 2 = 0").select(
+        k, k.alias("transaction_id"), "amount_paise", F.lit(77).cast("long").alias("category_id"), F.lit("0.80").cast("decimal(3,2)").alias("confidence"), F.lit("rule").alias("source"), F.lit(21).cast("long").alias("rule_id"), none.alias("evidence_id"), none.alias("confirmed_from_rule_id")
+    )
+    known = l.evidence.where("source_type = 'invoice'")
+    resolved = receipts.record_lines(receipts.staged(l.artifacts)).select("artifact_id", "line_index", F.col("sku").cast("long").alias("item_id"))
+    large = rules.Rule(21, "large", (rules.Condition("amount_paise", "lt", -20000000),), category_id=77)
+    lines = l.lines.join(known.select(F.col("id").alias("evidence_id")), "evidence_id", "left_semi").select(*l.lines.columns)
+    landing = receipts.confirm_and_explain(l.artifacts, resolved, known, lines, l.items, l.evidence_transactions, paid, before, [large])
+    return _flat(landing.allocations).drop("evidence_id")
+
+
 @query(
     "rcp5_confirmable",
     "SELECT o_orderkey * 2 AS artifact_id, CASE WHEN f.id IS NULL THEN 'error' WHEN parse_status = 'staged' THEN 'land' ELSE 'skip' END AS verdict FROM orders LEFT JOIN files f ON f.id = o_orderkey * 2",

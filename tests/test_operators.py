@@ -207,13 +207,10 @@ def test_shared_validation(spark):
     assert value(spark, shared.group_key, "  Trip|to Å  ") == "trip to å"
 
 
-def test_statement_and_export_files(spark, tmp_path):
+def test_statement_files(spark, tmp_path):
     (tmp_path / "s.csv").write_text('﻿Some bank\nDate,Narration,Withdrawal Amt.,Deposit Amt.,Closing Balance\n01/02/24,"Shop, one",10.50,,"1,000.00"\n02/02/24,Pay,,"2,000.00","3,000.00"\ntotal,,1,2,3\n')
     out = statements.read_statements(spark, str(tmp_path / "s.csv")).orderBy("statement_seq").collect()
     assert [(str(r.txn_date), r.narration, r.amount_paise, r.bank_balance_paise) for r in out] == [("2024-02-01", "Shop, one", -1050, 100000), ("2024-02-02", "Pay", 200000, 300000)]
-    (tmp_path / "x.csv").write_text("Date,Description,Category,Cost,Currency,A,B\n\n2024-01-01,Food,Meals,10.00,INR,5.00,-5.00\n2024-01-02,Total balance, , ,INR,1,2\n")
-    out = statements.read_shared_export(spark, str(tmp_path / "x.csv")).collect()
-    assert [(r.description, r.cost, r.nets) for r in out] == [("Food", "10.00", ["5.00", "-5.00"])]
 
 
 def test_invoice_lines(spark):

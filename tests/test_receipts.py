@@ -2,6 +2,8 @@
 
 import datetime
 
+from pyspark.sql import functions as F
+
 from ledgerloom.operators import items, receipts
 
 DAY = datetime.date(2024, 1, 5)
@@ -95,3 +97,66 @@ def test_sightings_make_each_new_product_once(spark):
         ("shop", "name", "blue steel bolt long head"): 1,
     }
     assert items.record_sightings(lines.where("false"), aliases, known)[0].count() == 0
+
+
+def test_backfill_is_netted_and_settles(spark, sf_dir, tmp_path):
+    """After links and rules are committed, the same links and rules change nothing."""
+    from ledgerloom import queries
+    from ledgerloom.operators import evidence
+    from ledgerloom.plans.ledger import Ledger
+
+    def kept(rows, name):
+        rows.write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
+    l = Ledger(spark, sf_dir)
+    txns, before = kept(l.transactions, "txns"), kept(l.allocations, "before")
+    links, change = queries._applied(l)
+    links = kept(links, "links")
+    both = evidence.backfilled(change, links, txns, before, queries.ALL_RULES)
+    came, went = kept(both.inserts, "in"), kept(both.deletes, "out")
+    assert came.where("source = 'rule'").count() and went.where("source = 'evidence'").count()
+    fresh = came.withColumn("id", F.monotonically_increasing_id() + (1 << 50)).select(*before.columns)
+    after = kept(before.join(went.select("id"), "id", "left_anti").select(*before.columns).unionByName(fresh), "after")
+    categories = l.evidence.where("id % 5 <> 0").select(F.col("id").alias("evidence_id"), (F.col("id") % 3 + 1).alias("category_id"))
+    again, second = evidence.apply_links(links, l.evidence, txns, after, categories, shared_category=9)
+    settled = evidence.backfilled(second, kept(again, "again"), txns, after, queries.ALL_RULES)
+    assert settled.inserts.isEmpty() and settled.deletes.isEmpty()
+
+
+def test_change_sets_compose(spark):
+    from ledgerloom.operators.changes import ChangeSet, compose
+
+    rows = lambda x: spark.createDataFrame(x, "id long, a long, b string")
+    first = ChangeSet(rows([(None, 1, "x"), (None, 1, "x"), (None, 2, None)]), rows([(7, 3, "z"), (8, 4, None)]))
+    second = ChangeSet(rows([(None, 4, None), (None, 5, "n")]), rows([(None, 1, "x"), (9, 6, "q")]))
+    both = compose(first, second, ["a", "b"])
+    assert sorted((r.a, r.b or "") for r in both.inserts.collect()) == [(1, "x"), (2, ""), (5, "n")]
+    assert sorted(r.id for r in both.deletes.collect()) == [7, 9]
+
+
+def test_overrides_and_hand_links_are_backfilled(spark, sf_dir, tmp_path):
+    from ledgerloom import queries
+    from ledgerloom.operators import receipts, rules
+    from ledgerloom.plans.ledger import Ledger
+
+    l = Ledger(spark, sf_dir)
+    wanted = l.evidence.where("id % 7 = 3").select(F.col("id").alias("evidence_id"), F.col("id").alias("transaction_id"))
+    fallback = rules.Rule(50, "rest", (rules.Condition("amount_paise", "lt", 0),), category_id=99)
+    checked, links, change = receipts.relink_and_backfill(wanted, l.evidence, l.lines, l.items, l.evidence_transactions, l.transactions, l.allocations, [fallback])
+    good = {r.evidence_id for r in checked.where("verdict = 'ok'").collect()}
+    assert good == {r.evidence_id for r in links.inserts.collect()}
+    change.inserts.write.parquet(str(tmp_path / "in"))
+    changed = spark.read.parquet(str(tmp_path / "in"))
+    assert changed.where("source = 'rule' and category_id <> 99").isEmpty() and changed.where("source = 'evidence'").count()
+    after = l.allocations.join(change.deletes.select("id"), "id", "left_anti").select(*l.allocations.columns).unionByName(changed)
+    whole = after.groupBy("transaction_id").agg(F.sum("amount_paise").alias("s"), F.max((F.col("source") == "user").cast("int")).alias("u")).join(links.inserts.select("transaction_id"), "transaction_id", "left_semi")
+    rows = whole.join(l.transactions.select(F.col("id").alias("transaction_id"), "amount_paise"), "transaction_id")
+    assert rows.where("u = 0 and s <> amount_paise").isEmpty(), "the rules fill what lines leave"
+
+    picked = receipts.record_lines(receipts.staged(l.artifacts)).where("kind = 'goods'").select("artifact_id", "line_index").limit(3)
+    chosen = picked.withColumn("item_id", F.lit(1).cast("long"))
+    known = l.evidence.where("source_type = 'invoice'")
+    resolved = receipts.record_lines(receipts.staged(l.artifacts)).select("artifact_id", "line_index", F.lit(2).cast("long").alias("item_id"))
+    landing = receipts.confirm_and_explain(l.artifacts, resolved, known, l.lines, l.items, l.evidence_transactions, l.transactions, l.allocations, [], overrides=chosen)
+    assert landing.lines.inserts.where("item_id = 1").count() == 3
