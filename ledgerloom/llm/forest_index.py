@@ -211,11 +211,12 @@ def near_duplicates(
     Vectors link if their labels are equal and not null and their cosine, in
     double precision, is ``threshold`` or more. Null, empty and zero vectors,
     and those with null or non-finite components, link with nothing. Links whose
-    vectors share no leaf in any tree are missed; none is wrong. Ids must be
-    unique integers; an empty table gives no rows; other columns are ignored.
+    vectors share no leaf in any tree are missed; none is wrong. Rows with
+    one id, or none, are rows of their own; a component is named by its smallest id (null if it has
+    none). An empty table gives no rows; other columns are ignored.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
+    rows = vectors.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     length = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, e: s + e * e))
     most = F.array_max(F.transform("v", F.abs))  # components are scaled by it where their squares leave the range of doubles
     beyond = (most > 0) & (most < float("inf")) & ((length("v") > 1e150) | (length("v") < 1e-150))
@@ -224,9 +225,9 @@ def near_duplicates(
     sound = F.coalesce(F.col("label").isNotNull() & F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & (norm > 0) & (norm < float("inf")), F.lit(False))
     rows = rows.withColumn("sound", sound)
     unit = F.transform("w", lambda e: e / norm)
-    members = materialize(rows.select("vec_id", "label", F.when(F.col("sound"), unit).alias("unit"), F.when(F.col("sound"), F.xxhash64("label", "v", F.lit(7))).alias("h"), F.when(F.col("sound"), F.col("v")).alias("v")), "vectors")
-    classes = members.where("unit is not null").groupBy("label", "h", "v").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("copies"), F.first("unit").alias("unit"))
-    classes = materialize(classes.select("class_id", "label", "unit", "copies", "h", "v"), "classes")
+    members = materialize(rows.select("row", "vec_id", "label", F.when(F.col("sound"), unit).alias("unit"), F.when(F.col("sound"), F.xxhash64("label", "v", F.lit(7))).alias("h"), F.when(F.col("sound"), F.col("v")).alias("v")), "vectors")
+    classes = members.where("unit is not null").groupBy("label", "h", "v").agg(F.min("row").alias("class_id"), F.min("vec_id").alias("first_id"), F.count("*").alias("copies"), F.first("unit").alias("unit"))
+    classes = materialize(classes.select("class_id", "first_id", "label", "unit", "copies", "h", "v"), "classes")
 
     total, labels = classes.agg(F.count("*"), F.count_distinct("label")).first()
     leaf = max(LEAST_LEAF, leaf_rows * labels * min(total, sample_rows) // max(1, total))
@@ -248,7 +249,9 @@ def near_duplicates(
     links = found.groupBy("class_id").agg(F.sum("links").alias("links"))
     components = connected_components(found.where("class_id <> to"), "class_id", "to")
     named = classes.join(links, "class_id", "left").join(components.withColumnRenamed("node", "class_id"), "class_id", "left")
-    named = named.select("label", "h", "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "class_id").alias("component_id"))
+    named = named.select("label", "h", "v", "first_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "class_id").alias("component"))
+    smallest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    named = named.join(smallest, "component").select("label", "h", "v", "n_links", "component_id")
     out = members.where("unit is not null").join(named, ["label", "h", "v"]).select("vec_id", "n_links", "component_id")
     alone = members.where("unit is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))

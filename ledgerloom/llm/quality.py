@@ -110,6 +110,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     same &= ~last
     pairs = hashed.copy()
     pairs[1:] = mix(hashed[:-1] * np.uint64(3) + hashed[1:])
+    pairs[last] = hashed[last]  # no pair reaches into the text before
     distinct, top = _distinct(hashed, first)
     distinct_pairs, _ = _distinct(pairs, first)
 

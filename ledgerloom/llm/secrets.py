@@ -148,8 +148,10 @@ def labelled_findings(spark: SparkSession, rows: int = 6000, seed: int = 7) -> D
 
 
 def train(findings: DataFrame, trees: int = 100) -> Forest:
-    """``findings``: candidate, before, after, rule, secret (0 or 1); at most TRAINING_ROWS by hash."""
+    """``findings``: candidate, before, after, rule, secret (0 or 1); at most TRAINING_ROWS by hash. Without both kinds nothing can be learned: an error."""
     rows = findings.where("candidate is not null and secret in (0, 1)").orderBy(F.xxhash64("candidate", "before", "after"), "candidate").limit(TRAINING_ROWS).collect()
+    if len({r.secret for r in rows}) < 2:
+        raise ValueError("findings must have secrets and false positives to learn from")
     x = np.array([describe(r.candidate, r.before or "", r.after or "", r.rule or "") for r in rows], float).reshape(-1, len(FEATURES))
     return fit_random_forest(x, np.array([r.secret for r in rows], float), trees)
 

@@ -116,6 +116,8 @@ def _cut(path: str, limit: int, end_id: int, id_bytes: int):
                 rows, pieces, starts, lengths, sums, ids = [], [], [], [], [], []
                 for i, data in enumerate(coded):
                     data += closing
+                    if id_bytes and len(data) and int(np.frombuffer(data, "<u4").max()) >> (8 * id_bytes):
+                        raise ValueError(f"an id does not fit in {id_bytes} bytes")
                     for piece, at in enumerate(range(0, len(data), 4 * limit)):
                         part = data[at : at + 4 * limit]
                         rows.append(row + i)
@@ -137,7 +139,8 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, limit: int, end_id: int
     """One row per piece of at most ``limit`` ids, with the ids themselves if ``id_bytes`` is 2 or 4.
 
     A document's ids are those of its text, then ``end_id``; a null or empty
-    text has only that one. Rows with a null id are kept with a null id.
+    text has only that one. Rows with a null id are kept with a null id. An id
+    that does not fit in ``id_bytes`` is an error.
     """
     if limit < 1:
         raise ValueError("limit must be positive")

@@ -271,3 +271,137 @@ def test_memory_of_quality_features():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert most < 50 * len(data)
+
+
+def test_kneser_ney_against_dictionaries():
+    """Interpolated from the shortest order on, with counts of words in dictionaries of strings."""
+    import random
+    from collections import Counter, defaultdict
+
+    rng = random.Random(8)
+    texts = {lang: Counter("".join(rng.choice(letters) for _ in range(rng.randrange(1, 7))) for _ in range(80)) for lang, letters in (("a", "abcdé"), ("b", "bcdß"))}
+    order, start, end = langid.ORDER, chr(langid.START), chr(langid.END)
+    model = langid.build({lang: tuple(np.array(x) for x in zip(*sorted(Counter(np.repeat(*(lambda g, f, c: (g, np.repeat(c, np.diff(np.append(f, len(g))))))(*langid.codes_of(list(words)), list(words.values()))).tolist()).items()), strict=True)) for lang, words in texts.items()})
+
+    probability, alphabet = {}, set()
+    for lang, words in texts.items():
+        counts = {n: Counter() for n in range(1, order + 1)}
+        for word, times in words.items():
+            padded = start * (order - 1) + word + end
+            alphabet |= set(padded[order - 1 :])
+            for i in range(order - 1, len(padded)):
+                counts[order][padded[i - order + 1 : i + 1]] += times
+        for n in range(order - 1, 0, -1):
+            for gram in counts[n + 1]:
+                counts[n][gram[1:]] += 1
+        total, kinds = defaultdict(int), defaultdict(int)
+        for n in counts:
+            for gram, c in counts[n].items():
+                total[n, gram[:-1]] += c
+                kinds[n, gram[:-1]] += 1
+        some = {n: (sum(c == 1 for c in counts[n].values()), sum(c == 2 for c in counts[n].values())) for n in counts}
+        probability[lang] = (counts, total, kinds, {n: a / (a + 2 * b) if a and b else 0.5 for n, (a, b) in some.items()})
+
+    def plain(lang, gram, n):
+        if not n:
+            return 1 / (len(alphabet) + 1)
+        counts, total, kinds, discount = probability[lang]
+        own, context = gram[-n:], gram[-n:][:-1]
+        if not total[n, context]:
+            return plain(lang, gram, n - 1)
+        return max(counts[n][own] - discount[n], 0) / total[n, context] + discount[n] * kinds[n, context] / total[n, context] * plain(lang, gram, n - 1)
+
+    tried = ["abc", "é", "ßßß", "bcd", "zzz", "dcbab"]
+    logs, sizes = model.word_logs(tried)
+    for word, got, size in zip(tried, logs, sizes, strict=True):
+        padded = start * (order - 1) + word + end
+        wanted = [sum(math.log(plain(lang, padded[i - order + 1 : i + 1], order)) for i in range(order - 1, len(padded))) for lang in model.langs]
+        assert size == len(word) + 1 and np.allclose(got, wanted, rtol=1e-9)
+
+
+def random_texts(seed, n=60):
+    import random
+
+    rng = random.Random(seed)
+    words = ["you", "IDIOT", "st0pid", "i.d.i.o.t", "a", "Haus,", "été", "WOW!!!", "nooooo", "x-y-z", "12", "#$%", "{a|b}", "the", "The", "王", "e.g.", "...", "f u n", "longerwordthanallothers"]
+    out = ["".join(rng.choice(words) + rng.choice([" ", " ", "  ", "\n", "\n\n", "\t", ". "]) for _ in range(rng.randrange(30))) for _ in range(n)]
+    return ["", "\n \n", "one", *out, out[0], "a b a b a b"]
+
+
+@pytest.mark.parametrize("seed", (1, 2))
+def test_quality_features_plainly(seed):
+    import re
+
+    def plain(text):
+        data, fold = text.encode(), lambda w: bytes(c + 32 if 65 <= c <= 90 else c for c in w)
+        words, lines = re.findall(rb"[^\x20\x09-\x0d]+", data), re.findall(rb"[^\n]+", data)
+        n, some, sizes = len(words), max(len(words), 1), [len(w) for w in words]
+        many = lambda chars: sum(c in chars.encode() for c in data)
+        upper = many("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+        is_sign = lambda c: c < 0x80 and not chr(c).isalnum() and c not in b" \t\n\x0b\x0c\r"
+        digit, signs, wide, chars = many("0123456789"), sum(map(is_sign, data)), sum(c >= 0x80 for c in data), max(sum(sizes), 1)
+        capitals = [(sum(65 <= c <= 90 for c in w), sum(97 <= c <= 122 for c in w)) for w in words]
+        folded = [fold(w) for w in words]
+        pairs = {(folded[i - 1] if i else None, w) for i, w in enumerate(folded)}
+        mean = sum(sizes) / some
+        return [
+            math.log1p(n), mean, sum(s > 12 for s in sizes) / some, sum(s <= 2 for s in sizes) / some, upper / max(chars - digit - signs, 1), digit / chars, many(".") / some, many(",;:") / some, many("!?") / some,
+            many("|") / some, many("#$%&*@^~+=<>_\\/") / some, signs / chars, wide / chars, sum(u > 1 and not d for u, d in capitals) / some, sum(65 <= w[0] <= 90 and d > 0 for w, (_, d) in zip(words, capitals, strict=True)) / some,
+            sum(sum(map(is_sign, w)) > 1 for w in words) / some, sum(a == b for a, b in zip(folded, folded[1:], strict=False)) / some, len(set(folded)) / some, len(pairs) / some, max(map(folded.count, folded), default=0) / some,
+            math.log1p(len(lines)), n / max(len(lines), 1), 1 - len(set(map(fold, lines))) / max(len(lines), 1), sum(x[-1] in b".!?" for x in lines) / max(len(lines), 1), many("{}[]()") / some,
+            math.sqrt(max(sum(s * s for s in sizes) / some - mean**2, 0)),
+        ]
+
+    import pyarrow as pa
+
+    texts = random_texts(seed)
+    for limit in (1 << 20, 40):
+        got = np.concatenate([quality.features(data, offsets) for _, _, data, offsets in quality.shards(pa.array(texts), limit)])
+        assert got.shape == (len(texts), len(quality.FEATURES))
+        for text, own in zip(texts, got, strict=True):
+            assert np.allclose(own, plain(text), atol=1e-7), text
+
+
+@pytest.mark.parametrize("seed", (1, 2))
+def test_toxicity_features_plainly(seed, monkeypatch):
+    """Sums over tokens one by one, the same whatever texts stand beside them and however small the cache."""
+    lexicon = toxicity.Lexicon({"idiot": 4.0, "stupid": 3.0, "haus": 0.5}, {"fun": 1.0, "idio": 2.0})
+
+    def plain(text):
+        tokens = text.split()
+        if not tokens:
+            return [0.0] * len(toxicity.FEATURES)
+        traits = [toxicity._token_traits(t, lexicon) for t in tokens]
+        weights = [max(t[0], t[3]) for t in traits]
+        spaced = []
+        loose = [min(3, (len(t) + 1) // 2) if toxicity._LOOSE.fullmatch(t) else 0 for t in tokens]
+        if any(x > 2 for x in loose) or any(a and b for a, b in zip(loose, loose[1:], strict=False)):
+            for m in toxicity._SPACED.findall(text):
+                word = "".join(c for c in m.lower() if c not in " .-*_")
+                if word:
+                    spaced.append(max(lexicon.weight(word), lexicon.weight(word.translate(toxicity.SWAPS))))
+        at, you = [i for i, w in enumerate(weights) if w], [i for i, t in enumerate(traits) if t[2]]
+        total = lambda k: sum(t[k] for t in traits)
+        first = lambda t: (toxicity._LETTERS.findall(t.lower()) or [""])[0]
+        n, hits, weight = len(tokens), len(at) + sum(x > 0 for x in spaced), sum(weights) + sum(spaced)
+        letters, chars = max(1.0, total(8)), max(1.0, total(8) + total(9) + total(10))
+        near = sum(any(abs(i - j) <= toxicity.NEAR for j in you) for i in at)
+        hidden = sum(traits[i][3] > 0 for i in at) + sum(x > 0 for x in spaced)
+        return [
+            hits, hits / n, len({first(tokens[i]) for i in at}), weight, weight / n, total(1), near, total(2) / n, hidden, total(4) / n, total(5) / n, total(11) / letters, total(6) / n, total(10) / chars, total(7) / n,
+            math.log1p(n), total(8) / n, total(9) / chars,
+        ]
+
+    texts = random_texts(seed)
+    wanted = np.array([plain(t) for t in texts])
+    assert wanted[:, 0].any() and np.allclose(toxicity.features(texts, lexicon), wanted)
+    monkeypatch.setattr(toxicity, "CACHE_TOKENS", 12)
+    fresh = toxicity.Lexicon(lexicon.words, lexicon.stems)
+    assert np.allclose(np.concatenate([toxicity.features([t], fresh) for t in texts]), wanted)
+
+
+def test_findings_of_one_kind_teach_nothing(spark):
+    one = spark.createDataFrame([("changeme", "password = ", "", "assignment", 0)], "candidate string, before string, after string, rule string, secret int")
+    for findings in (one, one.where("false")):
+        with pytest.raises(ValueError):
+            secrets.train(findings)

@@ -92,3 +92,9 @@ def test_components_of_any_size(spark):
     rows = [(1, [1e200, 0.0], "a"), (2, [2.0, 0.0], "a"), (3, [1e-200, 1e-201], "a"), (4, [0.0, 3e300], "a"), (5, [0.0, 0.0], "a"), (6, [0.0, 1e-310], "a"), (7, [float("inf"), 1.0], "a")]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
     assert {r.vec_id: (r.n_links, r.component_id) for r in forest_index.near_duplicates(vectors).collect()} == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (0, 5), 6: (1, 4), 7: (0, 7)}
+
+
+def test_repeated_and_missing_ids_are_rows(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [0.01, 1.0], 0), (None, [0.02, 1.0], 0), (None, [1.0, 1.0], 0), (5, [1.0, 0.0], 0), (4, None, 0)]
+    out = forest_index.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    assert sorted(((r.vec_id or 0, r.n_links, r.component_id or 0) for r in out.collect())) == [(0, 0, 0), (0, 2, 1), (1, 1, 1), (1, 2, 1), (2, 2, 1), (4, 0, 4), (5, 1, 1)]

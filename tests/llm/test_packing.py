@@ -145,3 +145,12 @@ def test_equal_rows_get_rows_of_their_own(spark):
     rows = packed_rows(docs, queries.tokenizer_path()).collect()
     assert len(rows) == len({r.sequence_id for r in rows}) == 9
     assert sum(r.cu_seqlens[-1] for r in rows) == 2 * 9001 + 2
+
+
+def test_ids_that_do_not_fit_are_refused(spark):
+    from ledgerloom.llm import queries, tokens
+
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    with pytest.raises(Exception, match="does not fit"):
+        tokens.cut_documents(docs, queries.tokenizer_path(), 8, end_id=70_000, id_bytes=2).collect()
+    assert tokens.cut_documents(docs, queries.tokenizer_path(), 8, end_id=70_000, id_bytes=4).count() == 1
