@@ -148,3 +148,13 @@ def same_rows(tokened: DataFrame) -> DataFrame:
     marks = tokened.groupBy("token").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("x"), F.sum(F.hash("id").cast("decimal(38,0)")).alias("y"))
     size = F.size(F.split("token", " "))
     return marks.groupBy("n", "x", "y").agg(F.min_by("token", F.struct(size.alias("w"), "token")).alias("token")).select("token", F.col("n").alias("hits"))
+
+
+def covered(shown: DataFrame, ledger: DataFrame, allocations: DataFrame) -> DataFrame:
+    """One row: unexplained rows, rows of the ledger, and how many unexplained ones some shown candidate (``token``) claims."""
+    sums = allocations.groupBy(F.col("transaction_id").alias("id")).agg(F.sum("amount_paise").alias("explained"))
+    rows = ledger.join(sums, "id", "left").select("id", (F.col("amount_paise") != F.coalesce("explained", F.lit(0))).alias("open"), normalise(F.col("narration")).alias("normal"))
+    rows = checkpointed(rows)
+    claimed = occurrences(rows.where("open"), checkpointed(shown.select("token").distinct())).select("id").distinct()
+    totals = rows.agg(F.count(F.when(F.col("open"), 1)).alias("unexplained"), F.count("*").alias("ledger"))
+    return totals.join(claimed.agg(F.count("*").alias("covered")), F.lit(True))

@@ -33,7 +33,7 @@ def checkpoints(stated: DataFrame) -> DataFrame:
     every later one must equal the one before plus the amounts between.
     """
     opened = stated.where("type = 'opening_balance'").select("account_id").distinct().withColumn("opened", F.lit(True))
-    rows = running_total(stated).where("bank_balance_paise is not null").join(F.broadcast(opened), "account_id", "left")
+    rows = running_total(stated).where("bank_balance_paise is not null").join(opened, "account_id", "left")
     order = Window.partitionBy("account_id").orderBy(*ledger_order())
     prev_stated, prev_run = F.lag("bank_balance_paise").over(order), F.lag("run").over(order)
     rows = rows.withColumn("_prev", prev_stated).withColumn("_prev_run", prev_run).withColumn("_first", F.row_number().over(order) == 1)

@@ -21,14 +21,14 @@ def named_categories(categories: DataFrame) -> DataFrame:
     """``category_id, category, parent_id, parent, excluded``; excluded if the parent is."""
     parents = categories.select(F.col("id").alias("parent_id"), F.col("name").alias("parent"), F.col("excluded_from_spend").alias("_above"))
     own = categories.select(F.col("id").alias("category_id"), F.col("name").alias("category"), "parent_id", F.col("excluded_from_spend").alias("_own"))
-    rows = own.join(F.broadcast(parents), "parent_id", "left")
+    rows = own.join(parents, "parent_id", "left")
     return rows.select("category_id", "category", "parent_id", "parent", (F.col("_own") | F.coalesce("_above", F.lit(False))).alias("excluded"))
 
 
 def by_category(txns: DataFrame, allocations: DataFrame, categories: DataFrame) -> DataFrame:
     """Signed sums by category and provenance over explainable spending."""
     spend = txns.where(explainable_spend()).select(F.col("id").alias("transaction_id"))
-    rows = allocations.join(spend, "transaction_id").join(F.broadcast(named_categories(categories)), "category_id")
+    rows = allocations.join(spend, "transaction_id").join(named_categories(categories), "category_id")
     return rows.groupBy("category_id", "category", "parent").agg(
         *(total_where(F.col("source") == s, "amount_paise").alias(f"{s}_paise") for s in ("user", "rule", "evidence")),
         total("amount_paise").alias("total_paise"), F.count_distinct("transaction_id").alias("transactions"), total(F.abs("amount_paise")).alias("moved_paise"),
@@ -91,7 +91,7 @@ def consumption_rows(txns: DataFrame, allocations: DataFrame, consumption: DataF
     spend = txns.where(explainable_spend()).select(F.col("id").alias("transaction_id"), "account_id", F.col("txn_date").alias("consumed_on"))
     counted = named_categories(categories).where("not excluded").select("category_id")
     none = F.lit(None).cast("long")
-    own = allocations.join(F.broadcast(counted), "category_id", "left_semi").join(spend, "transaction_id")
+    own = allocations.join(counted, "category_id", "left_semi").join(spend, "transaction_id")
     own = own.select("id", F.lit("allocation").alias("origin"), "transaction_id", none.alias("evidence_id"), "account_id", "category_id", "amount_paise", "consumed_on", "source")
     theirs = consumption.select("id", F.lit("paid_for_you").alias("origin"), none.alias("transaction_id"), "evidence_id", none.alias("account_id"), "category_id", "amount_paise", "consumed_on", "source")
     return own.unionByName(theirs)
@@ -99,7 +99,7 @@ def consumption_rows(txns: DataFrame, allocations: DataFrame, consumption: DataF
 
 def consumption_by_category(rows: DataFrame, categories: DataFrame) -> DataFrame:
     named = named_categories(categories).select("category_id", "category", "parent")
-    return rows.join(F.broadcast(named), "category_id").groupBy("category_id", "category", "parent").agg(total(-F.col("amount_paise")).alias("consumed_paise"), F.count("*").alias("entries"))
+    return rows.join(named, "category_id").groupBy("category_id", "category", "parent").agg(total(-F.col("amount_paise")).alias("consumed_paise"), F.count("*").alias("entries"))
 
 
 def side_terms(rows: DataFrame) -> DataFrame:
@@ -111,7 +111,7 @@ def side_terms(rows: DataFrame) -> DataFrame:
 
 def money_terms(txns: DataFrame, allocations: DataFrame, categories: DataFrame) -> DataFrame:
     """Money out, unexplained, and fronted for others (an excluded category), over debits."""
-    fronted = allocations.join(F.broadcast(named_categories(categories).where("excluded").select("category_id")), "category_id", "left_semi")
+    fronted = allocations.join(named_categories(categories).where("excluded").select("category_id"), "category_id", "left_semi")
     fronted = fronted.groupBy(F.col("transaction_id").alias("id")).agg(F.sum("amount_paise").alias("fronted"))
     rows = with_explained(txns.where(explainable_spend() & (F.col("amount_paise") < 0)), allocations).join(fronted, "id", "left")
     return rows.agg(
@@ -122,7 +122,7 @@ def money_terms(txns: DataFrame, allocations: DataFrame, categories: DataFrame)
 def unclassified(purchases: DataFrame, source_map: DataFrame) -> DataFrame:
     """What was consumed under words without a category: never seen, or known to have none."""
     mapped = source_map.where("category_id is not null").select(F.col("source_category").alias("word"))
-    return purchases.join(F.broadcast(mapped), "word", "left_anti").agg(total("value_paise").alias("unclassified_paise"), F.count("*").alias("records"))
+    return purchases.join(mapped, "word", "left_anti").agg(total("value_paise").alias("unclassified_paise"), F.count("*").alias("records"))
 
 
 def unaccounted(money: DataFrame, side: DataFrame) -> DataFrame:
@@ -146,12 +146,12 @@ def transfer_counts(txns: DataFrame) -> DataFrame:
 def rollup_parents(rows: DataFrame, categories: DataFrame) -> DataFrame:
     """Totals of each parent with its children, from ``by_category`` rows."""
     owner = categories.select(F.col("id").alias("category_id"), F.coalesce("parent_id", "id").alias("root_id"))
-    return rows.join(F.broadcast(owner), "category_id").groupBy("root_id").agg(total("total_paise").alias("total_paise"), total("transactions").alias("transactions"), F.count("*").alias("categories"))
+    return rows.join(owner, "category_id").groupBy("root_id").agg(total("total_paise").alias("total_paise"), total("transactions").alias("transactions"), F.count("*").alias("categories"))
 
 
 def category_usage(categories: DataFrame, allocations: DataFrame, rules: DataFrame, items: DataFrame) -> DataFrame:
     """Each category with its parent's name and how much refers to it, parents first."""
-    rows = categories.join(F.broadcast(categories.select(F.col("id").alias("parent_id"), F.col("name").alias("parent"))), "parent_id", "left")
+    rows = categories.join(categories.select(F.col("id").alias("parent_id"), F.col("name").alias("parent")), "parent_id", "left")
     for name, frame in (("allocations", allocations), ("rules", rules), ("items", items)):
         counts = frame.where("category_id is not null").groupBy(F.col("category_id").alias("id")).agg(F.count("*").alias(name))
         rows = rows.join(counts, "id", "left").fillna(0, [name])

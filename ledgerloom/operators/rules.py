@@ -21,8 +21,8 @@ class Condition:
     op: str
     value: str | int
 
-    def column(self) -> Column:
-        """True where it holds; anything it does not know matches nothing."""
+    def column(self, normal: Column | None = None) -> Column:
+        """True where it holds; anything it does not know matches nothing. ``normal``: a column with the normal narration, if there is one."""
         ops, kind = VOCABULARY.get(self.field, ((), ""))
         number = isinstance(self.value, int) and not isinstance(self.value, bool)
         if self.op not in ops or number != (kind == "number"):
@@ -31,7 +31,7 @@ class Condition:
             needle = _normal(self.value)
             if not needle:
                 return F.lit(False)
-            text = normalise(F.col("narration"))
+            text = normalise(F.col("narration")) if normal is None else normal
             return text.contains(needle) if self.op == "contains" else text == needle
         value = F.lit(self.value) if number else F.lit(self.value).try_cast("date")
         column = F.col(self.field)
@@ -60,8 +60,8 @@ class Rule:
         if self.mode not in ("all", "any"):
             raise ValueError("mode must be 'all' or 'any'")
 
-    def column(self) -> Column:
-        tests = [c.column() for c in self.conditions]
+    def column(self, normal: Column | None = None) -> Column:
+        tests = [c.column(normal) for c in self.conditions]
         if not tests:
             return F.lit(False)
         return reduce(lambda a, b: a & b if self.mode == "all" else a | b, tests)
@@ -77,11 +77,39 @@ def rule_of(row: tuple) -> Rule:
     return Rule(i, name, tuple(Condition(f, o, int(v) if k == "number" else v) for f, o, v, k in conditions), mode, category, priority, enabled)
 
 
-def winner(rules: list[Rule], value=lambda r: r.id) -> Column:
-    """The winning enabled rule's value as one ordered CASE; null if none matches."""
+def condition_problems(rules: DataFrame) -> DataFrame:
+    """``id, place, problem`` of the first bad condition of each rule (``id, conditions`` as JSON text); good rules give no row.
+
+    ``place`` is null if the conditions as a whole are wrong: no list, or an empty
+    one, which would match every row. Amounts are whole numbers, narrations are not blank, dates real.
+    """
+    records = F.try_variant_get(F.try_parse_json(F.col("conditions")), "$", "array<variant>")
+    rows = rules.select("id", records.alias("all"))
+    whole = F.when(F.col("all").isNull(), "not_a_list").when(F.size("all") == 0, "empty")
+    each = rows.select("id", F.posexplode("all").alias("place", "c"))
+    text = lambda key: F.when(F.schema_of_variant(F.try_variant_get("c", f"$.{key}", "variant")) == "STRING", F.try_variant_get("c", f"$.{key}", "string"))
+    kind = F.coalesce(F.schema_of_variant(F.try_variant_get("c", "$.value", "variant")), F.lit("VOID"))
+    field, op, value = text("field"), text("op"), text("value")
+    known, ops, kinds = F.lit(False), F.lit(False), F.lit(False)
+    for name, (allowed, _) in VOCABULARY.items():
+        known, ops = known | field.eqNullSafe(name), ops | (field.eqNullSafe(name) & op.isin(*allowed))
+    date = F.coalesce(value.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & F.try_to_date(value, "yyyy-MM-dd").isNotNull(), F.lit(False))
+    number = F.try_variant_get("c", "$.value", "double")
+    whole_number = (kind == "BIGINT") | (kind.startswith("DECIMAL") | (kind == "DOUBLE")) & (number == F.floor(number))
+    kinds = F.when(field == "narration", F.coalesce(F.trim(value) != "", F.lit(False))).when(field == "amount_paise", whole_number).otherwise(date)
+    every_op = sorted({o for allowed, _ in VOCABULARY.values() for o in allowed})
+    problem = (
+        F.when(~F.schema_of_variant("c").startswith("OBJECT"), "not_an_object").when(~known, "unknown_field").when(~F.coalesce(op.isin(*every_op), F.lit(False)), "unknown_op").when(~F.coalesce(ops, F.lit(False)), "op_not_for_field").when(~kinds, "bad_value")
+    )
+    first = each.withColumn("problem", problem).where("problem is not null").groupBy("id").agg(F.min(F.struct("place", "problem")).alias("p"))
+    return rows.where(whole.isNotNull()).select("id", F.lit(None).cast("int").alias("place"), whole.alias("problem")).unionByName(first.select("id", "p.place", "p.problem"))
+
+
+def winner(rules: list[Rule], normal: Column | None = None) -> Column:
+    """The winning enabled rule's id as one ordered CASE; null if none matches."""
     out = F.lit(None)
     for rule in sorted((r for r in rules if r.enabled), key=Rule.order, reverse=True):
-        out = F.when(rule.column(), F.lit(value(rule))).otherwise(out)
+        out = F.when(rule.column(normal), F.lit(rule.id)).otherwise(out)
     return out.cast("long")
 
 
@@ -99,7 +127,10 @@ def state(txns: DataFrame, allocations: DataFrame) -> DataFrame:
 def outcome(txns: DataFrame, allocations: DataFrame, rules: list[Rule]) -> DataFrame:
     """What a run would do to each transaction: locked, unchanged, create, replace, remove or none."""
     usable = [r for r in rules if r.category_id is not None]
-    rows = state(txns, allocations).withColumn("rule_id", winner(usable)).withColumn("category_id", winner(usable, lambda r: r.category_id))
+    # The narration is made normal once a row, however many conditions read it.
+    rows = state(txns, allocations).withColumn("_normal", normalise(F.col("narration"))).withColumn("rule_id", winner(usable, F.col("_normal"))).drop("_normal")
+    category = F.coalesce(F.lit(None).cast("long"), *(F.when(F.col("rule_id") == r.id, F.lit(r.category_id).cast("long")) for r in usable))
+    rows = rows.withColumn("category_id", category)
     wanted = F.col("rule_id").isNotNull() & (F.col("remainder") != 0)
     same = (F.col("rule_rows") == 1) & F.col("rule_row").eqNullSafe(F.struct("category_id", F.col("remainder").alias("amount_paise"), "rule_id"))
     action = F.when(F.col("locked"), "locked").when(wanted & same, "unchanged").when(wanted & (F.col("rule_rows") > 0), "replace").when(wanted, "create").when(F.col("rule_rows") > 0, "remove").otherwise("none")

@@ -34,7 +34,7 @@ def plan(purchases: DataFrame, source_map: DataFrame) -> DataFrame:
     known to have none.
     """
     seen = source_map.withColumn("seen", F.lit(True))
-    rows = purchases.join(F.broadcast(seen), F.col("word") == F.col("source_category"), "left")
+    rows = purchases.join(seen, F.col("word") == F.col("source_category"), "left")
     fate = F.when(F.col("category_id").isNotNull(), "consumed").when(F.col("seen").isNull(), "unmapped").otherwise("unclassified")
     return rows.select("event_id", "word", "category_id", fate.alias("fate"))
 

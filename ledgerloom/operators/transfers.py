@@ -148,4 +148,4 @@ def page(txns: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
     key = F.coalesce(F.concat(F.lit("g:"), F.col("transfer_group_id").cast("string")), F.concat(F.lit("txn:"), F.col("id").cast("string")))
     rows = txns.where("transfer_status is not null").withColumn("key", key)
     groups = rows.groupBy("key").agg(F.min("txn_date").alias("first_date")).orderBy(F.desc("first_date"), F.desc("key")).offset(offset).limit(limit)
-    return rows.join(F.broadcast(groups), "key").select("key", "first_date", "id", "account_id", "amount_paise", "txn_date", "transfer_status").orderBy(F.desc("first_date"), F.desc("key"), "amount_paise", "id")
+    return rows.join(groups, "key").select("key", "first_date", "id", "account_id", "amount_paise", "txn_date", "transfer_status").orderBy(F.desc("first_date"), F.desc("key"), "amount_paise", "id")

@@ -41,7 +41,7 @@ class Ledger:
     @cached_property
     def accounts(self) -> DataFrame:
         nation, region = self.table("nation"), self.table("region")
-        rows = nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
+        rows = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
         return rows.select((F.col("n_nationkey") + 1).cast("long").alias("id"), F.col("n_name").alias("name"), F.col("r_name").alias("bank"))
 
     @cached_property
@@ -52,7 +52,7 @@ class Ledger:
 
     @cached_property
     def parts(self) -> DataFrame:
-        part = self.table("part").join(F.broadcast(self.kinds), "p_type")
+        part = self.table("part").join(self.kinds, "p_type")
         leaf = F.col("rank") * 1000 + F.substring("p_brand", 7, 9).cast("long")
         return part.select("p_partkey", "p_name", "p_brand", "p_type", "rank", leaf.alias("leaf"))
 
@@ -196,7 +196,7 @@ class Ledger:
 
     @cached_property
     def consumption(self) -> DataFrame:
-        rows = self.purchases.join(F.broadcast(self.source_map), F.col("word") == F.col("source_category"))
+        rows = self.purchases.join(self.source_map, F.col("word") == F.col("source_category"))
         rows = rows.where("category_id is not null and value_paise <> 0")
         return rows.select(F.col("event_id").alias("id"), F.col("event_id").alias("evidence_id"), "category_id", (-F.col("value_paise")).alias("amount_paise"), F.to_date("ts").alias("consumed_on"), F.lit("evidence").alias("source"))
 

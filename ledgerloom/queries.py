@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.functions import records, text
-from ledgerloom.operators import changes, editing, evidence, items, mining, predicates, queue, receipts, reconcile, reports, rules, shared, steps, transfers
-from ledgerloom.plans.ledger import RULES, Ledger
+from ledgerloom.operators import changes, editing, evidence, items, landing, mining, predicates, queue, receipts, reconcile, reports, rules, shared, steps, transfers
+from ledgerloom.plans.ledger import MIRROR, RULES, Ledger
 from ledgerloom.plans.oracle_views import sql
 from ledgerloom.sources import exports, statements
 
@@ -201,7 +201,7 @@ def _(l: Ledger) -> DataFrame:
     """SELECT al.rule_id, string_agg(DISTINCT c.name, ',' ORDER BY c.name) AS names FROM allocations al JOIN categories c ON c.id = al.category_id WHERE al.rule_id IS NOT NULL GROUP BY al.rule_id""",
 )
 def _(l: Ledger) -> DataFrame:
-    rows = l.allocations.where("rule_id is not null").join(F.broadcast(l.categories.select(F.col("id").alias("category_id"), "name")), "category_id")
+    rows = l.allocations.where("rule_id is not null").join(l.categories.select(F.col("id").alias("category_id"), "name"), "category_id")
     return rows.groupBy("rule_id").agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("names"))
 
 
@@ -324,7 +324,7 @@ def _(l: Ledger) -> DataFrame:
     rows = reports.consumption_rows(l.transactions, l.allocations, l.consumption, l.categories)
     total = rows.agg(F.count("*").alias("total"))
     top = rows.orderBy(F.desc("consumed_on"), F.desc_nulls_last("transaction_id"), F.desc_nulls_first("evidence_id")).limit(80)
-    return top.crossJoin(F.broadcast(total)).select("origin", "transaction_id", "evidence_id", "amount_paise", "total")
+    return top.crossJoin(total).select("origin", "transaction_id", "evidence_id", "amount_paise", "total")
 
 
 # Reconciliation
@@ -499,6 +499,18 @@ def _(l: Ledger) -> DataFrame:
     return _mined(mining.report(l.transactions.where(predicates.explainable_spend()), l.allocations, MINING_RULES))
 
 
+@query(
+    "min6_covered",
+    f"""WITH {MINED}, kept AS (SELECT *, row_number() OVER (PARTITION BY ids ORDER BY words, token) AS place FROM mined), top AS (SELECT * FROM kept WHERE place = 1 ORDER BY spread, hits DESC, token LIMIT 40),
+    s AS (SELECT t.id, amount_paise <> coalesce(e.explained, 0) AS open, {NORMAL} AS normal FROM spend t LEFT JOIN (SELECT transaction_id, sum(amount_paise) AS explained FROM allocations GROUP BY transaction_id) e ON t.id = e.transaction_id)
+    SELECT count(*) FILTER (open) AS unexplained, count(*) AS ledger, count(*) FILTER (open AND EXISTS (SELECT 1 FROM top WHERE contains(normal, top.token))) AS covered FROM s""",
+)
+def _(l: Ledger) -> DataFrame:
+    """How many unexplained rows the candidates that are shown claim between them."""
+    ledger = l.transactions.where(predicates.explainable_spend())
+    return mining.covered(mining.report(ledger, l.allocations, MINING_RULES), ledger, l.allocations)
+
+
 # Transfers
 
 REFS = "list_filter(string_split_regex(coalesce(narration, ''), '[^0-9A-Za-z]+'), lambda w: regexp_matches(w, '^[0-9]{12}$'))"
@@ -1563,3 +1575,27 @@ def _(l: Ledger) -> DataFrame:
     for upto in (2, 3, 3):
         tables, applied, _ = steps.run_steps(tables, applied, every[:upto], keys)
     return tables["allocations"].select("id", "amount_paise", "category_id", "source", "rule_id")
+
+
+def _landed_statements(l: Ledger) -> landing.Landed:
+    """Statements of each bank's last account land again on a ledger that lacks what they say of the second half of each month."""
+    last = l.accounts.groupBy("bank").agg(F.max("id").alias("account_id"))
+    own = l.transactions.where(f"id < {MIRROR}").join(last, "account_id")
+    parsed = own.select(F.concat(F.lit("file-"), F.col("bank")).alias("file"), "bank", F.row_number().over(Window.partitionBy("account_id").orderBy("txn_date", "id")).alias("statement_seq"), "txn_date", "amount_paise", "narration", F.lit(None).cast("long").alias("bank_balance_paise"))
+    late = own.where("day(txn_date) > 15").select("id")
+    ledger = l.transactions.join(late, "id", "left_anti").select(*l.transactions.columns).withColumn("bank_balance_paise", F.lit(None).cast("long"))
+    return landing.land(parsed, l.accounts, ledger, _keywords(l), _locked(l))
+
+
+@query(
+    "src6_land",
+    f"""WITH last AS (SELECT bank, max(id) AS account_id FROM accounts GROUP BY bank), own AS (SELECT t.*, bank FROM transactions t JOIN last USING (account_id) WHERE id < {MIRROR}),
+    kept AS (SELECT account_id, txn_date, amount_paise, narration FROM transactions WHERE account_id IN (SELECT account_id FROM last) AND id NOT IN (SELECT id FROM own WHERE day(txn_date) > 15)),
+    fresh AS (SELECT DISTINCT account_id, txn_date, amount_paise, coalesce(narration, '') AS narration FROM own EXCEPT SELECT account_id, txn_date, amount_paise, coalesce(narration, '') FROM kept),
+    b AS (SELECT account_id, sum(amount_paise) AS balance FROM (SELECT account_id, amount_paise FROM kept UNION ALL SELECT account_id, amount_paise FROM fresh) GROUP BY account_id)
+    SELECT 'file-' || bank AS file, account_id, count(*) AS parsed, (SELECT count(*) FROM fresh f WHERE f.account_id = own.account_id) AS inserted, count(*) - (SELECT count(*) FROM fresh f WHERE f.account_id = own.account_id) AS skipped,
+    CAST((SELECT balance FROM b WHERE b.account_id = own.account_id) AS BIGINT) AS balance_paise FROM own GROUP BY bank, account_id""",
+)
+def _(l: Ledger) -> DataFrame:
+    landed = _landed_statements(l)
+    return landed.files.join(landed.reconciled.select("account_id", "balance_paise"), "account_id")
