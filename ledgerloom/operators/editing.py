@@ -49,16 +49,25 @@ def save_categories(checked: DataFrame, categories: DataFrame) -> ChangeSet:
     return ChangeSet(rows.select(*columns), rows.select(*categories.columns))
 
 
-def check_removals(wanted: DataFrame, categories: DataFrame, allocations: DataFrame, rules: DataFrame) -> DataFrame:
-    """``id, reassign_to, verdict, allocations, rules`` for categories to delete; those in use need a ``reassign_to``."""
+def check_removals(wanted: DataFrame, categories: DataFrame, allocations: DataFrame, rules: DataFrame, referring: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """``id, reassign_to, verdict, allocations, rules`` for categories to delete; those in use need a ``reassign_to``.
+
+    Allocations and rules can be moved. Rows of ``referring`` tables (items, consumption, the map of source words) are not
+    moved, so a category that one of them names cannot go.
+    """
     known = categories.select("id", F.lit(True).alias("known"))
     kids = categories.where("parent_id is not null").groupBy(F.col("parent_id").alias("id")).agg(F.count("*").alias("kids"))
     used = [df.groupBy(F.col("category_id").alias("id")).agg(F.count("*").alias(name)) for df, name in ((allocations, "allocations"), (rules, "rules"))]
     rows = wanted.join(known, "id", "left").join(kids, "id", "left").join(used[0], "id", "left").join(used[1], "id", "left")
     rows = rows.join(known.select(F.col("id").alias("reassign_to"), F.lit(True).alias("target")), "reassign_to", "left").na.fill(0, ["allocations", "rules"])
+    named = categories.where("false").select("id")
+    for table in referring:
+        named = named.unionByName(table.where("category_id is not null").select(F.col("category_id").cast("long").alias("id")))
+    rows = rows.join(named.distinct().withColumn("referenced", F.lit(True)), "id", "left")
     verdict = _first_error(
         (F.col("reassign_to") == F.col("id"), "same_category"), (F.col("known").isNull(), "no_such_category"), (F.col("kids") > 0, "has_children"),
         ((F.col("allocations") + F.col("rules") > 0) & F.col("reassign_to").isNull(), "in_use"), (F.col("reassign_to").isNotNull() & F.col("target").isNull(), "no_such_target"),
+        (F.col("referenced").isNotNull(), "referenced"),
     )
     return rows.select("id", "reassign_to", verdict.alias("verdict"), "allocations", "rules")
 
@@ -70,6 +79,11 @@ def reassign(rows: DataFrame, removals: DataFrame) -> ChangeSet:
     return ChangeSet(hit.select(*(F.col("reassign_to").alias(c) if c == "category_id" else F.col(c) for c in rows.columns)), hit.select(*rows.columns))
 
 
+def remove_categories(categories: DataFrame, removals: DataFrame) -> ChangeSet:
+    """The change set that deletes the categories whose removal is ``ok``; ``reassign`` moves their allocations and rules first."""
+    return ChangeSet(categories.where("false"), categories.join(removals.where("verdict = 'ok'").select("id"), "id", "left_semi").select(*categories.columns))
+
+
 def edit_rules(current: DataFrame, edited: DataFrame, allocations: DataFrame) -> tuple[DataFrame, ChangeSet]:
     """What each edit asks for, and the sweep of the slices that the old rules made.
 

@@ -1113,6 +1113,22 @@ REMOVALS = """SELECT w.id, reassign_to, CASE WHEN reassign_to = w.id THEN 'same_
     LEFT JOIN (SELECT category_id, count(*) AS a FROM allocations GROUP BY 1) x ON x.category_id = w.id LEFT JOIN (SELECT category_id, count(*) AS r FROM rules GROUP BY 1) y ON y.category_id = w.id"""
 
 
+@query(
+    "cat4_referenced",
+    f"""SELECT id, CASE WHEN verdict = 'ok' AND id IN (SELECT category_id FROM items WHERE category_id IS NOT NULL UNION SELECT category_id FROM consumption UNION SELECT category_id FROM source_map WHERE category_id IS NOT NULL) THEN 'referenced' ELSE verdict END AS verdict
+    FROM ({REMOVALS})""",
+)
+def _(l: Ledger) -> DataFrame:
+    k = F.col("id")
+    target = F.when(k % 3 == 0, k).when(k % 3 == 1, F.when(k % 2 == 0, 1).otherwise(-7)).cast("long")
+    return editing.check_removals(l.categories.select("id", target.alias("reassign_to")), l.categories, l.allocations, l.rules, (l.items, l.consumption, l.source_map)).select("id", "verdict")
+
+
+@query("cat4_remove", f"SELECT id, name FROM categories WHERE id NOT IN (SELECT id FROM ({REMOVALS}) WHERE verdict = 'ok')")
+def _(l: Ledger) -> DataFrame:
+    return editing.remove_categories(l.categories, _removals(l)).commit(l.categories, ["id"]).select("id", "name")
+
+
 @query("cat4_delete", REMOVALS)
 def _(l: Ledger) -> DataFrame:
     return _removals(l)
