@@ -176,3 +176,29 @@ def valid_manual(requested: DataFrame, txns: DataFrame) -> DataFrame:
     fits = F.sum(F.abs("amount_paise")) <= F.first(F.abs("whole"))
     signs = F.min(((F.signum("amount_paise") == F.signum("whole")) & (F.col("amount_paise") != 0)).cast("int")) == 1
     return rows.groupBy("transaction_id").agg((fits & signs).alias("ok"))
+
+
+def replace_manual(requested: DataFrame, txns: DataFrame, categories: DataFrame, allocations: DataFrame) -> tuple[DataFrame, ChangeSet]:
+    """Hand-made allocations that replace all others of their transactions: ``transaction_id, verdict, unexplained_paise``, and the change set.
+
+    ``requested``: transaction_id, amount_paise, category_id. A transaction is written as a whole or not at all: amounts are not
+    zero and have its sign, categories exist, and the sum is at most its amount.
+    """
+    rows = requested.join(txns.select(F.col("id").alias("transaction_id"), F.col("amount_paise").alias("whole")), "transaction_id", "left")
+    rows = rows.join(categories.select(F.col("id").alias("category_id"), F.lit(True).alias("known")), "category_id", "left")
+    some = lambda test: F.max(F.coalesce(test, F.lit(False)).cast("int")) == 1
+    judged = rows.groupBy("transaction_id").agg(
+        F.max("whole").alias("whole"), F.coalesce(F.sum("amount_paise"), F.lit(0)).alias("total"), some(F.col("amount_paise").isNull() | (F.col("amount_paise") == 0)).alias("empty"),
+        some(F.col("category_id").isNull()).alias("uncategorised"), some(F.col("known").isNull()).alias("strange"), some(F.signum("amount_paise") != F.signum("whole")).alias("turned"),
+    )
+    verdict = (
+        F.when(F.col("empty"), "bad_amount").when(F.col("uncategorised"), "no_category").when(F.col("whole").isNull(), "no_such_transaction").when(F.col("strange"), "no_such_category").when(F.col("turned"), "other_sign")
+        .when(F.abs("total") > F.abs("whole"), "too_much").otherwise("ok")
+    )
+    judged = judged.withColumn("verdict", verdict)
+    good = judged.where("verdict = 'ok'").select("transaction_id")
+    written = requested.join(good, "transaction_id", "left_semi").select("transaction_id", "amount_paise", "category_id")
+    given = {"confidence": F.lit("1.00"), "source": F.lit("user"), **{c: F.col(c) for c in written.columns}}
+    inserts = written.select(*(given.get(c, F.lit(None)).cast(t).alias(c) for c, t in allocations.dtypes))
+    gone = allocations.join(good, "transaction_id", "left_semi").select(*allocations.columns)
+    return judged.select("transaction_id", "verdict", F.when(F.col("verdict") == "ok", F.col("whole") - F.col("total")).alias("unexplained_paise")), ChangeSet(inserts, gone)

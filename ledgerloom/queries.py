@@ -431,6 +431,32 @@ def _(l: Ledger) -> DataFrame:
     return rules.valid_manual(wanted, l.transactions)
 
 
+#: Each order's lines as slices by category of the row that is numbered like it: their sums are over it, under it, or of the other sign.
+REQUESTED = "(SELECT l.evidence_id AS transaction_id, i.category_id, CAST(-sum(l.amount_paise) AS BIGINT) AS amount_paise FROM lines l JOIN items i ON i.id = l.item_id GROUP BY l.evidence_id, i.category_id)"
+JUDGED = f"""(SELECT r.transaction_id, CASE WHEN bool_or(r.category_id IS NULL) THEN 'no_category' WHEN min(t.id) IS NULL THEN 'no_such_transaction' WHEN min(t.amount_paise) > 0 THEN 'other_sign' WHEN abs(sum(r.amount_paise)) > abs(min(t.amount_paise)) THEN 'too_much' ELSE 'ok' END AS verdict,
+    CAST(min(t.amount_paise) - sum(r.amount_paise) AS BIGINT) AS left_over FROM {REQUESTED} r LEFT JOIN transactions t ON t.id = r.transaction_id GROUP BY r.transaction_id)"""
+
+
+def _manual(l: Ledger):
+    priced = l.lines.join(l.items.select(F.col("id").alias("item_id"), "category_id"), "item_id")
+    requested = priced.groupBy(F.col("evidence_id").alias("transaction_id"), "category_id").agg((-F.sum("amount_paise")).alias("amount_paise"))
+    return rules.replace_manual(requested, l.transactions, l.categories, l.allocations)
+
+
+@query("rul12_verdicts", f"SELECT transaction_id, verdict, CASE WHEN verdict = 'ok' THEN left_over END AS unexplained_paise FROM {JUDGED}")
+def _(l: Ledger) -> DataFrame:
+    return _manual(l)[0]
+
+
+@query(
+    "rul12_replace",
+    f"""SELECT 'in' AS what, transaction_id, category_id, amount_paise, 'user' AS source FROM {REQUESTED} WHERE transaction_id IN (SELECT transaction_id FROM {JUDGED} WHERE verdict = 'ok')
+    UNION ALL SELECT 'out', transaction_id, category_id, amount_paise, source FROM allocations WHERE transaction_id IN (SELECT transaction_id FROM {JUDGED} WHERE verdict = 'ok')""",
+)
+def _(l: Ledger) -> DataFrame:
+    return _flat(_manual(l)[1]).drop("rule_id", "evidence_id")
+
+
 # Mining
 
 
