@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.scratch import free_name, materialize, numbered
+from ledgerloom.llm.scratch import free_name, handing_back, materialize, numbered
 from ledgerloom.llm.words import alphanumeric, mix, shards, texts_to_hashes
 
 #: Words of the benchmark that a task holds at a time.
@@ -291,6 +291,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
 
 
 def _filter(blocks, share: int, at: int):
+    @handing_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         suffixes = blocks.value
         for batch in batches:

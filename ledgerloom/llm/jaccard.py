@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.components import connected_components
-from ledgerloom.llm.scratch import free_name, materialize, numbered
+from ledgerloom.llm.scratch import free_name, handing_back, materialize, numbered
 from ledgerloom.llm.words import mix, shards, signed, spaced, texts_to_hashes
 
 SKETCH_BITS = 20
@@ -138,6 +138,7 @@ def node_of(grams: np.ndarray, clashing: frozenset[int] = frozenset()) -> int:
 def _describe(width: int):
     """Row, id, size, both hashes and bitmap of each document, and the task's part of the sketch."""
 
+    @handing_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
         names = ["row", "id", "n", "node", "check", "bits"]
@@ -241,6 +242,7 @@ def keys_of(grams: np.ndarray, sketch: np.ndarray, boundary: int, threshold: Fra
 def _postings(width: int, sketch, boundary: int, threshold: Fraction, clashing: frozenset[int]):
     """(key, n, node, hot) of each distinct set that a task meets; ``hot``: the list may be longer than HOT_LIST."""
 
+    @handing_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = sketch.value, set()
         for batch in batches:
@@ -284,6 +286,7 @@ def _lists(boundary: int, threshold: Fraction):
             at, a, b = at[fits], a[fits], b[fits]
             yield node[at], node[at + step], np.where((b < boundary) | (overlap_needed(a, threshold) < SUBSET), 1, np.minimum(votes_needed(a, threshold), votes_needed(b, threshold)))
 
+    @handing_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = (np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64))
         long_key, last = None, None
@@ -347,6 +350,7 @@ def spare(n: np.ndarray, m: np.ndarray, differ: np.ndarray, threshold: Fraction)
 def _screen(threshold: Fraction):
     """Drops pairs whose bitmaps already show too many different shingles."""
 
+    @handing_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, n, m = (batch.column(i).to_numpy() for i in range(4))
@@ -393,6 +397,7 @@ def _across(threshold: Fraction, spanning: bool):
     most one pair a node, however many pass.
     """
 
+    @handing_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         window: list[list] = []
         current, merged = None, _Merged()
@@ -445,6 +450,7 @@ def _across(threshold: Fraction, spanning: bool):
 
 
 def _sets(width: int):
+    @handing_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes = batch.column(0)
