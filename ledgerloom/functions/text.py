@@ -111,8 +111,9 @@ def trigrams(text: Column) -> Column:
 
 
 def similarity(a: Column, b: Column) -> Column:
-    """Shared trigrams of all trigrams, as a whole number of hundredths (half up)."""
-    shared, all_ = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
+    """Shared trigrams of all trigrams (each list without repeats), as a whole number of hundredths (half up)."""
+    shared = F.size(F.array_intersect(a, b))
+    all_ = F.size(a) + F.size(b) - shared
     return F.when(all_ > 0, F.floor((shared * 200 + all_) / (all_ * 2))).otherwise(0).cast("int")
 
 
