@@ -28,6 +28,15 @@ def claim(jobs: DataFrame, batches: DataFrame, now: str, count: int = 1) -> Data
     return rows.select("id", "batch_id", (F.col("attempts") + 1).alias("attempts"), F.lit("running").alias("state"), at(now).alias("claimed_at"))
 
 
+def heartbeat(jobs: DataFrame, beats: DataFrame) -> DataFrame:
+    """``id, claimed_at``: running jobs whose lease the last of their beats (``id, at``) renews; late beats of others do nothing.
+
+    A beat must come within the lease, and it never moves a lease backwards. ``streaming.leases`` does this on a stream.
+    """
+    last = jobs.where("state = 'running'").join(beats, "id").where((F.col("at") > F.col("claimed_at")) & (F.col("at") <= F.col("claimed_at") + F.expr(f"interval {LEASE_MINUTES} minutes")))
+    return last.groupBy("id").agg(F.max("at").alias("claimed_at"))
+
+
 def reclaim(jobs: DataFrame, now: str) -> DataFrame:
     """Running jobs whose lease has run out go back to the queue, or fail on their last attempt."""
     expired = jobs.where((F.col("state") == "running") & (F.col("claimed_at") < at(now) - F.expr(f"interval {LEASE_MINUTES} minutes")))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.functions import records, text
-from ledgerloom.operators import changes, editing, evidence, items, landing, mining, predicates, queue, receipts, reconcile, reports, rules, shared, steps, transfers
+from ledgerloom.operators import changes, editing, evidence, items, landing, mining, predicates, queue, receipts, reconcile, redaction, reports, rules, shared, steps, transfers
 from ledgerloom.plans.ledger import MIRROR, RULES, Ledger
 from ledgerloom.plans.oracle_views import sql
 from ledgerloom.sources import exports, statements
@@ -1641,3 +1641,36 @@ def _landed_statements(l: Ledger) -> landing.Landed:
 def _(l: Ledger) -> DataFrame:
     landed = _landed_statements(l)
     return landed.files.join(landed.reconciled.select("account_id", "balance_paise"), "account_id")
+
+
+@query(
+    "utl11_redaction",
+    """WITH l AS (SELECT *, 'IN' || lpad(CAST(coalesce(item_id, 0) AS VARCHAR), 6, '0') AS invoice FROM lines),
+    firsts AS (SELECT evidence_id, invoice, row_number() OVER (PARTITION BY evidence_id ORDER BY min(line_index)) AS n FROM l GROUP BY evidence_id, invoice)
+    SELECT evidence_id, string_agg('Name : Test Customer' || chr(10) || 'Order Id : 404-0000001-0000001' || chr(10) || 'Invoice Number : TTD1-9900' || lpad(CAST(n AS VARCHAR), 2, '0') || chr(10) || 'Total ' || amount_paise || chr(10) ||
+    'Billing Address : 1 Example Road, Example Locality, Example City' || chr(10) || '[redacted]' || chr(10) || chr(10) || 'PAN No: AAPCA6346P [redacted]' || CASE WHEN kind = 'fee' THEN ' see order ' || (evidence_id + 1000000) ELSE '' END, chr(12) ORDER BY line_index) AS text,
+    CASE WHEN bool_or(kind = 'fee') THEN CAST(max(evidence_id) + 1000000 AS VARCHAR) ELSE '' END AS leaks FROM l JOIN firsts USING (evidence_id, invoice) GROUP BY evidence_id""",
+)
+def _(l: Ledger) -> DataFrame:
+    """Each order's invoices as printed pages, one a line, redacted; a fee's page names the order again without a label."""
+    who, order = F.concat(F.lit("Customer "), F.col("evidence_id").cast("string")), (F.col("evidence_id") + 1000000).cast("string")
+    number = F.lpad(F.coalesce("item_id", F.lit(0)).cast("string"), 6, "0")
+    page = F.concat(
+        F.lit("Name : "), who, F.lit("\nOrder Id : "), order, F.lit("\nInvoice Number : IN"), number, F.lit("\nTotal "), F.col("amount_paise").cast("string"), F.lit("\nBilling Address :\n"), who,
+        F.lit("\n\nPAN No: AAPCA6346P "), F.lower(who), F.when(F.col("kind") == "fee", F.concat(F.lit(" see order "), order)).otherwise(""),
+    )
+    pages = l.lines.select("evidence_id", F.struct("line_index", page.alias("page")).alias("page")).groupBy("evidence_id").agg(F.array_sort(F.collect_list("page")).alias("pages"))
+    documents = pages.select("evidence_id", F.transform("pages", lambda p: p["page"]).alias("parts"), F.array(who).alias("forbidden"))
+    return redaction.redact(documents).select("evidence_id", F.array_join("parts", "\f").alias("text"), F.array_join("leaks", ",").alias("leaks"))
+
+
+@query(
+    "stm3_heartbeat",
+    """SELECT r.id, max(b.ts) AS claimed_at FROM jobs r JOIN (SELECT user_id, ts FROM events WHERE event_type IN ('click', 'purchase')) b ON b.user_id = r.batch_id
+    WHERE r.state = 'running' AND b.ts > r.claimed_at AND b.ts <= r.claimed_at + INTERVAL 5 MINUTE GROUP BY r.id""",
+)
+def _(l: Ledger) -> DataFrame:
+    """What a user did while a job of theirs ran counts as its worker's beats."""
+    acts = l.table("events").where("event_type in ('click', 'purchase')").select(F.col("user_id").alias("batch_id"), F.col("ts").alias("at"))
+    beats = l.jobs.where("state = 'running'").select("id", "batch_id").join(acts, "batch_id").select("id", "at")
+    return queue.heartbeat(l.jobs, beats)
