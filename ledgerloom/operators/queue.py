@@ -62,6 +62,30 @@ def progress(jobs: DataFrame) -> DataFrame:
     return rows.withColumn("done_permille", F.expr("(done + failed) * 1000 div total"))
 
 
+def active_batches(batches: DataFrame, jobs: DataFrame, now: str, limit: int = 10) -> DataFrame:
+    """Batches that are unfinished, or finished within the hour, with their jobs by state; the newest first.
+
+    ``batches``: batch_id, kind, total (as asked for, which may be under what was done), created_at, consented_at, finished_at.
+    """
+    shown = batches.where(F.col("finished_at").isNull() | (F.col("finished_at") > at(now) - F.expr("interval 1 hour"))).orderBy(F.desc("created_at"), "batch_id").limit(limit)
+    states = ("queued", "running", "done", "failed")
+    mine = jobs.join(shown.select("batch_id"), "batch_id", "left_semi").groupBy("batch_id").agg(*(F.count(F.when(F.col("state") == s, 1)).alias(s) for s in states))
+    rows = shown.join(mine, "batch_id", "left").fillna(0, states)
+    return rows.select("batch_id", "kind", "total", *states, F.col("consented_at").isNotNull().alias("consented"), F.col("finished_at").isNotNull().alias("finished"), "created_at").orderBy(F.desc("created_at"), "batch_id")
+
+
+def outlook(counts: DataFrame, median: Column) -> DataFrame:
+    """``counts`` with ``remaining_seconds``, ``settled`` and ``fraction_done``.
+
+    Without a median over 0 there is no rate, so no estimate. A batch is settled if nothing is outstanding, whatever
+    its total says, and its fraction never passes 1.
+    """
+    outstanding, finished = F.col("queued") + F.col("running"), F.col("done") + F.col("failed")
+    left = F.when(median > 0, F.when(outstanding == 0, F.lit(0)).otherwise(F.round(outstanding * median)).cast("long"))
+    fraction = F.least(F.lit(1.0), finished / F.greatest(F.col("total"), finished, F.lit(1)))
+    return counts.withColumns({"remaining_seconds": left, "settled": outstanding == 0, "fraction_done": fraction})
+
+
 def median_seconds(jobs: DataFrame) -> DataFrame:
     """Exact median of how long finished jobs took, in whole seconds; none if not over 0."""
     took = F.unix_timestamp("finished_at") - F.unix_timestamp("created_at")

@@ -195,6 +195,22 @@ def product_worklist(products: DataFrame, aliases: DataFrame, items: DataFrame,
     return rows.orderBy(F.desc("lines"), F.desc("amount_paise"), "key")
 
 
+#: The views of staged products and orders; a row belongs to as many as it satisfies.
+PRODUCT_VIEWS = {"needs": "needs_input or category_id is null", "existing": "decision = 'existing'", "create": "decision in ('create', 'create_and_propose')", "nocat": "category_id is null", "all": "true"}
+ORDER_VIEWS = {"needs": "needs_attention", "matched": "outcome = 'matched'", "ambiguous": "outcome = 'ambiguous'", "unmatched": "coalesce(outcome, 'none') = 'none'", "all": "true"}
+
+
+def in_view(view: str, views: dict[str, str]) -> Column:
+    if view not in views:
+        raise ValueError(f"no view {view!r}")
+    return F.coalesce(F.expr(views[view]), F.lit(False))
+
+
+def view_counts(rows: DataFrame, views: dict[str, str]) -> DataFrame:
+    """One row: how many rows each view has, in one pass; a chip's count and its list share the condition."""
+    return rows.agg(*(F.count_if(in_view(v, views)).alias(v) for v in views))
+
+
 def confirmable(wanted: DataFrame, artifacts: DataFrame) -> DataFrame:
     """``artifact_id, verdict`` of artifacts to confirm: ``land``, ``skip`` (not staged, as after a second click) or ``error``."""
     known = artifacts.select(F.col("id").alias("artifact_id"), "parse_status", F.col("record").isNotNull().alias("read"))

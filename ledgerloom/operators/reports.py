@@ -158,6 +158,13 @@ def category_usage(categories: DataFrame, allocations: DataFrame, rules: DataFra
     return rows.select("id", "name", "parent_id", "parent", "excluded_from_spend", "allocations", "rules", "items").orderBy(F.coalesce("parent", "name"), F.col("parent").asc_nulls_first(), "name")
 
 
+def usage_rollup(usage: DataFrame) -> DataFrame:
+    """Allocations and rules of each parent with those of its children, from ``category_usage`` rows; ``scale`` is the most allocations of any, at least 1."""
+    kids = usage.where("parent_id is not null").groupBy(F.col("parent_id").alias("id")).agg(F.sum("allocations").alias("_allocations"), F.sum("rules").alias("_rules"))
+    rows = usage.where("parent_id is null").join(kids, "id", "left").select("id", "name", *((F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in ("allocations", "rules")))
+    return rows.withColumn("scale", F.greatest(F.lit(1).cast("long"), rows.agg(F.max("allocations")).scalar()))
+
+
 def compare_periods(txns: DataFrame, date_from: str, date_to: str) -> DataFrame:
     """Spending of a period and of the equally long one before it."""
     days = F.datediff(F.lit(date_to).cast("date"), F.lit(date_from).cast("date")) + 1

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,9 @@ from pyspark.sql import types as T
 
 from ledgerloom.functions.text import iso_date, to_paise
 
+#: The longest key of a group, and what counts as space besides what Spark's pattern class has.
+GROUP_CHARS, SPACES = 64, r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+"
+
 
 def validate(rows: DataFrame, people: int) -> DataFrame:
     """``line, errors``: what is wrong with each row of an export; none of it may be imported if any is.
@@ -55,9 +59,69 @@ def nfc(text: pd.Series) -> pd.Series:
 
 
 def group_key(name: Column) -> Column:
-    """A group's name as part of a reference: composed, no controls or bars, lower case, 64 characters."""
-    clean = F.regexp_replace(nfc(name), r"[\p{Cntrl}|]", " ")
-    return F.substring(F.lower(F.trim(F.regexp_replace(clean, r"\s+", " "))), 1, 64)
+    """A group's name as part of a reference: composed, no control characters, bars as spaces, lower case, 64 characters."""
+    clean = F.regexp_replace(F.regexp_replace(nfc(name), r"\p{Cc}", ""), r"\|", " ")
+    return F.rtrim(F.substring(F.lower(F.trim(F.regexp_replace(clean, SPACES, " "))), 1, GROUP_CHARS))
+
+
+def external_ref(group: Column, date: Column, description: Column, cost_paise: Column) -> Column:
+    """What names a record of an export: its group's key, day, description and cost, readable rather than hashed."""
+    words = F.lower(F.trim(F.regexp_replace(description, SPACES, " ")))
+    return F.concat(group, F.lit("|"), date.cast("string"), F.lit("|"), words, F.lit("|"), cost_paise.cast("string"))
+
+
+@dataclass(frozen=True)
+class ImportPlan:
+    """What the records of exports become; nothing is written.
+
+    ``evidence``: every record, also those that the owner has no part in, since the balances follow from all of them:
+    group, external_ref, date, description, source_category, cost_paise, net_paise, kind, payload (JSON text). ``consumption``:
+    external_ref, category_id, amount_paise (negative), consumed_on. ``unclassified``: external_ref, source_category, amount_paise
+    of what was consumed under a word without a category. ``unmapped``: words that the map has never seen, once each.
+    ``stats``: group, paid, owed_by_me, not_mine, payments.
+    """
+
+    evidence: DataFrame
+    consumption: DataFrame
+    unclassified: DataFrame
+    unmapped: DataFrame
+    stats: DataFrame
+
+
+def import_plan(rows: DataFrame, groups: DataFrame, source_map: DataFrame) -> ImportPlan:
+    """The plan for ``Exports.rows``; ``groups``: file, group (its name, as the file itself does not tell it).
+
+    A settlement is no consumption, and neither is what the owner paid: that comes from the bank row it will match.
+    A word that is missing from ``source_map`` was never seen; one with no category is known to have none. Files without a
+    group are left out.
+    """
+    named = rows.join(groups.select("file", group_key(F.col("group")).alias("group")), "file").withColumn("external_ref", external_ref(F.col("group"), F.col("date"), F.col("description"), F.col("cost_paise")))
+    role = F.when(F.col("kind") == "payment", "payments").when(F.col("net_paise") > 0, "paid").when(F.col("net_paise") == 0, "not_mine").otherwise("owed_by_me")
+    known = source_map.select(F.col("source_category").alias("category"), "category_id", F.lit(True).alias("seen"))
+    judged = named.withColumn("role", role).join(known, "category", "left")
+    payload = F.to_json(F.struct("cost_paise", F.col("nets").alias("nets_paise"), "currency", F.col("category").alias("source_category"), "kind", "group"))
+    owed = judged.where("role = 'owed_by_me'")
+    return ImportPlan(
+        named.select("group", "external_ref", "date", "description", F.col("category").alias("source_category"), "cost_paise", "net_paise", "kind", payload.alias("payload")),
+        owed.where("category_id is not null").select("external_ref", "category_id", F.col("net_paise").alias("amount_paise"), F.col("date").alias("consumed_on")),
+        owed.where("category_id is null").select("external_ref", F.col("category").alias("source_category"), F.col("net_paise").alias("amount_paise")),
+        owed.where("seen is null").select(F.col("category").alias("source_category")).distinct(),
+        judged.groupBy("group").agg(*(F.count(F.when(F.col("role") == r, 1)).alias(r) for r in ("paid", "owed_by_me", "not_mine", "payments"))),
+    )
+
+
+def vocabulary_worklist(evidence: DataFrame, source_map: DataFrame, categories: DataFrame) -> DataFrame:
+    """All words, seen or mapped, with their category and its parent, undecided first, then by what was consumed under them.
+
+    ``evidence``: as in ``ImportPlan``. Only expenses that others paid for the owner are consumed.
+    """
+    consumed = (F.col("kind") == "expense") & (F.col("net_paise") < 0)
+    seen = evidence.groupBy("source_category").agg(F.count("*").alias("records"), F.count(F.when(consumed, 1)).alias("consumed_records"), F.sum(F.when(consumed, -F.col("net_paise"))).alias("consumed_paise"))
+    decided = source_map.select("source_category", "category_id", F.lit(True).alias("decided"))
+    rows = seen.join(decided, "source_category", "full").join(categories.select(F.col("id").alias("category_id"), F.col("name").alias("category"), "parent_id"), "category_id", "left")
+    rows = rows.join(categories.select(F.col("id").alias("parent_id"), F.col("name").alias("parent")), "parent_id", "left")
+    counts = (F.coalesce(c, F.lit(0)).alias(c) for c in ("records", "consumed_records", "consumed_paise"))
+    return rows.select("source_category", "category_id", "category", "parent", F.coalesce("decided", F.lit(False)).alias("decided"), *counts).orderBy("decided", F.desc("consumed_paise"), "source_category")
 
 
 def stale(consumption: DataFrame, purchases: DataFrame, source_map: DataFrame) -> DataFrame:

@@ -1674,3 +1674,116 @@ def _(l: Ledger) -> DataFrame:
     acts = l.table("events").where("event_type in ('click', 'purchase')").select(F.col("user_id").alias("batch_id"), F.col("ts").alias("at"))
     beats = l.jobs.where("state = 'running'").select("id", "batch_id").join(acts, "batch_id").select("id", "at")
     return queue.heartbeat(l.jobs, beats)
+
+
+# Shared-expense exports to plans
+
+GROUPED = """WITH r AS (SELECT *, 'café nr ' || user_id || 'x' AS g, 'item ' || word || ' b' AS says, CASE WHEN minute(ts) < 20 THEN value_paise // 2 WHEN minute(ts) < 30 THEN 0 ELSE -(value_paise // 2) END AS net,
+    CASE WHEN event_id % 9 = 0 THEN 'payment' ELSE 'expense' END AS kind FROM purchases), s AS (SELECT *, g || '|' || CAST(CAST(ts AS DATE) AS VARCHAR) || '|' || says || '|' || value_paise AS ref FROM r)"""
+
+
+def _import_plan(l: Ledger) -> shared.ImportPlan:
+    """Each buyer's purchases as the rows of an export; groups and descriptions are written untidily."""
+    net = F.when(F.minute("ts") < 20, F.expr("value_paise div 2")).when(F.minute("ts") < 30, 0).otherwise(F.expr("-(value_paise div 2)"))
+    rows = l.purchases.select(
+        F.col("user_id").cast("string").alias("file"), F.to_date("ts").alias("date"), F.concat(F.lit("  Item  "), "word", F.lit("\n\u00a0B ")).alias("description"), F.col("word").alias("category"), F.lit("INR").alias("currency"),
+        F.col("value_paise").alias("cost_paise"), F.create_map(F.lit("me"), net).alias("nets"), net.alias("net_paise"), F.when(F.col("event_id") % 9 == 0, "payment").otherwise("expense").alias("kind"),
+    )
+    groups = rows.select("file").distinct().select("file", F.concat(F.lit(" Cafe\u0301 |  NR "), "file", F.lit("\tX ")).alias("group"))
+    return shared.import_plan(rows, groups, l.source_map)
+
+
+@query("shr3_external_ref", f"{GROUPED} SELECT g AS \"group\", ref AS external_ref, value_paise AS cost_paise, net AS net_paise, kind FROM s")
+def _(l: Ledger) -> DataFrame:
+    return _import_plan(l).evidence.select("group", "external_ref", "cost_paise", "net_paise", "kind")
+
+
+@query(
+    "shr4_import",
+    f"""{GROUPED} SELECT CASE WHEN category_id IS NULL THEN 'unclassified' ELSE 'consumption' END AS part, ref AS external_ref, CAST(category_id AS BIGINT) AS category_id, net AS amount_paise
+    FROM s LEFT JOIN source_map ON word = source_category WHERE net < 0 AND kind = 'expense'
+    UNION ALL SELECT DISTINCT 'unmapped', word, NULL::BIGINT, NULL::BIGINT FROM s WHERE net < 0 AND kind = 'expense' AND word NOT IN (SELECT source_category FROM source_map)""",
+)
+def _(l: Ledger) -> DataFrame:
+    plan, none = _import_plan(l), F.lit(None).cast("long")
+    rows = plan.consumption.select(F.lit("consumption").alias("part"), "external_ref", "category_id", "amount_paise")
+    rows = rows.unionByName(plan.unclassified.select(F.lit("unclassified").alias("part"), "external_ref", none.alias("category_id"), "amount_paise"))
+    return rows.unionByName(plan.unmapped.select(F.lit("unmapped").alias("part"), F.col("source_category").alias("external_ref"), none.alias("category_id"), none.alias("amount_paise")))
+
+
+@query(
+    "shr4_stats",
+    f"""{GROUPED} SELECT g AS "group", count(*) FILTER (kind = 'payment') AS payments, count(*) FILTER (kind <> 'payment' AND net > 0) AS paid, count(*) FILTER (kind <> 'payment' AND net = 0) AS not_mine,
+    count(*) FILTER (kind <> 'payment' AND net < 0) AS owed_by_me FROM s GROUP BY g""",
+)
+def _(l: Ledger) -> DataFrame:
+    return _import_plan(l).stats
+
+
+@query(
+    "jn15_vocabulary",
+    f"""{GROUPED}, seen AS (SELECT word, count(*) AS records, count(*) FILTER (net < 0 AND kind = 'expense') AS consumed_records, sum(-net) FILTER (net < 0 AND kind = 'expense') AS consumed_paise FROM s GROUP BY word)
+    SELECT coalesce(word, m.source_category) AS source_category, CAST(category_id AS BIGINT) AS category_id, c.name AS category, p.name AS parent, m.source_category IS NOT NULL AS decided, coalesce(records, 0) AS records,
+    coalesce(consumed_records, 0) AS consumed_records, CAST(coalesce(consumed_paise, 0) AS BIGINT) AS consumed_paise
+    FROM seen FULL JOIN (SELECT * FROM source_map UNION ALL SELECT 'never', (SELECT max(id) FROM categories)) m ON m.source_category = word LEFT JOIN categories c ON c.id = category_id LEFT JOIN categories p ON p.id = c.parent_id""",
+)
+def _(l: Ledger) -> DataFrame:
+    leaf = l.categories.agg(F.max("id").alias("category_id")).select(F.lit("never").alias("source_category"), "category_id")
+    return shared.vocabulary_worklist(_import_plan(l).evidence, l.source_map.unionByName(leaf), l.categories)
+
+
+# Progress of batches, and views
+
+BATCHES = """WITH b AS (SELECT batch_id, count(*) FILTER (attempts > 0) AS total, min(created_at) AS created_at, CASE WHEN count(*) FILTER (state IN ('queued', 'running')) = 0 THEN max(finished_at) END AS finished_at, bool_or(artifact_id < 100) AS consented FROM jobs GROUP BY batch_id),
+    p AS (SELECT batch_id, count(*) FILTER (state = 'queued') AS queued, count(*) FILTER (state = 'running') AS running, count(*) FILTER (state = 'done') AS done, count(*) FILTER (state = 'failed') AS failed FROM jobs GROUP BY batch_id)"""
+
+
+def _batches(l: Ledger) -> DataFrame:
+    """Batches as their jobs tell them; the total counts jobs that were tried."""
+    done = F.when(F.count_if(F.col("state").isin(*queue.OUTSTANDING)) == 0, F.max("finished_at"))
+    return l.jobs.groupBy("batch_id").agg(
+        F.lit("invoices").alias("kind"), F.count_if(F.col("attempts") > 0).alias("total"), F.min("created_at").alias("created_at"), F.min(F.when(F.col("artifact_id") < 100, F.col("created_at"))).alias("consented_at"), done.alias("finished_at"),
+    )
+
+
+@query(
+    "agg19_active_batches",
+    f"""{BATCHES} SELECT batch_id, 'invoices' AS kind, total, queued, running, done, failed, consented, finished_at IS NOT NULL AS finished, created_at FROM b JOIN p USING (batch_id)
+    WHERE finished_at IS NULL OR finished_at > TIMESTAMP '{NOW}' - INTERVAL 1 HOUR ORDER BY created_at DESC, batch_id LIMIT 10""",
+)
+def _(l: Ledger) -> DataFrame:
+    return queue.active_batches(_batches(l), l.jobs, NOW)
+
+
+@query(
+    "agg20_outlook",
+    f"""{BATCHES}, m AS (SELECT CAST(round(quantile_cont(epoch(date_trunc('second', finished_at))::BIGINT - epoch(date_trunc('second', created_at))::BIGINT, 0.5)) AS BIGINT) AS s FROM jobs WHERE state = 'done')
+    SELECT batch_id, CAST(CASE WHEN s > 0 THEN (queued + running) * s END AS BIGINT) AS remaining_seconds, queued + running = 0 AS settled, least(1.0::DOUBLE, (done + failed)::DOUBLE / greatest(total, done + failed, 1)) AS fraction_done FROM b JOIN p USING (batch_id), m""",
+)
+def _(l: Ledger) -> DataFrame:
+    counts = queue.progress(l.jobs).drop("total").join(_batches(l).select("batch_id", "total"), "batch_id")
+    return queue.outlook(counts, queue.median_seconds(l.jobs).scalar()).select("batch_id", "remaining_seconds", "settled", "fraction_done")
+
+
+@query(
+    "agg24_usage_rollup",
+    """WITH u AS (SELECT c.id, c.name, c.parent_id, (SELECT count(*) FROM allocations a WHERE a.category_id = c.id) AS allocations, (SELECT count(*) FROM rules r WHERE r.category_id = c.id) AS rules FROM categories c),
+    r AS (SELECT p.id, p.name, CAST(p.allocations + coalesce((SELECT sum(k.allocations) FROM u k WHERE k.parent_id = p.id), 0) AS BIGINT) AS allocations, CAST(p.rules + coalesce((SELECT sum(k.rules) FROM u k WHERE k.parent_id = p.id), 0) AS BIGINT) AS rules FROM u p WHERE parent_id IS NULL)
+    SELECT *, greatest(1, max(allocations) OVER ()) AS scale FROM r""",
+)
+def _(l: Ledger) -> DataFrame:
+    return reports.usage_rollup(reports.category_usage(l.categories, l.allocations, l.rules, l.items))
+
+
+@query(
+    "flt19_order_views",
+    """WITH h AS (SELECT f.id, count(t.id) AS hits FROM files f LEFT JOIN transactions t ON t.amount_paise = -f.total AND abs(date_diff('day', t.txn_date, f.day)) <= 3 WHERE f.parse_status = 'staged' GROUP BY f.id)
+    SELECT count(*) FILTER (hits = 1) AS matched, count(*) FILTER (hits > 1) AS ambiguous, count(*) FILTER (hits = 0) AS unmatched, count(*) AS "all" FROM h""",
+)
+def _(l: Ledger) -> DataFrame:
+    return receipts.view_counts(receipts.staged_orders(l.artifacts, l.aliases, l.items, l.transactions), receipts.ORDER_VIEWS).drop("needs")
+
+
+@query("flt19_product_views")
+def _(l: Ledger) -> DataFrame:
+    return receipts.view_counts(receipts.product_worklist(receipts.staged_products(l.artifacts), l.aliases, l.items), receipts.PRODUCT_VIEWS)
