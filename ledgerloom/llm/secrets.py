@@ -42,13 +42,15 @@ FORMATS = {
     "jwt": r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*",
     "private_key": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:(?:[^-]|-(?!-))*+-----END [A-Z ]{0,20}PRIVATE KEY-----)?",
 }
-_NAMES = r"passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|credential"
-_ASSIGNED = rf"(?i:{_NAMES})[A-Za-z0-9_]{{0,24}}[\"']?\s{{0,3}}[=:]\s{{0,3}}[\"']?(?P<assigned>[^\s\"'<>]{{6,}})"
+_NAMES = r"passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|(?:account|client|encryption|master|private|shared|signing|storage)[_-]?key|authorization|credential"
+_NAMED = rf"(?i:{_NAMES})[A-Za-z0-9_]{{0,24}}[\"']?\s{{0,3}}[=:]\s{{0,3}}[\"']?(?:(?i:bearer|basic)\s{{1,3}})?"
+_BEARER = r"(?<![A-Za-z])(?i:bearer)\s{1,3}(?=[^\s\"'<>]*[0-9])(?![0-9a-fA-F]{32,}(?![A-Za-z0-9+/=_-]))"
+_ASSIGNED = rf"(?:{_NAMED}|{_BEARER})(?P<assigned>[^\s\"'<>]{{6,}})"
 _HEX = r"(?<![A-Za-z0-9+/=_-])(?P<bare>[0-9a-fA-F]{32,})(?![A-Za-z0-9+/=_-])"
 _RULES = re.compile("|".join([*(f"(?P<{k}>{v})" for k, v in FORMATS.items()), f"(?P<assignment>{_ASSIGNED})", f"(?P<bare_hex>{_HEX})"]))
 
 #: Words that speak for or against a secret nearby, and a small dictionary.
-_FOR = frozenset("password passwd pwd secret token key apikey auth credential login bearer private access".split())
+_FOR = frozenset("password passwd pwd secret token key apikey auth credential login bearer private access authorization accountkey clientkey privatekey".split())
 _AGAINST = frozenset("example sample dummy test placeholder changeme your commit sha sha256 sha1 md5 checksum digest uuid guid hash version build revision id file path".split())
 _DICTIONARY = frozenset(
     "the and for your you pass word password secret token key change me here insert enter value example sample test dummy user name admin default none null true false string "

@@ -199,6 +199,18 @@ def test_secret_scan(spark):
     assert secrets.scan(docs.where("false"), forest).count() == 0
 
 
+def test_headers_and_keys_are_candidates(spark):
+    value = "Zq8vR2xT0kLm4NwY7cB1"
+    texts = [f"AccountKey={value};", f"Authorization: Bearer {value}", f"sent with bearer {value} today", f"'private_key': '{value}'", f"client-key = {value}", f'authorization="Basic {value}"', f"storageKey: {value}"]
+    for text in texts:
+        (rule, start, end), = secrets.candidates(text)
+        assert rule == "assignment" and text[start:end].rstrip(";") == value
+    assert list(secrets.candidates("the bearer certificates of this company, key points: none")) == []
+    forest = secrets.train(secrets.labelled_findings(spark, rows=1500), trees=40)
+    found = secrets.scan(spark.createDataFrame([(i, t, 1, "", "") for i, t in enumerate(texts)], DOCS), forest).collect()
+    assert len(found) == len(texts) and all(r.is_secret for r in found)
+
+
 def test_long_secrets_are_whole(spark):
     forest = secrets.train(secrets.labelled_findings(spark, rows=1500), trees=40)
     rng = np.random.default_rng(5)
