@@ -45,7 +45,9 @@ FORMATS = {
 _NAMES = r"passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|(?:account|client|encryption|master|private|shared|signing|storage)[_-]?key|authorization|credential"
 _NAMED = rf"(?i:{_NAMES})[A-Za-z0-9_]{{0,24}}[\"']?\s{{0,3}}[=:]\s{{0,3}}[\"']?(?:(?i:bearer|basic)\s{{1,3}})?"
 _BEARER = r"(?<![A-Za-z])(?i:bearer)\s{1,3}(?=[^\s\"'<>]*[0-9])(?![0-9a-fA-F]{32,}(?![A-Za-z0-9+/=_-]))"
-_ASSIGNED = rf"(?:{_NAMED}|{_BEARER})(?P<assigned>[^\s\"'<>]{{6,}})"
+#: The first two letters of the names, so that most places of a text are passed over without trying them all (a long s counts as s).
+_BEGINS = r"(?=[pP][aAwWrR]|[sSſ][eEiIhHtT]|[tT][oO]|[aA][pPcCuU]|[cC][rRlL]|[eE][nN]|[mM][aA]|[bB][eE])"
+_ASSIGNED = rf"{_BEGINS}(?:{_NAMED}|{_BEARER})(?P<assigned>[^\s\"'<>]{{6,}})"
 _HEX = r"(?<![A-Za-z0-9+/=_-])(?P<bare>[0-9a-fA-F]{32,})(?![A-Za-z0-9+/=_-])"
 _RULES = re.compile("|".join([*(f"(?P<{k}>{v})" for k, v in FORMATS.items()), f"(?P<assignment>{_ASSIGNED})", f"(?P<bare_hex>{_HEX})"]))
 
