@@ -88,21 +88,23 @@ def redact(documents: DataFrame, parts: str = "parts", forbidden: str | None = "
     secret = F.array_distinct(F.filter(F.coalesce(secret, F.array().cast("array<string>")), lambda v: F.length(v) > 0))
     by_length = F.transform(F.reverse(F.array_sort(F.transform(secret, lambda v: F.struct(F.length(v).alias("n"), v.alias("v"))))), lambda s: s["v"])
 
-    def clean(text: Column) -> Column:
+    def clean(pages: Column) -> Column:
+        # A pass over all texts for each pattern: an expression in a lambda is evaluated wherever it is named, so passes must not be nested in one text.
         for kind, (patterns, template, digits) in REFERENCES.items():
             for label, value in patterns:
-                text = _exchange(text, label, value, F.col(f"_{kind}"), template, digits)
-        return F.regexp_replace(text, BARE_PAYMENT, BARE_STAND_IN)
+                pages = F.transform(pages, lambda p: _exchange(p, label, value, F.col(f"_{kind}"), template, digits))
+        return F.transform(pages, lambda p: F.regexp_replace(p, BARE_PAYMENT, BARE_STAND_IN))
 
     def scrub(text: Column) -> Column:
-        return F.when(F.size("_secret") == 0, text).otherwise(F.regexp_replace(text, F.concat(F.lit("(?iu)"), F.array_join(F.transform(F.col("_secret"), _quoted), "|")), F.lit(r"[redacted]")))
+        return F.when(F.size("_secret") == 0, text).otherwise(F.regexp_replace(text, F.col("_hidden"), F.lit(r"[redacted]")))
 
-    rows = documents.select("*", plain.alias("_plain"), by_length.alias("_secret")).select("*", *known.values())
-    rows = rows.withColumn("_clean", F.transform(F.col("_plain"), lambda p: F.when(p.isNotNull(), clean(p)))).withColumn("_clean", F.transform(F.col("_clean"), lambda p: F.when(p.isNotNull(), scrub(p))))
+    hidden = F.concat(F.lit("(?iu)"), F.array_join(F.transform(F.col("_secret"), _quoted), "|"))
+    rows = documents.select("*", plain.alias("_plain"), by_length.alias("_secret")).select("*", hidden.alias("_hidden"), *known.values())
+    rows = rows.withColumn("_clean", clean(F.col("_plain"))).withColumn("_clean", F.transform(F.col("_clean"), scrub))
     replaced = F.flatten(F.array(*(_numbered(kind) for kind in REFERENCES)))
     whole = F.array_join(F.col("_clean"), "\n")
     left = F.filter(F.col("_secret"), lambda v: F.contains(F.lower(whole), F.lower(v)))
-    again = F.filter(F.transform(F.coalesce(F.col("_replaced"), F.array().cast("array<struct<kind:string,value:string,stand_in:string>>")), lambda r: r["value"]), lambda v: F.regexp_like(whole, F.concat(F.lit("(?<![0-9A-Za-z])"), _quoted(v), F.lit("(?![0-9A-Za-z])"))))
+    again = F.filter(F.transform(F.coalesce(F.col("_replaced"), F.array().cast("array<struct<kind:string,value:string,stand_in:string>>")), lambda r: r["value"]), lambda v: F.contains(whole, v) & F.regexp_like(whole, F.concat(F.lit("(?<![0-9A-Za-z])"), _quoted(v), F.lit("(?![0-9A-Za-z])"))))
     rows = rows.withColumn("_replaced", replaced).withColumn("_leaks", F.when(F.col("_clean").isNull(), F.array().cast("array<string>")).otherwise(F.array_sort(F.array_distinct(F.concat(left, again)))))
     new = {parts: F.col("_clean"), "replaced": F.col("_replaced"), "leaks": F.col("_leaks")}
     return rows.select(*(own[c] for c in documents.columns if c not in new), *(c.alias(n) for n, c in new.items()))
