@@ -69,10 +69,14 @@ def page_rows(words: DataFrame, tolerance: float = 3.0) -> DataFrame:
     """``file, page, row, words``: the visual rows of pages, each with its words (``top, x0, text``) from left to right.
 
     ``words``: file, page, top, x0, text. Downwards, a word belongs to the row
-    whose first word is at most ``tolerance`` above it, so rows do not chain. A page is the unit that is
-    held at once.
+    whose first word is at most ``tolerance`` above it, so rows do not chain. A word further than that below the word
+    before it always starts a row, so what is held at once is a stretch of a page without such a gap.
     """
-    pages = words.groupBy("file", "page").agg(F.array_sort(F.collect_list(F.struct(F.col("top").cast("double").alias("top"), F.col("x0").cast("double").alias("x0"), "text"))).alias("words"))
+    words = words.select("file", "page", F.col("top").cast("double").alias("top"), F.col("x0").cast("double").alias("x0"), "text")
+    downwards = Window.partitionBy("file", "page").orderBy("top", "x0", "text")
+    gap = F.coalesce(F.col("top") - F.lag("top").over(downwards) > tolerance, F.lit(True))
+    cut = words.withColumn("gap", gap.cast("int")).withColumn("stretch", F.sum("gap").over(downwards.rowsBetween(Window.unboundedPreceding, 0)))
+    stretches = cut.groupBy("file", "page", "stretch").agg(F.array_sort(F.collect_list(F.struct("top", "x0", "text"))).alias("words"))
     begin = F.struct(F.lit(None).cast("double").alias("anchor"), F.array().cast("array<int>").alias("starts"))
 
     def step(s: Column, w: Column, i: Column) -> Column:
@@ -80,12 +84,13 @@ def page_rows(words: DataFrame, tolerance: float = 3.0) -> DataFrame:
         return F.struct(F.when(new, w["top"]).otherwise(s["anchor"]).alias("anchor"), F.when(new, F.concat(s["starts"], F.array(i))).otherwise(s["starts"]).alias("starts"))
 
     placed = F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i")))
-    starts = F.aggregate(placed, begin, lambda s, x: step(s, x["w"], x["i"]), lambda s: s["starts"])
-    rows = pages.withColumn("starts", starts).select("file", "page", "words", "starts", F.posexplode("starts").alias("row", "at"))
-    end = F.coalesce(F.get("starts", F.col("row") + 1), F.size("words"))
-    own = F.slice("words", F.col("at") + 1, end - F.col("at"))
-    by_x = F.array_sort(own, lambda a, b: F.when(a["x0"] < b["x0"], -1).when(a["x0"] > b["x0"], 1).otherwise(0))
-    return rows.select("file", "page", "row", by_x.alias("words"))
+    starts = stretches.withColumn("starts", F.aggregate(placed, begin, lambda s, x: step(s, x["w"], x["i"]), lambda s: s["starts"]))
+    ends = F.transform("starts", lambda at, i: F.struct(at.alias("at"), F.coalesce(F.get("starts", i + 1), F.size("words")).alias("end")))
+    own = F.transform(ends, lambda r: F.slice("words", r["at"] + 1, r["end"] - r["at"]))
+    rows = starts.select("file", "page", "stretch", F.posexplode(own).alias("place", "words"))
+    row = F.row_number().over(Window.partitionBy("file", "page").orderBy("stretch", "place")) - 1
+    by_x = F.array_sort("words", lambda a, b: F.when(a["x0"] < b["x0"], -1).when(a["x0"] > b["x0"], 1).otherwise(0))
+    return rows.select("file", "page", row.alias("row"), by_x.alias("words"))
 
 
 def _printed_paise(text: Column) -> Column:

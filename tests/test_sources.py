@@ -170,6 +170,14 @@ def workbook(path, rows, active=0, late=False):
             z.writestr(f"xl/worksheets/s{k + 1}.xml", f"<worksheet {space}><sheetData>{''.join(body) if k == active else ''}</sheetData></worksheet>")
 
 
+def test_pages_of_any_length_are_not_held_at_once(spark):
+    frame = spark.createDataFrame([("f", 1, 10.0 * i + down, x, f"{i}{text}") for i in range(300) for down, x, text in ((0.0, 5.0, "b"), (2.0, 1.0, "a"))], "file string, page int, top double, x0 double, text string")
+    rows = statements.page_rows(frame)
+    assert [[w.text for w in r.words] for r in rows.orderBy("row").collect()] == [[f"{i}a", f"{i}b"] for i in range(300)]
+    # Words are gathered by stretches between gaps, never by pages.
+    assert "stretch" in next(line for line in rows._jdf.queryExecution().optimizedPlan().toString().splitlines() if "collect_list" in line)
+
+
 def test_statement_sheets(spark, tmp_path):
     workbook(tmp_path / "h.xlsx", [["Some Bank"], ["date", "Narration", "Chq./Ref.No.", "Value Dt", "Withdrawal Amt.", "Deposit Amt.", "Closing Balance"], ["********"], ["01/02/24", "Shop <one>", "0001", "01/02/24", 10.5, None, 1000], ["02/02/98", "Pay", None, None, None, "2,000.005", "3,000.00"], ["Total", None, None, None, 5, 5, 5]])
     when = datetime.datetime(2024, 3, 1)
