@@ -9,8 +9,9 @@ are bounded (``space_tree``); anchors stand in it too, and an anchor node
 knows the anchors below it alone. A pair of nodes has an interval of the
 inner products between them, from their centres, radii and norms. It goes on only
 if the interval reaches what some anchor of the group still needs: the score of
-the last row found so far, or the band. Pairs of leaves that are left are scored exactly,
-a bounded number of candidate leaves in a task.
+the last row found so far, or the band. Pairs of leaves that are left are scored exactly.
+A task scores a group of anchor leaves with a part of the candidate leaves. Groups and parts are
+bounded in number, so what is copied for them grows with the vectors and not with the pairs.
 
 What an anchor needs at first comes from its own leaf, which is scored before.
 Positives are searched in a tree for each label, negatives in one for all.
@@ -26,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.scratch import materialize
+from ledgerloom.llm.scratch import discard, materialize
 from ledgerloom.llm.space_tree import STRIDE, grow
 from ledgerloom.llm.vectors import distinct_vectors, ids, integer_rows, matrix, merged_members
 
-#: Vectors in a leaf at most, and candidate leaves that one task scores for an anchor leaf.
-LEAF_ROWS, TASK_LEAVES = 2048, 32
+#: Vectors in a leaf at most, and candidate leaves of a part at least.
+LEAF_ROWS, TASK_LEAVES = 2048, 16
+#: Parts of a tree's candidate leaves at most; anchors of a group at least, and groups of a tree at most.
+PARTS, GROUP_ROWS, GROUPS = 64, 16384, 4
 #: What rounding can move a bound by, as a share of the norms' product.
 ROUNDING = 1e-9
 
@@ -122,48 +125,66 @@ def node_pairs(anchors: list[DataFrame], candidates: list[DataFrame]) -> DataFra
     return pairs
 
 
-def _codes(labels: list[str], of: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Labels as numbers: those of the anchors, -1 where no candidate has it, and those of the candidates."""
-    every = {label: i for i, label in enumerate(dict.fromkeys(of))}
-    return np.array([every.get(label, -1) for label in labels], np.int64), np.array([every[label] for label in of], np.int64)
+def _coded(labels: list[str], codes: dict[str, int]) -> np.ndarray:
+    """Labels as numbers of the task; ``codes`` grows."""
+    return np.array([codes.setdefault(label, len(codes)) for label in labels], np.int64)
 
 
 def _score(k: int, same_label: bool, seed: bool):
-    """Scores an anchor leaf with candidate leaves: for each search the ``k`` best classes within its band, or with ``seed`` the last of them."""
+    """Scores anchor leaves with the candidate leaves that they meet (``met``; with ``seed`` all): for each search the ``k`` best classes within its band, or with ``seed`` the last of them."""
 
     def run(anchors: pa.Table, candidates: pa.Table) -> pa.Table:
-        if not anchors.num_rows:
-            return pa.table({c: pa.array([], pa.int64()) for c in (("class_id", "key", "least") if seed else ("anchor", "key", "class_id", "first_id", "score"))})
-        wants = np.frombuffer(anchors.column("wants")[0].as_py(), np.int64).reshape(-1, 4)
-        names, labels = np.frombuffer(anchors.column("ids")[0].as_py(), np.int64), anchors.column("labels")[0].as_py()
-        x = np.frombuffer(anchors.column("v")[0].as_py(), np.int32).reshape(len(names), -1).astype(np.float64)
-        held: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 3 for _ in wants]
-        floor = wants[:, 2].copy()
-        for i in range(candidates.num_rows):
+        codes: dict[str, int] = {}
+        asking = {}
+        for i in range(anchors.num_rows):
+            leaf = {c: anchors.column(c)[i].as_py() for c in ("a", "ids", "labels", "v", "wants")}
+            wants, names = np.frombuffer(leaf["wants"], np.int64).reshape(-1, 4), np.frombuffer(leaf["ids"], np.int64)
+            x = np.frombuffer(leaf["v"], np.int32).reshape(len(names), -1).astype(np.float64)
+            held: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 3 for _ in wants]
+            asking[leaf["a"]] = (wants, names, _coded(leaf["labels"], codes), x, held, wants[:, 2].copy())
+        for i in range(candidates.num_rows if asking else 0):
             block = {c: candidates.column(c)[i].as_py() for c in ("ids", "first", "labels", "v")}
-            other, first = np.frombuffer(block["ids"], np.int64), np.frombuffer(block["first"], np.int64)
-            mine, theirs = _codes(labels, block["labels"])
+            other, first, theirs = np.frombuffer(block["ids"], np.int64), np.frombuffer(block["first"], np.int64), _coded(block["labels"], codes)
             y = np.frombuffer(block["v"], np.int32).reshape(len(other), -1).astype(np.float64)
-            for w, (row, _, _, most) in enumerate(wants):
-                if not w or row != wants[w - 1, 0]:  # searches of one anchor follow each other
-                    scores = (y @ x[row]).astype(np.int64)
-                    fits = (theirs == mine[row]) == same_label
-                near = np.flatnonzero(fits & (scores >= floor[w]) & (scores <= most))
-                if len(near):
-                    grown = tuple(np.concatenate(p) for p in zip(held[w], (scores[near], first[near], other[near]), strict=True))
-                    best = np.lexsort((grown[2], grown[1], -grown[0]))[:k]
-                    held[w] = tuple(g[best] for g in grown)
-                    if len(best) == k:
-                        floor[w] = held[w][0][-1]
+            for a in asking if seed else candidates.column("met")[i].as_py():
+                wants, _, mine, x, held, floor = asking[a]
+                products = (x @ y.T).astype(np.int64)
+                for w, (row, _, _, most) in enumerate(wants):
+                    if not w or row != wants[w - 1, 0]:  # searches of one anchor follow each other
+                        scores, fits = products[row], (theirs == mine[row]) == same_label
+                    near = np.flatnonzero(fits & (scores >= floor[w]) & (scores <= most))
+                    if len(near):
+                        grown = tuple(np.concatenate(p) for p in zip(held[w], (scores[near], first[near], other[near]), strict=True))
+                        best = np.lexsort((grown[2], grown[1], -grown[0]))[:k]
+                        held[w] = tuple(g[best] for g in grown)
+                        if len(best) == k:
+                            floor[w] = held[w][0][-1]
+        every = [(names[wants[:, 0]], wants[:, 1], held, floor) for wants, names, _, _, held, floor in asking.values()]
+        joined = lambda arrays: np.concatenate([np.zeros(0, np.int64), *arrays])
         if seed:
-            return pa.table({"class_id": names[wants[:, 0]], "key": wants[:, 1], "least": floor})
-        sizes = [len(h[0]) for h in held]
-        columns = [np.concatenate([h[c] for h in held]) for c in range(3)]
-        return pa.table({"anchor": np.repeat(names[wants[:, 0]], sizes), "key": np.repeat(wants[:, 1], sizes), "class_id": columns[2], "first_id": columns[1], "score": columns[0]})
+            return pa.table({"class_id": joined(e[0] for e in every), "key": joined(e[1] for e in every), "least": joined(e[3] for e in every)})
+        sizes = joined(np.array([len(h[0]) for h in e[2]], np.int64) for e in every)
+        columns = [joined(h[c] for e in every for h in e[2]) for c in range(3)]
+        return pa.table({"anchor": np.repeat(joined(e[0] for e in every), sizes), "key": np.repeat(joined(e[1] for e in every), sizes), "class_id": columns[2], "first_id": columns[1], "score": columns[0]})
 
     return run
 
 
+def deal(own: DataFrame, packed: DataFrame, pairs: DataFrame, task_leaves: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Leaf pairs with their task (``group, part``), and the anchor and the candidate leaves of each task.
+
+    A leaf goes to a task once, however many leaves it meets there; a candidate leaf names those (``met``).
+    """
+    groups = own.groupBy("root").agg(F.least(F.ceil(F.sum("n") / GROUP_ROWS), F.lit(GROUPS)).alias("groups"))
+    parts = packed.groupBy("root").agg(F.least(F.ceil(F.count("*") / task_leaves), F.lit(PARTS)).alias("parts"))
+    dealt = pairs.join(groups, "root").join(parts, "root").select("root", "a", "b", F.pmod(F.xxhash64("a"), "groups").alias("group"), F.pmod(F.xxhash64("b"), "parts").alias("part"))
+    dealt = materialize(dealt, "dealt_pairs")
+    left = own.select("root", F.col("node").alias("a"), "ids", "labels", "v", "wants").join(dealt.select("root", "a", "group", "part").distinct(), ["root", "a"])
+    met = dealt.groupBy("root", "b", "group", "part").agg(F.collect_list("a").alias("met"))
+    right = packed.select("root", F.col("node").alias("b"), "ids", "first", "labels", "v").join(met, ["root", "b"])
+    return dealt, left, right.select(*(F.col(c).alias(f"of_{c}") for c in ("root", "group", "part")), "met", "ids", "first", "labels", "v")
+
+
 def search(tree: DataFrame, rounds: int, wanted: DataFrame, k: int, same_label: bool, task_leaves: int = TASK_LEAVES) -> tuple[DataFrame, DataFrame]:
     """``anchor, key, class_id, score``: for each row of ``wanted`` (``class_id, key, least, most``) the ``k`` best classes within its band; and the leaf pairs scored."""
     columns = ["root", "node", "depth", "class_id", "first_id", "label", "v"]
@@ -171,19 +192,18 @@ def search(tree: DataFrame, rounds: int, wanted: DataFrame, k: int, same_label:
     asking = materialize(tree.select(*columns).join(wanted, "class_id"), "asking")
     home = packed.select(F.col("root").alias("of_root"), F.col("node").alias("of_node"), "ids", "first", "labels", "v")
     first = leaves(asking, "asking_leaves")
-    seeds = first.groupBy("root", "node").cogroup(home.groupBy("of_root", "of_node")).applyInArrow(_score(k, same_label, True), "class_id long, key long, least long")
-    seeded = asking.drop("least").join(materialize(seeds, "seeds"), ["class_id", "key"])
-    own = leaves(seeded, "seeded_leaves")
+    seeds = first.withColumn("a", F.col("node")).groupBy("root", "node").cogroup(home.groupBy("of_root", "of_node")).applyInArrow(_score(k, same_label, True), "class_id long, key long, least long")
+    seeds = materialize(seeds, "seeds")
+    own = leaves(asking.drop("least").join(seeds, ["class_id", "key"]), "seeded_leaves")
 
     pairs = node_pairs(levels(own, rounds, "anchor_nodes"), levels(packed, rounds, "candidate_nodes"))
-    counts = pairs.groupBy("root", "a").agg(F.ceil(F.count("*") / task_leaves).alias("tasks"))
-    dealt = materialize(pairs.join(counts, ["root", "a"]).withColumn("task", F.pmod(F.xxhash64("b"), F.col("tasks"))), "dealt_pairs")
-    left = own.select("root", F.col("node").alias("a"), "ids", "labels", "v", "wants").join(dealt.select("root", "a", "task").distinct(), ["root", "a"])
-    right = packed.select("root", F.col("node").alias("b"), "ids", "first", "labels", "v").join(dealt, ["root", "b"])
-    right = right.select(F.col("root").alias("of_root"), F.col("a").alias("of_a"), F.col("task").alias("of_task"), "ids", "first", "labels", "v")
-    scored = left.groupBy("root", "a", "task").cogroup(right.groupBy("of_root", "of_a", "of_task")).applyInArrow(_score(k, same_label, False), "anchor long, key long, class_id long, first_id long, score long")
+    dealt, left, right = deal(own, packed, pairs, task_leaves)
+    scored = left.groupBy("root", "group", "part").cogroup(right.groupBy("of_root", "of_group", "of_part")).applyInArrow(_score(k, same_label, False), "anchor long, key long, class_id long, first_id long, score long")
+    scored = materialize(scored, "scored")
+    for done in (packed, asking, first, seeds, own):
+        discard(done)
     order = Window.partitionBy("anchor", "key").orderBy(F.desc("score"), "first_id", "class_id")
-    best = materialize(scored, "scored").withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    best = scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
     return best.select("anchor", "key", "class_id", "score"), dealt
 
 
@@ -215,6 +235,7 @@ def mine(vectors: DataFrame, is_anchor: Column, label: Column, n_positives: int
     each = asking.select("class_id").distinct().select("class_id", *(F.lit(x).cast("long").alias(c) for c, x in (("key", 0), ("least", -far), ("most", far))))
     tree, rounds = grow(points.withColumn("root", F.concat_ws("|", F.size("v").cast("string"), "label")), leaf_rows)
     near, _ = search(tree, rounds, each, n_positives + 1, True, task_leaves)
+    discard(tree)
     first = merged_members(near.join(members, "class_id"), ["anchor"], n_positives + 1)
     own = asking.join(first, asking["class_id"] == first["anchor"]).select("anchor_id", "class_id", F.explode(F.slice(F.filter("first", lambda m: m["row"] != F.col("row")), 1, n_positives)).alias("m"))
     positives = materialize(own.select("anchor_id", F.col("class_id").alias("anchor"), F.col("m.id").alias("positive_id"), (-F.col("m.minus")).alias("key")), "positives")
@@ -224,6 +245,7 @@ def mine(vectors: DataFrame, is_anchor: Column, label: Column, n_positives: int
     bands = bands.withColumn("least", per_cent(least * F.col("key") + 99)).withColumn("most", per_cent(most * F.col("key"))).where("least <= most")
     tree, rounds = grow(points.withColumn("root", F.size("v").cast("string")), leaf_rows)
     hard, _ = search(tree, rounds, bands, n_negatives, False, task_leaves)
+    discard(tree)
     first = merged_members(hard.join(members, "class_id"), ["anchor", "key"], n_negatives)
     out = positives.join(first, ["anchor", "key"]).select("anchor_id", "positive_id", "key", F.posexplode("first").alias("place", "m"))
     return out.select("anchor_id", "positive_id", (F.col("place") + 1).cast("int").alias("rank"), F.col("m.id").alias("negative_id"), F.col("key").alias("positive_score"), (-F.col("m.minus")).alias("negative_score"))

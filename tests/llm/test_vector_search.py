@@ -127,6 +127,19 @@ def test_node_pairs_are_pruned_and_exact(spark):
     assert pairs.count() < 0.35 * n_leaves * n_anchor_leaves
 
 
+def test_leaves_are_copied_for_groups_and_not_for_pairs(spark):
+    points = clustered(spark, groups=1, each=1200).withColumn("root", F.lit("r"))
+    tree, rounds = space_tree.grow(points, 40)
+    far = 1 << 62
+    packed = negatives.leaves(tree, "packed")
+    own = negatives.leaves(tree.where("class_id % 30 = 0").withColumn("key", F.lit(0).cast("long")).withColumn("least", F.lit(-far)).withColumn("most", F.lit(far)), "own")
+    pairs = negatives.node_pairs(negatives.levels(own, rounds, "own_nodes"), negatives.levels(packed, rounds, "packed_nodes"))
+    dealt, left, right = negatives.deal(own, packed, pairs, 10)
+    parts = dealt.select("part").distinct().count()
+    assert dealt.count() == own.count() * packed.count() > 10 * packed.count()
+    assert parts > 1 and right.count() == packed.count() and left.count() == own.count() * parts
+
+
 def test_tree_leaves_are_bounded(spark):
     points = clustered(spark).withColumn("root", F.when(F.col("class_id") < 1800, "a").otherwise("b"))
     tree, rounds = space_tree.grow(points, 5, sample=200, portion=100)
