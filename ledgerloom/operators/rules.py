@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import normalise
 from ledgerloom.operators.changes import ChangeSet
+from ledgerloom.session import held
 
 #: Operators by field, and the kind of value they take.
 VOCABULARY = {"narration": (("contains", "equals"), "string"), "amount_paise": (("equals", "lt", "gt"), "number"), "txn_date": (("equals", "lt", "gt"), "string")}
@@ -140,9 +141,10 @@ def outcome(txns: DataFrame, allocations: DataFrame, rules: list[Rule]) -> DataF
 def apply_rules(txns: DataFrame, allocations: DataFrame, rules: list[Rule]) -> ChangeSet:
     """Bring the rule allocations of ``txns`` in line with the rules; a second run changes nothing.
 
-    Inserted rows have no id yet; see ``changes.next_ids``.
+    Inserted rows have no id yet; see ``changes.next_ids``. Outcomes are held, since both parts read them, and a filter
+    on the action would otherwise be pushed to the rows and repeat the rules' expressions there.
     """
-    rows = outcome(txns, allocations, rules)
+    rows = held(outcome(txns, allocations, rules).select("id", "remainder", "category_id", "rule_id", "action"))
     none = F.lit(None).cast("long")
     inserts = rows.where("action in ('create', 'replace')").select(
         none.alias("id"), F.col("id").alias("transaction_id"), F.col("remainder").alias("amount_paise"), "category_id", F.lit("0.80").cast("decimal(3,2)").alias("confidence"), F.lit("rule").alias("source"), "rule_id",

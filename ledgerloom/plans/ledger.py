@@ -10,6 +10,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.session import held
+
 #: Ids of mirror legs lie above those of all orders.
 MIRROR = 1_000_000_000_000
 LEDGER_ORDER = ("txn_date", "statement_id", "statement_seq", "id")
@@ -35,6 +37,13 @@ class Ledger:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
+    def once(self, *views: str) -> Ledger:
+        """The same ledger with some views computed once; for queries that read them, or others made of them, several times."""
+        out = Ledger(self.spark, self.folder)
+        for view in views:
+            out.__dict__[view] = held(getattr(out, view))
+        return out
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 

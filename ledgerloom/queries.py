@@ -399,6 +399,7 @@ def _(l: Ledger) -> DataFrame:
 
 @query("rul7_counters", f"SELECT count(*) FILTER (action IN ('create', 'replace')) AS created, count(*) FILTER (action IN ('replace', 'remove')) AS removed FROM ({OUTCOME})")
 def _(l: Ledger) -> DataFrame:
+    l = l.once("base")
     return rules.apply_rules(l.transactions, l.allocations, ALL_RULES).counters()
 
 

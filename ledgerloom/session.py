@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,8 +24,8 @@ def session(app: str = "ledgerloom", master: str | None = None, **settings: str)
     return builder.config(map=SETTINGS | settings).getOrCreate()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the session's checkpoint folder, which executors share.
+def _shared(df: DataFrame) -> str:
+    """The session's checkpoint folder, which executors share.
 
     A session on one machine without the setting gets a folder of its own; on a
     cluster that would not be shared, so this raises.
@@ -35,4 +36,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
         if not folder and not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ledgerloom-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the session's checkpoint folder."""
+    _shared(df)
     return df.checkpoint()
+
+
+def held(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept there as Parquet, so that later reads take the columns and rows that they need."""
+    path = f"{_shared(df)}/held-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -3,7 +3,8 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import queue, receipts, shared
+from ledgerloom.operators import queue, receipts, rules, shared
+from ledgerloom.plans.ledger import RULES, Ledger
 
 DAY = datetime.date(2024, 1, 2)
 
@@ -51,3 +52,13 @@ def test_views(spark):
     assert receipts.view_counts(orders, receipts.ORDER_VIEWS).collect()[0].asDict() == {"needs": 1, "matched": 1, "ambiguous": 1, "unmatched": 1, "all": 3}
     with pytest.raises(ValueError):
         receipts.in_view("other", receipts.ORDER_VIEWS)
+
+
+def test_views_are_held_once(spark, sf_dir):
+    """Views made of a held one read it and not the tables again; a rule's outcome is not repeated in the filters on it."""
+    plain = Ledger(spark, sf_dir)
+    held = plain.once("base")
+    assert sorted(held.transactions.collect(), key=str) == sorted(plain.transactions.collect(), key=str)
+    assert not any("lineitem" in f for f in held.transactions.unionByName(held.transactions).inputFiles() + held.allocations.inputFiles())
+    change = rules.apply_rules(held.transactions, held.allocations, [rules.rule_of(r) for r in RULES])
+    assert all("regexp_replace" not in part._jdf.queryExecution().optimizedPlan().toString() for part in (change.inserts, change.deletes))
