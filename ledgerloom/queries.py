@@ -755,6 +755,7 @@ WANTED_RULE = f"CASE {WINNER} WHEN 1 THEN 1001 WHEN 2 THEN 2002 WHEN 3 THEN 3003
     UNION ALL SELECT 'out', transaction_id, category_id, amount_paise, source, rule_id, evidence_id FROM gone WHERE source = 'evidence' OR transaction_id NOT IN (SELECT transaction_id FROM alike)""",
 )
 def _(l: Ledger) -> DataFrame:
+    l = l.once("base")
     links, change = _applied(l)
     return _flat(evidence.backfilled(change, links, l.transactions, l.allocations, ALL_RULES))
 
