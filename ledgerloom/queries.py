@@ -1641,7 +1641,7 @@ def _landed_statements(l: Ledger) -> landing.Landed:
     CAST((SELECT balance FROM b WHERE b.account_id = own.account_id) AS BIGINT) AS balance_paise FROM own GROUP BY bank, account_id""",
 )
 def _(l: Ledger) -> DataFrame:
-    landed = _landed_statements(l)
+    landed = _landed_statements(l.once("base"))
     return landed.files.join(landed.reconciled.select("account_id", "balance_paise"), "account_id")
 
 
