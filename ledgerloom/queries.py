@@ -1395,6 +1395,7 @@ def _(l: Ledger) -> DataFrame:
 )
 def _(l: Ledger) -> DataFrame:
     """All staged orders land on rows that paid them some days later, half of which a rule had explained."""
+    l = l.once("base", "lines", "artifacts")
     k = F.col("id")
     paid = receipts.staged(l.artifacts).select(
         k, F.lit(1).cast("long").alias("account_id"), F.date_add("record.order_date", (F.floor(k / 5) % 5).cast("int")).alias("txn_date"), (-F.col("record.total_paise")).alias("amount_paise"), F.lit("regular").alias("type"), F.lit("paid").alias("narration")
