@@ -582,6 +582,7 @@ def _keywords(l: Ledger) -> DataFrame:
 
 @query("trf5_keyword_pass")
 def _(l: Ledger) -> DataFrame:
+    l = l.once("base")
     return transfers.keyword_pass(l.transactions, _keywords(l), _locked(l))
 
 
