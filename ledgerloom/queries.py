@@ -593,6 +593,7 @@ def _(l: Ledger) -> DataFrame:
 
 @query("trf7_detect")
 def _(l: Ledger) -> DataFrame:
+    l = l.once("base")
     return transfers.detect(l.transactions, _keywords(l), _locked(l))
 
 
