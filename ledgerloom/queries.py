@@ -1335,6 +1335,7 @@ def _(l: Ledger) -> DataFrame:
     LEFT JOIN (SELECT x.id, count(*) AS hits, min(t.id) AS one FROM files x JOIN transactions t ON t.amount_paise = -x.total AND abs(date_diff('day', t.txn_date, x.day)) <= 3 GROUP BY x.id) h ON h.id = f.id WHERE f.parse_status = 'staged'""",
 )
 def _(l: Ledger) -> DataFrame:
+    l = l.once("base", "artifacts")
     rows = receipts.staged_orders(l.artifacts, l.aliases, l.items, l.transactions)
     count = lambda decision: F.size(F.filter("lines", lambda r: r["decision"] == decision))
     return rows.select("artifact_id", "total_paise", F.size("lines").alias("lines"), count("fee").alias("fees"), count("existing").alias("by_sku"), "outcome", "transaction_id")
