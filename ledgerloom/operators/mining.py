@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import normalise
 from ledgerloom.operators.rules import Rule
-from ledgerloom.session import checkpointed
+from ledgerloom.session import checkpointed, held
 
 #: Categories that a candidate's detail names.
 DETAIL = 4
@@ -95,21 +95,27 @@ def _measured(ledger: DataFrame, allocations: DataFrame, rules: Sequence[Rule],
     open_ = (F.col("amount_paise") != F.coalesce("explained", F.lit(0))).alias("open")
     caught = [rule.column().alias(f"rule_{i}") for i, rule in enumerate(rules)]
     used = F.coalesce("used", F.array().cast("array<bigint>")).alias("used")
-    rows = checkpointed(ledger.join(sums, "id", "left").select("id", open_, used, normalise(F.col("narration")).alias("normal"), F.when(open_, tokens(F.col("narration"))).alias("tokens"), *caught))
-    total = rows.count()
-    wanted = checkpointed(rows.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("support")).where(F.col("support") >= min_hits))
-    met = checkpointed(occurrences(rows, wanted).join(rows.drop("normal", "tokens"), "id"))
-
-    own = F.when(F.col("open"), F.col("id"))
-    base = met.groupBy("token").agg(
-        F.count(own).alias("hits"), F.count("*").alias("ledger_hits"), F.count(F.when(F.size("used") > 0, 1)).alias("explained_hits"),
-        F.sum(F.when(F.col("open"), F.xxhash64("id").cast("decimal(38,0)"))).alias("x"), F.sum(F.when(F.col("open"), F.hash("id").cast("decimal(38,0)"))).alias("y"),
-        *(F.count(F.when(F.col("open") & F.col(f"rule_{i}"), 1)).alias(f"rule_{i}") for i in range(len(rules))),
+    rows = held(ledger.join(sums, "id", "left").select("id", open_, used, normalise(F.col("narration")).alias("normal"), *caught))
+    is_open, whole = F.col("open"), lambda test: F.count(F.when(test, 1))
+    # Rows with one normal narration contain the same tokens: tokens meet each narration once, and sums are carried along.
+    classes = rows.groupBy("normal").agg(
+        F.count(F.when(is_open, F.col("id"))).alias("hits"), F.count("*").alias("ledger_hits"), whole(F.size("used") > 0).alias("explained_hits"), whole(is_open).alias("support"),
+        F.sum(F.when(is_open, F.xxhash64("id").cast("decimal(38,0)"))).alias("x"), F.sum(F.when(is_open, F.hash("id").cast("decimal(38,0)"))).alias("y"),
+        *(whole(is_open & F.col(f"rule_{i}")).alias(f"rule_{i}") for i in range(len(rules))),
     )
+    classes = checkpointed(classes.withColumn("id", F.monotonically_increasing_id()))
+    total = classes.agg(F.coalesce(F.sum("ledger_hits"), F.lit(0))).first()[0]
+    wanted = classes.where("support > 0").select(F.explode(tokens(F.col("normal"))).alias("token"), "support")
+    wanted = checkpointed(wanted.groupBy("token").agg(F.sum("support").alias("support")).where(F.col("support") >= min_hits))
+    met = checkpointed(occurrences(classes, wanted))
+
+    sums = ("hits", "ledger_hits", "explained_hits", "x", "y", *(f"rule_{i}" for i in range(len(rules))))
+    base = met.join(classes.select("id", *sums), "id").groupBy("token").agg(*(F.sum(c).alias(c) for c in sums))
     base = base.withColumn("breadth", F.round(F.col("ledger_hits") / F.lit(max(total, 1)), 3)).where((F.col("hits") >= min_hits) & (F.col("ledger_hits") <= F.lit(max_breadth) * F.lit(total)))
     first_rule = F.coalesce(F.lit(None).cast("string"), *(F.when(F.col(f"rule_{i}") == F.col("hits"), F.lit(rule.name)) for i, rule in enumerate(rules)))
 
-    by_category = met.select("token", F.explode("used").alias("category_id")).groupBy("token", "category_id").agg(F.count("*").alias("count"))
+    used_by = rows.select("normal", F.explode("used").alias("category_id")).groupBy("normal", "category_id").agg(F.count("*").alias("count")).join(classes.select("normal", "id"), "normal")
+    by_category = met.join(used_by, "id").groupBy("token", "category_id").agg(F.sum("count").alias("count"))
     by_category = by_category.withColumn("place", F.row_number().over(Window.partitionBy("token").orderBy(F.desc("count"), "category_id")))
     top = F.array_sort(F.collect_list(F.when(F.col("place") <= DETAIL, F.struct("place", "category_id", "count"))))
     spread = by_category.groupBy("token").agg(F.count("*").alias("spread"), F.transform(top, lambda d: F.struct(d["category_id"].alias("category_id"), d["count"].alias("count"))).alias("spread_detail"))

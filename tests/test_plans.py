@@ -3,7 +3,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import queue, receipts, rules, shared
+from ledgerloom.operators import mining, queue, receipts, rules, shared
 from ledgerloom.plans.ledger import RULES, Ledger
 
 DAY = datetime.date(2024, 1, 2)
@@ -62,3 +62,14 @@ def test_views_are_held_once(spark, sf_dir):
     assert not any("lineitem" in f for f in held.transactions.unionByName(held.transactions).inputFiles() + held.allocations.inputFiles())
     change = rules.apply_rules(held.transactions, held.allocations, [rules.rule_of(r) for r in RULES])
     assert all("regexp_replace" not in part._jdf.queryExecution().optimizedPlan().toString() for part in (change.inserts, change.deletes))
+
+
+def test_tokens_meet_each_narration_once(spark, monkeypatch):
+    seen = []
+    meet = mining.occurrences
+    monkeypatch.setattr(mining, "occurrences", lambda rows, wanted: seen.append(rows.count()) or meet(rows, wanted))
+    ledger = spark.createDataFrame([(i, 100, f"pos-{100000 + i}-corner shop" if i % 2 else "corner cafe") for i in range(40)], "id long, amount_paise long, narration string")
+    allocations = spark.createDataFrame([(1, 100, 5), (2, 100, 6), (3, 40, 5)], "transaction_id long, amount_paise long, category_id long")
+    found = {r.token: (r.hits, r.ledger_hits, r.explained_hits, r.spread) for r in mining.candidates(ledger, allocations).collect()}
+    assert found["corner"] == (38, 40, 3, 2) and found["corner shop"] == (19, 20, 2, 1) and found["cafe"] == (19, 20, 1, 1)
+    assert seen == [2]
