@@ -159,8 +159,10 @@ def same_rows(tokened: DataFrame) -> DataFrame:
 def covered(shown: DataFrame, ledger: DataFrame, allocations: DataFrame) -> DataFrame:
     """One row: unexplained rows, rows of the ledger, and how many unexplained ones some shown candidate (``token``) claims."""
     sums = allocations.groupBy(F.col("transaction_id").alias("id")).agg(F.sum("amount_paise").alias("explained"))
-    rows = ledger.join(sums, "id", "left").select("id", (F.col("amount_paise") != F.coalesce("explained", F.lit(0))).alias("open"), normalise(F.col("narration")).alias("normal"))
-    rows = checkpointed(rows)
-    claimed = occurrences(rows.where("open"), checkpointed(shown.select("token").distinct())).select("id").distinct()
-    totals = rows.agg(F.count(F.when(F.col("open"), 1)).alias("unexplained"), F.count("*").alias("ledger"))
-    return totals.join(claimed.agg(F.count("*").alias("covered")), F.lit(True))
+    rows = ledger.join(sums, "id", "left").select((F.col("amount_paise") != F.coalesce("explained", F.lit(0))).alias("open"), normalise(F.col("narration")).alias("normal"))
+    classes = rows.groupBy("normal").agg(F.count(F.when(F.col("open"), 1)).alias("unexplained"), F.count("*").alias("ledger"))
+    classes = checkpointed(classes.withColumn("id", F.monotonically_increasing_id()))
+    claimed = occurrences(classes.where("unexplained > 0"), checkpointed(shown.select("token").distinct())).select("id").distinct()
+    sum_of = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    totals = classes.agg(sum_of("unexplained").alias("unexplained"), sum_of("ledger").alias("ledger"))
+    return totals.join(classes.join(claimed, "id", "left_semi").agg(sum_of("unexplained").alias("covered")), F.lit(True))

@@ -72,4 +72,6 @@ def test_tokens_meet_each_narration_once(spark, monkeypatch):
     allocations = spark.createDataFrame([(1, 100, 5), (2, 100, 6), (3, 40, 5)], "transaction_id long, amount_paise long, category_id long")
     found = {r.token: (r.hits, r.ledger_hits, r.explained_hits, r.spread) for r in mining.candidates(ledger, allocations).collect()}
     assert found["corner"] == (38, 40, 3, 2) and found["corner shop"] == (19, 20, 2, 1) and found["cafe"] == (19, 20, 1, 1)
-    assert seen == [2]
+    shown = spark.createDataFrame([("shop",)], "token string")
+    assert tuple(mining.covered(shown, ledger, allocations).first()) == (38, 40, 19)
+    assert seen == [2, 2]
