@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from ledgerloom.operators.graph import components
 LINK, PROPOSE, CANDIDATES = 88, 55, 5
 #: Pairs below this are no candidates at all.
 LEAST_SIMILARITY = 30
+#: Lines of a part, about.
+PART_LINES = 250_000
 
 
 def canon_index(items: DataFrame) -> DataFrame:
@@ -128,10 +132,15 @@ def item_stats(items: DataFrame, lines: DataFrame, aliases: DataFrame) -> DataFr
 
 def staged_products(lines: DataFrame, items: DataFrame) -> DataFrame:
     """Goods lines grouped by product: how often, for how much, in which orders (the first eight)."""
-    rows = lines.where("kind = 'goods'").join(items.select(F.col("id").alias("item_id"), "label"), "item_id")
-    orders = rows.select("item_id", "evidence_id").distinct().withColumn("_n", F.row_number().over(Window.partitionBy("item_id").orderBy("evidence_id"))).where("_n <= 8")
-    some = orders.groupBy("item_id").agg(F.array_join(F.sort_array(F.collect_list("evidence_id")), ",").alias("orders"))
-    return rows.groupBy("item_id").agg(F.max("label").alias("label"), F.count("*").alias("lines"), F.sum("amount_paise").alias("amount_paise"), F.count_distinct("evidence_id").alias("in_orders")).join(some, "item_id")
+    # Parts by the number of lines, and no text beside them: what a task sorts does not grow with the table.
+    goods = lines.where("kind = 'goods'").select("item_id", "evidence_id", "amount_paise")
+    parts = max(lines.sparkSession.sparkContext.defaultParallelism, math.ceil(goods.count() / PART_LINES))
+    labels = items.groupBy(F.col("id").alias("item_id")).agg(F.max("label").alias("label"))
+    rows = goods.repartition(parts, "item_id").join(items.select(F.col("id").alias("item_id")), "item_id")
+    each = rows.groupBy("item_id", "evidence_id").agg(F.count("*").alias("lines"), F.sum("amount_paise").alias("amount_paise"))
+    first = each.select("item_id", "evidence_id").withColumn("_n", F.row_number().over(Window.partitionBy("item_id").orderBy("evidence_id"))).where("_n <= 8")
+    some = first.groupBy("item_id").agg(F.array_join(F.sort_array(F.collect_list("evidence_id")), ",").alias("orders"))
+    return each.groupBy("item_id").agg(F.sum("lines").alias("lines"), F.sum("amount_paise").alias("amount_paise"), F.count("evidence_id").alias("in_orders")).join(some, "item_id").join(labels, "item_id").select("item_id", "label", "lines", "amount_paise", "in_orders", "orders")
 
 
 def merge_many(pairs: DataFrame, items: DataFrame, aliases: DataFrame, lines: DataFrame, proposals: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

@@ -3,7 +3,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import mining, queue, receipts, rules, shared
+from ledgerloom.operators import items, mining, queue, receipts, rules, shared
 from ledgerloom.plans.ledger import RULES, Ledger
 
 DAY = datetime.date(2024, 1, 2)
@@ -75,3 +75,11 @@ def test_tokens_meet_each_narration_once(spark, monkeypatch):
     shown = spark.createDataFrame([("shop",)], "token string")
     assert tuple(mining.covered(shown, ledger, allocations).first()) == (38, 40, 19)
     assert seen == [2, 2]
+
+
+def test_staged_products_in_parts_of_lines(spark, monkeypatch):
+    monkeypatch.setattr(items, "PART_LINES", 3)
+    lines = spark.createDataFrame([(e, i, "goods", 10) for e in range(5) for i in (1, 2, 2)], "evidence_id long, item_id long, kind string, amount_paise long")
+    found = items.staged_products(lines, spark.createDataFrame([(1, "a"), (2, "b")], "id long, label string"))
+    assert sorted(map(tuple, found.collect())) == [(1, "a", 5, 50, 5, "0,1,2,3,4"), (2, "b", 10, 100, 5, "0,1,2,3,4")]
+    assert "RepartitionByExpression [item_id" in found._jdf.queryExecution().optimizedPlan().toString()
