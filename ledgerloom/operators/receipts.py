@@ -153,14 +153,17 @@ def staged_orders(artifacts: DataFrame, aliases: DataFrame, items: DataFrame, ca
 
 def staged_summary(artifacts: DataFrame, aliases: DataFrame, items: DataFrame) -> DataFrame:
     """One row: staged and held artifacts, the staged total, and goods lines without a categorised item."""
-    orders = staged(artifacts)
-    skus = aliases.where("alias_kind = 'sku'").join(items.where("category_id is not null").select(F.col("id").alias("item_id")), "item_id").select("source_type", F.col("alias_value").alias("sku"))
-    open_ = record_lines(orders).where("kind = 'goods'").join(skus, ["source_type", "sku"], "left_anti")
+    skus = aliases.where("alias_kind = 'sku'").join(items.where("category_id is not null").select(F.col("id").alias("item_id")), "item_id").select("source_type", F.col("alias_value").alias("sku")).distinct()
     is_held, is_staged = F.col("parse_status").isin(*HELD).cast("long"), (F.col("parse_status") == "staged").cast("long")
-    none = F.lit(0).cast("long")
-    parts = artifacts.select(is_staged.alias("staged"), is_held.alias("held"), (is_staged * F.col("record.total_paise")).alias("total_paise"), none.alias("uncategorised_lines"))
-    parts = parts.unionByName(open_.select(none.alias("staged"), none.alias("held"), none.alias("total_paise"), F.lit(1).cast("long").alias("uncategorised_lines")))
-    return parts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in parts.columns))
+    none, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    row = lambda sku, *values: F.struct(sku.alias("sku"), *(v.alias(c) for v, c in zip(values, ("staged", "held", "total_paise", "lines"), strict=True)))
+    # A row for the artifact and one for each goods line, summed by SKU before they meet the catalogue: artifacts are read once, and lines without a SKU do not meet in one task.
+    goods = F.when(F.col("parse_status") == "staged", F.filter(_lines(F.col("record")), lambda r: r["kind"] == "goods"))
+    own = F.array(row(F.lit(None).cast("string"), is_staged, is_held, is_staged * F.col("record.total_paise"), none))
+    rows = artifacts.select("source_type", F.explode(F.concat(own, F.coalesce(F.transform(goods, lambda r: row(r["sku"], none, none, none, one)), F.array()))).alias("row"))
+    sums = rows.select("source_type", "row.*").groupBy("source_type", "sku").agg(*(F.sum(c).alias(c) for c in ("staged", "held", "total_paise", "lines")))
+    known = sums.join(skus.withColumn("known", F.lit(True)), ["source_type", "sku"], "left").withColumn("uncategorised_lines", F.when(F.col("known").isNull(), F.col("lines")))
+    return known.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("staged", "held", "total_paise", "uncategorised_lines")))
 
 
 def product_key() -> Column:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import items, mining, queue, receipts, rules, shared
+from ledgerloom.plans import ledger as plans
 from ledgerloom.plans.ledger import RULES, Ledger
 
 DAY = datetime.date(2024, 1, 2)
@@ -83,3 +84,13 @@ def test_staged_products_in_parts_of_lines(spark, monkeypatch):
     found = items.staged_products(lines, spark.createDataFrame([(1, "a"), (2, "b")], "id long, label string"))
     assert sorted(map(tuple, found.collect())) == [(1, "a", 5, 50, 5, "0,1,2,3,4"), (2, "b", 10, 100, 5, "0,1,2,3,4")]
     assert "RepartitionByExpression [item_id" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_artifacts_in_parts_of_lines_and_summed_once(spark, sf_dir, monkeypatch):
+    wanted = sorted(Ledger(spark, sf_dir).artifacts.collect(), key=str)
+    monkeypatch.setattr(plans, "PART_LINES", 500)
+    l = Ledger(spark, sf_dir)
+    parts = -(-l.table("lineitem").count() // 500)
+    assert l.artifacts.rdd.getNumPartitions() == parts and sorted(l.artifacts.collect(), key=str) == wanted
+    plan = receipts.staged_summary(l.artifacts, l.aliases, l.items)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list") == 1 and "RepartitionByExpression [l_orderkey" in plan
