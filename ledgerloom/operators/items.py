@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.text import canonical_name, similarity, trigrams, variant_difference
 from ledgerloom.operators.changes import next_ids
 from ledgerloom.operators.graph import components
+from ledgerloom.session import checkpointed
 
 LINK, PROPOSE, CANDIDATES = 88, 55, 5
 #: Pairs below this are no candidates at all.
 LEAST_SIMILARITY = 30
 #: Lines of a part, about.
 PART_LINES = 250_000
+#: Merged items that may be sent to every task.
+FEW_MOVES = 10_000
 
 
 def canon_index(items: DataFrame) -> DataFrame:
@@ -163,9 +166,14 @@ def merge_many(pairs: DataFrame, items: DataFrame, aliases: DataFrame, lines: Da
     ends = roles.groupBy("component").agg(F.coalesce(F.min(F.when(F.col("dropped").isNull(), F.col("node"))), F.min("node")).alias("keeper"))
     moves = groups.join(ends, "component").where("node <> keeper").select(F.col("node").alias("item"), "keeper")
 
+    moves = checkpointed(moves)
+    # Few moves go to every task; many, as a catalogue's size allows, do not go through the driver.
+    moves = moves.hint("broadcast" if moves.count() <= FEW_MOVES else "merge")
+
     def follow(rows: DataFrame, column: str) -> DataFrame:
+        """``rows`` with ``_to``; those without an item stay out of the join, where they would meet in one task."""
         to = moves.select(F.col("item").alias(column), F.col("keeper").alias("_to"))
-        return rows.join(to, column, "left")
+        return rows.where(F.col(column).isNotNull()).join(to, column, "left").unionByName(rows.where(F.col(column).isNull()).withColumn("_to", F.lit(None).cast("long")))
 
     adopted = items.join(moves, items["id"] == moves["item"]).where("category_id is not null").groupBy("keeper").agg(F.min_by("category_id", "id").alias("_category"))
     kept = items.join(moves.select(F.col("item").alias("id")), "id", "left_anti").join(adopted.withColumnRenamed("keeper", "id"), "id", "left")

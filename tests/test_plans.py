@@ -3,7 +3,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import items, mining, queue, receipts, rules, shared
+from ledgerloom.operators import graph, items, mining, queue, receipts, rules, shared
 from ledgerloom.plans import ledger as plans
 from ledgerloom.plans.ledger import RULES, Ledger
 
@@ -94,3 +94,16 @@ def test_artifacts_in_parts_of_lines_and_summed_once(spark, sf_dir, monkeypatch)
     assert l.artifacts.rdd.getNumPartitions() == parts and sorted(l.artifacts.collect(), key=str) == wanted
     plan = receipts.staged_summary(l.artifacts, l.aliases, l.items)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("collect_list") == 1 and "RepartitionByExpression [l_orderkey" in plan
+
+
+def test_merges_do_not_go_through_the_driver(spark, monkeypatch):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    seen, keep = [], graph.checkpointed
+    monkeypatch.setattr(graph, "checkpointed", lambda df: seen.append(plan(df)) or keep(df))
+    monkeypatch.setattr(items, "FEW_MOVES", 1)
+    known = spark.createDataFrame([(i, f"i{i}", i) for i in range(5)], "id long, label string, category_id long")
+    aliases = spark.createDataFrame([(2, "s", "sku", "2")], "item_id long, source_type string, alias_kind string, alias_value string")
+    lines = spark.createDataFrame([(k, i) for k, i in enumerate([2, None, 4, None])], "line long, item_id long")
+    merged = items.merge_many(spark.createDataFrame([(1, 2), (2, 3)], "keep long, drop long"), known, aliases, lines, spark.createDataFrame([(0, 4), (0, 3)], "lo_item_id long, hi_item_id long"))
+    assert len(seen) > 2 and not any("Broadcast" in x for x in [*seen, *map(plan, merged)])
+    assert sorted(map(tuple, merged[2].collect())) == [(0, 1), (1, None), (2, 4), (3, None)]
