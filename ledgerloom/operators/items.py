@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.text import canonical_name, similarity, trigrams, variant_difference
 from ledgerloom.operators.changes import next_ids
 from ledgerloom.operators.graph import components
-from ledgerloom.session import checkpointed
+from ledgerloom.session import checkpointed, held
 
 LINK, PROPOSE, CANDIDATES = 88, 55, 5
 #: Pairs below this are no candidates at all.
 LEAST_SIMILARITY = 30
 #: Lines of a part, about.
 PART_LINES = 250_000
+#: Names of a part, about, that are compared with the catalogue.
+PART_NAMES = 250
 #: Merged items that may be sent to every task.
 FEW_MOVES = 10_000
 
@@ -31,8 +33,10 @@ def similar(left: DataFrame, right: DataFrame) -> DataFrame:
 
     Two texts meet on a prefix of their trigrams in order of rarity, long enough that every such pair meets.
     """
+    # Parts by the number of texts: the few bytes of a text say nothing of its many pairs.
+    parts = max(left.sparkSession.sparkContext.defaultParallelism, math.ceil(left.count() / PART_NAMES))
     counts = right.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("df"))
-    meet = _prefix(left, counts, "left").join(_prefix(right, counts, "right"), "g").select("left", "right").distinct()
+    meet = _prefix(left, counts, "left", parts).join(_prefix(right, counts, "right"), "g").select("left", "right").distinct()
     a = left.select(F.col("canon").alias("left"), F.col("grams").alias("x"))
     b = right.select(F.col("canon").alias("right"), F.col("grams").alias("y"))
     return meet.join(a, "left").join(b, "right").withColumn("similarity", similarity(F.col("x"), F.col("y"))).where(F.col("similarity") >= LEAST_SIMILARITY).select("left", "right", "similarity")
@@ -44,19 +48,28 @@ def candidates(wanted: DataFrame, items: DataFrame) -> DataFrame:
     Names are compared once however many lines bear them, and names and items as
     classes of equal canonical forms, so a common product is one row here.
     """
-    named = wanted.select("name").distinct().withColumn("canon", canonical_name(F.col("name")))
+    named = held(wanted.select("name").distinct().withColumn("canon", canonical_name(F.col("name"))))
     left = named.select("canon").distinct().withColumn("grams", trigrams(F.col("canon")))
-    index = canon_index(items)
+    # The first items of a class are among the first of its labels, and the best items among those of the best classes.
+    index = held(canon_index(_first(items.select("id", "label"), "label", "id")))
     scored = similar(left, index.select("canon", "grams").distinct())
     order = Window.partitionBy("left").orderBy(F.desc("similarity"), "item_id")
-    best_items = index.select(F.col("canon").alias("right"), "item_id").withColumn("_k", F.row_number().over(Window.partitionBy("right").orderBy("item_id"))).where(F.col("_k") <= CANDIDATES)
-    top = scored.join(best_items, "right").withColumn("place", F.row_number().over(order)).where(F.col("place") <= CANDIDATES)
+    best_items = _first(index.select(F.col("canon").alias("right"), "item_id"), "right", "item_id")
+    classes = scored.join(best_items.groupBy("right").agg(F.min("item_id").alias("item_id")), "right").withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= CANDIDATES).select("left", "right", "similarity")
+    top = classes.join(best_items, "right").withColumn("place", F.row_number().over(order)).where(F.col("place") <= CANDIDATES)
     return named.join(top.withColumnRenamed("left", "canon"), "canon").select("name", "item_id", "similarity", "place")
 
 
-def _prefix(rows: DataFrame, counts: DataFrame, name: str) -> DataFrame:
+def _first(rows: DataFrame, by: str, order: str) -> DataFrame:
+    """The first CANDIDATES rows of each ``by``."""
+    return rows.withColumn("_k", F.row_number().over(Window.partitionBy(by).orderBy(order))).where(F.col("_k") <= CANDIDATES).drop("_k")
+
+
+def _prefix(rows: DataFrame, counts: DataFrame, name: str, parts: int | None = None) -> DataFrame:
     """The rarest trigrams of each canon: all but as many as any good partner must share, and one."""
     each = rows.select(F.col("canon").alias(name), F.size("grams").alias("n"), F.explode("grams").alias("g")).join(counts, "g", "left")
+    if parts:
+        each = each.repartition(parts, name)
     place = F.row_number().over(Window.partitionBy(name).orderBy(F.coalesce("df", F.lit(0)), "g"))
     # half a hundredth may have been rounded up
     needed = F.ceil(F.col("n") * (LEAST_SIMILARITY - 0.5) / 100)
@@ -65,7 +78,7 @@ def _prefix(rows: DataFrame, counts: DataFrame, name: str) -> DataFrame:
 
 def by_alias(lines: DataFrame, aliases: DataFrame) -> DataFrame:
     """``lines`` (line_id, source_type, sku, name) with ``alias_item`` and ``via``: the SKU's item, else the canonical name's."""
-    known = {k: aliases.where(F.col("alias_kind") == k).select("source_type", F.col("alias_value").alias(c), F.col("item_id").alias(f"_{k}")) for k, c in (("sku", "sku"), ("name", "canon"))}
+    known = {k: aliases.where(F.col("alias_kind") == k).select("source_type", F.col("alias_value").alias(c), F.col("item_id").alias(f"_{k}")).hint("merge") for k, c in (("sku", "sku"), ("name", "canon"))}
     rows = lines.withColumn("canon", canonical_name(F.col("name"))).join(known["sku"], ["source_type", "sku"], "left").join(known["name"], ["source_type", "canon"], "left")
     via = F.when(F.col("_sku").isNotNull(), "sku").when(F.col("_name").isNotNull(), "name")
     return rows.withColumn("alias_item", F.coalesce("_sku", "_name")).withColumn("via", via).drop("_sku", "_name", "canon")
@@ -78,14 +91,16 @@ def resolve(lines: DataFrame, aliases: DataFrame, items: DataFrame) -> DataFrame
     source is another variant at best (its own SKU would have been an alias): it is strong
     only if the two names differ as variants of one product do. Exactly one strong candidate links; two say that the
     catalogue repeats itself. ``confidence``: 100 for an alias or without a near name, the similarity of a
-    link, and what the nearest proposal leaves of 100.
+    link, and what the nearest proposal leaves of 100. Lines that print the same are decided
+    once; neither they nor the catalogue go through the driver.
     """
-    rows = by_alias(lines, aliases)
-    open_ = rows.where("alias_item is null").select("name", "source_type").distinct()
+    printed = ["source_type", "sku", "name"]
+    rows = by_alias(held(lines.select(*printed).distinct()), aliases)
+    open_ = held(rows.where("alias_item is null").select("name", "source_type").distinct())
     sold = aliases.where("alias_kind = 'sku'").select("source_type", "item_id").distinct().withColumn("sold", F.lit(True))
-    near = candidates(open_, items).join(open_, "name").join(sold, ["source_type", "item_id"], "left")
-    near = near.join(items.select(F.col("id").alias("item_id"), canonical_name(F.col("label")).alias("theirs")), "item_id")
-    variant = variant_difference(canonical_name(F.col("name")), F.col("theirs"))["same_product"]
+    near = candidates(open_, items).join(open_, "name").join(sold.hint("merge"), ["source_type", "item_id"], "left")
+    near = near.join(items.select(F.col("id").alias("item_id"), "label").hint("merge"), "item_id")
+    variant = variant_difference(canonical_name(F.col("name")), canonical_name(F.col("label")))["same_product"]
     strong = (F.col("similarity") >= LINK) & (F.col("sold").isNull() | variant)
     best = near.groupBy("name", "source_type").agg(
         F.count(F.when(strong, 1)).alias("strong"), F.min_by(F.when(strong, F.struct("item_id", "similarity")), F.when(strong, F.col("place"))).alias("one"),
@@ -96,7 +111,11 @@ def resolve(lines: DataFrame, aliases: DataFrame, items: DataFrame) -> DataFrame
     decision = F.when(old, "existing").when(link, "link").when(near_name, "create_and_propose").otherwise("create")
     item = F.when(old, F.col("alias_item")).when(link, F.col("one.item_id")).when(near_name, F.col("top_item"))
     confidence = F.when(old, 100).when(link, F.col("one.similarity")).when(near_name, 100 - F.col("top")).otherwise(100)
-    return out.select("line_id", decision.alias("decision"), item.alias("item_id"), confidence.cast("int").alias("confidence"))
+    decided = out.select(*(F.col(c).alias(f"_{c}") for c in printed), decision.alias("decision"), item.alias("item_id"), confidence.cast("int").alias("confidence"))
+    same = F.lit(True)
+    for c in printed:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return lines.select("line_id", *printed).join(decided.hint("merge"), same, "left").select("line_id", "decision", "item_id", "confidence")
 
 
 def record_sightings(lines: DataFrame, aliases: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

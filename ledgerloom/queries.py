@@ -967,7 +967,7 @@ def _(l: Ledger) -> DataFrame:
     CAST(CASE WHEN sku % 4 <> 0 THEN 100 WHEN strong = 1 THEN one_sim WHEN top >= 55 THEN 100 - top ELSE 100 END AS BIGINT) AS confidence FROM l LEFT JOIN b USING (name)""",
 )
 def _(l: Ledger) -> DataFrame:
-    lines = l.lines.where("item_id is not null").join(l.printed, "item_id")
+    lines = l.lines.where("item_id is not null").join(l.printed.hint("merge"), "item_id")
     rows = lines.select(F.concat_ws("-", F.col("evidence_id").cast("string"), F.col("line_index").cast("string")).alias("line_id"), F.lit("invoice").alias("source_type"), F.col("item_id").cast("string").alias("sku"), "name")
     return items.resolve(rows, l.aliases, l.items)
 

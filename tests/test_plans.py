@@ -3,6 +3,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import text
 from ledgerloom.operators import graph, items, mining, queue, receipts, rules, shared
 from ledgerloom.plans import ledger as plans
 from ledgerloom.plans.ledger import RULES, Ledger
@@ -107,3 +108,28 @@ def test_merges_do_not_go_through_the_driver(spark, monkeypatch):
     merged = items.merge_many(spark.createDataFrame([(1, 2), (2, 3)], "keep long, drop long"), known, aliases, lines, spark.createDataFrame([(0, 4), (0, 3)], "lo_item_id long, hi_item_id long"))
     assert len(seen) > 2 and not any("Broadcast" in x for x in [*seen, *map(plan, merged)])
     assert sorted(map(tuple, merged[2].collect())) == [(0, 1), (1, None), (2, 4), (3, None)]
+
+
+def test_lines_that_print_the_same_are_decided_once(spark, monkeypatch):
+    seen, by_alias = [], items.by_alias
+    monkeypatch.setattr(items, "by_alias", lambda rows, aliases: seen.append((rows.count(), by_alias(rows, aliases))) or seen[-1][1])
+    catalogue = spark.createDataFrame([(i, f"blue steel bolt {'xy'[i % 2]}") for i in range(1, 15)] + [(20, "red ring")], "id long, label string")
+    aliases = spark.createDataFrame([(20, "s", "sku", "20")], "item_id long, source_type string, alias_kind string, alias_value string")
+    each = [("20", "ring, red"), (None, "Blue steel bolt x"), (None, "Blue steel bolt x"), ("20", "ring, red"), (None, None), (None, None)]
+    lines = spark.createDataFrame([(k, "s", *x) for k, x in enumerate(each)], "line_id int, source_type string, sku string, name string")
+    found = sorted((r.line_id, r.decision, r.item_id, r.confidence) for r in items.resolve(lines, aliases, catalogue).collect())
+    assert found == [(0, "existing", 20, 100), (1, "create_and_propose", 2, 0), (2, "create_and_propose", 2, 0), (3, "existing", 20, 100), (4, "create", None, 100), (5, "create", None, 100)]
+    assert seen[0][0] == 3 and "Broadcast" not in seen[0][1]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_best_items_are_among_the_best_classes(spark):
+    words = ("steel", "bolts", "rings", "blues")
+    labels = [(i, f"{words[i % 4]} {words[i * 7 % 3]}") for i in range(1, 60)]
+    found = items.candidates(spark.createDataFrame([("blues bolts",), ("steel rings",)], "name string"), spark.createDataFrame(labels, "id long, label string"))
+    pairs = spark.createDataFrame([(n, i, x) for n in ("blues bolts", "steel rings") for i, x in labels], "name string, item_id long, label string")
+    near = pairs.select("name", "item_id", text.similarity(text.trigrams(F.col("name")), text.trigrams(F.col("label"))).alias("similarity")).where("similarity >= 30").collect()
+    for name in ("blues bolts", "steel rings"):
+        best = sorted((-r.similarity, r.item_id) for r in near if r.name == name)[:5]
+        assert [(-r.similarity, r.item_id) for r in found.where(F.col("name") == name).orderBy("place").collect()] == best and len(best) == 5
+    tasks = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [left" in tasks
