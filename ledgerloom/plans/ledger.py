@@ -18,8 +18,8 @@ MIRROR = 1_000_000_000_000
 LEDGER_ORDER = ("txn_date", "statement_id", "statement_seq", "id")
 #: The lines of an order, by everything that tells them apart.
 LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
-#: Lines of a part, about, where whole orders are put together.
-PART_LINES = 250_000
+#: Lines of a part, about, where whole orders are put together. Beyond 200 parts Spark sorts what a task writes in its memory.
+PART_LINES = 1_200_000
 
 #: name, conditions (field, op, value, kind), mode, category, priority, enabled
 RULES = (
