@@ -9,23 +9,43 @@ empty table gives no rows; further columns pass through whatever their names.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import decontam, jaccard, packing, pii, queries, toxicity
 from ledgerloom.llm.scratch import free_name, materialize
 
+#: Bytes of an Arrow batch. By its rows alone (10,000) a batch of texts takes tens of megabytes
+#: in the executor's JVM, twice that while its buffers grow, and as much in the Python worker.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(stage):
+    """``stage`` with Arrow batches of BATCH_BYTES; the session keeps the setting, since a stage runs when its rows are asked for."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
 
+@small_batches
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under one half; learned from the labelled documents of the corpus."""
     return toxicity.drop_toxic(docs, queries.toxicity_model(spark, sf_dir), threshold=0.5)
 
 
+@small_batches
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies."""
     return jaccard.keep_one(docs, width=5, similarity="0.8")
 
 
+@small_batches
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth repeats benchmark windows."""
     return decontam.drop_contaminated(docs, queries.table(spark, sf_dir, "benchmark"), window=13, share=20)
@@ -38,6 +58,7 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return fresh.withColumn("n_chars", F.when(F.col(replaced) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop(replaced)
 
 
+@small_batches
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents and their places in sequences of 2048 tokens."""
     return packing.pack_documents(docs, queries.tokenizer_path(), packing.Limits(tokens=2048), rule="residual")

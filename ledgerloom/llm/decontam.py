@@ -1,6 +1,6 @@
 """Benchmark decontamination with suffix arrays over the training text.
 
-The training text is read in shards of a few megabytes. Each shard gets a suffix
+The training text is read in shards of a megabyte. Each shard gets a suffix
 array over its words, and every suffix of every benchmark item is looked up in
 it by binary search. A window (``window`` words of an item, or the whole item if
 it is shorter) that occurs in a document marks the document's words as hit.
@@ -39,11 +39,14 @@ from ledgerloom.llm.words import alphanumeric, mix, shards, texts_to_hashes
 
 #: Words of the benchmark that a task holds at a time.
 BLOCK_WORDS = 4_000_000
-SHARD_BYTES = 8 << 20
+#: Bytes of training text that get a suffix array at a time; where every word can match, the arrays take some 60 times as much.
+SHARD_BYTES = 1 << 20
 PREFIX = 3
-#: Occurrences expanded, and item suffixes searched, at a time.
-EXPAND = 1 << 20
-SEARCHED = 1 << 18
+#: Buckets in which the filter looks first.
+MARKS = 1 << 20
+#: Occurrences expanded, and suffixes searched or given their heads, at a time.
+EXPAND = 1 << 17
+SEARCHED = 1 << 15
 _TABLE = alphanumeric()
 
 REPORT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, item_ids array<long>, longest_words long, longest_item long, longest_at long"
@@ -61,6 +64,7 @@ class Suffixes:
     prefix: int  # first words that the filter compares
     known: np.ndarray  # sorted hashes of those
     slot: np.ndarray  # which of them a suffix has
+    marks: np.ndarray  # the buckets that they fall into
 
     @staticmethod
     def of(ids: np.ndarray, words: list[np.ndarray], window: int) -> Suffixes:
@@ -73,7 +77,9 @@ class Suffixes:
         joined_up = np.concatenate([x for w in words for x in (w, np.zeros(1, np.uint64))]) if words else np.zeros(0, np.uint64)
         prefix = min(PREFIX, int(lengths.min(initial=PREFIX)))
         known, slot = np.unique(prefix_hashes(joined_up, start, prefix), return_inverse=True)
-        return Suffixes(joined_up, start.astype(np.int32), lengths.astype(np.int16), np.repeat(np.asarray(ids, np.int64), own), window, prefix, known, slot.astype(np.int32))
+        marks = np.zeros(MARKS, bool)
+        marks[(known & np.uint64(MARKS - 1)).astype(np.int64)] = True
+        return Suffixes(joined_up, start.astype(np.int32), lengths.astype(np.int16), np.repeat(np.asarray(ids, np.int64), own), window, prefix, known, slot.astype(np.int32), marks)
 
     def heads(self, rows: np.ndarray) -> np.ndarray:
         """The windows of these suffixes, zero past the end of a short item."""
@@ -101,15 +107,16 @@ def suffix_array(words: np.ndarray, ends: np.ndarray, suffixes: Suffixes) -> tup
     key = np.zeros(len(words) - n + 1, np.uint64)
     for i in range(n):
         key = mix(key + words[i : len(words) - n + 1 + i])
-    seen = np.zeros(1 << 20, bool)
-    seen[(suffixes.known & np.uint64(len(seen) - 1)).astype(np.int64)] = True
-    at = np.flatnonzero(seen[(key & np.uint64(len(seen) - 1)).astype(np.int64)])
+    at = np.flatnonzero(suffixes.marks[(key & np.uint64(MARKS - 1)).astype(np.int64)])
     found = np.minimum(np.searchsorted(suffixes.known, key[at]), len(suffixes.known) - 1)
     kept = (suffixes.known[found] == key[at]) & (at + n <= ends[at])
     at, present = at[kept], np.zeros(len(suffixes.known), bool)
     present[found[kept]] = True
-    index = at[:, None] + np.arange(window)
-    heads = np.where(index < ends[at][:, None], words[np.minimum(index, len(words) - 1)], np.uint64(0))
+    heads = np.empty((len(at), window), np.uint64)
+    for lo in range(0, len(at), SEARCHED):
+        some = at[lo : lo + SEARCHED]
+        index = some[:, None] + np.arange(window)
+        heads[lo : lo + SEARCHED] = np.where(index < ends[some][:, None], words[np.minimum(index, len(words) - 1)], np.uint64(0))
     order = np.lexsort(heads.T[::-1])
     return at[order], heads[order], np.flatnonzero(present[suffixes.slot])
 

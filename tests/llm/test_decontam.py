@@ -3,10 +3,14 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from ledgerloom.llm import decontam, queries
+from ledgerloom.llm.words import texts_to_hashes
 
 
 def words_of(text):
@@ -105,3 +109,31 @@ def test_rows_are_judged_by_themselves(spark, monkeypatch, blocks):
     clashing = d.withColumnRenamed("row", "_ROW").withColumn("id", d.text)
     kept = decontam.drop_contaminated(clashing, b, window=6)
     assert kept.columns == clashing.columns and sorted(r["_ROW"] for r in kept.collect()) == [2, 5, 6, 7]
+
+
+@pytest.mark.parametrize("hits", [False, True])
+def test_memory_of_a_long_run_of_texts(hits):
+    """Arrays over the texts of a batch stay small, whether no word or every word can match."""
+    item = [f"t{i}" for i in range(400)]
+    text = " ".join(item if hits else [f"u{i}" for i in range(400)])
+    hashed = texts_to_hashes(np.frombuffer(" ".join(item).encode(), np.uint8), np.array([0, len(" ".join(item))]), decontam._TABLE)[0]
+    suffixes = decontam.Suffixes.of(np.array([1]), [hashed], 13)
+    column = pa.array([text] * ((8 << 20) // len(text)))
+    tracemalloc.start()
+    try:
+        seen = sum(h.sum() == (400 * len(h) if hits else 0) for _, _, _, h, *_ in decontam._shard_facts(column, suffixes))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert seen and peak < 100 << 20
+
+
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_words_beside_a_very_long_one(spark, monkeypatch, blocks):
+    items = [(1, "a b c d e f g"), (2, "h i j k l m")]
+    texts = [(1, "a b c d e f " + "x" * 70_000), (2, "n " * 50_000 + "h i j k l m " + "y" * 200_000), (3, "z" * 70_000)]
+    d, b = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    if blocks > 1:
+        monkeypatch.setattr(decontam, "BLOCK_WORDS", 2)
+    assert digest(decontam.decontaminate(d, b, window=6)) == brute(texts, items, window=6)
+    assert sorted(r.doc_id for r in decontam.drop_contaminated(d, b, window=6).collect()) == [2, 3]

@@ -1,7 +1,9 @@
 """The pipeline's stages, each on its predecessor's output, against plain versions."""
 
 import corpus_pipeline
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import pii, queries
 
@@ -67,3 +69,11 @@ def test_packing_and_run(spark, sf_dir, stages):
 def test_empty_input(spark, sf_dir, stage):
     docs = queries.table(spark, sf_dir, "documents").where("false")
     assert stage(spark, docs, sf_dir).count() == 0
+
+
+def test_texts_go_to_python_in_small_batches(spark, sf_dir):
+    docs = spark.range(0, 300, 1, 1).select(F.col("id").alias("doc_id"), F.expr("repeat('a b c d ', 12500)").alias("text"), F.lit("en").alias("lang"), F.lit("web").alias("source"), F.lit(100_000).cast("long").alias("n_chars"))
+    out = corpus_pipeline.drop_benchmark(spark, docs, sf_dir)
+    assert out.count() == 300
+    seen = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches), "n long").collect()
+    assert max(r.n for r in seen) < 8 << 20 and sum(r.n for r in seen) > 30_000_000
