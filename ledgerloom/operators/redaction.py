@@ -3,19 +3,24 @@
 A document is one row with its texts in order (pages, table cells), so all of it is a map: no shuffle, no Python, and
 stand-ins are numbered within the row. The same value gets the same stand-in in all texts of its document, since an
 order that two invoices name must still be one order.
+
+What it costs are the passes over each text. So an expression that names its text several times is a transform of its own,
+and patterns are literals, which a task compiles once, that begin with the plain word of a label, which Java finds by skipping.
 """
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The stand-ins and the printed labels that are known.
+# The stand-ins and the printed labels that are known. A label begins with a plain word.
 NAME, ADDRESS, PIN, HIDDEN = "Test Customer", "1 Example Road, Example Locality, Example City", "000000", "[redacted]"
 FIELDS = ((r"(Name\s*:\s*)[^\n]+", NAME), (r"(Address\s*:\s*)[^\n]+", ADDRESS), (r"(Pin\s*code\s*:\s*)\d+", PIN))
-BLOCK_START = r"(?:Billing|Shipping|Sold\s*By)\s*Address\s*:"
+BLOCK_LABELS = (r"Billing\s*Address\s*:", r"Shipping\s*Address\s*:", r"Sold\s*By\s*Address\s*:")
+BLOCK_START = f"(?:{'|'.join(BLOCK_LABELS)})"
 BLOCK_END = r"Order\s*(?:Number|Date)|Invoice|PAN\s*No|GST\s*Registration|FSSAI|State/UT|Place\s*of|Sl\.|Description|Tax\s*Invoice"
 #: Kind: the labelled patterns (label, value), and the stand-in around its number of so many digits.
 REFERENCES = {
@@ -31,18 +36,21 @@ def _quoted(value: Column) -> Column:
     return F.concat(F.lit(r"\Q"), F.replace(value, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
 
 
-def _hide_blocks(text: Column) -> Column:
-    """The lines after an address label, up to the next line with a known label, hidden; empty lines stay."""
-    blocks = F.split(text, rf"(?md)^(?=[^\n]*(?:{BLOCK_START}|{BLOCK_END}))")
+def _follow(text: Column, label: str, value: str, by: Column | str) -> Column:
+    """``text`` with what follows ``label`` replaced."""
+    word = re.match("[A-Za-z]+", label)[0]
+    return F.regexp_replace(text, F.lit(f"{word}({label.removeprefix(word)}){value}"), F.lit(f"{word}$1{by}") if isinstance(by, str) else F.concat_ws("", F.lit(f"{word}$1"), by))
 
-    def hide(block: Column) -> Column:
-        end = F.locate("\n", block)
-        head = F.when(end > 0, F.substring(block, F.lit(1), end - 1)).otherwise(block)
-        rest = F.when(end > 0, F.substring(block, end, F.length(block))).otherwise(F.lit(""))
-        hidden = F.concat(F.regexp_replace(head, r"(Address\s*:)[^\n]*", f"$1 {ADDRESS}"), F.regexp_replace(rest, r"(?md)^(?=[^\n]*\S)[^\n]+", HIDDEN))
-        return F.when(head.rlike(BLOCK_START), hidden).otherwise(block)
 
-    return F.array_join(F.transform(blocks, hide), "")
+def _hide_blocks(text: Column) -> Column:
+    """The lines after an address label, up to the next line with a known label, hidden; empty lines stay."""
+    *labels, start, end = (x.replace(r"\s*", r"[^\S\n]*") for x in (*BLOCK_LABELS, BLOCK_START, BLOCK_END))
+    for label in labels:
+        text = _follow(text, label, r"[^\n]*", f" {ADDRESS}")
+    # A match is the next line to hide and the empty lines before it; it begins at a label's line or where the last match ended. Looking ahead for initials only saves time.
+    first, initials = (f"[\n{''.join(sorted({x[0] for x in labels}))}]", f"[{''.join(sorted({x[0] for x in (*labels, *BLOCK_END.split('|'))}))}]")
+    line = rf"(?={first})(\G(?!\A)|{start}[^\n]*)(\n(?:[^\S\n]*\n)*+)(?![^\n]*(?={initials})(?:{start}|{end}))[^\S\n]*+\S[^\n]*"
+    return F.regexp_replace(text, line, f"$1$2{HIDDEN}")
 
 
 def _stand_in(number: Column, template: str, digits: int) -> Column:
@@ -51,23 +59,29 @@ def _stand_in(number: Column, template: str, digits: int) -> Column:
     return F.concat(F.lit(before), F.when(F.length(text) < digits, F.lpad(text, digits, "0")).otherwise(text), F.lit(after))
 
 
-def _exchange(text: Column, label: str, value: str, known: Column, template: str, digits: int) -> Column:
-    """``text`` with each labelled value replaced by the stand-in of its place in ``known``, in one pass over the text."""
-    pattern = f"({label})({value})"
-    kept, labels, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 1), F.regexp_extract_all(text, F.lit(pattern), 2)
-    pieces = F.transform(F.arrays_zip(labels.alias("label"), found.alias("value")), lambda m: F.concat(m["label"], _stand_in(F.array_position(known, m["value"]), template, digits)))
-    return F.array_join(F.flatten(F.transform(F.arrays_zip(kept.alias("kept"), pieces.alias("piece")), lambda p: F.array(p["kept"], F.coalesce(p["piece"], F.lit(""))))), "")
+def _found(texts: Column, label: str, value: str) -> Column:
+    """The values that follow a label, text by text."""
+    return F.transform(texts, lambda p: F.coalesce(F.regexp_extract_all(p, F.lit(f"{label}({value})"), 1), F.array().cast("array<string>")))
+
 
+def _numbered(kind: str, found: list[Column]) -> Column:
+    """The distinct values that were found, in order of the texts, the patterns and their places, each with its stand-in."""
+    _, template, digits = REFERENCES[kind]
+    values = F.array_distinct(F.flatten(reduce(lambda a, b: F.zip_with(a, b, lambda x, y: F.concat(x, y)), found)))
+    # A map, since array_position leaves its loop by an exception, which takes longer than a pass over a page.
+    return F.map_from_entries(F.transform(values, lambda v, i: F.struct(v, _stand_in(i + 1, template, digits))))
 
-def _known(texts: Column, patterns: tuple[tuple[str, str], ...]) -> Column:
-    """The distinct values that follow the labels, in order of the texts, the patterns and their places."""
-    found = F.transform(texts, lambda p: F.concat(*(F.regexp_extract_all(p, F.lit(f"{label}({value})"), 1) for label, value in patterns)))
-    return F.array_distinct(F.flatten(found))
 
+def _exchange(texts: Column, found: Column, label: str, value: str, numbered: Column) -> Column:
+    """``texts`` with the values that were found after a label replaced by their stand-ins."""
+    # Other stand-ins of the kind make or break no match, so as many values follow as were found.
+    match = f"{label}{value}"
 
-def _numbered(kind: str) -> Column:
-    _, template, digits = REFERENCES[kind]
-    return F.transform(f"_{kind}", lambda v, i: F.struct(F.lit(kind).alias("kind"), v.alias("value"), _stand_in(i + 1, template, digits).alias("stand_in")))
+    def several(text: Column, values: Column) -> Column:
+        pieces = F.zip_with(F.regexp_extract_all(text, F.lit(match), 0), values, lambda m, v: F.concat(F.substring(m, F.lit(1), F.length(m) - F.length(v)), F.element_at(numbered, v)))
+        return F.array_join(F.zip_with(F.split(text, match, -1), pieces, lambda kept, piece: F.concat(kept, F.coalesce(piece, F.lit("")))), "")
+
+    return F.zip_with(texts, found, lambda p, v: F.when(F.size(v) == 0, p).when(F.size(v) == 1, _follow(p, label, value, F.element_at(numbered, F.element_at(v, 1)))).otherwise(several(p, v)))
 
 
 def redact(documents: DataFrame, parts: str = "parts", forbidden: str | None = "forbidden") -> DataFrame:
@@ -81,31 +95,33 @@ def redact(documents: DataFrame, parts: str = "parts", forbidden: str | None = "
     strings are passed over. Other columns stay, but those three names are overwritten.
     """
     own = {c: F.col(f"`{c}`") for c in documents.columns}
-    plain = F.transform(own[parts], lambda p: _hide_blocks(reduce(lambda t, f: F.regexp_replace(t, f[0], f"$1{f[1]}"), FIELDS, p)))
-    texts = F.filter(F.col("_plain"), lambda p: p.isNotNull())
-    known = {kind: _known(texts, patterns).alias(f"_{kind}") for kind, (patterns, _, _) in REFERENCES.items()}
+
+    def plain(text: Column) -> Column:
+        for pattern, fake in FIELDS:
+            text = _follow(text, *pattern.removeprefix("(").split(")", 1), fake)
+        return _hide_blocks(text)
+
     secret = own[forbidden] if forbidden else F.array().cast("array<string>")
     secret = F.array_distinct(F.filter(F.coalesce(secret, F.array().cast("array<string>")), lambda v: F.length(v) > 0))
-    by_length = F.transform(F.reverse(F.array_sort(F.transform(secret, lambda v: F.struct(F.length(v).alias("n"), v.alias("v"))))), lambda s: s["v"])
-
-    def clean(pages: Column) -> Column:
-        # A pass over all texts for each pattern: an expression in a lambda is evaluated wherever it is named, so passes must not be nested in one text.
-        for kind, (patterns, template, digits) in REFERENCES.items():
-            for label, value in patterns:
-                pages = F.transform(pages, lambda p: _exchange(p, label, value, F.col(f"_{kind}"), template, digits))
-        return F.transform(pages, lambda p: F.regexp_replace(p, BARE_PAYMENT, BARE_STAND_IN))
+    by_length = F.transform(F.sort_array(F.transform(secret, lambda v: F.struct(F.length(v).alias("n"), v.alias("v"))), False), lambda s: s["v"])
 
     def scrub(text: Column) -> Column:
         return F.when(F.size("_secret") == 0, text).otherwise(F.regexp_replace(text, F.col("_hidden"), F.lit(r"[redacted]")))
 
     hidden = F.concat(F.lit("(?iu)"), F.array_join(F.transform(F.col("_secret"), _quoted), "|"))
-    rows = documents.select("*", plain.alias("_plain"), by_length.alias("_secret")).select("*", hidden.alias("_hidden"), *known.values())
-    rows = rows.withColumn("_clean", clean(F.col("_plain"))).withColumn("_clean", F.transform(F.col("_clean"), scrub))
-    replaced = F.flatten(F.array(*(_numbered(kind) for kind in REFERENCES)))
-    whole = F.array_join(F.col("_clean"), "\n")
+    rows = documents.select("*", F.transform(own[parts], plain).alias("_clean"), by_length.alias("_secret")).withColumn("_hidden", hidden)
+    for kind, (patterns, _, _) in REFERENCES.items():
+        names = [f"_{kind}{n}" for n in range(len(patterns))]
+        rows = rows.withColumns({n: _found(F.col("_clean"), *pattern) for n, pattern in zip(names, patterns, strict=True)})
+        rows = rows.withColumn(f"_{kind}", _numbered(kind, [F.col(n) for n in names]))
+        rows = rows.withColumn("_clean", reduce(lambda t, f: _exchange(t, F.col(f[0]), *f[1], F.col(f"_{kind}")), zip(names, patterns, strict=True), F.col("_clean")))
+    rows = rows.withColumn("_clean", F.transform("_clean", lambda p: scrub(F.regexp_replace(p, BARE_PAYMENT, BARE_STAND_IN))))
+    entries = [F.transform(F.map_entries(f"_{kind}"), lambda e: F.struct(F.lit(kind).alias("kind"), e["key"].alias("value"), e["value"].alias("stand_in"))) for kind in REFERENCES]
+    rows = rows.withColumn("_replaced", F.flatten(F.array(*entries))).withColumn("_whole", F.array_join("_clean", "\n"))
+    whole, values = F.col("_whole"), F.coalesce(F.col("_replaced")["value"], F.array().cast("array<string>"))
     left = F.filter(F.col("_secret"), lambda v: F.contains(F.lower(whole), F.lower(v)))
-    again = F.filter(F.transform(F.coalesce(F.col("_replaced"), F.array().cast("array<struct<kind:string,value:string,stand_in:string>>")), lambda r: r["value"]), lambda v: F.contains(whole, v) & F.regexp_like(whole, F.concat(F.lit("(?<![0-9A-Za-z])"), _quoted(v), F.lit("(?![0-9A-Za-z])"))))
-    rows = rows.withColumn("_replaced", replaced).withColumn("_leaks", F.when(F.col("_clean").isNull(), F.array().cast("array<string>")).otherwise(F.array_sort(F.array_distinct(F.concat(left, again)))))
+    again = F.filter(values, lambda v: F.regexp_like(whole, F.concat(_quoted(v), F.lit("(?![0-9A-Za-z])(?<![0-9A-Za-z]"), _quoted(v), F.lit(")"))))
+    rows = rows.withColumn("_leaks", F.when(F.col("_clean").isNull(), F.array().cast("array<string>")).otherwise(F.sort_array(F.array_distinct(F.concat(left, again)))))
     new = {parts: F.col("_clean"), "replaced": F.col("_replaced"), "leaks": F.col("_leaks")}
     return rows.select(*(own[c] for c in documents.columns if c not in new), *(c.alias(n) for n, c in new.items()))
 

@@ -1665,7 +1665,7 @@ def _(l: Ledger) -> DataFrame:
         F.lit("Name : "), who, F.lit("\nOrder Id : "), order, F.lit("\nInvoice Number : IN"), number, F.lit("\nTotal "), F.col("amount_paise").cast("string"), F.lit("\nBilling Address :\n"), who,
         F.lit("\n\nPAN No: AAPCA6346P "), F.lower(who), F.when(F.col("kind") == "fee", F.concat(F.lit(" see order "), order)).otherwise(""),
     )
-    pages = l.lines.select("evidence_id", F.struct("line_index", page.alias("page")).alias("page")).groupBy("evidence_id").agg(F.array_sort(F.collect_list("page")).alias("pages"))
+    pages = l.lines.select("evidence_id", F.struct("line_index", page.alias("page")).alias("page")).groupBy("evidence_id").agg(F.sort_array(F.collect_list("page")).alias("pages"))
     documents = pages.select("evidence_id", F.transform("pages", lambda p: p["page"]).alias("parts"), F.array(who).alias("forbidden"))
     return redaction.redact(documents).select("evidence_id", F.array_join("parts", "\f").alias("text"), F.array_join("leaks", ",").alias("leaks"))
 

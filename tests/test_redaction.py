@@ -86,3 +86,21 @@ def test_work_grows_with_the_patterns_and_not_by_their_powers(spark):
     frame = spark.createDataFrame([(1, ["Order Id : 7"], [], 0)], SCHEMA)
     plan = redaction.redact(frame)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") <= 3 * sum(len(patterns) for patterns, _, _ in redaction.REFERENCES.values())
+
+
+def test_patterns_are_compiled_once_and_values_found_once(spark):
+    """A split compiles its pattern for every text, and a search for positions ends by an exception for every value."""
+    frame = spark.createDataFrame([(1, ["Order Id : 7"], [], 0)], SCHEMA)
+    plan = redaction.redact(frame)._jdf.queryExecution().optimizedPlan().toString()
+    patterns = sum(len(patterns) for patterns, _, _ in redaction.REFERENCES.values())
+    assert plan.count("split(") == plan.count("split(lambda") == patterns and "array_position" not in plan
+    assert plan.count("regexp_extract_all") == 2 * patterns
+
+
+def test_labels_across_lines_and_within_values(spark):
+    rng = random.Random(6)
+    pieces = ["Sold", "By Address :", "Sold By  Address\t: x", "Order", "Number : 12", "Place", "of birth", "Billing Address :", "Shipping  Address :", "Flat 7", "", " \t", "Address", ": B", "Name", ": C", "Name :", "Address :",
+              "Payment Transaction ID : OrderId:5", "Payment Transaction ID : OrderId:6,Invoice", "Order Id :", "66", "Order Id : 5", "Invoice Number AB-12345", "Invoice Details : AB-12345 Invoice Number : CD-12345", "PAN No"]
+    rows = [(["\n".join(rng.choices(pieces, k=rng.randrange(16))) for _ in range(rng.randrange(4))], ["flat"]) for _ in range(200)]
+    for got, (parts, forbidden) in zip(one(spark, *rows), rows, strict=True):
+        assert got.parts == plain(parts, forbidden)[0]
