@@ -1660,13 +1660,14 @@ def _(l: Ledger) -> DataFrame:
 def _(l: Ledger) -> DataFrame:
     """Each order's invoices as printed pages, one a line, redacted; a fee's page names the order again without a label."""
     who, order = F.concat(F.lit("Customer "), F.col("evidence_id").cast("string")), (F.col("evidence_id") + 1000000).cast("string")
-    number = F.lpad(F.coalesce("item_id", F.lit(0)).cast("string"), 6, "0")
-    page = F.concat(
-        F.lit("Name : "), who, F.lit("\nOrder Id : "), order, F.lit("\nInvoice Number : IN"), number, F.lit("\nTotal "), F.col("amount_paise").cast("string"), F.lit("\nBilling Address :\n"), who,
-        F.lit("\n\nPAN No: AAPCA6346P "), F.lower(who), F.when(F.col("kind") == "fee", F.concat(F.lit(" see order "), order)).otherwise(""),
-    )
-    pages = l.lines.select("evidence_id", F.struct("line_index", page.alias("page")).alias("page")).groupBy("evidence_id").agg(F.sort_array(F.collect_list("page")).alias("pages"))
-    documents = pages.select("evidence_id", F.transform("pages", lambda p: p["page"]).alias("parts"), F.array(who).alias("forbidden"))
+    number, more = F.lpad(F.coalesce("item_id", F.lit(0)).cast("string"), 6, "0"), F.when(F.col("kind") == "fee", F.concat(F.lit(" see order "), order)).otherwise("")
+    # Whole pages would be sorted and spilled with the lines of an order; what all its pages say is put around the rest after that.
+    rest = F.struct("line_index", F.concat(number, F.lit("\nTotal "), F.col("amount_paise").cast("string")).alias("invoice"), more.alias("more"))
+    orders = l.lines.select("evidence_id", rest.alias("rest")).groupBy("evidence_id").agg(F.sort_array(F.collect_list("rest")).alias("rest"))
+    head, tail = F.concat(F.lit("Name : "), who, F.lit("\nOrder Id : "), order, F.lit("\nInvoice Number : IN")), F.concat(F.lit("\nBilling Address :\n"), who, F.lit("\n\nPAN No: AAPCA6346P "), F.lower(who))
+    orders = orders.withColumn("head", head).withColumn("tail", tail)
+    pages = F.transform("rest", lambda r: F.concat(F.col("head"), r["invoice"], F.col("tail"), r["more"]))
+    documents = orders.select("evidence_id", pages.alias("parts"), F.array(who).alias("forbidden"))
     return redaction.redact(documents).select("evidence_id", F.array_join("parts", "\f").alias("text"), F.array_join("leaks", ",").alias("leaks"))
 
 
