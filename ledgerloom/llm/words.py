@@ -100,8 +100,10 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bo
         within = np.arange(total[j] - total[i]) - np.repeat(begin, lengths[i:j])
         value = letters[data[within + np.repeat(starts[i:j], lengths[i:j])]]
         if lengths[i:j].max() > _RADIX:
-            lap = (within // _RADIX).astype(np.uint64)
-            value = value * np.where(lap > 0, mix(lap), np.uint64(1))  # shorter words beside a long one keep their hashes
+            lap = mix((within // _RADIX).astype(np.uint64))
+            lap[within < _RADIX] = 1  # shorter words beside a long one keep their hashes
+            value *= lap
+            del lap
         out[i:j] = np.add.reduceat(value * _POWER[within % _RADIX], begin)
         i = j
     return mix(out ^ (lengths.astype(np.uint64) * _GOLDEN))
